@@ -39,7 +39,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
     counts = rows.select("lang", F.explode(_words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c")).cache()
     padded = F.concat(F.lit(" "), F.substring("w", 1, 40), F.lit(" "))
-    pieces = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i, k=k: F.substr(padded, i, F.lit(k))) for k in range(1, top + 1)]))
+
+    def grams_of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i: F.substr(padded, i, F.lit(k)))
+
+    pieces = F.flatten(F.array(*[grams_of(k) for k in range(1, top + 1)]))
     grams = counts.select("lang", "c", F.explode(pieces).alias("w")).groupBy("lang", "w").agg(F.sum("c").alias("c"))
 
     def rated(df: DataFrame, most: int) -> tuple[dict, dict]:

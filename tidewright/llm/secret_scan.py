@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
@@ -112,8 +112,12 @@ def digest(seen: DataFrame, ledger: DataFrame, base: tuple[Rule, ...] = BASE, ru
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     items = F.flatten(F.transform("findings", lambda x: F.transform(x["spans"], lambda s: F.struct(s["start"].alias("start"), rank[x["rule"]].alias("k"), x["rule"].alias("rule"), s["end"].alias("end")))))
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
+
+    def count(i: int) -> Column:
+        return F.size(F.filter("all", lambda s: s["k"] == i)).cast("long")
+
     by = ledger.filter(F.size("findings") > 0).select("blob", F.sort_array(items).alias("all"))
-    by = by.select("blob", *[F.size(F.filter("all", lambda s, i=i: s["k"] == i)).cast("long").alias(f"n_{r.name}") for i, r in enumerate(base)], text(F.filter("all", lambda s: s["k"] < len(base))).alias("base"), text(F.col("all")).alias("spans"))
+    by = by.select("blob", *[count(i).alias(f"n_{r.name}") for i, r in enumerate(base)], text(F.filter("all", lambda s: s["k"] < len(base))).alias("base"), text(F.col("all")).alias("spans"))
     by = saved(by, "digests")
     out = seen.select("path", "blob").join(by, "blob", "left")
     return out.select("path", *[F.coalesce(f"n_{r.name}", F.lit(0).cast("long")).alias(f"n_{r.name}") for r in base], F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
