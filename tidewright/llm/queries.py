@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_crc, table
+from .common import id_crc, new_path, table
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(seen, update(seen)).withColumnRenamed("path", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op6_language_id, op8_mixing, op10_secrets)}
+def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jpeg import features, store
+
+    path = new_path(spark, "media")
+    store(table(spark, sf_dir, "documents")).write.option("compression", "uncompressed").parquet(path)
+    got = features(spark.read.parquet(path))
+    shown = F.concat(F.col("width"), F.lit("x"), F.col("height"), F.lit(":"), F.col("thumbnail_sha256"))
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", shown.alias("feature"), "width", "height")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive, read
+
+    return read(archive(table(spark, sf_dir, "pages")))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op4_jpeg, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
 
@@ -56,6 +78,10 @@ l AS (SELECT doc_id, key, source, tokens, whole AS block, quota - whole * n AS r
 c AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY place, key ROWS UNBOUNDED PRECEDING) AS upto FROM l)
 SELECT doc_id, source, tokens, CAST(block AS BIGINT) AS block, md5(concat_ws(':', '0', block, key)) AS place FROM f
 UNION ALL SELECT doc_id, source, tokens, CAST(block AS BIGINT), place FROM c WHERE upto <= rest""",
+    "op7_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (d)""",
     "op10_secrets": r"""
 WITH r(k, name, pat, grp, least) AS (VALUES
   (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
