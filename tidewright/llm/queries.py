@@ -29,6 +29,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(seen, update(seen)).withColumnRenamed("path", "doc_id")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
+
+
 def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jpeg import features, store
 
@@ -51,7 +57,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op4_jpeg, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op3_minhash, op4_jpeg, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
 
