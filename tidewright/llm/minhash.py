@@ -34,7 +34,7 @@ from .common import Rolling, chunks, flat, lowered, mix, saved, words
 BANDS, ROWS, BITS = 32, 4, 2
 SLACK, TRIES = 0.24, 4
 LONGS = T.ArrayType(T.LongType())
-_ODD = np.cumsum(np.full(64, 0x9E3779B97F4A7C14, np.uint64)) | np.uint64(1)
+_ODD = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
