@@ -29,6 +29,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(seen, update(seen)).withColumnRenamed("path", "doc_id")
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import train, word_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.pmod(id_crc(F.col("doc_id")), F.lit(7)) == 2
+    return word_scores(docs, train(docs.filter(~held)), held)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -57,7 +65,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash, op4_jpeg, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op3_minhash, op4_jpeg, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
 

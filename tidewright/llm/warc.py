@@ -49,7 +49,9 @@ def filesystem(uri: str):
 
 def dictionary(pages: DataFrame, payload: str = "payload", key: str = "page_id") -> bytes:
     """A trained dictionary, or with very few records the records themselves (a raw one)."""
-    rows = pages.filter(F.length(payload) > 0).select(F.substring(payload, 1, PIECE).alias("p"), F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLE).collect()
+    n = pages.count()
+    some = pages.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(n, 1))))  # so that no task sends many
+    rows = some.filter(F.length(payload) > 0).select(F.substring(payload, 1, PIECE).alias("p"), F.xxhash64(key).alias("h")).orderBy("h").limit(SAMPLE).collect()
     samples = [bytes(r["p"]) for r in rows]
     try:
         return zstd.train_dictionary(DICTIONARY, samples, k=256, d=8).as_bytes()
