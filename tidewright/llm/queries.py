@@ -37,6 +37,12 @@ def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_scores(docs, train(docs.filter(~held)), held)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -65,7 +71,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op3_minhash, op4_jpeg, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_repeats, op3_minhash, op4_jpeg, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
 
