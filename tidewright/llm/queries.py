@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import id_crc, new_path, table
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict, train
 
@@ -71,7 +77,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op2_repeats, op3_minhash, op4_jpeg, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_ppm, op2_repeats, op3_minhash, op4_jpeg, op5_token_files, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
 
