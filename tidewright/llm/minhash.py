@@ -1,16 +1,19 @@
 """Near-duplicates by b-bit MinHash, with every link confirmed on the full sets of word shingles.
 
-1. One pass reads every whole text: words, distinct shingles (64-bit hashes), `bands` * `rows` minima. Of each minimum the
-   low two bits are kept, packed in longs; each band of minima is hashed to a bucket. Documents with the same set form a class.
-2. In each bucket every class meets one hub, chosen by a hash of class and band. A pair goes on if its sizes allow the
-   similarity and its estimate - matching bits, corrected for chance: J = (p - 1/4) / (3/4) - is no more than `slack` below
-   the limit. Up to `tries` best hubs of a class are confirmed on the full sets. This links nearly all of a large group with a few
-   pairs for each member.
-3. What the hubs may have missed: buckets that still hold more than one component. There every pair of different
-   components whose estimate passes is confirmed. So nothing is capped; buckets within one component need no pair.
+1. One pass reads every whole text: words, distinct shingles (64-bit hashes), MINIMA minima. Of each minimum the low two
+   bits are kept, packed in longs; the first BANDS * ROWS minima in bands are hashed to buckets. Documents with the same set form a
+   class.
+2. In each bucket every class meets one hub: the one that shares most buckets with others, as the text that copies were made
+   from does. A pair goes on if its sizes allow the similarity and its estimate - matching bits, corrected for chance:
+   J = (p - 1/4) / (3/4) - is no more than SLACK below the limit. Up to TRIES best hubs of a class are confirmed on the full sets.
+   This links nearly all of a large group with a few pairs for each member.
+3. What the hubs may have missed: buckets that still hold more than one component. Classes that such buckets join, directly
+   or through others, are a cluster, and within it every pair of different components whose estimate passes is confirmed. A
+   large cluster is cut in blocks, and each pair of blocks is a group by itself, so that no task holds more than two blocks;
+   pairs are never rows. Nothing is capped, and buckets within one component need no pair.
 4. Components: each label hooks to its least neighbour, pointers are halved, and edges between labels remain, until none do.
 
-With J = 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 as set here; `slack` is 5.7 standard
+With J = 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 as set here; SLACK is five standard
 deviations of the estimate.
 
 Cases: null or empty text and text without words: an empty set, linked with nothing (component is the id itself).
@@ -21,7 +24,6 @@ row has the same result in each copy. A null id is linked with nothing and has a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,9 @@ from pyspark.sql import types as T
 
 from .common import Rolling, chunks, flat, lowered, mix, saved, words
 
-BANDS, ROWS, BITS = 32, 4, 2
-SLACK, TRIES = 0.24, 4
+BANDS, ROWS, BITS, MINIMA = 32, 4, 2, 256
+SLACK, TRIES = 0.15, 4
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
 LONGS = T.ArrayType(T.LongType())
 _ODD = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -88,7 +91,7 @@ def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """(id, n, set, bits, buckets) of every row; set is a 128-bit digest of the shingle set, null if it is empty."""
     src = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
     schema = src.select("id").schema.add("n", "long").add("set", "binary").add("bits", LONGS).add("buckets", LONGS)
-    n = BANDS * ROWS
+    n = MINIMA
     per = 64 // BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +110,7 @@ def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 m = minima(h, at, n)
                 low = (m & np.uint64((1 << BITS) - 1)).reshape(len(full), n // per, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
                 bits = np.bitwise_or.reduce(low, axis=2).view(np.int64).ravel()
-                g = m.reshape(len(full), BANDS, ROWS)
+                g = m[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS)
                 buckets = mix((g * _ODD[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[60]).view(np.int64).ravel()
             has = (count > 0).astype(np.int32)
             np.cumsum(has, out=offsets[1:])
@@ -134,7 +137,7 @@ def estimate(a: Column, b: Column) -> Column:
     odd = F.lit(0x5555555555555555)
     differ = F.aggregate(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), F.lit(0), lambda n, x: n + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd)))
     chance = 0.5**BITS
-    return (1 - differ / (BANDS * ROWS) - chance) / (1 - chance)
+    return (1 - differ / MINIMA - chance) / (1 - chance)
 
 
 def _sized(a: Column, b: Column, num: int, den: int) -> Column:
@@ -148,6 +151,63 @@ def confirm(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.filter(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
 
 
+def cluster_links(t: pa.Table, num: int, den: int, limit: float) -> pa.Table:
+    """Links (a, b) between the components within a pair of blocks; a link that others already imply is left out."""
+    ids, label, block = (t.column(c).to_pylist() for c in ("id", "label", "mine"))
+    m = len(ids)
+    n = t.column("n").to_numpy()
+    bits = np.array(t.column("bits").to_pylist(), np.int64).view(np.uint64).reshape(m, -1)
+    sets = [np.array(x, np.int64) for x in t.column("shingles").to_pylist()]
+    code = {x: i for i, x in enumerate(dict.fromkeys(label))}
+    up = list(range(len(code)))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    values, times = np.unique(np.concatenate(sets), return_counts=True)
+    values = values[times > 1]
+    packed = None
+    if m * len(values) <= 1 << 29:
+        packed = np.zeros((m, -(-max(len(values), 1) // 64) * 8), np.uint8)
+        for i, x in enumerate(sets):
+            at = np.searchsorted(values, x)
+            at = at[values[np.minimum(at, len(values) - 1)] == x] if len(values) else at[:0]
+            row = np.zeros(packed.shape[1] * 8, np.uint8)
+            row[at[at < len(values)]] = 1
+            packed[i] = np.packbits(row)
+        packed = packed.view(np.uint64)
+    odd, chance = np.uint64(0x5555555555555555), 0.5**BITS
+    most = MINIMA * (1 - chance - limit * (1 - chance))  # bits that may differ
+    two = block[0] != block[-1] or len(set(block)) > 1
+    of, side = np.array([code[x] for x in label]), np.array(block)
+    out = []
+    for i in range(m):
+        js = np.arange(i + 1, m)
+        js = js[(of[js] != of[i]) & ((side[js] != side[i]) if two else True)]
+        js = js[np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num]
+        if not len(js):
+            continue
+        x = bits[js] ^ bits[i]
+        js = js[np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1) <= most]
+        js = [j for j in js if root(of[j]) != root(of[i])]
+        if not js:
+            continue
+        if packed is not None:
+            shared = np.bitwise_count(packed[js] & packed[i]).sum(axis=1, dtype=np.int64)
+        else:
+            shared = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in js])
+        for j in np.array(js)[shared * den >= (n[js] + n[i] - shared) * num]:
+            a, b = root(of[i]), root(of[j])
+            if a != b:
+                up[a] = b
+                out.append((ids[i], ids[j]))
+    kind = t.schema.field("id").type
+    return pa.table([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], kind)], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every end of an edge (a, b); the label is the smallest id reachable."""
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -176,18 +236,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     classes = all_rows.filter(F.col("set").isNotNull() & F.col("id").isNotNull()).groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets"))
     classes = saved(classes, "classes")
     spread = lambda: classes.select("id", F.explode("buckets").alias("bucket"))
-    hub = F.min(F.struct(F.xxhash64("bucket", "id").alias("h"), F.col("id").alias("hub")))
-    shared = saved(spread().groupBy("bucket").agg(F.count("*").alias("size"), hub.alias("h")).filter("size > 1").select("bucket", "h.hub"), "buckets")
+    shared = saved(spread().groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = saved(spread().join(shared, "bucket"), "members")
+    weight = saved(members.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    hub = F.max(F.struct(F.col("weight"), F.xxhash64("id").alias("h"), F.col("id").alias("hub")))
+    hubs = saved(members.join(weight, "id").groupBy("bucket").agg(hub.alias("h")).select("bucket", "h.hub"), "hubs")
     mine = classes.select("id", "n", "bits")
     info = lambda c: mine.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     limit = num / den - SLACK
 
-    pairs = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = members.join(hubs, "bucket").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = pairs.join(info("a"), "a").join(info("b"), "b").filter(_sized(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("est")).filter(F.col("est") >= limit)
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("est"), "b"))
     pairs = saved(pairs.withColumn("r", best).filter(F.col("r") <= TRIES).select("a", "b"), "hub_pairs")
-    need = members.select("id").distinct()
+    need = weight.select("id")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(need, "id")
     sets = saved(hashed_sets(texts, k).dropDuplicates(["id"]), "sets")
     links = saved(confirm(pairs, sets, num, den), "links")
@@ -196,12 +258,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     # buckets with more than one component
     named = saved(members.select("id", "bucket").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "named")
     open_ = saved(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), "open")
-    rest = saved(named.join(open_, "bucket").join(mine, "id"), "rest")
-    side = lambda c: rest.select("bucket", F.col("id").alias(c), F.col("label").alias(f"l_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    a, b = side("a"), side("b")
-    ok = [a["bucket"] == b["bucket"], F.col("l_a") < F.col("l_b"), _sized(F.col("n_a"), F.col("n_b"), num, den), estimate(F.col("bits_a"), F.col("bits_b")) >= limit]
-    more = saved(a.join(b, reduce(lambda x, y: x & y, ok)).select("a", "b").distinct(), "more_pairs")
-    extra = saved(confirm(more, sets, num, den), "more_links")
+    rest = saved(named.join(open_, "bucket"), "rest")
+    weak = rest.groupBy("bucket").agg(F.min("id").alias("b"))
+    weak = components(rest.join(weak, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b"))
+    weak = weak.select("id", F.col("label").alias("cluster")).join(mine, "id").join(labels, "id", "left").select("id", "cluster", "n", "bits", F.coalesce("label", "id").alias("label"))
+    weak = saved(weak, "clusters")
+    sizes = weak.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = weak.join(saved(sizes, "cluster_sizes"), "cluster").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "label", "n", "bits", "mine").join(sets, "id")
+    extra = saved(dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: cluster_links(t, num, den, limit), T.StructType([T.StructField("a", mine.schema["id"].dataType), T.StructField("b", mine.schema["id"].dataType)])), "more_links")
     if extra.limit(1).count():
         labels = components(links.unionByName(extra))
     by_set = saved(classes.select("set", "id").join(labels, "id", "left").select("set", F.coalesce("label", "id").alias("component")), "by_set")
