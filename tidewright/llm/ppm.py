@@ -35,7 +35,7 @@ from .common import Rolling, chunks, flat, lowered, saved, words
 
 ORDER, NODES = 5, 65536
 SIZE, CLASSES = 257, 64
-CHUNK_IN = 3 << 19
+CHUNK_IN, BLOCK = 3 << 19, 12 << 20  # bytes of text handled at once, and in a block of words
 _END = np.uint64(0x1D8E4E27C47D124F)  # the key of the end token
 
 
@@ -214,7 +214,8 @@ def scored_blocks(docs: DataFrame, model: Model, key: str, text: str, held: Colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, base = shared.value, TaskContext.get().partitionId() << 32
-        for k, b in enumerate(chunks(batches, "text", CHUNK_IN)):
+        parts, size, k = [], 0, 0
+        for b in chunks(batches, "text", CHUNK_IN):
             raw, off = flat(b.column("text"))
             n = b.num_rows
             points = score(model, raw, off)
@@ -227,10 +228,27 @@ def scored_blocks(docs: DataFrame, model: Model, key: str, text: str, held: Colu
             train = np.bincount(inv[~held[row]], minlength=len(keys))
             pair, times = np.unique(row * len(keys) + inv, return_counts=True)
             prow, word = pair // len(keys), pair % len(keys)
-            ends = np.searchsorted(prow, np.arange(n), "right")
-            one = lambda x, t: pa.array([x], pa.list_(t))
-            ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column("id"))
-            yield pa.RecordBatch.from_arrays([pa.array([base + k]), ids, one(held, pa.bool_()), one(np.bincount(row, minlength=n).astype(np.int32), pa.int32()), one(points, pa.float64()), one(ends.astype(np.int32), pa.int32()), one(word.astype(np.int32), pa.int32()), one(times.astype(np.int32), pa.int32()), one(keys.view(np.int64), pa.int64()), one(train.astype(np.int32), pa.int32())], schema.names)
+            parts.append((b.column("id"), held, np.bincount(row, minlength=n), points, np.searchsorted(prow, np.arange(n), "right"), word.astype(np.int32), times.astype(np.int32), keys, train))
+            size += len(raw)
+            if size >= BLOCK:
+                yield block(base + k, parts)
+                parts, size, k = [], 0, k + 1
+        if parts:
+            yield block(base + k, parts)
+
+    def block(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        """The slices as one block: their words get one list."""
+        ids, held, n_tokens, points, ends, word, times, keys, train = zip(*parts, strict=True)
+        every, inv = np.unique(np.concatenate(keys), return_inverse=True)
+        at = np.cumsum([0, *map(len, keys)])
+        ahead = np.cumsum([0, *map(len, word)])
+        word = np.concatenate([inv[i + w] for i, w in zip(at, word, strict=False)])
+        ends = np.concatenate([i + e for i, e in zip(ahead, ends, strict=False)])
+        total = np.bincount(inv, np.concatenate(train), len(every))
+        one = lambda x, t: pa.array([x.astype(t.to_pandas_dtype())], pa.list_(t))
+        names = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in ids])
+        cat = np.concatenate
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), one(cat(held), pa.bool_()), one(cat(n_tokens), pa.int32()), one(cat(points), pa.float64()), one(ends, pa.int32()), one(word, pa.int32()), one(cat(times), pa.int32()), one(every.view(np.int64), pa.int64()), one(total, pa.int32())], schema.names)
 
     return src.mapInArrow(run, schema)
 
