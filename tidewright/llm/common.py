@@ -56,6 +56,9 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus; from then on Arrow batches hold few rows, as one of long texts is held whole on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 

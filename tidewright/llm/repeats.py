@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, chunks, flat, mix, saved
 
 LEAST, GRAM, CROWD = 200, 32, 4096
-CHUNK_IN = 1 << 20
+CHUNK_IN = 1 << 19
 MOST_BITS = 27
 
 
