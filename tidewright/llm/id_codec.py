@@ -3,12 +3,13 @@
 A block holds STEPS ids and starts from the same state, so blocks are decoded independently; all blocks of a file are coded
 side by side, one id of each in a numpy step. Integers only: an encoder and a decoder anywhere agree.
 
-Prediction of an id: order 2 and order 1 each remember, by context, the id that followed last and how often it held;
-a logistic mixer with weights learnt in the block joins their confidence with the block's overall rate of hits into
-the probability that the candidate is the id. If it isn't, order 1's own candidate gets a second try when it differs.
-Else order 0 codes the id's size class by adaptive counts, and its other bits follow evenly.
+Prediction of an id: order 2 and order 1 each remember, by context, the id that followed last and how often that held. The
+confidence of each has a weight learnt in the block, and the weights, with one for the block as a whole, add up in the logistic
+domain to the probability that the candidate is the id. If it isn't, order 0 codes the id's size class by adaptive counts, and
+its other bits follow evenly.
 
-The range coder keeps 48 bits and gives digits of 16; a carry stays in its digit and is settled at the end.
+The range coder keeps 56 bits and gives digits of 16; all parts of an id fit between two shifts. A carry stays in its digit and is
+settled at the end.
 
 File: MAGIC, length and crc32 of the header, header (JSON, zstd: steps, classes, keys, lengths, and for each block digits, ids
 and the crc32 of its ids), then the blocks' digits. Keys are kept as text.
@@ -23,219 +24,180 @@ import zlib
 import numpy as np
 import zstandard as zstd
 
-MAGIC = b"TWIDS\x01"
-STEPS = 2048
+MAGIC = b"TWIDS\x02"
+STEPS = 1024
 EVERY = 16  # steps between updates of the size classes
 SLOTS = 8  # bits of an order's table in a block
-_FULL, _LOW = np.int64(1) << 32, (np.int64(1) << 32) - 1
+_TOP, _FULL = np.int64(1) << 56, np.int64(1) << 40
+_LOW = _FULL - 1
 
+_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 16, 4080).astype(np.int64)
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.round(4096 / (1 + np.exp(-x / 256.0))), 16, 4080).astype(np.int64)
 
-
-_SQUASH = _squash(np.arange(-2048, 2048)).astype(np.int32)
-_STRETCH = np.clip(np.searchsorted(_SQUASH, np.arange(4096)) - 2048, -2047, 2047).astype(np.int32)
+def _shares(counts: np.ndarray) -> np.ndarray:
+    """(classes + 1) x lanes: where each class starts among 4096, none empty."""
+    n = len(counts)
+    out = np.zeros((n + 1, counts.shape[1]), np.int64)
+    np.cumsum(counts, axis=0, out=out[1:])
+    return out * (4096 - n) // out[-1] + np.arange(n + 1)[:, None]
 
 
 class Encoder:
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, np.int64(1) << 48)
-        self.lanes, self.digits, self.all = [], [], np.arange(lanes)
+    """Takes, for every lane, the id's share of the range in up to three parts, then shifts digits out."""
 
-    def _shift(self, sel: np.ndarray | None) -> None:
-        if sel is None:
-            at = np.flatnonzero(self.range < _FULL)
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _TOP)
+        self.lanes, self.digits, self.base = [], [], np.arange(lanes)
+
+    def code(self, p: np.ndarray, best: np.ndarray, cdf: np.ndarray, x: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hit = x == best
+        bound = (self.range >> 12) * p
+        k = np.frexp(x.astype(np.float64))[1].astype(np.int64)  # bits of the id
+        n = np.maximum(k - 1, 0)
+        v = x - ((k > 0).astype(np.int64) << n)
+        flat = cdf.ravel()
+        at = k * len(p) + self.base
+        lo, hi = np.take(flat, at), np.take(flat, at + len(p))
+        rest = self.range - bound
+        r = rest >> 12
+        add = bound + r * lo
+        left = r * (hi - lo)
+        if wide:  # ids of more than 16 bits: the rest of them in two parts, with a shift between
+            self.low += np.where(hit, 0, add)
+            self.range = np.where(hit, bound, left)
+            self._shift()
+            self._raw(np.where(hit, 0, np.minimum(n, 16)), np.where(hit, 0, v & 0xFFFF))
+            self._shift()
+            self._raw(np.where(hit, 0, np.maximum(n - 16, 0)), np.where(hit, 0, v >> 16))
         else:
-            at = sel[self.range[sel] < _FULL]
-        if len(at):
+            r = left >> n
+            self.low += np.where(hit, 0, add + r * v)
+            self.range = np.where(hit, bound, r)
+        self._shift()
+        return x, hit, k
+
+    def _raw(self, n: np.ndarray, v: np.ndarray) -> None:
+        self.range >>= n
+        self.low += self.range * v
+
+    def _shift(self) -> None:
+        while len(at := np.flatnonzero(self.range < _FULL)):
             low = self.low[at]
             self.lanes.append(at.astype(np.uint16))
-            self.digits.append((low >> 32).astype(np.uint32))
+            self.digits.append((low >> 40).astype(np.uint32))
             self.low[at] = (low & _LOW) << 16
             self.range[at] <<= 16
 
-    def bit(self, sel: np.ndarray | None, p: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        r = self.range if sel is None else self.range[sel]
-        bound = (r >> 12) * p
-        if sel is None:
-            self.low += np.where(bit, 0, bound)
-            self.range = np.where(bit, bound, r - bound)
-        else:
-            self.low[sel] += np.where(bit, 0, bound)
-            self.range[sel] = np.where(bit, bound, r - bound)
-        self._shift(sel)
-        return bit
-
-    def part(self, sel: np.ndarray, cdf: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        lo, hi = cdf[symbol, sel], cdf[symbol + 1, sel]
-        r = self.range[sel] >> 12
-        self.low[sel] += r * lo
-        self.range[sel] = r * (hi - lo)
-        self._shift(sel)
-        return symbol
-
-    def raw(self, sel: np.ndarray, bits: np.ndarray, value: np.ndarray) -> np.ndarray:
-        r = self.range[sel] >> bits
-        self.low[sel] += r * value
-        self.range[sel] = r
-        self._shift(sel)
-        return value
-
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Digits of all lanes one after another, and how many each has."""
-        for _ in range(3):
-            self.lanes.append(self.all.astype(np.uint16))
-            self.digits.append((self.low >> 32).astype(np.uint32))
+        for _ in range(4):
+            self.lanes.append(self.base.astype(np.uint16))
+            self.digits.append((self.low >> 40).astype(np.uint32))
             self.low = (self.low & _LOW) << 16
         lane, digit = np.concatenate(self.lanes), np.concatenate(self.digits)
+        self.lanes = self.digits = None
         order = np.argsort(lane, kind="stable")
-        lane, digit = lane[order], digit[order]
+        count = np.bincount(lane, minlength=len(self.base))
+        digit = digit[order]
         while len(over := np.flatnonzero(digit >> 16)):  # a carry moves one digit up; it never leaves its lane
             carry = digit[over] >> 16
             digit[over] &= 0xFFFF
             np.add.at(digit, over - 1, carry)
-        return digit.astype("<u2"), np.bincount(lane, minlength=len(self.all))
+        return digit.astype("<u2"), count
 
 
 class Decoder:
     def __init__(self, digits: np.ndarray, counts: np.ndarray):
-        self.digits = np.concatenate([digits.astype(np.int64), np.zeros(4, np.int64)])
+        self.digits = np.concatenate([digits, np.zeros(8, digits.dtype)])
         self.at = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        self.range = np.full(len(counts), np.int64(1) << 48)
-        self.x = np.zeros(len(counts), np.int64)
+        self.range = np.full(len(counts), _TOP)
+        self.x, self.base = np.zeros(len(counts), np.int64), np.arange(len(counts))
         for _ in range(3):
             self.x = (self.x << 16) | self.digits[self.at]
             self.at += 1
-
-    def _shift(self, sel: np.ndarray | None) -> None:
-        at = np.flatnonzero(self.range < _FULL) if sel is None else sel[self.range[sel] < _FULL]
-        if len(at):
-            self.x[at] = (self.x[at] << 16) | self.digits[np.minimum(self.at[at], len(self.digits) - 1)]
+        self.x = (self.x << 8) | (self.digits[self.at] >> 8)
+        self.half = self.digits[self.at].astype(np.int64) & 0xFF  # 56 bits end within a digit
+        self.at += 1
+
+    def code(self, p: np.ndarray, best: np.ndarray, cdf: np.ndarray, _: None, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bound = (self.range >> 12) * p
+        hit = self.x < bound
+        rest, x = self.range - bound, self.x - bound
+        r = rest >> 12
+        v = x // r
+        k = (cdf[1:-1] <= v).sum(axis=0)
+        flat = cdf.ravel()
+        at = k * len(p) + self.base
+        lo, hi = np.take(flat, at), np.take(flat, at + len(p))
+        x -= r * lo
+        left = r * (hi - lo)
+        n = np.maximum(k - 1, 0)
+        one = (k > 0).astype(np.int64) << n
+        if wide:
+            self.x, self.range = np.where(hit, self.x, x), np.where(hit, bound, left)
+            self._shift()
+            got = self._raw(np.where(hit, 0, np.minimum(n, 16)))
+            self._shift()
+            got = got + (self._raw(np.where(hit, 0, np.maximum(n - 16, 0))) << 16)
+        else:
+            r = left >> n
+            got = np.minimum(x // r, (np.int64(1) << n) - 1)
+            self.x, self.range = np.where(hit, self.x, x - r * got), np.where(hit, bound, r)
+        self._shift()
+        return np.where(hit, best, one + got), hit, k
+
+    def _raw(self, n: np.ndarray) -> np.ndarray:
+        self.range >>= n
+        got = np.minimum(self.x // self.range, (np.int64(1) << n) - 1)
+        self.x -= self.range * got
+        return got
+
+    def _shift(self) -> None:
+        while len(at := np.flatnonzero(self.range < _FULL)):
+            nxt = self.digits[np.minimum(self.at[at], len(self.digits) - 1)].astype(np.int64)
+            self.x[at] = (self.x[at] << 16) | (self.half[at] << 8) | (nxt >> 8)
+            self.half[at] = nxt & 0xFF
             self.at[at] += 1
             self.range[at] <<= 16
 
-    def bit(self, sel: np.ndarray | None, p: np.ndarray, bit: np.ndarray | None = None) -> np.ndarray:
-        r, x = (self.range, self.x) if sel is None else (self.range[sel], self.x[sel])
-        bound = (r >> 12) * p
-        bit = x < bound
-        if sel is None:
-            self.x = np.where(bit, x, x - bound)
-            self.range = np.where(bit, bound, r - bound)
-        else:
-            self.x[sel] = np.where(bit, x, x - bound)
-            self.range[sel] = np.where(bit, bound, r - bound)
-        self._shift(sel)
-        return bit
-
-    def part(self, sel: np.ndarray, cdf: np.ndarray, symbol: np.ndarray | None = None) -> np.ndarray:
-        r = self.range[sel] >> 12
-        v = np.minimum(self.x[sel] // r, 4095)
-        symbol, step = np.zeros(len(sel), np.int64), 1 << (len(cdf) - 1).bit_length() >> 1
-        while step:  # the last class that starts at v or before
-            nxt = np.minimum(symbol + step, len(cdf) - 2)
-            symbol = np.where(cdf[nxt, sel] <= v, nxt, symbol)
-            step >>= 1
-        lo, hi = cdf[symbol, sel], cdf[symbol + 1, sel]
-        self.x[sel] -= r * lo
-        self.range[sel] = r * (hi - lo)
-        self._shift(sel)
-        return symbol
-
-    def raw(self, sel: np.ndarray, bits: np.ndarray, value: np.ndarray | None = None) -> np.ndarray:
-        r = self.range[sel] >> bits
-        value = np.minimum(self.x[sel] // r, (np.int64(1) << bits) - 1)
-        self.x[sel] -= r * value
-        self.range[sel] = r
-        self._shift(sel)
-        return value
-
-
-def _shares(counts: np.ndarray) -> np.ndarray:
-    """(classes + 1) x lanes: where each class starts among 4096, none empty."""
-    n = len(counts)
-    out = np.zeros((n + 1, counts.shape[1]), np.int64)
-    np.cumsum(counts, axis=0, out=out[1:])
-    return out * (4096 - n) // out[-1] + np.arange(n + 1)[:, None]
-
 
 def _run(coder: Encoder | Decoder, lanes: int, steps: int, classes: int, ids: np.ndarray | None) -> np.ndarray:
     """Codes ids (steps x lanes), or decodes as many."""
     base, size = np.arange(lanes, dtype=np.int64), 1 << SLOTS
-    near, far = np.zeros(lanes * size, np.int32), np.zeros(lanes * size, np.int32)  # id * 16 + confidence
-    rate2, rate1, rate0, again = (np.full(lanes * n, 1 << 14, np.int32) for n in (16, 32, 1, 16))
-    w2, w1, w0 = (np.full(lanes, 26000, np.int32) for _ in range(3))
+    near, far = np.zeros(lanes * size, np.int64), np.zeros(lanes * size, np.int64)  # id * 16 + confidence
+    by2, by1, by0 = np.zeros(lanes * 16, np.int64), np.zeros(lanes * 32, np.int64), np.zeros(lanes, np.int64)
+    by2[np.arange(lanes) << 4] = by1[np.arange(lanes) << 5] = -512  # nothing remembered
     counts = np.full((classes, lanes), 4, np.int64)
     cdf, fresh = _shares(counts), []
-    one, two = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     at, at16, at32 = base << SLOTS, base << 4, base << 5
     out = np.empty((steps, lanes), np.int32) if ids is None else ids
     for t in range(steps):
-        x = None if ids is None else ids[t]
-        i2 = at + (((one * 40503 + two * 60493 + 7) >> 4) & (size - 1))
+        i2 = at + (((one * 40503 + two * 60493) >> 5) & (size - 1))
         i1 = at + (one & (size - 1))
-        e2, e1 = far[i2], near[i1]
+        e2, e1 = np.take(far, i2), np.take(near, i1)
         c2, k2, c1, k1 = e2 >> 4, e2 & 15, e1 >> 4, e1 & 15
         best = np.where(k2 > 0, c2, c1)
-        r2, r1 = at16 + k2, at32 + 2 * k1 + ((c1 == best) & (k1 > 0))
-        p2, p1 = rate2[r2], rate1[r1]
-        s2, s1, s0 = _STRETCH[p2 >> 4], _STRETCH[p1 >> 4], _STRETCH[rate0 >> 4]
-        p = _SQUASH[np.clip((w2 * s2 + w1 * s1 + w0 * s0) >> 16, -2048, 2047) + 2048].astype(np.int64)
-        hit = coder.bit(None, p, None if x is None else x == best)
-        miss = np.flatnonzero(~hit)
-        if x is None:
-            x = best.copy()
-        if len(miss):
-            second = miss[(k1[miss] > 0) & (c1[miss] != best[miss])]
-            rest = miss
-            if len(second):
-                r = (second << 4) + k1[second]
-                q = again[r]
-                got = coder.bit(second, np.clip(q >> 4, 16, 4080), x[second] == c1[second] if ids is not None else None)
-                again[r] = q + (((got.astype(np.int32) << 16) - q) >> 4)
-                found = second[got]
-                if len(found):
-                    x[found] = c1[found]
-                    left = np.zeros(lanes, bool)
-                    left[miss] = True
-                    left[found] = False
-                    rest = np.flatnonzero(left)
-            if len(rest):
-                if ids is not None:
-                    v = x[rest].astype(np.int64)
-                    k = np.frexp(v.astype(np.float64))[1].astype(np.int64)  # bits of the id
-                    coder.part(rest, cdf, k)
-                    n = np.maximum(k - 1, 0)
-                    v = v - np.where(k > 0, np.int64(1) << n, 0)
-                    if classes > 17:
-                        coder.raw(rest, np.maximum(n - 16, 0), v >> 16)
-                        v, n = v & 0xFFFF, np.minimum(n, 16)
-                    coder.raw(rest, n, v)
-                else:
-                    k = coder.part(rest, cdf)
-                    n = np.maximum(k - 1, 0)
-                    top = coder.raw(rest, np.maximum(n - 16, 0)) << 16 if classes > 17 else 0
-                    x[rest] = np.where(k > 0, np.int64(1) << n, 0) + top + coder.raw(rest, np.minimum(n, 16))
-                fresh.append(k * lanes + rest)
-        if t % EVERY == EVERY - 1 and fresh:
-            counts += 24 * np.bincount(np.concatenate(fresh), minlength=lanes * classes).reshape(classes, lanes)
+        r2, r1 = at16 + k2, at32 + 2 * k1 + (c1 == best)
+        b2, b1 = np.take(by2, r2), np.take(by1, r1)
+        p = np.take(_SQUASH, b2 + b1 + by0 + 2048, mode="clip")
+        x, hit, k = coder.code(p, best, cdf, None if ids is None else ids[t].astype(np.int64), classes > 17)
+        if ids is None:
+            out[t] = x
+        err = ((hit.astype(np.int64) << 12) - p) >> 5
+        by2[r2] = b2 + err
+        by1[r1] = b1 + err
+        by0 += err >> 2
+        fresh.append(np.where(hit, classes, k))
+        if t % EVERY == EVERY - 1:
+            new = np.stack(fresh) * lanes + base
+            counts += 24 * np.bincount(new.ravel(), minlength=lanes * (classes + 1))[: lanes * classes].reshape(classes, lanes)
             big = counts.sum(axis=0) > 8000
             counts[:, big] = (counts[:, big] + 1) >> 1
             cdf, fresh = _shares(counts), []
-        if ids is None:
-            out[t] = x
-        hit16 = hit.astype(np.int32) << 16
-        err = (((hit16 >> 4) - p) * 6).astype(np.int32)
-        for w, s in ((w2, s2), (w1, s1), (w0, s0)):
-            w += (s * err) >> 10
-            np.clip(w, -120_000, 120_000, out=w)  # three products with 2047 stay within 32 bits
-        rate2[r2] = p2 + ((hit16 - p2) >> 4)
-        rate1[r1] = p1 + ((hit16 - p1) >> 4)
-        rate0 += (hit16 - rate0) >> 5
-        for slots, i, c, k in ((far, i2, c2, k2), (near, i1, c1, k1)):
-            same = c == x
-            keep = same | (k > 1)
-            slots[i] = (np.where(keep, c, x) << 4) | np.where(same, np.minimum(k + 1, 15), np.where(k > 1, k >> 1, 1))
+        fallback = (x << 4) | 1
+        for slots, i, e, c, conf in ((far, i2, e2, c2, k2), (near, i1, e1, c1, k1)):
+            slots[i] = np.where(c == x, e + (conf < 15), np.where(conf > 1, (c << 4) | (conf >> 1), fallback))
         two, one = one, x
     return out
 
