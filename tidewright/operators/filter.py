@@ -30,6 +30,7 @@ def systems(probes: DataFrame, spec: K.Spec) -> DataFrame:
     ship(probes.sparkSession)
     arma = F.slice("params", spec.front + 1, max(spec.size - spec.front, 0))
     schema = "probe_id long, k int, karma int, kdiff int, cidx int, burn int, tmat array<double>, rqr array<double>, a1 array<double>, p1 array<double>"
+    arrow = _arrow(schema)
 
     def run(t: pa.Table) -> pa.Table:
         par = np.array(t.column("params").to_pylist(), float).reshape(t.num_rows, -1)
@@ -39,9 +40,9 @@ def systems(probes: DataFrame, spec: K.Spec) -> DataFrame:
         for i, key in enumerate(t.column("probe_id").to_pylist()):
             a = K.system(spec, par[i : i + 1]).a[0] if spec.degrees else s.a[0]
             rows.append((key, len(a), spec.karma, spec.kdiff, spec.kdiff + 1, spec.kdiff, s.t[0].ravel().tolist(), s.rqr[0].ravel().tolist(), a.tolist(), s.p[0].ravel().tolist()))
-        return pa.table([list(c) for c in zip(*rows, strict=True)], names=["probe_id", "k", "karma", "kdiff", "cidx", "burn", "tmat", "rqr", "a1", "p1"]).cast(_arrow(schema))
+        return pa.table([list(c) for c in zip(*rows, strict=True)], names=arrow.names).cast(arrow)
 
-    return probes.withColumn("__arma", F.to_json(arma)).groupBy("__arma").applyInArrow(lambda t: run(t), schema)
+    return probes.withColumn("__arma", F.to_json(arma)).groupBy("__arma").applyInArrow(run, schema)
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -83,8 +84,9 @@ def _run(series: DataFrame, exog: DataFrame | None, probes: DataFrame, spec: K.S
     blocks = probes.select("probe_id", "params").withColumn("block", F.floor(F.col("probe_id") / BLOCK)).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("probe_id", "params"))).alias("probes"))
     packed = _packed(series, exog, spec).crossJoin(F.broadcast(blocks.select("block")))  # a row a block of probes
 
+    schema = _arrow(ddl)
+
     def run(t: pa.Table, b: pa.Table) -> pa.Table:
-        schema = _arrow(ddl)
         if not b.num_rows or not t.num_rows:
             return schema.empty_table()
         t = t.sort_by("t")

@@ -13,7 +13,8 @@ def lags(series: DataFrame, m: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., t, lag, value), lags 0..m, only where the earlier row exists."""
     w = over_time(keys)
     cells = [F.struct(F.lit(k).alias("lag"), (F.lag("y", k).over(w) if k else F.col("y")).alias("value"), (F.row_number().over(w) > k).alias("there")) for k in range(m + 1)]
-    return series.select(*keys, "t", F.explode(F.array(*cells)).alias("c")).filter("c.there").select(*keys, "t", F.col("c.lag").alias("lag"), F.col("c.value").alias("value"))
+    cells = series.select(*keys, "t", F.array(*cells).alias("cells"))
+    return cells.select(*keys, "t", F.explode("cells").alias("c")).filter("c.there").select(*keys, "t", F.col("c.lag").alias("lag"), F.col("c.value").alias("value"))
 
 
 def acf(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:

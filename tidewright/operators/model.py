@@ -70,8 +70,8 @@ def check_rank(x: np.ndarray, names: list[str]) -> None:
             raise ValueError(f"regressor {names[i]} depends on the others")
 
 
-def fit_rows(spec: K.Spec, y: np.ndarray, x: np.ndarray, exog: list[str], compute_bse: bool = True) -> list[tuple]:
-    """The model table's rows of one series; y is NaN where it is missing."""
+def fit_rows(spec: K.Spec, y: np.ndarray, x: np.ndarray, exog: list[str], compute_bse: bool = True, params: list[float] | None = None) -> list[tuple]:
+    """The model table's rows of one series; y is NaN where it is missing. With params nothing is estimated."""
     if not len(y) or np.isnan(y).all():
         raise ValueError("the series is empty or has no value")
     if np.isnan(x).any():
@@ -82,7 +82,14 @@ def fit_rows(spec: K.Spec, y: np.ndarray, x: np.ndarray, exog: list[str], comput
     w, z = model_scale(spec, y, x)
     if spec.r:
         check_rank(K.difference(x, spec.d, spec.sd, spec.s), exog)
-    m = K.maximize(spec, w, z)
+    if params is None:
+        m = K.maximize(spec, w, z)
+    else:
+        if len(params) != spec.size:
+            raise ValueError(f"the model has {spec.size} parameters; got {len(params)}")
+        par = np.array(params, float)
+        at = K.kalman(spec, w, z, par[None])
+        m = K.Optimum(par, K.unconstrain(spec, par[None])[0], float(at.loglik[0]), float(at.scale[0]), 1 if np.isfinite(at.loglik[0]) else 3, 0, 0.0, False)
     got = K.kalman(spec, w, z, m.params[None])
     k = spec.size + spec.concentrate
     ll = m.loglik
@@ -159,8 +166,8 @@ def _key(t: pa.Table, keys: tuple[str, ...]) -> tuple:
     return tuple(t.column(k)[0].as_py() for k in keys)
 
 
-def fit(df: DataFrame, y_col: str, t_col: str, p: int = 0, d: int = 0, q: int = 0, sp: int = 0, sd: int = 0, sq: int = 0, s: int = 1, exog_cols: tuple[str, ...] | list[str] = (), trend: str = "n", concentrate: bool = False, simple_differencing: bool = True, compute_bse: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The model table of every series. Orders are checked here; the data in the tasks, with errors that say what is wrong."""
+def fit(df: DataFrame, y_col: str, t_col: str, p: int = 0, d: int = 0, q: int = 0, sp: int = 0, sd: int = 0, sq: int = 0, s: int = 1, exog_cols: tuple[str, ...] | list[str] = (), trend: str = "n", concentrate: bool = False, simple_differencing: bool = True, compute_bse: bool = True, keys: tuple[str, ...] = (), params: list[float] | None = None) -> DataFrame:
+    """The model table of every series, at given parameters if there are any. Orders are checked here; the data in the tasks, with errors that say what is wrong."""
     exog = list(exog_cols)
     if len(exog) > MAX_REGRESSORS:
         raise ValueError(f"at most {MAX_REGRESSORS} regressors; got {len(exog)}")
@@ -171,7 +178,7 @@ def fit(df: DataFrame, y_col: str, t_col: str, p: int = 0, d: int = 0, q: int =
 
     def run(t: pa.Table) -> pa.Table:
         t = _in_order(t, t_col)
-        return _table(_key(t, by), schema, fit_rows(spec, _numbers(t, y_col), _matrix(t, exog), exog, compute_bse))
+        return _table(_key(t, by), schema, fit_rows(spec, _numbers(t, y_col), _matrix(t, exog), exog, compute_bse, params))
 
     return src.groupBy(*by).applyInArrow(run, schema).select(*keys, *T.StructType.fromDDL(MODEL).names)
 
