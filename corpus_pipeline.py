@@ -7,7 +7,6 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewright.llm import decontaminate, language_id, minhash, mixing, token_files
 from tidewright.llm.common import saved, table
@@ -15,8 +14,7 @@ from tidewright.llm.common import saved, table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; text without a letter goes. The model learns from this stage's labelled rows."""
-    got = language_id.predict(docs, language_id.train(docs))
-    return got.filter("lang_pred <> 'und'").select([F.col(f"`{c}`") for c in docs.columns])
+    return language_id.identified(docs, language_id.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

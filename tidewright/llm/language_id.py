@@ -118,10 +118,10 @@ class Predictor:
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all, if not given) with lang_pred and score."""
+    """The columns `keep` (all, if not given) with lang_pred and score, which replace columns of that name."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = docs.columns if keep is None else keep
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     src = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("binary").alias("__text"))
     schema = src.drop("__text").schema.add("lang_pred", "string").add("score", "double")
 
@@ -133,3 +133,17 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
             yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score"])
 
     return src.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """The documents whose language is told, with their columns as they are; the others go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text).cast("binary").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Predictor(shared.value)
+        for b in chunks(batches, "__text"):
+            told = [t is not None and of(t.decode("utf-8", "replace"))[0] != "und" for t in b.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(told, pa.bool_()))
+
+    return src.mapInArrow(run, docs.schema)
