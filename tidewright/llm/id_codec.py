@@ -12,7 +12,7 @@ The range coder keeps 56 bits and gives digits of 16; all parts of an id fit bet
 settled at the end.
 
 File: MAGIC, length and crc32 of the header, header (JSON, zstd: steps, classes, keys, lengths, and for each block digits, ids
-and the crc32 of its ids), then the blocks' digits. Keys are kept as text.
+and the crc32 of its ids and of its digits), then the blocks' digits. Keys are kept as text.
 """
 
 from __future__ import annotations
@@ -215,7 +215,8 @@ def pack(ids: np.ndarray, lengths: list[int], keys: list[str | None], steps: int
     coder = Encoder(lanes)
     _run(coder, lanes, used, classes, np.ascontiguousarray(grid.reshape(lanes, steps).T[:used]))
     digits, counts = coder.finish()
-    blocks = [[int(counts[i]), len(b := ids[i * steps : (i + 1) * steps]), zlib.crc32(b.tobytes())] for i in range(lanes)]
+    ends = np.cumsum(counts)
+    blocks = [[int(counts[i]), len(b := ids[i * steps : (i + 1) * steps]), zlib.crc32(b.tobytes()), zlib.crc32(digits[ends[i] - counts[i] : ends[i]].tobytes())] for i in range(lanes)]
     head = zstd.compress(json.dumps({"steps": steps, "classes": classes, "keys": keys, "lengths": lengths, "blocks": blocks}).encode())
     return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + digits.tobytes()
 
@@ -233,6 +234,11 @@ def unpack(data: bytes) -> tuple[np.ndarray, list[int], list[str | None]]:
     digits, counts = np.frombuffer(data, "<u2", offset=at + size), np.array([b[0] for b in h["blocks"]])
     if len(digits) < counts.sum():
         raise ValueError("cut short")
+    at = 0
+    for i, b in enumerate(h["blocks"]):
+        if zlib.crc32(digits[at : at + b[0]].tobytes()) != b[3]:
+            raise ValueError(f"block {i} differs from its checksum")
+        at += b[0]
     n = sum(b[1] for b in h["blocks"])
     used = min(h["steps"], n) or 1
     got = _run(Decoder(digits, counts), len(counts), used, h["classes"], None)

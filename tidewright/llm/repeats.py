@@ -143,6 +143,8 @@ def repeats(rights: list[bytes], lefts: list[bytes], least: int) -> Iterator[tup
     """Repeats among suffixes with their reversed left sides: (right length, [(suffix, left length)]).
 
     An interval whose members all continue alike to the left yields that longer string: what is tested is where left sides part."""
+    if not rights:
+        return
     order = sorted(range(len(rights)), key=rights.__getitem__)
     lcp = [0] + [common(rights[a], rights[b]) for a, b in zip(order, order[1:], strict=False)]
     for depth, i, j in intervals(lcp):

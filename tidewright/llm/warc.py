@@ -142,9 +142,10 @@ def read(files: DataFrame, key_type: str = "bigint") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name in b.column("file").to_pylist():
+            for name, want in zip(b.column("file").to_pylist(), b.column("n_records").to_pylist(), strict=True):
                 fs, at = filesystem(name)
                 rows: list[tuple] = []
+                seen = 0
                 with fs.open_input_stream(at) as f:
                     for head, block in read_records(f):
                         if head["WARC-Type"] == "response":
@@ -154,17 +155,20 @@ def read(files: DataFrame, key_type: str = "bigint") -> DataFrame:
                                 raise ValueError(f"{name}: a payload differs from its digest")
                         else:
                             size, digest, refers = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), head["X-Refers-To-Page"]
+                        seen += 1
                         rows.append((head.get("X-Page-ID") or None, size, digest, head["WARC-Type"], refers))
                         if len(rows) == 10_000:
                             yield packed(rows)
                             rows = []
+                if seen != want:
+                    raise ValueError(f"{name}: {seen} records where {want} were written")
                 if rows:
                     yield packed(rows)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    spread = files.select("file").repartition(max(1, files.count()))
+    spread = files.select("file", "n_records").repartition(max(1, files.count()))
     out = spread.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return out.withColumn("page_id", F.col("page_id").cast(key_type)).withColumn("refers_to", F.col("refers_to").cast(key_type))
 
