@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +80,23 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             at = to
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, whatever stands in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def filtered(docs: DataFrame, text: str, keep: Callable[[pa.RecordBatch], list[bool]], size: int = CHUNK) -> DataFrame:
+    """The rows that `keep` tells of slices of (.., text as bytes), with all columns under their own names."""
+    names = docs.columns
+    src = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)], named(text).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text", size):
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(keep(b), pa.bool_()))
+
+    return src.mapInArrow(run, src.drop("text").schema).toDF(*names)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A binary array (null: empty) as its bytes and n+1 offsets."""
     column = pc.fill_null(column, b"") if column.null_count else column

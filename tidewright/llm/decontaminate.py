@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, chunks, flat
+from .common import Rolling, chunks, filtered, flat
 
 Q, RATE, FLOOR = 16, 0.05, 8
 BLOCK = 4 << 20
@@ -209,14 +209,10 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str =
     spark = docs.sparkSession
     for block in blocks(items, item_key, item_text):
         shared = spark.sparkContext.broadcast(Index(block))
-        src = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text).cast("binary").alias("__text"))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            of = shared.value
-            for b in chunks(batches, "__text", CHUNK_IN):
-                hit = {x[0] for x in of.match(*flat(b.column("__text")))}
-                keep = pa.array([r not in hit for r in range(b.num_rows)], pa.bool_())
-                yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(keep)
+        def free(b: pa.RecordBatch, shared=shared) -> list[bool]:
+            hit = {x[0] for x in shared.value.match(*flat(b.column("text")))}
+            return [r not in hit for r in range(b.num_rows)]
 
-        docs = src.mapInArrow(run, docs.schema)
+        docs = filtered(docs, text, free, CHUNK_IN)
     return docs

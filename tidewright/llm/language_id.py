@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, filtered, named
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words longer than this count by their first and last characters only in n-grams' training, not in prediction.
@@ -122,28 +122,35 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    src = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).cast("binary").alias("__text"))
-    schema = src.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    src = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)], named(text).cast("binary").alias("text"))
+    schema = src.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Predictor(shared.value)
-        for b in chunks(batches, "__text"):
-            got = [of(None if t is None else t.decode("utf-8", "replace")) for t in b.column("__text").to_pylist()]
-            cols = [b.column(c) for c in names] + [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score"])
+        for b in chunks(batches, "text"):
+            got = [of(None if t is None else t.decode("utf-8", "replace")) for t in b.column("text").to_pylist()]
+            cols = b.columns[:-1] + [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
 
 
 def identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """The documents whose language is told, with their columns as they are; the others go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(text).cast("binary").alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Predictor(shared.value)
-        for b in chunks(batches, "__text"):
-            told = [t is not None and of(t.decode("utf-8", "replace"))[0] != "und" for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(told, pa.bool_()))
+    def told(b: pa.RecordBatch) -> list[bool]:
+        of = _predictor(shared.value)
+        return [t is not None and of(t.decode("utf-8", "replace"))[0] != "und" for t in b.column("text").to_pylist()]
+
+    return filtered(docs, text, told)
+
+
+_WORKER: list = []
+
 
-    return src.mapInArrow(run, docs.schema)
+def _predictor(model: dict) -> Predictor:
+    """This worker's predictor for the model, so that its cache outlives a slice."""
+    if not _WORKER or _WORKER[0] is not model:
+        _WORKER[:] = [model, Predictor(model)]
+    return _WORKER[1]

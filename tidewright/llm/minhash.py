@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, chunks, flat, lowered, mix, saved, words
+from .common import Rolling, chunks, flat, lowered, mix, named, saved, words
 
 BANDS, ROWS, BITS, MINIMA = 32, 4, 2, 256
 SLACK, TRIES = 0.15, 4
@@ -279,4 +279,4 @@ def distinct_documents(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     """The documents that are kept, one of each component, with all their columns. Repeated rows of a kept id: one stays."""
     drop = saved(near_duplicates(docs, k, num, den, key, text).filter("not kept").select(key).distinct(), "dropped")
     left = docs.join(drop, key, "left_anti")
-    return left.select([F.col(f"`{c}`") for c in docs.columns])
+    return left.select([named(c) for c in docs.columns])

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import named, saved
 
 STEPS = 40
 
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, seed: int = 0, entropy: float = 0.97, repeat: float = 2
 
     Ordered by place within (source, block), a block is one permutation; 16**hex_digits buckets share its sums."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.size(words).cast("long").alias("tokens"))
+    rows = docs.select(F.struct(*[named(c) for c in docs.columns]).alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.size(words).cast("long").alias("tokens"))
     light = saved(docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.size(words).cast("long").alias("tokens")).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("tokens")), "sizes")
     plan = saved(weights(light, entropy, repeat, budget), "weights")
     # one row a source: small by the number of sources, which is checked before it is broadcast
