@@ -34,6 +34,14 @@ _LOW = _FULL - 1
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 16, 4080).astype(np.int64)
 
 
+_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int64)  # bits of an id
+
+
+def _over(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """x // r of numbers that are never negative."""
+    return (x.view(np.uint64) // r.view(np.uint64)).view(np.int64)
+
+
 def _shares(counts: np.ndarray) -> np.ndarray:
     """(classes + 1) x lanes: where each class starts among 4096, none empty."""
     n = len(counts)
@@ -52,7 +60,7 @@ class Encoder:
     def code(self, p: np.ndarray, best: np.ndarray, cdf: np.ndarray, x: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hit = x == best
         bound = (self.range >> 12) * p
-        k = np.frexp(x.astype(np.float64))[1].astype(np.int64)  # bits of the id
+        k = np.frexp(x.astype(np.float64))[1].astype(np.int64) if wide else np.take(_BITS, x)
         n = np.maximum(k - 1, 0)
         v = x - ((k > 0).astype(np.int64) << n)
         flat = cdf.ravel()
@@ -124,8 +132,8 @@ class Decoder:
         hit = self.x < bound
         rest, x = self.range - bound, self.x - bound
         r = rest >> 12
-        v = x // r
-        k = (cdf[1:-1] <= v).sum(axis=0)
+        v = _over(np.maximum(x, 0), r)
+        k = (cdf[1:-1] <= v).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int64)
         flat = cdf.ravel()
         at = k * len(p) + self.base
         lo, hi = np.take(flat, at), np.take(flat, at + len(p))
@@ -141,14 +149,14 @@ class Decoder:
             got = got + (self._raw(np.where(hit, 0, np.maximum(n - 16, 0))) << 16)
         else:
             r = left >> n
-            got = np.minimum(x // r, (np.int64(1) << n) - 1)
+            got = np.minimum(_over(np.maximum(x, 0), r), (np.int64(1) << n) - 1)
             self.x, self.range = np.where(hit, self.x, x - r * got), np.where(hit, bound, r)
         self._shift()
         return np.where(hit, best, one + got), hit, k
 
     def _raw(self, n: np.ndarray) -> np.ndarray:
         self.range >>= n
-        got = np.minimum(self.x // self.range, (np.int64(1) << n) - 1)
+        got = np.minimum(_over(self.x, self.range), (np.int64(1) << n) - 1)
         self.x -= self.range * got
         return got
 

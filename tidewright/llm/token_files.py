@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ _CLASS[33:127] = 2
 _CLASS[48:58] = 1
 _CLASS[65:91] = _CLASS[97:123] = 0
 _CLASS[[9, 10, 11, 12, 13, 32]] = 3
+_SHORT = np.zeros(256, bool)
+_SHORT[list(b"stmdrvl")] = True  # what may follow the apostrophe of a contraction
 
 
 class Tokens:
@@ -53,7 +56,11 @@ class Tokens:
         spec = json.loads(self.library.to_str())
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
-        self.marks = [t["content"].encode() for t in spec.get("added_tokens", [])]
+        self.marks = [t["content"].encode() for t in spec.get("added_tokens", []) if t["content"]]
+        self.mark_first, self.mark_next = np.zeros(256, bool), np.zeros(256, bool)
+        for m in self.marks:
+            self.mark_first[m[0]] = True
+            self.mark_next[list(m[1:2]) or list(range(256))] = True
         self.clear()
 
     def clear(self) -> None:
@@ -97,9 +104,9 @@ class Tokens:
         lead = (raw == 0xC3) & (nxt >= 0x80) & (nxt <= 0xBF) & (nxt != 0x97) & (nxt != 0xB7)
         odd[lead] = False
         odd[np.flatnonzero(lead) + 1] = False
-        odd |= (raw == 39) & np.isin(nxt, np.frombuffer(b"stmdrvl", np.uint8))
+        odd |= (raw == 39) & _SHORT[nxt]
         if self.marks:
-            odd |= np.isin(raw, [m[0] for m in self.marks]) & np.isin(nxt, [m[1] if len(m) > 1 else x for m in self.marks for x in ([0] if len(m) > 1 else range(256))])
+            odd |= self.mark_first[raw] & self.mark_next[nxt]
         upto = np.concatenate([[0], np.cumsum(odd)])
         return upto[off[1:]] == upto[off[:-1]]
 
@@ -110,8 +117,7 @@ class Tokens:
         size = np.diff(off)
         s = e = np.zeros(0, np.int64)
         if len(raw):
-            inside = np.repeat(plain, size)
-            body, at = raw[inside], np.concatenate([[0], np.cumsum(np.where(plain, size, 0))])
+            body, at = (raw, off) if plain.all() else (raw[np.repeat(plain, size)], np.concatenate([[0], np.cumsum(np.where(plain, size, 0))]))
             if len(body):
                 s, e = self._split(body, at)
         count = np.zeros(n, np.int64)
@@ -130,7 +136,7 @@ class Tokens:
                 got = [x.ids for x in self.library.encode_batch_fast([text[a:b].decode() for a, b in zip(s[new], e[new], strict=True)], add_special_tokens=False)]
                 lens = np.array([len(x) for x in got], np.int64)
                 starts = len(self.ids) + np.concatenate([[0], np.cumsum(lens)[:-1]])
-                self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(lens.sum()))])
+                self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(got)), np.uint32)])
                 where = pos[~known]
                 self.keys, self.first, self.size = np.insert(self.keys, where, keys[~known]), np.insert(self.first, where, starts), np.insert(self.size, where, lens)
                 pos = np.searchsorted(self.keys, keys)
