@@ -11,7 +11,8 @@ from ..functions import arrays as A
 from ..functions import distributions as D
 from ..functions import polynomials as P
 from ..functions.kernel import Spec
-from ..operators import checks, differencing, filter, lags, matrices, model
+from ..operators import checks, differencing, estimation, filter, lags, matrices, model
+from .. import sqlapi
 from ..session import ship
 from ..sources import series as S
 from ..streaming import chunked
@@ -571,6 +572,55 @@ def model_table_kinds(spark, sf_dir):
     return m.groupBy("kind").agg(F.count("*").cast("int").alias("n"))
 
 
+# ---- the steps of a fit and of a forecast
+
+
+@query(f"WITH {LINES}, w AS (SELECT quantity / 1000 AS y, discount / 100 AS x FROM l), b AS (SELECT sum(x * y) / sum(x * x) AS b FROM w) SELECT round(b, 6) AS beta, round((SELECT avg((y - b * x) * (y - b * x)) FROM w), 6) AS sigma2 FROM b")
+def start_params(spark, sf_dir):
+    w = S.monthly_lines(spark, sf_dir).select("month", (F.col("quantity") / 1000).alias("y"), (F.col("discount") / 100).alias("x"))
+    got = estimation.start_params(S.series_of(w, "y", "month"), Spec(r=1), S.exog_of(w, ["x"], "month"))
+    return got.select(r6(F.get("params0", F.lit(0))).alias("beta"), r6(F.get("params0", F.lit(1))).alias("sigma2"))
+
+
+@query(f"WITH {_Y} SELECT round(avg(y * y), 4) AS sigma2, true AS converged, round(avg(y * y) * sqrt(2e0 / count(*)), 3) AS bse FROM q")
+def optimum_and_errors(spark, sf_dir):
+    y = S.series_of(_orders(spark, sf_dir), "y", "month")
+    got = estimation.optimum(y, Spec()).select(F.get("params", F.lit(0)).alias("sigma2"), "converged")
+    at = got.select(F.lit(1).cast("long").alias("probe_id"), F.array("sigma2").alias("params"))
+    bse = estimation.standard_errors(y, at, Spec()).select(F.round(F.get("bse", F.lit(0)), 3).alias("bse"))
+    return got.withColumn("sigma2", F.round("sigma2", 4)).crossJoin(bse)  # one row each
+
+
+@query(f"WITH RECURSIVE {SCALED}, {AR1.format(c='6e-1', s='225e-2')} SELECT CAST(1 AS BIGINT) AS probe_id, round(-5e-1 * sum(CASE WHEN v IS NOT NULL THEN ln(2 * pi()) + ln(f) + v * v / f END), 4) AS loglik FROM f")
+def loglik_free(spark, sf_dir):
+    got = estimation.loglik_free(scaled(spark, sf_dir), probes(spark, [-0.75, 1.5]), Spec(p=1))
+    return got.withColumn("loglik", F.round("loglik", 4))
+
+
+@query("WITH g AS (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS h) SELECT a.h, b.h AS j, round(pow(5e-1, a.h - b.h) * 2e0 * (1 - pow(25e-2, b.h)) / 75e-2, 6) AS omega FROM g a JOIN g b ON b.h <= a.h")
+def forecast_covariances(spark, sf_dir):
+    y, at = S.series_of(_orders(spark, sf_dir), "y", "month"), probes(spark, [0.5, 2.0])
+    f = estimation.forecast_states(filter.final_state(y, at, Spec(p=1)), at, Spec(p=1), 6)
+    return f.select("h", F.posexplode("omega").alias("j", "omega")).select("h", (F.col("j") + 1).alias("j"), r6(F.col("omega")).alias("omega"))
+
+
+@query(f"WITH {_Y}, n AS (SELECT y FROM q ORDER BY t DESC LIMIT 1), g AS (SELECT CAST(unnest(range(1, 9)) AS BIGINT) AS h) SELECT CAST(1 AS BIGINT) AS probe_id, h, round(y, 4) AS mean_orig, round(2e0 * h, 6) AS var_orig FROM g, n")
+def forecast_integrated(spark, sf_dir):
+    y, at, spec = S.series_of(_orders(spark, sf_dir), "y", "month"), probes(spark, [2.0]), Spec(d=1)
+    w = differencing.difference(y, 1, 0).withColumnRenamed("w", "y")
+    f = estimation.forecast_states(filter.final_state(w, at, spec), at, spec, 8)
+    got = estimation.forecast_original(f, differencing.anchors(y, 1, 0), 1, 0, 1, 8)
+    return got.select("probe_id", "h", F.round("mean_orig", 4).alias("mean_orig"), r6(F.col("var_orig")).alias("var_orig"))
+
+
+@query()
+def sql_surface(spark, sf_dir):
+    """fit() as a table function of SQL."""
+    sqlapi.register(ship(spark))
+    S.hourly_events(spark, sf_dir, by_type=True).createOrReplaceTempView("tw_hourly")
+    return spark.sql("""SELECT series, kind, name, idx, value FROM tw_fit(TABLE(SELECT event_type AS series, CAST(unix_timestamp(hour) AS BIGINT) AS t, n AS y FROM tw_hourly) PARTITION BY series ORDER BY (t), '{"p": 1, "trend": "c"}')""")
+
+
 # ---- general fits: no SQL twin; the queries fail if a fit is no good
 
 
