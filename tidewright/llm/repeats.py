@@ -204,8 +204,9 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
             body = [text[a.lo[i] : a.hi[i] + least] for i in f]
             yield pa.RecordBatch.from_arrays([pa.array(a.gram[f].view(np.int64)), pa.array(h1[f].view(np.int64)), pa.array(h2[f].view(np.int64)), pa.array((a.place - a.lo)[f].astype(np.int32)), pa.array(body, pa.binary())], ["g", "h1", "h2", "at", "body"])
 
-    copies = docs.mapInArrow(pass_3, "g long, h1 long, h2 long, at int, body binary").join(several, "g")
-    copies = saved(copies.groupBy("g", "m", "h1", "h2", "at").agg(F.first("body").alias("body")), "copies")
+    copies = docs.mapInArrow(pass_3, "g long, h1 long, h2 long, at int, body binary")
+    copies = saved(copies.groupBy("g", "h1", "h2", "at").agg(F.first("body").alias("body")), "copies")
+    copies = saved(copies.join(several, "g"), "buckets")  # of two written tables: a gram with very many spans can be split
 
     def bucket(t: pa.Table) -> pa.Table:
         body, at = t.column("body").to_pylist(), t.column("at").to_pylist()
