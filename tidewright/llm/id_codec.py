@@ -35,6 +35,8 @@ _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0)))
 
 
 _BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int64)  # bits of an id
+_LESS = np.maximum(_BITS - 1, 0)  # those after the first
+_TAIL = np.arange(1 << 16) - np.where(_BITS > 0, 1 << _LESS, 0)  # and their value
 
 
 def _over(x: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -60,12 +62,15 @@ class Encoder:
     def code(self, p: np.ndarray, best: np.ndarray, cdf: np.ndarray, x: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hit = x == best
         bound = (self.range >> 12) * p
-        k = np.frexp(x.astype(np.float64))[1].astype(np.int64) if wide else np.take(_BITS, x)
-        n = np.maximum(k - 1, 0)
-        v = x - ((k > 0).astype(np.int64) << n)
+        if wide:
+            k = np.frexp(x.astype(np.float64))[1].astype(np.int64)
+            n = np.maximum(k - 1, 0)
+            v = x - ((k > 0).astype(np.int64) << n)
+        else:
+            k, n, v = (np.take(t, x, mode="clip") for t in (_BITS, _LESS, _TAIL))
         flat = cdf.ravel()
         at = k * len(p) + self.base
-        lo, hi = np.take(flat, at), np.take(flat, at + len(p))
+        lo, hi = np.take(flat, at, mode="clip"), np.take(flat, at + len(p), mode="clip")
         rest = self.range - bound
         r = rest >> 12
         add = bound + r * lo
@@ -136,7 +141,7 @@ class Decoder:
         k = (cdf[1:-1] <= v).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int64)
         flat = cdf.ravel()
         at = k * len(p) + self.base
-        lo, hi = np.take(flat, at), np.take(flat, at + len(p))
+        lo, hi = np.take(flat, at, mode="clip"), np.take(flat, at + len(p), mode="clip")
         x -= r * lo
         left = r * (hi - lo)
         n = np.maximum(k - 1, 0)
@@ -172,8 +177,9 @@ class Decoder:
 def _run(coder: Encoder | Decoder, lanes: int, steps: int, classes: int, ids: np.ndarray | None) -> np.ndarray:
     """Codes ids (steps x lanes), or decodes as many."""
     base, size = np.arange(lanes, dtype=np.int64), 1 << SLOTS
-    near, far = np.zeros(lanes * size, np.int64), np.zeros(lanes * size, np.int64)  # id * 16 + confidence
-    by2, by1, by0 = np.zeros(lanes * 16, np.int64), np.zeros(lanes * 32, np.int64), np.zeros(lanes, np.int64)
+    kind = np.int64 if classes > 17 else np.int32
+    near, far = np.zeros(lanes * size, kind), np.zeros(lanes * size, kind)  # id * 16 + confidence
+    by2, by1, by0 = (np.zeros(lanes * n, np.int32) for n in (16, 32, 1))
     by2[np.arange(lanes) << 4] = by1[np.arange(lanes) << 5] = -512  # nothing remembered
     counts = np.full((classes, lanes), 4, np.int64)
     cdf, fresh = _shares(counts), []
@@ -183,16 +189,16 @@ def _run(coder: Encoder | Decoder, lanes: int, steps: int, classes: int, ids: np
     for t in range(steps):
         i2 = at + (((one * 40503 + two * 60493) >> 5) & (size - 1))
         i1 = at + (one & (size - 1))
-        e2, e1 = np.take(far, i2), np.take(near, i1)
+        e2, e1 = np.take(far, i2, mode="clip"), np.take(near, i1, mode="clip")
         c2, k2, c1, k1 = e2 >> 4, e2 & 15, e1 >> 4, e1 & 15
         best = np.where(k2 > 0, c2, c1)
         r2, r1 = at16 + k2, at32 + 2 * k1 + (c1 == best)
-        b2, b1 = np.take(by2, r2), np.take(by1, r1)
+        b2, b1 = np.take(by2, r2, mode="clip"), np.take(by1, r1, mode="clip")
         p = np.take(_SQUASH, b2 + b1 + by0 + 2048, mode="clip")
         x, hit, k = coder.code(p, best, cdf, None if ids is None else ids[t].astype(np.int64), classes > 17)
         if ids is None:
             out[t] = x
-        err = ((hit.astype(np.int64) << 12) - p) >> 5
+        err = (((hit.astype(np.int64) << 12) - p) >> 5).astype(np.int32)
         by2[r2] = b2 + err
         by1[r1] = b1 + err
         by0 += err >> 2
@@ -203,9 +209,10 @@ def _run(coder: Encoder | Decoder, lanes: int, steps: int, classes: int, ids: np
             big = counts.sum(axis=0) > 8000
             counts[:, big] = (counts[:, big] + 1) >> 1
             cdf, fresh = _shares(counts), []
-        fallback = (x << 4) | 1
+        x_ = x.astype(kind, copy=False)
+        fallback = (x_ << 4) | 1
         for slots, i, e, c, conf in ((far, i2, e2, c2, k2), (near, i1, e1, c1, k1)):
-            slots[i] = np.where(c == x, e + (conf < 15), np.where(conf > 1, (c << 4) | (conf >> 1), fallback))
+            slots[i] = np.where(c == x_, e + (conf < 15), fallback)
         two, one = one, x
     return out
 

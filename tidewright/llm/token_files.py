@@ -5,7 +5,7 @@ about FILE_IDS ids, cut between texts, under names of its attempt. A table lists
 order gives every text its place among all ids. Reading checks each block's checksum.
 
 Encoding: a tokenizer's pre-tokens are encoded one by one, so a text is split as the tokenizer splits it and each distinct
-piece is encoded once by the library. The split is done on bytes, for texts of ASCII and Latin-1 letters without what looks like a contraction
+piece is encoded once by the library's model. The split is done on bytes, for texts of ASCII and Latin-1 letters without what looks like a contraction
 or a special token; other texts go to the library whole. This holds for byte-level BPE with the usual split pattern
 and no added prefix space; Tokens checks that the file says so, and otherwise leaves every text to the library.
 
@@ -45,6 +45,14 @@ _SHORT = np.zeros(256, bool)
 _SHORT[list(b"stmdrvl")] = True  # what may follow the apostrophe of a contraction
 
 
+
+def _letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable ones of Latin-1 stand for themselves, the others for code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Tokens:
     """Ids of texts; pieces met before stay in a bounded cache of one worker."""
 
@@ -61,6 +69,8 @@ class Tokens:
         for m in self.marks:
             self.mark_first[m[0]] = True
             self.mark_next[list(m[1:2]) or list(range(256))] = True
+        self.letters = str.maketrans({chr(b): c for b, c in _letters().items()})
+        self.model = self.library.model
         self.clear()
 
     def clear(self) -> None:
@@ -133,7 +143,7 @@ class Tokens:
             if not known.all():
                 text = body.tobytes()
                 new = first[~known]
-                got = [x.ids for x in self.library.encode_batch_fast([text[a:b].decode() for a, b in zip(s[new], e[new], strict=True)], add_special_tokens=False)]
+                got = [[t.id for t in self.model.tokenize(text[a:b].decode("latin-1").translate(self.letters))] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)]
                 lens = np.array([len(x) for x in got], np.int64)
                 starts = len(self.ids) + np.concatenate([[0], np.cumsum(lens)[:-1]])
                 self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(got)), np.uint32)])
