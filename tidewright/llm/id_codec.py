@@ -25,7 +25,7 @@ import numpy as np
 import zstandard as zstd
 
 MAGIC = b"TWIDS\x02"
-STEPS = 1024
+STEPS = 512
 EVERY = 16  # steps between updates of the size classes
 SLOTS = 8  # bits of an order's table in a block
 _TOP, _FULL = np.int64(1) << 56, np.int64(1) << 40

@@ -31,8 +31,8 @@ from .common import Rolling, chunks, flat, new_path, saved
 from .warc import filesystem
 
 END = 0
-FILE_IDS = 4 << 20
-CACHE_IDS = 4 << 20
+FILE_IDS = 2 << 20
+CACHE_IDS = 2 << 20
 CHUNK_IN = 1 << 20
 
 # classes of bytes: 0 letter, 1 digit, 2 other, 3 white space, 4 not decided here
