@@ -75,6 +75,40 @@ def test_ppm(docs, none):
     assert ppm.word_scores(none, ppm.train(none), held).collect() == []
 
 
+def packed(texts):
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def _dense(train, order):
+    """The dense trie of every context of texts of at most 62 different bytes."""
+    g, c = ppm.grams(*packed(train), order)
+    classes, used = np.full(ppm.SIZE, ppm.CLASSES - 1), sorted({int(x) + 1 for t in train for x in t})
+    classes[0], classes[used] = 0, np.arange(1, len(used) + 1)
+    rows = []
+    for o in range(order + 1):
+        u, inv = np.unique(sum(classes[(g // ppm.SIZE**i) % ppm.SIZE] * ppm.CLASSES**i for i in range(o + 1)), return_inverse=True)
+        rows.append((np.full(len(u), o), u // ppm.CLASSES, u % ppm.CLASSES, np.bincount(inv, c)))
+    return ppm.Model(*ppm.build(*map(np.concatenate, zip(*rows, strict=True)), order), order, classes, np.zeros(ppm.SIZE))
+
+
+def _tabled(spark, train, texts, order=ppm.ORDER):
+    frame = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text binary")
+    got = ppm.word_scores(frame(texts), ppm.train(frame(train), order), F.lit(True)).collect()
+    return [r["score"] for r in sorted(got, key=lambda r: r["doc_id"])]
+
+
+def test_ppm_scores_with_every_context(spark):
+    """More contexts than 65,536: all of them predict, as in a trie that holds them all."""
+    rng = random.Random(5)
+    train = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz .,", k=600)) for _ in range(120)]
+    texts = [*train[:20], *(bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz .,", k=50)) for _ in range(20)), b"", train[0][:100]]
+    dense = _dense(train, ppm.ORDER)
+    assert len(dense.child) > 65536 * 2
+    # the dense trie spreads what escapes at order 0 over 64 classes, not 257 symbols; every symbol used here is seen there
+    assert _tabled(spark, train, texts) == pytest.approx(ppm.score(dense, *packed(texts)).tolist(), rel=1e-5)
+
+
+
 @pytest.mark.parametrize("crowd", [4096, 1])
 def test_repeats(docs, none, crowd):
     least = 40

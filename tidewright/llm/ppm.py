@@ -1,22 +1,24 @@
 """LM scoring by prediction by partial matching over bytes.
 
-Training counts every (order+1)-gram of every training text, in one pass with sums inside each task and then by key.
-Symbol 0 stands before and after a text, byte b is symbol b+1. The CLASSES - 1 most frequent symbols are classes of their own,
-the others share the last one, in which a byte has its share of that class's count. The trie holds the contexts with the
-largest counts, of orders 1 to `order`, as many as `nodes` allow (those tied for the last places stay out); as a context is
-never more frequent than its suffix, every node's parent is in it. A node's distribution is PPM's: seen classes share by escape
-method D, what is left goes to the parent's distribution with the classes seen here excluded. So a model is two arrays of
-(nodes + 1) x CLASSES, whatever the corpus: what is broadcast has a fixed size, while the counts behind it grow with the corpus.
+Training counts every (order+1)-gram of every training text, in one pass with sums inside each task and then by key; the
+written table of grams is the model, with every context that occurs and nothing cut. Symbol 0 stands before and after a text,
+byte b is symbol b+1. A context's distribution is PPM's: seen symbols share by escape method D, what is left goes to the
+distribution of the context that is one shorter, with the symbols seen here excluded. As a symbol seen after a context is seen
+after its suffix too, a seen symbol's probability is its own share, and any other symbol's is that of the suffix times one number
+for each context, its back-off: so the trie's rows are sparse and tables of counts are all that scoring needs.
 
-A text's score is the sum of log10 probabilities of its bytes, A-Z in lower case, and of its end. The children of a node
-are looked up for all places of many texts at once.
+Texts are written in blocks (a slice of a task's texts) with the lists of their distinct grams and words, so that what is in all
+texts is one row a block. The grams of all blocks meet the model's by their last two symbols of context, whose subtree of longer
+contexts is scored in one task; orders 0 and 1 (257 x 257 counts, whatever the corpus) are broadcast. Each block gets its grams'
+log10 back by a join and sums them for each text: its bytes, A-Z in lower case, and its end.
 
-word_scores() adds the add-one unigram score of words. Counts of words are joined back by block (a slice of
-a task's texts), not by text: a block lists its distinct words once, so that a word in all texts is one row a block. Words are
-keyed by 64-bit hashes; n distinct words have n*n/2**65 expected clashes.
+word_scores() adds the add-one unigram score of words, joined back by block in the same way. Words are keyed by 64-bit hashes; n
+distinct words have n*n/2**65 expected clashes.
 
 Cases: null text is empty: its score is that of the end alone, and its only token is the end. No training text: uniform
 predictions, every count 0. Repeated rows are scored one by one. A null id counts as training text.
+
+build() and score() are the same model as a dense trie in memory, over classes of symbols; tests hold the tables against it.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Rolling, chunks, flat, lowered, saved, words
 
-ORDER, NODES = 5, 65536
+ORDER = 5
 SIZE, CLASSES = 257, 64
-CHUNK_IN, BLOCK = 3 << 19, 12 << 20  # bytes of text handled at once, and in a block of words
+CHUNK_IN, BLOCK = 3 << 19, 32 << 20  # bytes of text handled at once, and in a block with its lists of words and grams
 _END = np.uint64(0x1D8E4E27C47D124F)  # the key of the end token
 
 
@@ -48,6 +52,12 @@ class Model:
     inside: np.ndarray  # log10 of a symbol's share of its class
 
 
+@dataclass
+class Grams:
+    table: DataFrame  # (gram, c): every (order+1)-gram of the training texts
+    order: int
+
+
 def symbols(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts as symbols with a 0 before each and after the last; places of the zeros."""
     n = len(off) - 1
@@ -71,14 +81,19 @@ def _back(seq: np.ndarray, order: int) -> Iterator[np.ndarray]:
         yield s
 
 
-def grams(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (order+1)-grams, as numbers to the base 257 with the predicted symbol last, and their counts."""
-    seq, _ = symbols(raw, off)
+def places(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (order+1)-gram of each place, as a number to the base 257 with the predicted symbol last, and where texts start."""
+    seq, edge = symbols(raw, off)
     key, scale = seq[1:].copy(), 1
     for s in _back(seq, order):
         scale *= SIZE
         key += s * scale
-    return np.unique(key, return_counts=True)
+    return key, edge[:-1]
+
+
+def grams(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (order+1)-grams and their counts."""
+    return np.unique(places(raw, off, order)[0], return_counts=True)
 
 
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -114,40 +129,88 @@ def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return parts.groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def train(texts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Model:
+def train(texts: DataFrame, order: int = ORDER) -> Grams:
     """A model of (text); every text counts."""
-    all_grams = saved(count_grams(texts, order), "grams")
-    alphabet = all_grams.groupBy((F.col("gram") % SIZE).cast("int").alias("s")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").collect()  # at most 257 rows
-    classes, inside = np.full(SIZE, CLASSES - 1), np.zeros(SIZE)
-    classes[0] = 0
-    common = [r["s"] for r in alphabet if r["s"]][: CLASSES - 2]
-    classes[common] = np.arange(1, len(common) + 1)
-    rare = np.flatnonzero(classes == CLASSES - 1)
-    seen = dict((r["s"], r["c"]) for r in alphabet)
-    share = np.array([seen.get(int(x), 0) + 0.5 for x in rare])
-    inside[rare] = np.log10(share / share.sum())
-
-    to = F.array(*[F.lit(int(x)).cast("long") for x in classes])
-    digit = lambda j: F.get(to, F.expr(f"cast((gram div {SIZE ** j}L) % {SIZE}L as int)")) * (CLASSES**j)
-    folded = all_grams.select(sum((digit(j) for j in range(1, order + 1)), digit(0)).alias("gram"), "c").groupBy("gram").agg(F.sum("c").alias("c"))
-    folded = saved(folded, "folded")
-    entries = None
-    for j in range(order + 1):
-        part = folded.groupBy(F.expr(f"gram % {CLASSES ** (j + 1)}L").alias("k")).agg(F.sum("c").alias("c")).select(F.lit(j).alias("j"), F.expr(f"k div {CLASSES}L").alias("context"), F.expr(f"cast(k % {CLASSES}L as int)").alias("s"), "c")
-        entries = part if entries is None else entries.unionByName(part)
-    entries = saved(entries, "entries")
-    sizes = saved(entries.filter("j > 0").groupBy("j", "context").agg(F.sum("c").alias("n")), "contexts")
-    least, room = 1 << 62, nodes
-    for r in sizes.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(nodes).collect():
-        room -= r["k"]
-        if room < 0:
+    return Grams(saved(count_grams(texts, order), "grams"), order)
+
+
+def shares(k: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """The distributions of contexts with counts k, one a row; `below` has their suffixes'."""
+    seen, total = k > 0, k.sum(1, keepdims=True)
+    d = seen.sum(1, keepdims=True)
+    rest = np.where(seen, 0.0, below)
+    left = rest.sum(1, keepdims=True)
+    own = np.where(seen, (k - 0.5) / np.maximum(total, 1), 0.0)
+    escape = np.where(total > 0, d / (2 * np.maximum(total, 1)), 1.0)
+    return np.where(left > 1e-12, own + escape * rest / np.maximum(left, 1e-300), own / np.maximum(own.sum(1, keepdims=True), 1e-300))
+
+
+def _whole(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What the shares of a context's seen symbols are divided by: nothing escapes where all symbols are seen."""
+    return np.where(d == SIZE, n - SIZE / 2, n)
+
+
+def _at(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each of `what` in the sorted `where`, and whether it is there."""
+    at = np.minimum(np.searchsorted(where, what), max(0, len(where) - 1))
+    return at, (where[at] == what) if len(where) else np.zeros(len(what), bool)
+
+
+def subtree(gram: np.ndarray, c: np.ndarray, order: int, first: np.ndarray, log10: np.ndarray) -> np.ndarray:
+    """log10 of each gram's last symbol. gram: distinct, with all that share two symbols of context with any of them; c: counts in
+    training, or 0; first, log10: counts and probabilities of all symbols after each symbol."""
+    out = log10[gram // SIZE % SIZE, gram % SIZE].copy()
+    known, times = gram[c > 0], c[c > 0].astype(np.float64)
+    shorter = None
+    for j in range(2, order + 1):
+        key, inv = np.unique(known % SIZE ** (j + 1), return_inverse=True)
+        if not len(key):
             break
-        least = r["n"]
-    chosen = sizes.filter(F.col("n") >= least).select("j", "context")  # at most `nodes` rows, so it may be broadcast
-    kept = entries.join(F.broadcast(chosen), ["j", "context"]).unionByName(entries.filter("j = 0"), allowMissingColumns=True).select("j", "context", "s", "c")
-    rows = kept.toArrow()
-    child, log10 = build(*(rows.column(c).to_numpy() for c in ("j", "context", "s", "c")), order)
-    return Model(child, log10, order, classes, inside)
+        count = np.bincount(inv, times)
+        start = np.flatnonzero(np.diff(key // SIZE, prepend=-1))
+        context, n, d = key[start] // SIZE, np.add.reduceat(count, start), np.diff(start, append=len(key))
+        if shorter is None:
+            under, suffix = first[key // SIZE % SIZE, key % SIZE], first[context % SIZE]
+            whole = _whole(suffix.sum(1), (suffix > 0).sum(1))
+        else:
+            under = shorter[1][_at(shorter[0], key % SIZE**j)[0]]
+            whole = shorter[3][_at(shorter[2], context % SIZE ** (j - 1))[0]]
+        left = (whole - np.add.reduceat(under, start) + d / 2) / whole  # of the suffix's distribution, without what is seen here
+        mine = _whole(n, d)
+        own = np.log10((count - 0.5) / np.repeat(mine, d))
+        down = np.log10(d / (2 * n)) - np.log10(np.where(d == SIZE, 1.0, left))
+        ask = gram % SIZE ** (j + 1)
+        node, there = _at(context, ask // SIZE)
+        out[there] += down[node[there]]
+        entry, there = _at(key, ask)
+        out[there] = own[entry[there]]
+        shorter = key, count, context, mine
+    return out
+
+
+def points(model: Grams, asked: DataFrame) -> DataFrame:
+    """(gram, points): log10 of the last symbol of each distinct (gram) asked for."""
+    top = model.table.groupBy((F.col("gram") % SIZE**2).alias("k")).agg(F.sum("c").alias("c")).toArrow()  # at most 257 * 257 rows
+    first = np.zeros(SIZE * SIZE)
+    first[top.column("k").to_numpy()] = top.column("c").to_numpy()
+    first = first.reshape(SIZE, SIZE)
+    zero = shares(first.sum(0)[None, :], np.full((1, SIZE), 1.0 / SIZE))
+    log10 = np.log10(np.maximum(shares(first, zero) if model.order else np.repeat(zero, SIZE, 0), 1e-300))
+    shared, order = asked.sparkSession.sparkContext.broadcast((first, log10)), model.order
+    every = model.table.select("gram", "c", F.lit(False).alias("asked")).unionByName(asked.select("gram", F.lit(0).cast("long").alias("c"), F.lit(True).alias("asked")))
+    every = every.groupBy("gram").agg(F.sum("c").alias("c"), F.max("asked").alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        rows = pa.Table.from_batches(rows)
+        gram, c, wanted = (rows.column(x).to_numpy() for x in ("gram", "c", "asked"))
+        got = subtree(gram, c, order, *shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array(gram[wanted]), pa.array(got[wanted])], ["gram", "points"])
+
+    # every context of two symbols is whole in one task; hashed, as nearby numbers would meet in few tasks
+    return every.repartition(F.expr(f"gram div {SIZE}L % {SIZE**2}L")).mapInArrow(run, "gram long, points double")
 
 
 def build(j: np.ndarray, context: np.ndarray, s: np.ndarray, c: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,15 +227,7 @@ def build(j: np.ndarray, context: np.ndarray, s: np.ndarray, c: np.ndarray, orde
     p = np.full((n, CLASSES), 1.0 / CLASSES)
 
     def fill(rows: np.ndarray, below: np.ndarray) -> None:
-        k = count[rows]
-        seen, total = k > 0, k.sum(1, keepdims=True)
-        d = seen.sum(1, keepdims=True)
-        rest = np.where(seen, 0.0, below)
-        left = rest.sum(1, keepdims=True)
-        own = np.where(seen, (k - 0.5) / np.maximum(total, 1), 0.0)
-        escape = np.where(total > 0, d / (2 * np.maximum(total, 1)), 1.0)
-        full = np.where(left > 1e-12, own + escape * rest / np.maximum(left, 1e-300), own / np.maximum(own.sum(1, keepdims=True), 1e-300))
-        p[rows] = full
+        p[rows] = shares(count[rows], below)
 
     fill(np.array([0]), np.full((1, CLASSES), 1.0 / CLASSES))
     for o in range(1, order + 1):
@@ -205,79 +260,82 @@ def score(model: Model, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.add.reduceat(got, edge[:-1])
 
 
-def scored_blocks(docs: DataFrame, model: Model, key: str, text: str, held: Column) -> DataFrame:
-    """One row for each slice of a task's texts: what is known of each text, and the distinct words with their training counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _hashed(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of texts and, after them, of the texts' ends; each one's row."""
+    s, e, row = words(low, off)
+    h = np.concatenate([Rolling(low)(s, e) if len(s) else np.zeros(0, np.uint64), np.full(len(off) - 1, _END)])
+    return h.view(np.int64), np.concatenate([row, np.arange(len(off) - 1)])
+
+
+def listed_blocks(docs: DataFrame, order: int, key: str, text: str, held: Column) -> DataFrame:
+    """For each block rows of its texts and one row of its distinct words with training counts and its distinct grams."""
     src = docs.select(F.col(key).alias("id"), held.alias("held"), F.col(text).cast("binary").alias("text"))
     of = lambda t: T.ArrayType(t)
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", of(src.schema["id"].dataType)), T.StructField("held", of(T.BooleanType())), T.StructField("n_tokens", of(T.IntegerType())), T.StructField("score", of(T.DoubleType())), T.StructField("ends", of(T.IntegerType())), T.StructField("word", of(T.IntegerType())), T.StructField("times", of(T.IntegerType())), T.StructField("keys", of(T.LongType())), T.StructField("train", of(T.IntegerType()))])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", of(src.schema["id"].dataType)), T.StructField("held", of(T.BooleanType())), T.StructField("texts", of(T.BinaryType())), T.StructField("keys", of(T.LongType())), T.StructField("train", of(T.LongType())), T.StructField("grams", of(T.LongType()))])
+
+    arrow = [f.type for f in to_arrow_schema(schema)][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, base = shared.value, TaskContext.get().partitionId() << 32
+        base = TaskContext.get().partitionId() << 32
         parts, size, k = [], 0, 0
         for b in chunks(batches, "text", CHUNK_IN):
             raw, off = flat(b.column("text"))
-            n = b.num_rows
-            points = score(model, raw, off)
-            low = lowered(raw)
-            s, e, row = words(low, off)
-            h = np.concatenate([Rolling(low)(s, e) if len(s) else np.zeros(0, np.uint64), np.full(n, _END)])
-            row = np.concatenate([row, np.arange(n)])
+            h, row = _hashed(lowered(raw), off)
             keys, inv = np.unique(h, return_inverse=True)
             held = np.array(b.column("held").to_pylist(), bool)
-            train = np.bincount(inv[~held[row]], minlength=len(keys))
-            pair, times = np.unique(row * len(keys) + inv, return_counts=True)
-            prow, word = pair // len(keys), pair % len(keys)
-            parts.append((b.column("id"), held, np.bincount(row, minlength=n), points, np.searchsorted(prow, np.arange(n), "right"), word.astype(np.int32), times.astype(np.int32), keys, train))
+            parts.append((keys, np.bincount(inv[~held[row]], minlength=len(keys)), pc.unique(pa.array(places(raw, off, order)[0]))))
+            yield one(base + k, b.column("id"), b.column("held"), b.column("text"), None, None, None)
             size += len(raw)
             if size >= BLOCK:
-                yield block(base + k, parts)
+                yield lists(base + k, parts)
                 parts, size, k = [], 0, k + 1
         if parts:
-            yield block(base + k, parts)
+            yield lists(base + k, parts)
 
-    def block(number: int, parts: list[tuple]) -> pa.RecordBatch:
-        """The slices as one block: their words get one list."""
-        ids, held, n_tokens, points, ends, word, times, keys, train = zip(*parts, strict=True)
+    def lists(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        """The words and grams of all slices of a block."""
+        keys, train, found = zip(*parts, strict=True)
         every, inv = np.unique(np.concatenate(keys), return_inverse=True)
-        at = np.cumsum([0, *map(len, keys)])
-        ahead = np.cumsum([0, *map(len, word)])
-        word = np.concatenate([inv[i + w] for i, w in zip(at, word, strict=False)])
-        ends = np.concatenate([i + e for i, e in zip(ahead, ends, strict=False)])
-        total = np.bincount(inv, np.concatenate(train), len(every))
-        one = lambda x, t: pa.array([x.astype(t.to_pandas_dtype())], pa.list_(t))
-        names = pa.concat_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in ids])
-        cat = np.concatenate
-        return pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), one(cat(held), pa.bool_()), one(cat(n_tokens), pa.int32()), one(cat(points), pa.float64()), one(ends, pa.int32()), one(word, pa.int32()), one(cat(times), pa.int32()), one(every.view(np.int64), pa.int64()), one(total, pa.int32())], schema.names)
+        total = np.bincount(inv, np.concatenate(train), len(every)).astype(np.int64)
+        return one(number, None, None, None, pa.array(every), pa.array(total), pa.array(np.sort(pc.unique(pa.concat_arrays(found)).to_numpy())))
+
+    def one(number: int, *columns: pa.Array | None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.nulls(1, t) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, t in zip(columns, arrow, strict=True)]], schema.names)
 
     return src.mapInArrow(run, schema)
 
 
-def word_scores(docs: DataFrame, model: Model, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def word_scores(docs: DataFrame, model: Grams, held: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
-    blocks = saved(scored_blocks(docs, model, key, text, held), "blocks")
+    order = model.order
+    blocks = saved(listed_blocks(docs, order, key, text, held), "blocks")
     listed = blocks.select(F.explode(F.arrays_zip("keys", "train")).alias("x")).select(F.col("x.keys").alias("k"), F.col("x.train").alias("c"))
     vocab = saved(listed.filter("c > 0").groupBy("k").agg(F.sum("c").alias("c")), "vocabulary")
     total = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    places = blocks.select("block", F.posexplode("keys").alias("at", "k"))
-    known = places.join(vocab, "k").select(F.col("block").alias("of"), "at", "c")
-    texts = blocks.drop("keys", "train")
+    got = saved(points(model, blocks.select(F.explode("grams").alias("gram"))), "points")
+    # counts of words are above 0, log10 of grams are not: that tells them apart
+    known = blocks.select("block", F.explode("keys").alias("k")).join(vocab, "k").select(F.col("block").alias("of"), "k", F.col("c").cast("double").alias("value"))
+    scored = blocks.select("block", F.explode("grams").alias("gram")).join(got, "gram").select(F.col("block").alias("of"), F.col("gram").alias("k"), F.col("points").alias("value"))
+    texts = blocks.filter(F.col("texts").isNotNull()).select("block", "ids", "held", "texts")
     schema = T.StructType([T.StructField("id", blocks.schema["ids"].dataType.elementType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def run(found: pa.Table, block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        flat_ = lambda c: block.column(c).combine_chunks().flatten() if block.num_rows else None
-        word, times, ends = (flat_(c).to_numpy(zero_copy_only=False) for c in ("word", "times", "ends"))
-        counts = np.zeros(int(word.max(initial=-1)) + 1, np.int64)
-        at = found.column("at").to_numpy()
-        counts[at] = found.column("c").to_numpy()
-        c = counts[word]
-        start = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        part = times * (np.log10(c + 1.0) - np.log10(n + v + 1.0))
-        sums = np.add.reduceat(part, start)
-        hits = np.add.reduceat(np.where(c > 0, times, 0), start)
-        rows = len(ends)
-        return pa.table([flat_("ids"), flat_("held"), flat_("n_tokens").cast(pa.int64()), pa.array(hits.astype(np.int64)), pa.array(np.full(rows, n, np.int64)), pa.array(sums), flat_("score")], names=schema.names)
-
-    return known.groupBy("of").cogroup(texts.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", key)
+        ids, held, body = (block.column(c).combine_chunks().flatten() for c in ("ids", "held", "texts"))
+        k, value = found.column("k").to_numpy(), found.column("value").to_numpy()
+        word = value > 0
+        keys, listed = pa.array(k[word]), pa.array(k[~word])
+        counts, logs = np.append(value[word], 0.0), np.append(value[~word], np.nan)
+        spot = lambda x, among: pc.fill_null(pc.index_in(pa.array(x), among), -1).to_numpy()
+        sums = []
+        for b in chunks([pa.RecordBatch.from_arrays([body], ["text"])], "text", CHUNK_IN):
+            raw, off = flat(b.column("text"))
+            h, row = _hashed(lowered(raw), off)
+            c = counts[spot(h, keys)]
+            place, start = places(raw, off, order)
+            by_row = lambda x: np.bincount(row, x, b.num_rows)  # noqa: E731, B023
+            sums.append((np.bincount(row, minlength=b.num_rows), by_row(c > 0).astype(np.int64), by_row(np.log10(c + 1.0) - np.log10(n + v + 1.0)), np.add.reduceat(logs[spot(place, listed)], start)))
+        tokens, hits, base, score_ = map(np.concatenate, zip(*sums, strict=True))
+        return pa.table([ids, held, pa.array(tokens.astype(np.int64)), pa.array(hits), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(score_)], names=schema.names)
+
+    return known.unionByName(scored).groupBy("of").cogroup(texts.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("id", key)
