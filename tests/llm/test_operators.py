@@ -108,6 +108,18 @@ def test_ppm_scores_with_every_context(spark):
     assert _tabled(spark, train, texts) == pytest.approx(ppm.score(dense, *packed(texts)).tolist(), rel=1e-5)
 
 
+def test_ppm_tells_all_bytes_apart(spark):
+    """Bytes beyond the most frequent ones keep their contexts: each of 200 bytes is followed by its own one."""
+    follows = bytes(range(128, 256)) + bytes(range(32, 65)) + bytes(range(91, 128))
+    train = [bytes([a, follows[-1 - i]]) * 4 for i, a in enumerate(follows)]
+    right, wrong = [t[:4] for t in train], [bytes([t[0], train[i - 1][1]]) * 2 for i, t in enumerate(train)]
+    got = _tabled(spark, train, right + wrong)
+    assert min(got[: len(right)]) > max(got[len(right) :])
+    assert sum(10**x for x in _tabled(spark, [], [bytes([i]) for i in range(256) if not 65 <= i < 91], 1)) == pytest.approx(230 / 257**2)
+    every = [bytes(range(256))] * 3  # A-Z count as a-z; all other bytes and the end are seen after one symbol
+    chances = _tabled(spark, every, [bytes([i]) for i in range(256)], 1)
+    assert all(np.isfinite(chances))
+
 
 @pytest.mark.parametrize("crowd", [4096, 1])
 def test_repeats(docs, none, crowd):
