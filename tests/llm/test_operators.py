@@ -164,6 +164,15 @@ def test_minhash(spark, docs, none):
     assert minhash.near_duplicates(none).collect() == []
 
 
+def test_minhash_decides_by_row(spark, docs):
+    """A repeated row stays once; a clean text stays though its id also stands with a copy."""
+    once = lambda df: Counter(r["doc_id"] for r in minhash.distinct_documents(df).collect())
+    assert max(once(docs).values()) == 1
+    a, b = _prose(80, random.Random(21)), _prose(80, random.Random(22))
+    rows = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, None), (3, None)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.distinct_documents(rows).collect())) == [(1, a), (2, b), (3, None)]
+
+
 def test_minhash_finds_what_no_hub_links(spark):
     """A chain of copies of copies, and a star whose centre is no member's smallest id."""
     rng = random.Random(3)

@@ -232,6 +232,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs: links at similarity num/den or more."""
+    return _labelled(docs, k, num, den, key, text).drop("set")
+
+
+def _labelled(docs: DataFrame, k: int, num: int, den: int, key: str, text: str) -> DataFrame:
+    """What near_duplicates() returns, with the digest of each row's shingle set."""
     all_rows = saved(sketch(docs, k, key, text), "sketches")
     classes = all_rows.filter(F.col("set").isNotNull() & F.col("id").isNotNull()).groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("buckets").alias("buckets"))
     classes = saved(classes, "classes")
@@ -272,11 +277,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key
     by_set = saved(classes.select("set", "id").join(labels, "id", "left").select("set", F.coalesce("label", "id").alias("component")), "by_set")
     out = all_rows.select("id", "n", "set").join(by_set, "set", "left")
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "set").withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 
 def distinct_documents(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are kept, one of each component, with all their columns. Repeated rows of a kept id: one stays."""
-    drop = saved(near_duplicates(docs, k, num, den, key, text).filter("not kept").select(key).distinct(), "dropped")
-    left = docs.join(drop, key, "left_anti")
-    return left.select([named(c) for c in docs.columns])
+    """The documents that are kept, one of each component, with all their columns. Of repeated rows of a kept id with the same
+    shingle set one stays; rows of one id with other sets are decided each by its own. Rows with a null id stay."""
+    rows = saved(_labelled(docs, k, num, den, key, text).select(F.col(key).alias("id"), "set", "kept"), "labelled")
+    many = saved(rows.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+    apart = saved(rows.filter("not kept").select("id").unionByName(many).distinct(), "dropped")
+    left = docs.join(apart, named(key) == apart["id"], "left_anti").select([named(c) for c in docs.columns])
+    whole = docs.select(F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole"), named(text).alias("body"))
+    again = whole.join(many, F.col(f"whole.c{docs.columns.index(key)}") == many["id"], "left_semi")
+    again = sketch(again, k, "whole", "body").select(F.col(f"id.c{docs.columns.index(key)}").alias("of"), "set", F.col("id").alias("whole"))
+    good = rows.filter("kept").join(many, "id", "left_semi").select("id", F.col("set").alias("kept_set")).distinct()
+    again = again.join(good, (F.col("of") == F.col("id")) & F.col("set").eqNullSafe(F.col("kept_set"))).dropDuplicates(["of", "set"])
+    return left.union(again.select("whole.*").toDF(*docs.columns))
