@@ -98,3 +98,16 @@ def test_products_are_hash_joins(spark):
     a = matrices.identity(spark, 4)
     plan = matrices.kronecker(a, a)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashJoin") + plan.count("SortMergeJoin") >= 2 and "CartesianProduct" not in plan
+
+
+def test_fit_out_of_core_fails_if_not_converged(spark, monkeypatch):
+    given = {}
+
+    def ended_early(*args, **more):
+        given.update(more)
+        return spark.createDataFrame([("meta", "converged", 4, 0.0)], "kind string, name string, idx int, value double")
+
+    monkeypatch.setattr(registry.chunked, "fit_stream", ended_early)
+    with pytest.raises(Exception, match="has not converged"):
+        registry.QUERIES["fit_out_of_core"](spark, SF).collect()
+    assert "most" not in given

@@ -666,7 +666,7 @@ def forecast_per_event_type(spark, sf_dir):
 
 @query()
 def fit_out_of_core(spark, sf_dir):
-    return chunked.fit_stream(S.hourly_events(spark, sf_dir).withColumn("y", F.col("n") - 10), "y", "hour", Spec(p=1), most=20)
+    return _converged(chunked.fit_stream(S.hourly_events(spark, sf_dir).withColumn("y", F.col("n") - 10), "y", "hour", Spec(p=1)))
 
 
 @query()
