@@ -228,6 +228,29 @@ def test_token_files(docs, none):
     assert token_files.token_files(none).collect() == []
 
 
+def test_a_text_over_several_files(tmp_path):
+    import public_tokenizers
+
+    from tidewright.llm import id_codec
+
+    of = token_files.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one two", _prose(3000, random.Random(2)), "", "three"]
+    ids, total = of(*packed([t.encode() for t in texts]))
+    ends = np.cumsum(total)
+    want = [(str(i), int(n), zlib.crc32(ids[e - n : e].astype("<u4").tobytes())) for i, (e, n) in enumerate(zip(ends, total, strict=True))]
+    cut = ends[0] + np.array([700, 1900, 2500])  # the second text lies in four files
+    names = []
+    for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(ids)], strict=True)):
+        more = i < 3
+        lengths = [int(ends[0]), 700] if i == 0 else [int(b - a)] if more else [int(ends[1] - a), int(total[2]), int(total[3])]
+        keys = ["0", "1"] if i == 0 else ["1"] if more else ["1", "2", "3"]
+        names.append(str(tmp_path / f"{i}.ids"))
+        (tmp_path / f"{i}.ids").write_bytes(id_codec.pack(ids[a:b], lengths, keys, goes_on=more))
+    got = [x for f in token_files.texts_of([f"file://{n}" for n in names]) for x in zip(*f, strict=True)]
+    assert [x[:3] for x in got] == want
+    assert np.concatenate([x[3] for x in got]).tolist() == ids.tolist()
+
+
 def test_language(spark, docs, none):
     words = {"aa": ["foo", "bar", "baz"], "bb": ["qux", "quux", "corge"]}
     rng = random.Random(1)

@@ -75,21 +75,86 @@ def test_bad_images_say_why():
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.integers(0, 70000), max_size=400), st.integers(1, 50))
+@given(st.lists(st.one_of(st.integers(0, 40), st.integers(0, 70000), st.just(2**32 - 1)), max_size=600), st.integers(1, 700))
 def test_id_codec_round_trip(ids, steps):
     a = np.array(ids, np.int64)
-    got, lengths, keys = id_codec.unpack(id_codec.pack(a, [len(ids)], ["x"], steps))
-    assert got.tolist() == ids and lengths == [len(ids)] and keys == ["x"]
+    got, lengths, keys, more = id_codec.unpack(id_codec.pack(a, [len(ids)], ["x"], steps, goes_on=True))
+    assert got.tolist() == ids and lengths == [len(ids)] and keys == ["x"] and more
+
+
+def test_id_codec_with_groups_of_ranks_and_order_0_that_learns():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.integers(0, 30000, 40000), rng.zipf(1.3, 40000) % 50000, np.tile([7, 9, 11], 5000)])
+    data = id_codec.pack(ids, [len(ids)], ["x"])
+    assert (id_codec.unpack(data)[0] == ids).all()
+    # two halves with ids of their own: blocks learn them, so they need fewer bits than the same ids in any order
+    halves = np.concatenate([rng.integers(0, 16, 600000), rng.integers(100, 116, 600000)])
+    mingled = rng.permutation(halves)
+    assert len(id_codec.pack(halves, [len(halves)], ["x"])) < 0.95 * len(id_codec.pack(mingled, [len(halves)], ["x"]))
 
 
 def test_id_codec_finds_damage_and_compresses():
     ids = np.tile(np.array([5, 9, 300, 7, 0]), 4000)
     data = id_codec.pack(ids, [len(ids)], ["x"])
     assert len(data) < len(ids) / 4
-    broken = bytearray(data)
-    broken[-40] ^= 1
+    for place in (8, 20, len(data) - 40):
+        broken = bytearray(data)
+        broken[place] ^= 1
+        with pytest.raises(ValueError):
+            id_codec.unpack(bytes(broken))
     with pytest.raises(ValueError):
-        id_codec.unpack(bytes(broken))
+        id_codec.unpack(data[:-300])
+
+
+def test_ids_of_documents_take_fewer_bits_than_their_entropy():
+    import public_tokenizers
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidewright.llm.token_files import Tokens
+
+    text = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").combine_chunks().cast(pa.binary())
+    ids, total = Tokens(public_tokenizers.path("byte_bpe_50k.json"))(*common.flat(text))
+    data = id_codec.pack(ids, total.tolist(), ["x"] * len(total))
+    p = np.bincount(ids)
+    p = p[p > 0] / len(ids)
+    assert (id_codec.unpack(data)[0] == ids).all()
+    assert 8 * len(data) / len(ids) < -(p * np.log2(p)).sum()  # with header and checksums
+
+
+def thue_morse(n, swap=False):
+    """Letters on which polynomial hashes modulo 2**64 of a word and its complement agree, whatever the base."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_long_pieces_are_told_apart_by_their_bytes():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidewright.llm.token_files import Tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    of, lib = Tokens(path), Tokenizer.from_file(path)
+    for t in (thue_morse(2048), thue_morse(2048, True)):
+        assert of(*packed([t.encode()]))[0].tolist() == [*lib.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_long_texts_are_encoded_in_parts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tidewright.llm.token_files import Tokens, encoded
+
+    rng = random.Random(5)
+    long = "  ".join(" ".join(rng.choice(["some", "Words", "12", "a,b", "x\n", "\t"]) for _ in range(2000)) for _ in range(10))
+    of = Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = ["a b", long, None, "c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("wxyz")), pa.array([None if r is None else r.encode() for r in rows], pa.binary())], ["id", "text"])
+    got = list(encoded(of, iter([batch]), 3000))
+    assert max(len(x[0]) for x in got) < 5000 and len(got) > 10
+    assert [k for x in got if not x[3] for k in x[2]] == list("wxyz")
+    want = [of(*packed([(r or "").encode()]))[0] for r in rows]
+    assert np.concatenate([x[0] for x in got]).tolist() == np.concatenate(want).tolist()
 
 
 def test_tokens_equal_the_library():

@@ -1,18 +1,28 @@
 """Token ids in blocks, each coded by itself with an adaptive context-mixing range coder.
 
-A block holds STEPS ids and starts from the same state, so blocks are decoded independently; all blocks of a file are coded
-side by side, one id of each in a numpy step. Integers only: an encoder and a decoder anywhere agree.
+A file holds a number of blocks of `steps` ids. Its header is the state that every block starts from: the file's ids by falling
+frequency (an id's rank), how often each occurs, and which rank most often follows each of the first GRID ranks. A block is decoded from
+the header and its own digits, without other blocks; all blocks of a file are coded side by side, one id of each in a numpy step.
+Integers and exact quotients only: an encoder and a decoder anywhere agree.
 
-Prediction of an id: order 2 and order 1 each remember, by context, the id that followed last and how often that held. The
-confidence of each has a weight learnt in the block, and the weights, with one for the block as a whole, add up in the logistic
-domain to the probability that the candidate is the id. If it isn't, order 0 codes the id's size class by adaptive counts, and
-its other bits follow evenly.
+Prediction of an id: order 2 and order 1 each remember, by context, the id that followed last and how often that held (order 1 starts
+from the header's followers). The confidence of each has a weight learnt in the block (order 1's also by whether the two agree),
+and the weights add up in the logistic domain to the probability that the candidate is the id. If it isn't, order 0 codes the id:
+each of the first OWN ranks is a symbol by itself, later ranks form symbols of 2**k neighbours of equal shares. The symbols'
+frequencies start as the file's and are learnt in the block: after FIRST ids and whenever twice as many ids are
+behind, they become the file's shares, weighing PRIOR ids, and the block's own counts together.
 
-The range coder keeps 56 bits and gives digits of 16; all parts of an id fit between two shifts. A carry stays in its digit and is
-settled at the end.
+Memories and weights learn at the end of every EVERY ids, so that an encoder knows a run's predictions at once and a decoder's
+step only reads. Candidates are among the first 2**14 ranks.
 
-File: MAGIC, length and crc32 of the header, header (JSON, zstd: steps, classes, keys, lengths, and for each block digits, ids
-and the crc32 of its ids and of its digits), then the blocks' digits. Keys are kept as text.
+The range coder keeps 52 bits and gives digits of 16. An id is one share of 2**PARTS parts: 16 bits for the candidate, 14 for order 0's
+symbol. A carry stays in its digit and is settled at the end.
+
+File: MAGIC, length and crc32 of the header, header (zstd of JSON and arrays: steps, ids, frequencies, followers, keys and lengths of
+texts, whether the last text goes on in the next file, and for each block its digits, ids, the crc32 of its ids and of its digits), then the
+blocks' digits. Keys are kept as text. A file holds any number of blocks and at most 2**18 - 1 distinct ids.
+
+Cases: no ids: a file without blocks. A cut or changed file is an error that names the block or the header.
 """
 
 from __future__ import annotations
@@ -20,224 +30,330 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard as zstd
 
-MAGIC = b"TWIDS\x02"
-STEPS = 512
-EVERY = 16  # steps between updates of the size classes
-SLOTS = 8  # bits of an order's table in a block
-_TOP, _FULL = np.int64(1) << 56, np.int64(1) << 40
+MAGIC = b"TWIDS\x03"
+STEPS, LEAST_STEPS, SIDE = 2048, 512, 512  # ids of a block; of a small file's blocks at least; blocks wanted for a numpy step
+OWN, GROUPS = 1024, 255  # symbols of order 0: single ranks, and groups of ranks
+GRID = 1024  # ranks with a follower in the header
+EVERY = 128  # ids of a block between two lessons; the first ones are shorter
+FIRST, PRIOR = 256, 2048
+SLOTS = 12  # bits of an order's memory in a block
+TOTAL, PARTS = 14, 30  # bits of order 0's frequencies, and of all shares
+_SHIFT = 36
+_TOP, _FULL = np.int64(1) << 52, np.int64(1) << _SHIFT
 _LOW = _FULL - 1
 
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 16, 4080).astype(np.int64)
-
-
-_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int64)  # bits of an id
-_LESS = np.maximum(_BITS - 1, 0)  # those after the first
-_TAIL = np.arange(1 << 16) - np.where(_BITS > 0, 1 << _LESS, 0)  # and their value
-
-
-def _over(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """x // r of numbers that are never negative."""
-    return (x.view(np.uint64) // r.view(np.uint64)).view(np.int64)
-
-
-def _shares(counts: np.ndarray) -> np.ndarray:
-    """(classes + 1) x lanes: where each class starts among 4096, none empty."""
-    n = len(counts)
-    out = np.zeros((n + 1, counts.shape[1]), np.int64)
-    np.cumsum(counts, axis=0, out=out[1:])
-    return out * (4096 - n) // out[-1] + np.arange(n + 1)[:, None]
-
-
-class Encoder:
-    """Takes, for every lane, the id's share of the range in up to three parts, then shifts digits out."""
-
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _TOP)
-        self.lanes, self.digits, self.base = [], [], np.arange(lanes)
-
-    def code(self, p: np.ndarray, best: np.ndarray, cdf: np.ndarray, x: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hit = x == best
-        bound = (self.range >> 12) * p
-        if wide:
-            k = np.frexp(x.astype(np.float64))[1].astype(np.int64)
-            n = np.maximum(k - 1, 0)
-            v = x - ((k > 0).astype(np.int64) << n)
-        else:
-            k, n, v = (np.take(t, x, mode="clip") for t in (_BITS, _LESS, _TAIL))
-        flat = cdf.ravel()
-        at = k * len(p) + self.base
-        lo, hi = np.take(flat, at, mode="clip"), np.take(flat, at + len(p), mode="clip")
-        rest = self.range - bound
-        r = rest >> 12
-        add = bound + r * lo
-        left = r * (hi - lo)
-        if wide:  # ids of more than 16 bits: the rest of them in two parts, with a shift between
-            self.low += np.where(hit, 0, add)
-            self.range = np.where(hit, bound, left)
-            self._shift()
-            self._raw(np.where(hit, 0, np.minimum(n, 16)), np.where(hit, 0, v & 0xFFFF))
-            self._shift()
-            self._raw(np.where(hit, 0, np.maximum(n - 16, 0)), np.where(hit, 0, v >> 16))
-        else:
-            r = left >> n
-            self.low += np.where(hit, 0, add + r * v)
-            self.range = np.where(hit, bound, r)
-        self._shift()
-        return x, hit, k
-
-    def _raw(self, n: np.ndarray, v: np.ndarray) -> None:
-        self.range >>= n
-        self.low += self.range * v
-
-    def _shift(self) -> None:
-        while len(at := np.flatnonzero(self.range < _FULL)):
-            low = self.low[at]
-            self.lanes.append(at.astype(np.uint16))
-            self.digits.append((low >> 40).astype(np.uint32))
-            self.low[at] = (low & _LOW) << 16
-            self.range[at] <<= 16
-
-    def finish(self) -> tuple[np.ndarray, np.ndarray]:
-        """Digits of all lanes one after another, and how many each has."""
-        for _ in range(4):
-            self.lanes.append(self.base.astype(np.uint16))
-            self.digits.append((self.low >> 40).astype(np.uint32))
-            self.low = (self.low & _LOW) << 16
-        lane, digit = np.concatenate(self.lanes), np.concatenate(self.digits)
-        self.lanes = self.digits = None
-        order = np.argsort(lane, kind="stable")
-        count = np.bincount(lane, minlength=len(self.base))
-        digit = digit[order]
-        while len(over := np.flatnonzero(digit >> 16)):  # a carry moves one digit up; it never leaves its lane
-            carry = digit[over] >> 16
-            digit[over] &= 0xFFFF
-            np.add.at(digit, over - 1, carry)
-        return digit.astype("<u2"), count
-
-
-class Decoder:
-    def __init__(self, digits: np.ndarray, counts: np.ndarray):
-        self.digits = np.concatenate([digits, np.zeros(8, digits.dtype)])
-        self.at = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        self.range = np.full(len(counts), _TOP)
-        self.x, self.base = np.zeros(len(counts), np.int64), np.arange(len(counts))
-        for _ in range(3):
-            self.x = (self.x << 16) | self.digits[self.at]
-            self.at += 1
-        self.x = (self.x << 8) | (self.digits[self.at] >> 8)
-        self.half = self.digits[self.at].astype(np.int64) & 0xFF  # 56 bits end within a digit
-        self.at += 1
-
-    def code(self, p: np.ndarray, best: np.ndarray, cdf: np.ndarray, _: None, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        bound = (self.range >> 12) * p
-        hit = self.x < bound
-        rest, x = self.range - bound, self.x - bound
-        r = rest >> 12
-        v = _over(np.maximum(x, 0), r)
-        k = (cdf[1:-1] <= v).view(np.uint8).sum(axis=0, dtype=np.uint8).astype(np.int64)
-        flat = cdf.ravel()
-        at = k * len(p) + self.base
-        lo, hi = np.take(flat, at, mode="clip"), np.take(flat, at + len(p), mode="clip")
-        x -= r * lo
-        left = r * (hi - lo)
-        n = np.maximum(k - 1, 0)
-        one = (k > 0).astype(np.int64) << n
-        if wide:
-            self.x, self.range = np.where(hit, self.x, x), np.where(hit, bound, left)
-            self._shift()
-            got = self._raw(np.where(hit, 0, np.minimum(n, 16)))
-            self._shift()
-            got = got + (self._raw(np.where(hit, 0, np.maximum(n - 16, 0))) << 16)
-        else:
-            r = left >> n
-            got = np.minimum(_over(np.maximum(x, 0), r), (np.int64(1) << n) - 1)
-            self.x, self.range = np.where(hit, self.x, x - r * got), np.where(hit, bound, r)
-        self._shift()
-        return np.where(hit, best, one + got), hit, k
-
-    def _raw(self, n: np.ndarray) -> np.ndarray:
-        self.range >>= n
-        got = np.minimum(_over(self.x, self.range), (np.int64(1) << n) - 1)
-        self.x -= self.range * got
-        return got
-
-    def _shift(self) -> None:
-        while len(at := np.flatnonzero(self.range < _FULL)):
-            nxt = self.digits[np.minimum(self.at[at], len(self.digits) - 1)].astype(np.int64)
-            self.x[at] = (self.x[at] << 16) | (self.half[at] << 8) | (nxt >> 8)
-            self.half[at] = nxt & 0xFF
-            self.at[at] += 1
-            self.range[at] <<= 16
-
-
-def _run(coder: Encoder | Decoder, lanes: int, steps: int, classes: int, ids: np.ndarray | None) -> np.ndarray:
-    """Codes ids (steps x lanes), or decodes as many."""
-    base, size = np.arange(lanes, dtype=np.int64), 1 << SLOTS
-    kind = np.int64 if classes > 17 else np.int32
-    near, far = np.zeros(lanes * size, kind), np.zeros(lanes * size, kind)  # id * 16 + confidence
-    by2, by1, by0 = (np.zeros(lanes * n, np.int32) for n in (16, 32, 1))
-    by2[np.arange(lanes) << 4] = by1[np.arange(lanes) << 5] = -512  # nothing remembered
-    counts = np.full((classes, lanes), 4, np.int64)
-    cdf, fresh = _shares(counts), []
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    at, at16, at32 = base << SLOTS, base << 4, base << 5
-    out = np.empty((steps, lanes), np.int32) if ids is None else ids
-    for t in range(steps):
-        i2 = at + (((one * 40503 + two * 60493) >> 5) & (size - 1))
-        i1 = at + (one & (size - 1))
-        e2, e1 = np.take(far, i2, mode="clip"), np.take(near, i1, mode="clip")
-        c2, k2, c1, k1 = e2 >> 4, e2 & 15, e1 >> 4, e1 & 15
-        best = np.where(k2 > 0, c2, c1)
-        r2, r1 = at16 + k2, at32 + 2 * k1 + (c1 == best)
-        b2, b1 = np.take(by2, r2, mode="clip"), np.take(by1, r1, mode="clip")
-        p = np.take(_SQUASH, b2 + b1 + by0 + 2048, mode="clip")
-        x, hit, k = coder.code(p, best, cdf, None if ids is None else ids[t].astype(np.int64), classes > 17)
-        if ids is None:
-            out[t] = x
-        err = (((hit.astype(np.int64) << 12) - p) >> 5).astype(np.int32)
-        by2[r2] = b2 + err
-        by1[r1] = b1 + err
-        by0 += err >> 2
-        fresh.append(np.where(hit, classes, k))
-        if t % EVERY == EVERY - 1:
-            new = np.stack(fresh) * lanes + base
-            counts += 24 * np.bincount(new.ravel(), minlength=lanes * (classes + 1))[: lanes * classes].reshape(classes, lanes)
-            big = counts.sum(axis=0) > 8000
-            counts[:, big] = (counts[:, big] + 1) >> 1
-            cdf, fresh = _shares(counts), []
-        x_ = x.astype(kind, copy=False)
-        fallback = (x_ << 4) | 1
-        for slots, i, e, c, conf in ((far, i2, e2, c2, k2), (near, i1, e1, c1, k1)):
-            slots[i] = np.where(c == x_, e + (conf < 15), fallback)
-        two, one = one, x
-    return out
-
-
-def pack(ids: np.ndarray, lengths: list[int], keys: list[str | None], steps: int = STEPS) -> bytes:
-    """A file of the texts' ids, one after another."""
+#: 65536ths by log odds in 256ths; what is left for other ids can be cut in 2**10 parts.
+_SQUASH = 16 * np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 16, 4032).astype(np.int64)
+#: Log odds that blocks start from, by confidence.
+_START2 = np.array([-300, 100, 300, 500], np.int32)
+_START1 = np.array([[-700, -700], [-300, 0], [-150, 150], [0, 300]], np.int32)
+
+
+class Start:
+    """The state that every block of a file starts from."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, follow: np.ndarray):
+        self.ids, self.counts, self.follow = ids, counts, follow
+        n = len(ids)
+        self.single = min(n, OWN)
+        self.bits = max(0, int(np.ceil(np.log2(max(1, (n - self.single) / GROUPS)))))
+        ranks = np.arange(n)
+        self.symbol = np.where(ranks < self.single, ranks, self.single + ((ranks - self.single) >> self.bits)).astype(np.int32)
+        self.symbols = int(self.symbol[-1]) + 1 if n else 1
+        # what a symbol's first rank is, and how many even bits follow it
+        self.lead = np.concatenate([np.arange(self.single), self.single + (np.arange(self.symbols - self.single) << self.bits)]).astype(np.int64)
+        self.tail = np.where(np.arange(self.symbols) < self.single, 0, self.bits).astype(np.int64)
+        prior = np.zeros(self.symbols, np.int64)
+        np.add.at(prior, self.symbol, counts.astype(np.int64))
+        # in 256ths of an id: whole numbers on every machine
+        self.prior = prior * (256 * PRIOR) // max(1, int(prior.sum())) + 1
+
+
+class Model:
+    """What the blocks remember, one lane each."""
+
+    def __init__(self, lanes: int, start: Start):
+        base = np.arange(lanes, dtype=np.int64)
+        first = np.zeros(1 << SLOTS, np.uint16)  # rank * 4 + confidence
+        known = np.flatnonzero(start.follow >= 0)
+        first[known] = (start.follow[known] << 2) | 1
+        self.near, self.far = np.tile(first, lanes), np.zeros(lanes << SLOTS, np.uint16)
+        self.by1, self.by2 = np.tile(_START1, (lanes, 1, 1)), np.tile(_START2, (lanes, 1))
+        self.of, self.of_cell = base << SLOTS, base << 5
+        self.start, self.lanes = start, lanes
+        self.weight = np.tile(start.prior, (lanes, 1))
+        self.mix()
+        self.frequencies()
+
+    def mix(self) -> None:
+        """The candidate's probability for each confidence of order 2, of order 1, and whether they agree."""
+        odds = self.by2[:, :, None, None] + self.by1[:, None, :, :] + 2048
+        self.chance = _SQUASH.take(odds.ravel(), mode="clip")
+
+    def frequencies(self) -> None:
+        """Each symbol's share of 2**TOTAL in every lane, as start * 2**15 + size; none is empty."""
+        n, self.fresh = self.start.symbols, []
+        upto = np.cumsum(self.weight, axis=1)
+        edge = np.zeros((self.lanes, n + 1), np.int32)
+        edge[:, 1:] = (upto * ((1 << TOTAL) - n) / upto[:, -1:]).astype(np.int32) + np.arange(1, n + 1, dtype=np.int32)
+        self.size = np.diff(edge, axis=1)
+        self.share = ((edge[:, :-1] << 15) | self.size).ravel()
+        self.row = np.arange(self.lanes, dtype=np.int64) * n
+
+    def predict(self, one: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The candidate after `one` and its probability, and what led to them; `mixed` stands for the last two ids. One step, or
+        lanes x steps: then a lane's memory stays in the processor's cache."""
+        of, of_cell = (self.of, self.of_cell) if one.ndim == 1 else (self.of[:, None], self.of_cell[:, None])
+        i1 = one & ((1 << SLOTS) - 1)
+        i1 += of
+        i2 = mixed & ((1 << SLOTS) - 1)
+        i2 += of
+        e1, e2 = self.near.take(i1, mode="clip"), self.far.take(i2, mode="clip")
+        c1 = e1 >> 2
+        best = np.where(e2 > 0, e2 >> 2, c1)
+        cell = (e2 & 3) << 3
+        cell |= (e1 & 3) << 1
+        cell |= c1 == best
+        r = of_cell + cell
+        return best, self.chance.take(r, mode="clip"), r, i1, i2, e1, e2
+
+    def run(self, ranks: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
+        """Predictions for columns a to b of ranks, which begin with two zeros."""
+        one = ranks[:, a + 1 : b + 1].astype(np.int64)
+        mixed = one * 40503
+        mixed += ranks[:, a:b] * np.int64(60493)
+        mixed >>= 3
+        return self.predict(one, mixed)
+
+    def learn(self, x: np.ndarray, seen: tuple[np.ndarray, ...], done: int) -> None:
+        """Takes in a run of ids (lanes x steps) with their predictions; `done` ids are then behind. Of two lessons for a slot the later counts."""
+        best, p, r, i1, i2, e1, e2 = seen
+        r = r.ravel()
+        n = np.bincount(r, minlength=self.lanes << 5)
+        off = np.bincount(r, (best == x).ravel(), self.lanes << 5) * 65536 - n * self.chance
+        n, off = n.reshape(self.lanes, 4, 4, 2), off.reshape(self.lanes, 4, 4, 2)
+        for by, axes in ((self.by1, 1), (self.by2, (2, 3))):
+            by += np.trunc(off.sum(axes) / (512 * np.maximum(1.0, n.sum(axes) / 8))).astype(np.int32)
+            np.clip(by, -1800, 1800, out=by)
+        self.mix()
+        x_ = x.astype(np.uint16)
+        fresh = x_ << 2
+        fresh |= 1
+        seldom = x >= 1 << 14
+        for slots, i, e in ((self.near, i1, e1), (self.far, i2, e2)):
+            same = (e >> 2) == x_
+            same &= e > 0
+            more = np.where(same, e + ((e & 3) < 3), fresh)
+            slots[i] = np.where(seldom, e, more) if self.start.ids.size >> 14 else more
+        self.fresh.append(self.start.symbol.take(x))
+        if done >= FIRST and done & (done - 1) == 0:
+            at = np.concatenate(self.fresh, axis=1) + self.row[:, None]
+            self.weight += 256 * np.bincount(at.ravel(), minlength=self.weight.size).reshape(self.weight.shape)
+            self.frequencies()
+
+
+def _runs(steps: int) -> Iterator[tuple[int, int]]:
+    """The steps between lessons."""
+    a, size = 0, EVERY // 4
+    while a < steps:
+        yield a, min(a + size, steps)
+        a += size
+        size = min(EVERY, a)
+
+
+def _encode(ranks: np.ndarray, start: Start) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of all lanes of ranks (lanes x steps) one after another, and how many each has."""
+    lanes, steps = ranks.shape
+    model = Model(lanes, start)
+    low, width = np.zeros(lanes, np.int64), np.full(lanes, _TOP)
+    kind = np.uint16 if lanes <= 1 << 16 else np.uint32
+    of, digits = [], []
+    before = np.concatenate([np.zeros((lanes, 2), np.int32), ranks], axis=1)
+    for a, b in _runs(steps):
+        x = ranks[:, a:b].astype(np.int64)
+        seen = model.run(before, a, b)
+        best, p = seen[:2]
+        hit = best == x
+        symbol = start.symbol.take(x)
+        share = model.share.take(symbol + model.row[:, None]).astype(np.int64)
+        lo, size = share >> 15, share & 0x7FFF
+        left = 65536 - p
+        lo *= left
+        size *= left
+        if start.bits:
+            tail, value = start.tail.take(symbol), x - start.lead.take(symbol)
+            within = (size * value) >> tail
+            size = ((size * (value + 1)) >> tail) - within
+            lo += within
+        edge = p << TOTAL
+        lo += edge
+        lo, size = (np.ascontiguousarray(np.where(hit, y, z).T) for y, z in ((0, lo), (edge, size)))
+        for i in range(b - a):
+            part = width >> PARTS
+            low += part * lo[i]
+            width = part * size[i]
+            at = np.flatnonzero(width < _FULL)
+            while len(at):
+                top = low[at]
+                of.append(at.astype(kind))
+                digits.append((top >> _SHIFT).astype(np.uint32))
+                top &= _LOW
+                top <<= 16
+                low[at] = top
+                wide = width[at] << 16
+                width[at] = wide
+                at = at[wide < _FULL]
+        if b < steps:
+            model.learn(x, seen, b)
+    every = np.arange(lanes)
+    for _ in range(4):
+        of.append(every.astype(kind))
+        digits.append((low >> _SHIFT).astype(np.uint32))
+        low = (low & _LOW) << 16
+    lane, digit = np.concatenate(of), np.concatenate(digits)
+    del of, digits
+    order = np.argsort(lane, kind="stable")
+    count = np.bincount(lane, minlength=lanes)
+    digit = digit[order]
+    while len(over := np.flatnonzero(digit >> 16)):  # a carry moves one digit up; it never leaves its lane
+        carry = digit[over] >> 16
+        digit[over] &= 0xFFFF
+        np.add.at(digit, over - 1, carry)
+    return digit.astype("<u2"), count
+
+
+def _decode(digits: np.ndarray, counts: np.ndarray, steps: int, start: Start) -> np.ndarray:
+    """The ranks (lanes x steps) again. Quotients of doubles are exact once cut: numbers stay below 2**53, quotients below 2**31."""
+    lanes = len(counts)
+    model = Model(lanes, start)
+    digits = np.concatenate([digits, np.zeros(8, digits.dtype)]).astype(np.int64)
+    next_ = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+    code, width = np.zeros(lanes, np.int64), np.full(lanes, _TOP)
+    for _ in range(3):
+        code = (code << 16) | digits[next_]
+        next_ += 1
+    code = (code << 4) | (digits[next_] >> 12)
+    digits[:-1] = ((digits[:-1] & 0xFFF) << 4) | (digits[1:] >> 12)  # 52 bits end within a digit: from here on in steps of 16 after them
+    out = np.zeros((lanes, steps + 2), np.int32)
+    one = np.zeros(lanes, np.int64)
+    slot_row, symbols = np.arange(lanes, dtype=np.int64) << TOTAL, np.arange(start.symbols, dtype=np.int16)
+    slots = held = None
+    last = np.zeros(lanes, np.int64)
+    for a, b in _runs(steps):
+        if held is not model.size:
+            held = model.size
+            slots = np.repeat(np.tile(symbols, lanes), held.ravel())
+        rows = []
+        for _ in range(a, b):
+            mixed = one * 40503
+            mixed += last
+            mixed >>= 3
+            last = one * 60493
+            best, p = model.predict(one, mixed)[:2]
+            part = width >> PARTS
+            v = (code / part).astype(np.int64)
+            edge = p << TOTAL
+            hit = v < edge
+            v -= edge
+            left = 65536 - p
+            slot = (v / left).astype(np.int64)
+            slot += slot_row
+            x = slots.take(slot, mode="clip").astype(np.int64)  # the symbol, and a single rank's own number
+            at = model.row + x
+            size = model.share.take(at, mode="clip").astype(np.int64)
+            lo = size >> 15
+            size &= 0x7FFF
+            lo *= left
+            size *= left
+            if start.bits:
+                some = x >= start.single
+                some &= ~hit
+                some = np.flatnonzero(some)
+                if len(some):
+                    whole = size[some]
+                    value = (((v[some] - lo[some] + 1) << start.bits) - 1) // whole
+                    within = (whole * value) >> start.bits
+                    size[some] = ((whole * (value + 1)) >> start.bits) - within
+                    lo[some] += within
+                    x[some] = start.single + ((x[some] - start.single) << start.bits) + value
+            lo += edge
+            lo[hit] = 0
+            size = np.where(hit, edge, size)
+            one = np.where(hit, best, x)
+            rows.append(one)
+            lo *= part
+            code -= lo
+            width = part * size
+            at = np.flatnonzero(width < _FULL)
+            while len(at):
+                where = next_[at]
+                top = code[at] << 16
+                top |= digits.take(where, mode="clip")
+                code[at] = top
+                where += 1
+                next_[at] = where
+                wide = width[at] << 16
+                width[at] = wide
+                at = at[wide < _FULL]
+        new = np.stack(rows, axis=1)
+        out[:, a + 2 : b + 2] = new
+        if b < steps:
+            model.learn(new, model.run(out, a, b), b)
+    return out[:, 2:]
+
+
+def _begin(ids: np.ndarray) -> tuple[Start, np.ndarray]:
+    """The starting state for ids, and their ranks."""
+    most = int(ids.max(initial=0))
+    if most < 1 << 22:
+        count = np.bincount(ids, minlength=1)
+        found = np.flatnonzero(count)
+        count = count[found]
+    else:
+        found, count = np.unique(ids, return_counts=True)
+    order = np.lexsort((found, -count))
+    found, count = found[order], count[order]
+    if most < 1 << 22:
+        rank_of = np.zeros(most + 1, np.int32)
+        rank_of[found] = np.arange(len(found))
+        ranks = rank_of[ids]
+    else:
+        by_id = np.argsort(found)
+        ranks = by_id[np.searchsorted(found[by_id], ids)].astype(np.int32)
+    side = min(GRID, max(1, len(found)))
+    a, b = ranks[:-1], ranks[1:]
+    both = (a < side) & (b < side)
+    pairs = np.bincount(a[both].astype(np.int64) * side + b[both], minlength=side * side).reshape(side, side)
+    follow = np.where(pairs.max(axis=1) > 0, pairs.argmax(axis=1), -1).astype(np.int32)
+    return Start(found.astype(np.int64), count.astype(np.int64), follow), ranks
+
+
+def pack(ids: np.ndarray, lengths: list[int], keys: list[str | None], steps: int = STEPS, goes_on: bool = False) -> bytes:
+    """A file of the texts' ids, one after another; goes_on: the last text has more ids in the next file."""
     ids = np.ascontiguousarray(ids, "<u4")
-    lanes = max(1, -(-len(ids) // steps))
-    if lanes > 60_000:
-        raise ValueError("too many blocks for one file")
-    used = min(steps, len(ids)) or 1
-    classes = max(17, int(ids.max(initial=0)).bit_length() + 1)
+    n = len(ids)
+    steps = max(1, min(steps, max(LEAST_STEPS, -(-n // SIDE)), n))
+    lanes = -(-n // steps)
+    start, ranks = _begin(ids)
     grid = np.zeros(lanes * steps, np.int32)
-    grid[: len(ids)] = ids
-    coder = Encoder(lanes)
-    _run(coder, lanes, used, classes, np.ascontiguousarray(grid.reshape(lanes, steps).T[:used]))
-    digits, counts = coder.finish()
+    grid[:n] = ranks
+    digits, counts = _encode(grid.reshape(lanes, steps), start) if n else (np.zeros(0, "<u2"), np.zeros(0, np.int64))
     ends = np.cumsum(counts)
     blocks = [[int(counts[i]), len(b := ids[i * steps : (i + 1) * steps]), zlib.crc32(b.tobytes()), zlib.crc32(digits[ends[i] - counts[i] : ends[i]].tobytes())] for i in range(lanes)]
-    head = zstd.compress(json.dumps({"steps": steps, "classes": classes, "keys": keys, "lengths": lengths, "blocks": blocks}).encode())
+    by_id = np.argsort(start.ids, kind="stable")
+    arrays = [np.diff(start.ids[by_id], prepend=0).astype("<u4"), start.counts[by_id].astype("<u4"), start.follow.astype("<i2")]
+    about = json.dumps({"steps": steps, "distinct": len(start.ids), "follow": len(start.follow), "keys": keys, "lengths": lengths, "goes_on": goes_on, "blocks": blocks}).encode()
+    head = zstd.compress(struct.pack("<I", len(about)) + about + b"".join(x.tobytes() for x in arrays))
     return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + digits.tobytes()
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, list[int], list[str | None]]:
-    """ids, lengths and keys; a block whose ids differ from its checksum is an error."""
+def unpack(data: bytes) -> tuple[np.ndarray, list[int], list[str | None], bool]:
+    """ids, lengths, keys, and whether the last text goes on; a block whose ids differ from its checksum is an error."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a file of ids")
     at = len(MAGIC) + 8
@@ -245,8 +361,15 @@ def unpack(data: bytes) -> tuple[np.ndarray, list[int], list[str | None]]:
     head = data[at : at + size]
     if zlib.crc32(head) != crc:
         raise ValueError("the header differs from its checksum")
-    h = json.loads(zstd.decompress(head))
-    digits, counts = np.frombuffer(data, "<u2", offset=at + size), np.array([b[0] for b in h["blocks"]])
+    head = zstd.decompress(head)
+    n_about = struct.unpack_from("<I", head)[0]
+    h = json.loads(head[4 : 4 + n_about])
+    m, k = h["distinct"], 4 + n_about
+    found = np.cumsum(np.frombuffer(head, "<u4", m, k).astype(np.int64))
+    count = np.frombuffer(head, "<u4", m, k + 4 * m).astype(np.int64)
+    order = np.lexsort((found, -count))
+    start = Start(found[order], count[order], np.frombuffer(head, "<i2", h["follow"], k + 8 * m).astype(np.int32))
+    digits, counts = np.frombuffer(data, "<u2", offset=at + size), np.array([b[0] for b in h["blocks"]], np.int64)
     if len(digits) < counts.sum():
         raise ValueError("cut short")
     at = 0
@@ -254,13 +377,14 @@ def unpack(data: bytes) -> tuple[np.ndarray, list[int], list[str | None]]:
         if zlib.crc32(digits[at : at + b[0]].tobytes()) != b[3]:
             raise ValueError(f"block {i} differs from its checksum")
         at += b[0]
-    n = sum(b[1] for b in h["blocks"])
-    used = min(h["steps"], n) or 1
-    got = _run(Decoder(digits, counts), len(counts), used, h["classes"], None)
-    ids = np.concatenate([np.ascontiguousarray(got[: b[1], i]) for i, b in enumerate(h["blocks"])]).astype("<u4")
+    if not len(counts):
+        return np.zeros(0, "<u4"), h["lengths"], h["keys"], h["goes_on"]
+    got = _decode(digits, counts, h["steps"], start)
+    ranks = got.ravel()[: sum(b[1] for b in h["blocks"])]  # only the last block may be shorter
+    ids = np.take(start.ids, ranks, mode="clip").astype("<u4")
     at = 0
     for i, b in enumerate(h["blocks"]):
         if zlib.crc32(ids[at : at + b[1]].tobytes()) != b[2]:
             raise ValueError(f"block {i} differs from its checksum")
         at += b[1]
-    return ids, h["lengths"], h["keys"]
+    return ids, h["lengths"], h["keys"], h["goes_on"]

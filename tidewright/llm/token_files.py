@@ -1,16 +1,19 @@
 """Token-ID output: texts as ids of a public tokenizer, in files of separately coded blocks (see id_codec).
 
 Texts are dealt by ranges of (id, hash of the text, row), so that equal ids too are spread, and sorted; each task writes files of
-about FILE_IDS ids, cut between texts, under names of its attempt. A table lists the files of tasks that ended well; their
-order gives every text its place among all ids. Reading checks each block's checksum.
+about FILE_IDS ids, one after another, under names of its attempt. Files end between texts; only a text longer than a file goes on in the
+next one. A table lists the files of tasks that ended well; their order gives every text its place among all ids. Reading checks each
+block's checksum.
 
 Encoding: a tokenizer's pre-tokens are encoded one by one, so a text is split as the tokenizer splits it and each distinct
-piece is encoded once by the library's model. The split is done on bytes, for texts of ASCII and Latin-1 letters without what looks like a contraction
-or a special token; other texts go to the library whole. This holds for byte-level BPE with the usual split pattern
-and no added prefix space; Tokens checks that the file says so, and otherwise leaves every text to the library.
+piece, told apart by its bytes, is encoded once by the library's model. The split is done on bytes, for texts of ASCII and Latin-1
+letters without what looks like a contraction or a special token; other texts go to the library whole. This holds for byte-level BPE
+with the usual split pattern and no added prefix space; Tokens checks that the file says so, and otherwise leaves every text to the library.
 
 Cases: null text is empty: its only id is the end. Repeated rows are written one by one. A null id comes first. An empty
-table gives an empty result.
+table gives an empty result. Very long texts: working memory is about 30 times CHUNK_IN bytes and does not follow a text's length, as a longer text is
+encoded in parts, cut where the tokenizer splits in any case; only a text that goes to the library whole, or has no space before a
+letter, needs memory by its length.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import id_codec
-from .common import Rolling, chunks, flat, new_path, saved
+from .common import chunks, flat, named, new_path, saved, tidy
 from .warc import filesystem
 
 END = 0
 FILE_IDS = 2 << 20
-CACHE_IDS = 2 << 20
-CHUNK_IN = 1 << 20
+PART, LEAST_PART = 256 << 20, 8 << 20  # bytes of text in a task; in one of a small table
+CACHE_IDS, PIECES = 3 << 20, 500_000  # what a worker keeps of pieces met
+CHUNK_IN = 2 << 20
 
 # classes of bytes: 0 letter, 1 digit, 2 other, 3 white space, 4 not decided here
 _CLASS = np.full(256, 4, np.uint8)
@@ -74,149 +78,215 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.at: dict[bytes, int] = {}
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _split(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the pieces of the texts."""
+    def _split(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts start; each ends where the next one starts."""
         kind = _CLASS[raw]
         lead = np.flatnonzero(raw == 0xC3)
         kind[lead] = kind[lead + 1] = 0
-        n = len(raw)
-        edge = np.zeros(n + 1, bool)
-        edge[off] = True
-        new = np.ones(n, bool)
-        new[1:] = (kind[1:] != kind[:-1]) | edge[1:n]
-        start = np.flatnonzero(new)
-        end = np.append(start[1:], n)
-        blank = kind[start] == 3
-        last = edge[end]  # the run ends its text
+        edge = off[:-1][off[:-1] < len(raw)]
+        new = np.ones(len(raw) + 1, bool)
+        np.not_equal(kind[1:], kind[:-1], out=new[1:-1])
+        new[edge] = True
         # a run of white space before more text gives up its last character: to the next piece if it is a space
-        gives = blank & ~last
-        cut = end - 1
-        joins = gives & (raw[cut] == 32)
-        own = gives & ~joins
-        keep = ~blank | last | (end - start > 1)
-        s = start.copy()
-        after = np.flatnonzero(joins) + 1
-        s[after] = cut[joins]
-        e = np.where(gives, cut, end)
-        s_all, e_all = np.concatenate([s[keep], cut[own]]), np.concatenate([e[keep], end[own]])
-        order = np.argsort(s_all, kind="stable")
-        return s_all[order], e_all[order]
+        after = np.flatnonzero(new[1:-1] & (kind[:-1] == 3)) + 1
+        ends_text = np.zeros(len(raw) + 1, bool)
+        ends_text[edge] = True
+        after = after[~ends_text[after]]
+        new[after - 1] = True
+        new[after[raw[after - 1] == 32]] = False
+        return np.flatnonzero(new[:-1])
 
     def _plain(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Which texts are split here."""
-        n = len(raw)
         odd = _CLASS[raw] == 4
-        nxt = np.zeros(n, np.uint8)
-        nxt[:-1] = raw[1:]
-        lead = (raw == 0xC3) & (nxt >= 0x80) & (nxt <= 0xBF) & (nxt != 0x97) & (nxt != 0xB7)
-        odd[lead] = False
-        odd[np.flatnonzero(lead) + 1] = False
-        odd |= (raw == 39) & _SHORT[nxt]
+        if odd.any():
+            nxt = np.append(raw[1:], np.uint8(0))
+            lead = (raw == 0xC3) & (nxt >= 0x80) & (nxt <= 0xBF) & (nxt != 0x97) & (nxt != 0xB7)
+            at = np.flatnonzero(lead)
+            odd[at] = odd[at + 1] = False
+        at = np.flatnonzero(raw[:-1] == 39)
+        odd[at[_SHORT[raw[at + 1]]]] = True
         if self.marks:
-            odd |= self.mark_first[raw] & self.mark_next[nxt]
-        upto = np.concatenate([[0], np.cumsum(odd)])
-        return upto[off[1:]] == upto[off[:-1]]
+            at = np.flatnonzero(self.mark_first[raw])
+            after = np.append(raw, np.uint8(0))[at + 1]
+            odd[at[self.mark_next[after]]] = True
+        bad = np.flatnonzero(odd)
+        return np.searchsorted(bad, off[1:]) == np.searchsorted(bad, off[:-1])
+
+    def _pieces(self, raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The number of each piece among those met; new ones are encoded. Pieces are told apart by their bytes."""
+        ends = pa.py_buffer(np.append(start, len(raw)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(raw)]).dictionary_encode()
+        _, ends, data = coded.dictionary.buffers()
+        ends, data = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes()
+        pieces = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        if len(self.at) > PIECES or len(self.ids) > CACHE_IDS:
+            self.clear()
+        spot = [self.at.get(x, -1) for x in pieces]
+        if new := [i for i, x in enumerate(spot) if x < 0]:
+            known = len(self.first)
+            some = [pieces[i] for i in new]
+            text = b"".join(some).decode("latin-1").translate(self.letters)  # a letter a byte
+            ends = list(accumulate(map(len, some)))
+            of = self.model.tokenize
+            got = [[t.id for t in of(text[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
+            for k, i in enumerate(new, known):
+                self.at[pieces[i]] = spot[i] = k
+            lens = np.array([len(x) for x in got], np.int64)
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lens) - lens])
+            self.size = np.concatenate([self.size, lens])
+            self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(got)), np.uint32)])
+        return np.array(spot, np.int64)[coded.indices.to_numpy()]
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END, and how many each has."""
         n = len(off) - 1
-        plain = self._plain(raw, off) if self.by_piece else np.zeros(n, bool)
+        plain = self._plain(raw, off) if self.by_piece and len(raw) else np.zeros(n, bool) if len(raw) else np.ones(n, bool)
         size = np.diff(off)
-        s = e = np.zeros(0, np.int64)
+        start = np.zeros(0, np.int64)
         if len(raw):
             body, at = (raw, off) if plain.all() else (raw[np.repeat(plain, size)], np.concatenate([[0], np.cumsum(np.where(plain, size, 0))]))
             if len(body):
-                s, e = self._split(body, at)
+                start = self._split(body, at)
         count = np.zeros(n, np.int64)
-        if len(s):
-            h = Rolling(body)(s, e)
-            keys, first, inv = np.unique(h, return_index=True, return_inverse=True)
-            if len(self.ids) > CACHE_IDS:
-                self.clear()
-            pos = np.searchsorted(self.keys, keys)
-            known = np.zeros(len(keys), bool)
-            if len(self.keys):
-                known = self.keys[np.minimum(pos, len(self.keys) - 1)] == keys
-            if not known.all():
-                text = body.tobytes()
-                new = first[~known]
-                got = [[t.id for t in self.model.tokenize(text[a:b].decode("latin-1").translate(self.letters))] for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)]
-                lens = np.array([len(x) for x in got], np.int64)
-                starts = len(self.ids) + np.concatenate([[0], np.cumsum(lens)[:-1]])
-                self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(got)), np.uint32)])
-                where = pos[~known]
-                self.keys, self.first, self.size = np.insert(self.keys, where, keys[~known]), np.insert(self.first, where, starts), np.insert(self.size, where, lens)
-                pos = np.searchsorted(self.keys, keys)
-            piece = pos[inv]
-            row = np.searchsorted(at, s, "right") - 1
-            count = np.bincount(row, self.size[piece], n).astype(np.int64)
+        if len(start):
+            piece = self._pieces(body, start)
+            lens = self.size[piece]
+            upto = np.concatenate([[0], np.cumsum(lens)])
+            row = np.searchsorted(start, at)  # a text's first piece
+            row_first = upto[row]
+            count = np.diff(row_first)
         whole = {}
         if not plain.all():
-            rows = np.flatnonzero(~plain)
             text = raw.tobytes()
+            rows = np.flatnonzero(~plain)
             for r, x in zip(rows, self.library.encode_batch_fast([text[off[r] : off[r + 1]].decode("utf-8", "replace") for r in rows], add_special_tokens=False), strict=True):
                 whole[r] = x.ids
                 count[r] = len(x.ids)
         total = count + 1
         begin = np.concatenate([[0], np.cumsum(total)])
         out = np.full(begin[-1], END, np.uint32)
-        if len(s):
-            lens = self.size[piece]
-            row_first = np.searchsorted(row, np.arange(n))
-            before = np.cumsum(lens) - lens
-            base = np.concatenate([before, [lens.sum()]])[np.minimum(row_first, len(lens))]
-            to = np.repeat(begin[row] + before - base[row] - before, lens) + np.arange(lens.sum())
-            src = np.repeat(self.first[piece] - before, lens) + np.arange(lens.sum())
-            out[to] = self.ids[src]
+        if len(start):
+            source = np.repeat(self.first[piece] - upto[:-1], lens)
+            source += np.arange(upto[-1])
+            text_ids = self.ids[source]
+            if whole or (n and count.min() == 0):
+                to = np.repeat(begin[:-1] - row_first[:-1], np.diff(row_first))
+                to += np.arange(upto[-1])
+                out[to] = text_ids
+            else:
+                kept = np.ones(len(out), bool)
+                kept[begin[1:] - 1] = False
+                out[kept] = text_ids
         for r, ids in whole.items():
             out[begin[r] : begin[r] + len(ids)] = ids
         return out, total
 
+    def cuts(self, raw: np.ndarray, size: int) -> list[int]:
+        """Places about `size` bytes apart where a long text falls into parts that are encoded alike by themselves: before a space that follows
+        something else and precedes a letter. Where there is no such place, or the tokenizer isn't split here, parts are longer."""
+        out, at = [0], size
+        if self.by_piece:
+            while at < len(raw):
+                w = raw[at - 1 : at + (1 << 16) + 1]
+                letter = ((w[2:] | 32) >= 97) & ((w[2:] | 32) <= 122)
+                ok = np.flatnonzero((w[:-2] > 32) & (w[:-2] < 127) & (w[1:-1] == 32) & letter)
+                if len(ok):
+                    out.append(at + int(ok[0]))
+                    at = out[-1] + size
+                else:
+                    at += max(1, len(w) - 2)
+        return [*out, len(raw)]
+
 
 _WORKER: dict[str, Tokens] = {}
 
 
+def _tokens(path: str) -> Tokens:
+    if path not in _WORKER:
+        _WORKER[path] = Tokens(path)
+    return _WORKER[path]
+
+
+def encoded(of: Tokens, batches: Iterator[pa.RecordBatch], size: int = CHUNK_IN) -> Iterator[tuple[np.ndarray, list[int], list[str | None], bool]]:
+    """ids, lengths and keys of (id, text), a bounded part at a time; the last: whether the last text has more to come."""
+    for b in chunks(batches, "text", size):
+        raw, off = flat(b.column("text"))
+        keys = b.column("id").to_pylist()
+        if len(raw) <= 2 * size:
+            ids, total = of(raw, off)
+            yield ids, total.tolist(), keys, False
+            continue
+        ends = of.cuts(raw, size)
+        for x, y in zip(ends, ends[1:], strict=False):
+            ids, total = of(raw[x:y], np.array([0, y - x]))
+            more = y < len(raw)
+            yield ids[:-1] if more else ids, [int(total[0]) - more], keys, more
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes the files under path; (file, part, seq, n_ids) of those that count."""
-    src = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Writes the files under path; (file, part, seq, chain, n_ids) of those that count. Files of one chain share a text."""
+    src = docs.select(named(key).alias("id"), named(text).cast("binary").alias("text"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART), min(4 * cores, -(-size // LEAST_PART)))
     order = ["id", "tie", "row"]
     src = src.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.col("id").cast("string").alias("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _WORKER:
-            _WORKER[tokenizer] = Tokens(tokenizer)
-        of = _WORKER[tokenizer]
         fs, at = filesystem(path)
         fs.create_dir(at, recursive=True)
         ctx = TaskContext.get()
-        held, lengths, keys, done, n = [], [], [], [], 0
+        held, lengths, keys, done, n, chain_ = [], [], [], [], 0, 0
 
-        def flush() -> None:
-            nonlocal held, lengths, keys, n
+        def flush(more: bool) -> None:
+            nonlocal held, lengths, keys, n, chain_
             name = f"part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}-{len(done)}.ids"
             with fs.open_output_stream(f"{at}/{name}") as f:
-                f.write(id_codec.pack(np.concatenate(held), lengths, keys))
-            done.append((f"{path}/{name}", ctx.partitionId(), len(done), n))
-            held, lengths, keys, n = [], [], [], 0
+                f.write(id_codec.pack(np.concatenate(held), lengths, keys, goes_on=more))
+            done.append((f"{path}/{name}", ctx.partitionId(), len(done), chain_, n))
+            held, lengths, keys, n, chain_ = [], [], [], 0, chain_ + (not more)
 
-        for b in chunks(batches, "text", CHUNK_IN):
-            ids, total = of(*flat(b.column("text")))
+        open_ = False
+        for ids, total, names, more in encoded(_tokens(tokenizer), batches):
             held.append(ids)
-            lengths += total.tolist()
-            keys += b.column("id").to_pylist()
+            if open_ and keys:
+                lengths[-1] += total[0]
+                total, names = total[1:], names[1:]
+            lengths += total
+            keys += names
             n += len(ids)
+            open_ = more
             if n >= FILE_IDS:
-                flush()
+                flush(more)
         if held:
-            flush()
+            flush(False)
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["file", "part", "seq", "n_ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["file", "part", "seq", "chain", "n_ids"])
+        tidy()
+
+    return saved(src.mapInArrow(run, "file string, part int, seq int, chain int, n_ids long"), "id_files")
+
 
-    return saved(src.mapInArrow(run, "file string, part int, seq int, n_ids long"), "id_files")
+def texts_of(names: list[str]) -> Iterator[tuple[list[str | None], list[int], list[int], list[np.ndarray]]]:
+    """keys, lengths, crc32 and parts of the ids of the texts in a chain of files, a file at a time; a text counts where it ends."""
+    open_key, n, crc, held = None, 0, 0, []
+    for name in names:
+        fs, at = filesystem(name)
+        with fs.open_input_stream(at) as f:
+            ids, lengths, keys, more = id_codec.unpack(f.read())
+        ends = np.cumsum(lengths)
+        raw = ids.tobytes()
+        crcs = [zlib.crc32(raw[4 * (e - k) : 4 * e], crc if i == 0 else 0) for i, (e, k) in enumerate(zip(ends.tolist(), lengths, strict=True))]
+        rows = [ids[e - k : e] for e, k in zip(ends.tolist(), lengths, strict=True)]
+        lengths = [lengths[0] + n, *lengths[1:]]
+        rows[0] = np.concatenate([*held, rows[0]]) if held else rows[0]
+        n, crc, held = (lengths.pop(), crcs.pop(), [rows.pop()]) if more else (0, 0, [])
+        yield keys[: len(lengths)], lengths, crcs, rows
 
 
 def read(files: DataFrame, key_type: str = "bigint", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -224,24 +294,25 @@ def read(files: DataFrame, key_type: str = "bigint", key: str = "doc_id", with_i
     per = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
     ahead = per.select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("ahead"))
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    placed = saved(files.withColumn("inside", F.coalesce(inside, F.lit(0))).join(ahead, "part").select("file", (F.col("ahead") + F.col("inside")).alias("start")), "placed")
+    chains = files.groupBy("part", "chain").agg(F.sort_array(F.collect_list(F.struct("seq", "file"))).alias("files"), F.sum("n_ids").alias("n"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("chain").rowsBetween(Window.unboundedPreceding, -1))
+    placed = saved(chains.withColumn("inside", F.coalesce(inside, F.lit(0))).join(ahead, "part").select("files.file", (F.col("ahead") + F.col("inside")).alias("start")), "placed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, start in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
-                fs, at = filesystem(name)
-                with fs.open_input_stream(at) as f:
-                    ids, lengths, keys = id_codec.unpack(f.read())
-                ends = np.cumsum(lengths)
-                raw, starts = ids.tobytes(), ends - lengths
-                cols = [pa.array(keys, pa.string()), pa.array(starts + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(starts, ends, strict=True)], pa.int64())]
-                if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, ["id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
+            for names, at in zip(b.column("file").to_pylist(), b.column("start").to_pylist(), strict=True):
+                for keys, lengths, crcs, rows in texts_of(names):
+                    ends = at + np.cumsum(lengths, dtype=np.int64)
+                    cols = [pa.array(keys, pa.string()), pa.array(ends - np.array(lengths, np.int64), pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
+                    if with_ids:
+                        cols.append(pa.array([x.astype(np.int64) for x in rows], pa.list_(pa.int64())))
+                    at += sum(lengths)
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
+        tidy()
 
     schema = "id string, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    out = placed.repartition(max(1, placed.count())).mapInArrow(run, schema)
+    n, cores = placed.count(), placed.sparkSession.sparkContext.defaultParallelism
+    out = placed.repartition(max(1, -(-n // 64), min(n, 4 * cores))).mapInArrow(run, schema)
     return out.withColumn("id", F.col("id").cast(key_type)).withColumnRenamed("id", key)
 
 
