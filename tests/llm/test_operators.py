@@ -268,6 +268,67 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.predict(docs, language_id.train(none)).collect()} == {"und"}
 
 
+def plain_language(train, texts, top=4):
+    """Words first, then the longest known n-grams, one text and one character at a time."""
+    import regex
+
+    split = lambda t: regex.findall(r"\p{L}+", t.lower())
+    words, grams = {}, {}
+    for t, k in train:
+        for w in split(t):
+            words.setdefault(k, Counter())[w] += 1
+            for n in range(1, top + 1):
+                for i in range(len(w) + 2 - n + 1):
+                    grams.setdefault(k, Counter())[f" {w} "[i : i + n]] += 1
+    langs = sorted(words)
+    known, parts = {w for k in langs for w in words[k]}, {g for k in langs for g in grams[k]}
+    log = lambda c, x: np.array([math.log((c[k][x] + 0.5) / (c[k].total() + 1)) for k in langs])
+    for t in texts:
+        found = split(t or "")
+        if not found or not langs:
+            yield "und", 0.0
+            continue
+        total = np.zeros(len(langs))
+        for w in found:
+            if w in known:
+                total += log(words, w)
+                continue
+            w, i = f" {w} ", 0
+            while i < len(w):
+                for n in range(min(top, len(w) - i), 0, -1):
+                    if w[i : i + n] in parts:
+                        total += log(grams, w[i : i + n])
+                        break
+                i += n
+        p = np.exp((total - total.max()) / len(found) * min(len(found), 10))
+        yield langs[int(p.argmax())], p.max() / p.sum()
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(3)
+    letters = {"aa": "abcde", "bb": "cdefé", "cc": "ßüdeñ", "dd": "日本語 русский"}
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k].replace(" ", "")) for _ in range(rng.randint(1, 7))) for _ in range(n))
+    train = [(i, text(k, rng.randint(0, 30)), k) for i, k in enumerate(sorted(letters) * 8)]
+    texts = [text(rng.choice(sorted(letters)), rng.randint(1, 40)) for _ in range(60)] + ["² ½ 12", "Ⅷ", "", None, "_a_", "A1B", "ÀÉ ÑÜ", "zzz qqq", "a" * 5000 + " É" * 3000]
+    model = language_id.train(spark.createDataFrame(train, "doc_id long, text string, lang string").repartition(3))
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), model).collect()
+    for r in got:
+        lang, score = list(plain_language([t[1:] for t in train], [texts[r["doc_id"]]]))[0]
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(score)), texts[r["doc_id"]]
+    assert len(got) == len(texts) and [x["lang_pred"] for x in got if x["doc_id"] in (60, 61)] == ["und", "und"]
+
+
+def test_many_languages_and_a_bounded_sample(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} common", f"l{i:03d}") for i in range(600)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    assert len(model["langs"]) == 600
+    many = spark.range(4000).selectExpr("id AS doc_id", "concat('w', chr(97 + cast(id % 26 AS int)), ' x') AS text", "if(id < 3990, 'big', 'rare') AS lang")
+    small = language_id.train(many, sample=200)
+    assert small["langs"] == ["big", "rare"]
+    of = small["words"]
+    assert 300 < np.exp(of["value"][of["lang"] == 0]).sum() / 2 < 520  # two words a row, about 200 rows
+
+
 def test_warc(spark):
     big = "<p>" + "x" * 200 + "</p>"
     rows = [(5, "http://a", big), (3, "http://b\r\n", big), (9, None, big), (1, "u", "tiny"), (2, "u", "tiny"), (4, "u", None), (6, "u", ""), (3, "http://b", big), (None, "u", big), (7, "u", "é" * 60)]

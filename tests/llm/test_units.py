@@ -9,7 +9,7 @@ import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewright.llm import common, decontaminate, id_codec, jpeg, language_id, minhash, ppm, repeats, warc
+from tidewright.llm import common, decontaminate, id_codec, jpeg, minhash, ppm, repeats, warc
 
 
 def packed(texts):
@@ -280,12 +280,3 @@ def test_warc_file_format():
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(f[8:])))
     assert len(list(warc.read_records(io.BytesIO(f[:-20])))) < 3  # read() compares the count with the one written
-
-
-def test_language_predictor():
-    m = {"langs": ["aa", "bb"], "top": 2, "words": {"foo": np.log([0.9, 0.1])}, "grams": {"z": np.log([0.1, 0.9]), "zz": np.log([0.01, 0.99])}}
-    p = language_id.Predictor(m)
-    assert p("Foo foo")[0] == "aa" and p("zz!")[0] == "bb"
-    assert p(None) == p("") == p("12 _ .") == ("und", 0.0)
-    assert p("q")[0] == "aa" and 0 <= p("q")[1] <= 1  # nothing known: a tie
-    assert language_id.Predictor({"langs": [], "words": {}, "grams": {}, "top": 4})("abc") == ("und", 0.0)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +104,7 @@ def filtered(docs: DataFrame, text: str, keep: Callable[[pa.RecordBatch], list[b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", size):
             yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(keep(b), pa.bool_()))
+        tidy()
 
     return src.mapInArrow(run, src.drop("text").schema).toDF(*names)
 
@@ -138,6 +140,24 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
+def distinct_words(low: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, told apart by their bytes; for every word which one it is, and its row."""
+    s, e, row = words(low, off)
+    if not len(s):
+        return [], row, row
+    ends = pa.py_buffer(np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32))
+    coded = pa.Array.from_buffers(pa.binary(), len(s), [None, ends, pa.py_buffer(low[~_SPACE[low]])]).dictionary_encode()
+    _, ends, data = coded.dictionary.buffers()
+    ends, data = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes()
+    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], coded.indices.to_numpy().astype(np.int64), row
+
+
+def word_keys(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash (xxh3) of every word, and its row."""
+    found, word, row = distinct_words(low, off)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))[word], row
+
+
 #: Odd bases of the two rolling hashes and of the finishers; fixed values.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -154,7 +174,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any substring of `raw` modulo 2**64, from prefix sums of byte * base**-i."""
+    """Hashes of any substring of `raw` modulo 2**64, from prefix sums of byte * base**-i. For grams and windows of some hundred bytes
+    at most: from 1,024 bytes on there are pairs of strings that such hashes never tell apart."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -1,136 +1,208 @@
 """Language ID by word-first backoff.
 
 A word that the model knows adds its log frequency in each language. An unseen word is read through character
-n-grams: at each place the longest known one, from `top` characters down to one, adds its log frequency.
-
-Training uses at most about `sample` labelled rows, chosen by a hash of their id, and keeps at most `max_words`
-words and `max_grams` n-grams over all languages (by relative frequency): these two bound what is broadcast.
-
-Cases: text null or without a letter: `und`, score 0. No labelled row: every prediction is `und`. Ties go to the
-language that comes first by name. Repeated rows are predicted one by one; other columns of the input stay out of the way.
+n-grams: at each place the longest known one, from `top` characters down to one, adds its log frequency. Words are runs of
+letters (Unicode's category L) of the text in lower case, split in the same way for training and for prediction; an n-gram may hold the word's
+edges, written as spaces.
+
+Training reads at most about `sample` labelled rows of each language, chosen by a hash of their id within the language, so that
+every labelled language is in the model; of these rows every word and every n-gram of every length up to `top` is kept. The sample is
+the only bound on what is broadcast: each distinct word and n-gram takes 8 bytes, and 12 more for each language that has it. Words and
+n-grams are keyed by 64-bit hashes; n of them have n*n/2**65 expected clashes.
+
+Cases: text null or without a letter: `und`, score 0. No labelled row with a letter: every prediction is `und`. A language without a letter in its
+sample is left out. Ties go to the language that comes first by name. Repeated rows are predicted one by one; other columns of the input
+stay out of the way. Bytes that aren't UTF-8 count as no letters. Very long texts are read whole: working memory is about 60 times a text
+that is longer than a slice of common.CHUNK bytes.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, filtered, named
-
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Words longer than this count by their first and last characters only in n-grams' training, not in prediction.
-_FLOOR = 0.5
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-
-
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = 20000, max_words: int = 60000, max_grams: int = 60000, top: int = 4) -> dict:
-    """The model as plain dictionaries: langs, words and grams to rows of log frequencies."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1))))
-    counts = rows.select("lang", F.explode(_words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("c")).cache()
-    padded = F.concat(F.lit(" "), F.substring("w", 1, 40), F.lit(" "))
-
-    def grams_of(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (k - 1), F.lit(1))), lambda i: F.substr(padded, i, F.lit(k)))
-
-    pieces = F.flatten(F.array(*[grams_of(k) for k in range(1, top + 1)]))
-    grams = counts.select("lang", "c", F.explode(pieces).alias("w")).groupBy("lang", "w").agg(F.sum("c").alias("c"))
-
-    def rated(df: DataFrame, most: int) -> tuple[dict, dict]:
-        totals = {r["lang"]: r["n"] for r in df.groupBy("lang").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "lang").limit(512).collect()}
-        total = F.create_map(*[F.lit(x) for kv in totals.items() for x in kv]) if totals else None
-        if total is None:
-            return {}, {}
-        top_rows = df.withColumn("r", F.col("c") / F.element_at(total, F.col("lang"))).filter(F.col("r").isNotNull()).orderBy(F.desc("r"), "lang", "w").limit(most).collect()
-        found: dict[str, dict[str, int]] = {}
-        for r in top_rows:
-            found.setdefault(r["w"], {})[r["lang"]] = r["c"]
-        return found, totals
-
-    (ws, word_n), (gs, gram_n) = rated(counts, max_words), rated(grams, max_grams)
-    counts.unpersist()
-    langs = sorted(word_n)
-
-    def logs(found: dict, totals: dict) -> dict[str, np.ndarray]:
-        return {w: np.array([np.log((c.get(x, 0) + _FLOOR) / (totals.get(x, 0) + 1)) for x in langs], np.float32) for w, c in found.items()}
-
-    return {"langs": langs, "words": logs(ws, word_n), "grams": logs(gs, gram_n), "top": top}
-
-
-class Predictor:
-    """Predictions of one Python worker; rows of words that it has met stay in a bounded cache."""
-
-    CACHE = 100_000
-
-    def __init__(self, model: dict):
-        self.langs, self.words, self.grams, self.top = model["langs"], model["words"], model["grams"], model["top"]
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows = np.zeros((1024, max(1, len(self.langs))), np.float32)
-
-    def unseen(self, word: str) -> np.ndarray:
-        padded, total, i = f" {word} ", np.zeros(len(self.langs), np.float32), 0
-        while i < len(padded):
-            for k in range(self.top, 0, -1):
-                row = self.grams.get(padded[i : i + k]) if i + k <= len(padded) else None
-                if row is not None:
-                    total += row
-                    break
-            i += k
-        return total
-
-    def row(self, word: str) -> int:
-        k = len(self.at)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        known = self.words.get(word)
-        self.rows[k] = self.unseen(word) if known is None else known
-        self.at[word] = k
-        return k
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        found = Counter(LETTERS.findall(text.lower())) if text and self.langs else None
-        if not found:
-            return "und", 0.0
-        if len(self.at) > self.CACHE:
-            self.clear()
-        at = self.at
-        ids = [at[w] if w in at else self.row(w) for w in found]
-        times = np.fromiter(found.values(), np.float64, len(found))
-        total = times @ self.rows[ids]
-        n = times.sum()
-        mean = total / n * min(n, 10.0)  # the evidence of ten words at most: longer texts don't all end at 1
-        p = np.exp(mean - mean.max())
-        best = int(np.argmax(p))
-        return self.langs[best], float(p[best] / p.sum())
+from .common import chunks, distinct_words, filtered, flat, mix, named, saved, tidy
+
+SAMPLE, TOP = 2000, 4
+EVIDENCE = 10.0  # words whose evidence a score weighs at most, so that longer texts don't all end at 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (bytes) in lower case with a space for every run of anything but letters, as bytes and offsets."""
+    try:
+        s = texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        s = pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+    return flat(pc.replace_substring_regex(pc.utf8_lower(s), pattern=r"\P{L}+", replacement=" ").cast(pa.binary()))
+
+
+def _key(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' code points, each word between spaces, and the places of their starts with the end of all."""
+    text = " " + "  ".join(w.decode("utf-8", "replace") for w in words) + " "
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    start = np.flatnonzero((code[:-1] == 32) & (np.append(np.uint64(32), code[:-2]) == 32)) if len(words) else np.zeros(0, np.int64)
+    return code, np.append(start, len(code))
+
+
+def _gram(code: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Keys of the k-grams at places."""
+    h = np.full(len(at), k, np.uint64)
+    for j in range(k):
+        h = mix((h + code[at + j]) * _STEP)
+    return h
+
+
+def _grams(words: list[bytes], times: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all n-grams of the words up to `top` characters, and how often each occurs."""
+    code, start = _padded(words)
+    size = np.diff(start)
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for k in range(1, top + 1):
+        n = np.maximum(size - k + 1, 0)
+        at = np.repeat(start[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        keys.append(_gram(code, at, k))
+        counts.append(np.repeat(times, n))
+    found, inv = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(inv, np.concatenate(counts), len(found)).astype(np.int64)
+
+
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, top: int = TOP) -> dict:
+    """The model: langs, and for words and grams sorted keys, where each one's languages are, and log(2c + 1) of its counts there."""
+    rows = labelled.select(named(lang).alias("lang"), named(text).cast("binary").alias("text"), F.xxhash64(named(key).cast("string"), F.lit("sample")).alias("h")).filter(F.col("lang").isNotNull())
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
+    picked = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text"):
+            coded = b.column("lang").dictionary_encode()
+            found, word, row = distinct_words(*letters(b.column("text")))
+            pair, n = np.unique(coded.indices.to_numpy().astype(np.int64)[row] * max(1, len(found)) + word, return_counts=True)
+            lang, word = np.divmod(pair, max(1, len(found)))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(lang)), pa.array([found[i] for i in word.tolist()], pa.binary()), pa.array(n.astype(np.int64))], ["lang", "word", "c"])
+        tidy()
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            coded = b.column("lang").dictionary_encode()
+            of, text, times = coded.indices.to_numpy(), b.column("word").to_pylist(), b.column("c").to_numpy()
+            for i, name in enumerate(coded.dictionary.to_pylist()):
+                mine = np.flatnonzero(of == i)
+                keys, n = _grams([text[j] for j in mine.tolist()], times[mine], top)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "key", "c"])
+        tidy()
+
+    counts = saved(picked.mapInArrow(words, "lang string, word binary, c long").groupBy("lang", "word").agg(F.sum("c").alias("c")), "words")
+    ws = counts.toArrow()
+    gs = counts.mapInArrow(grams, "lang string, key long, c long").groupBy("lang", "key").agg(F.sum("c").alias("c")).toArrow()
+    langs = sorted(set(ws.column("lang").to_pylist()))
+    number = {x: i for i, x in enumerate(langs)}
+
+    def table(keys: np.ndarray, of: pa.ChunkedArray, c: np.ndarray) -> dict:
+        coded = of.combine_chunks().dictionary_encode()
+        code = np.array([number[x] for x in coded.dictionary.to_pylist()], np.int32)
+        lang = code[coded.indices.to_numpy()] if len(keys) else np.zeros(0, np.int32)
+        order = np.lexsort((lang, keys))
+        keys, lang, c = keys[order], lang[order], c[order]
+        found, first = np.unique(keys, return_index=True)
+        total = np.bincount(lang, c, len(langs))
+        return {"keys": found, "first": np.append(first, len(keys)), "lang": lang, "value": np.log(2.0 * c + 1), "base": np.log(0.5 / (total + 1))}
+
+    word_keys = np.fromiter((_key(w) for w in ws.column("word").to_pylist()), np.uint64, ws.num_rows)
+    return {"langs": langs, "top": top, "words": table(word_keys, ws.column("lang"), ws.column("c").to_numpy()), "grams": table(gs.column("key").to_numpy().view(np.uint64), gs.column("lang"), gs.column("c").to_numpy())}
+
+
+def _find(table: dict, keys: np.ndarray) -> np.ndarray:
+    """The place of each key, or -1."""
+    if not len(table["keys"]):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table["keys"], keys), len(table["keys"]) - 1)
+    return np.where(table["keys"][at] == keys, at, -1)
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after another."""
+    n = last - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _backoff(model: dict, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, gram) of every n-gram that the words are read through."""
+    code, start = _padded(words)
+    at, end, who = start[:-1].copy(), start[1:], np.arange(len(words))
+    of, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(who):
+        step = np.ones(len(who), np.int64)
+        left = np.arange(len(who))
+        for k in range(model["top"], 0, -1):
+            ask = left[at[left] + k <= end[who[left]]]
+            got = _find(model["grams"], _gram(code, at[ask], k))
+            hit = got >= 0
+            of.append(who[ask[hit]])
+            grams.append(got[hit])
+            step[ask[hit]] = k
+            done = np.zeros(len(who), bool)
+            done[ask[hit]] = True
+            left = left[~done[left]]
+        at = at + step
+        go = at < end[who]
+        at, who = at[go], who[go]
+    return np.concatenate(of), np.concatenate(grams)
+
+
+def predictions(model: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The language and the score of each text (bytes)."""
+    n, langs = len(texts), model["langs"]
+    found, word, row = distinct_words(*letters(texts))
+    if not langs or not len(word):
+        return ["und"] * n, np.zeros(n)
+    w, g = model["words"], model["grams"]
+    spot = _find(w, np.fromiter(map(_key, found), np.uint64, len(found)))
+    known, unseen = np.flatnonzero(spot >= 0), np.flatnonzero(spot < 0)
+    of, gram = _backoff(model, [found[i] for i in unseen.tolist()])
+    of = unseen[of]
+    # each distinct word's languages and values, word by word
+    a, b = w["first"][spot[known]], w["first"][spot[known] + 1]
+    c, d = g["first"][gram], g["first"][gram + 1]
+    owner = np.concatenate([np.repeat(known, b - a), np.repeat(of, d - c)])
+    order = np.argsort(owner, kind="stable")
+    lang = np.concatenate([w["lang"][_spread(a, b)], g["lang"][_spread(c, d)]])[order]
+    value = np.concatenate([w["value"][_spread(a, b)], g["value"][_spread(c, d)]])[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(found)))])
+    pick = _spread(first[word], first[word + 1])
+    cell = np.repeat(row, first[word + 1] - first[word]) * len(langs) + lang[pick]
+    total = np.bincount(cell, value[pick], n * len(langs)).reshape(n, len(langs))
+    total += np.bincount(row, (spot >= 0)[word], n)[:, None] * w["base"] + np.bincount(row, np.bincount(of, minlength=len(found))[word], n)[:, None] * g["base"]
+    times = np.bincount(row, minlength=n)
+    mean = total * (np.minimum(times, EVIDENCE) / np.maximum(times, 1))[:, None]
+    p = np.exp(mean - mean.max(axis=1, keepdims=True))
+    best = p.argmax(axis=1)
+    told = times > 0
+    return [langs[i] if t else "und" for i, t in zip(best.tolist(), told.tolist(), strict=True)], np.where(told, p.max(axis=1) / p.sum(axis=1), 0.0)
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` (all, if not given) with lang_pred and score, which replace columns of that name."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     src = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(names)], named(text).cast("binary").alias("text"))
     schema = src.drop("text").schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Predictor(shared.value)
         for b in chunks(batches, "text"):
-            got = [of(None if t is None else t.decode("utf-8", "replace")) for t in b.column("text").to_pylist()]
-            cols = b.columns[:-1] + [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, schema.names)
+            lang, score = predictions(shared.value, b.column("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], schema.names)
+        tidy()
 
     return src.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
 
@@ -138,19 +210,4 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
 def identified(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """The documents whose language is told, with their columns as they are; the others go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def told(b: pa.RecordBatch) -> list[bool]:
-        of = _predictor(shared.value)
-        return [t is not None and of(t.decode("utf-8", "replace"))[0] != "und" for t in b.column("text").to_pylist()]
-
-    return filtered(docs, text, told)
-
-
-_WORKER: list = []
-
-
-def _predictor(model: dict) -> Predictor:
-    """This worker's predictor for the model, so that its cache outlives a slice."""
-    if not _WORKER or _WORKER[0] is not model:
-        _WORKER[:] = [model, Predictor(model)]
-    return _WORKER[1]
+    return filtered(docs, text, lambda b: [x != "und" for x in predictions(shared.value, b.column("text"))[0]])

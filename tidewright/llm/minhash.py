@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Rolling, chunks, flat, lowered, mix, named, saved, words
+from .common import chunks, flat, lowered, mix, named, saved, tidy, word_keys
 
 BANDS, ROWS, BITS, MINIMA = 32, 4, 2, 256
 SLACK, TRIES = 0.15, 4
@@ -47,12 +47,10 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes, sorted within each row, and n+1 offsets of the rows in them."""
-    raw = lowered(raw)
-    s, e, row = words(raw, off)
+    t, row = word_keys(lowered(raw), off)
     n = len(off) - 1
-    if not len(s):
+    if not len(t):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    t = Rolling(raw)(s, e)
     first = np.searchsorted(row, np.arange(n + 1))
     count = np.diff(first)
     total = len(t)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Rolling, chunks, flat, lowered, saved, words
+from .common import chunks, flat, lowered, saved, tidy, word_keys
 
 ORDER = 5
 SIZE, CLASSES = 257, 64
@@ -262,8 +262,8 @@ def score(model: Model, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _hashed(low: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the words of texts and, after them, of the texts' ends; each one's row."""
-    s, e, row = words(low, off)
-    h = np.concatenate([Rolling(low)(s, e) if len(s) else np.zeros(0, np.uint64), np.full(len(off) - 1, _END)])
+    h, row = word_keys(low, off)
+    h = np.concatenate([h, np.full(len(off) - 1, _END)])
     return h.view(np.int64), np.concatenate([row, np.arange(len(off) - 1)])
 
 

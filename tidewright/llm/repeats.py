@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,9 +84,11 @@ class Anchors:
         self.least = least
 
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """A 128-bit hash of each span."""
-        other = Rolling(self.raw, 1)
-        return self.hash(self.lo, self.hi + self.least), other(self.lo, self.hi + self.least)
+        """A 128-bit hash (xxh3) of each span, as two numbers."""
+        text = self.raw.tobytes()
+        got = b"".join(xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(self.lo.tolist(), (self.hi + self.least).tolist(), strict=True))
+        both = np.frombuffer(got, np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
 
     def take(self, keep: np.ndarray) -> None:
         self.row, self.place, self.lo, self.hi, self.gram = (x[keep] for x in (self.row, self.place, self.lo, self.hi, self.gram))
