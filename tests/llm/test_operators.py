@@ -50,6 +50,11 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def thue_morse(n, swap=False):
+    """Letters on which polynomial hashes modulo 2**64 of a word and its complement agree, whatever the base."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
 def by_id(rows):
     out = {}
     for r in rows:
@@ -173,7 +178,7 @@ def test_minhash_decides_by_row(spark, docs):
     assert sorted(map(tuple, minhash.distinct_documents(rows).collect())) == [(1, a), (2, b), (3, None)]
 
 
-def test_minhash_finds_what_no_hub_links(spark):
+def test_minhash_finds_what_no_hub_links(spark, monkeypatch):
     """A chain of copies of copies, and a star whose centre is no member's smallest id."""
     rng = random.Random(3)
     out, words = [], _prose(300, rng).split()
@@ -187,6 +192,15 @@ def test_minhash_finds_what_no_hub_links(spark):
         for p in rng.sample(range(0, 400, 10), 6):
             w[p] = f"v{i}x{p}"
         out.append((i, " ".join(w)))
+    words = _prose(200, rng).split()
+    for i in range(200, 260):  # much in common, too little to be linked
+        w = list(words)
+        for p in range(3, 200, 14):
+            w[p] = f"u{i}x{p}"
+        out.append((i, " ".join(w)))
+    for i, word in ((300, thue_morse(2048)), (301, thue_morse(2048, True))):  # alike to polynomial hashes modulo 2**64
+        out.append((i, " ".join([word] * 4 + ["end"])))
+    monkeypatch.setattr(minhash, "BLOCK", 16)
     df = spark.createDataFrame(out, "doc_id long, text string")
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in out}
     label = {i: i for i in sets}
@@ -375,6 +389,10 @@ def test_decontamination(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == len(rows) - sum(r[0] in hit for r in rows)
     assert decontaminate.clean(docs, items.limit(0)).count() == len(rows)
     assert decontaminate.matches(none, items).collect() == []
+    mixed = spark.createDataFrame([(None, _prose(30, random.Random(9))), (1, rows[12][1][:200]), (None, rows[12][1][:150])], "item_id long, text string")
+    both = decontaminate.matches(docs, mixed)
+    assert both.schema["item_id"].dataType.simpleString() == "bigint"
+    assert {r["item_id"] for r in both.filter("doc_id = 12").collect()} == {1, None}
 
 
 def reference_spans(t):

@@ -268,6 +268,36 @@ def test_decontamination_by_brute_force():
                 assert got[r, i] == want
 
 
+def test_repetitive_items_and_texts():
+    import time
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared = " ".join(word() for _ in range(20))
+    items = [(i, (shared + " " + " ".join(word() for _ in range(20)) + " " + shared).encode()) for i in range(200)]
+    items += [(200, (shared + " ").encode() * 8), (201, b"ab " * 120)]
+    ix = decontaminate.Index(items)
+    text = (shared + " ").encode() * 20 + items[7][1] + b" " + items[9][1].replace(b"a", b"x", 3) + b" " + b"ab " * 150
+    t = time.perf_counter()
+    got = {i: d for _, i, d, _ in ix.match(*packed([text]))}
+    assert time.perf_counter() - t < 3
+    assert got == {7: 0, 9: 3, 200: 0, 201: 0}
+
+
+def test_long_texts_in_windows(monkeypatch):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(n))
+    items = [(i, words(rng.randint(6, 60)).encode()) for i in range(12)]
+    text = b" !  ".join(words(rng.randint(0, 200)).encode() + b"\n" * rng.randint(0, 40) + items[i % 12][1].replace(b"a", b"q", i // 12) for i in range(36))
+    rows = [b"", text, b"short", text[: len(text) // 2] + items[3][1]]
+    ix = decontaminate.Index(items)
+    want = ix.match(*packed(rows))
+    monkeypatch.setattr(decontaminate, "CHUNK_IN", 700)
+    assert [x[:3] for x in ix.match(*packed(rows))] == [x[:3] for x in want] and len(want) > 12
+    assert ix.match(*packed(rows)) == want
+    assert decontaminate.long_plain(np.frombuffer(text, np.uint8)).tobytes().strip() == decontaminate.plain(*packed([text]))[0].tobytes().strip()
+
+
 def test_warc_file_format():
     trained = warc.dictionary.__defaults__ and b"WARC/1.1 WARC-Type: response" * 20
     packer = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(trained))

@@ -3,14 +3,19 @@
 Texts are compared as bytes of a plain form: letters in lower case, every run of other ASCII characters one space.
 An item of n such bytes has an edit budget e = min(rate * n, what leaves at least `floor` shared q-grams). By the
 q-gram lemma a copy with at most e edits shares at least n - q + 1 - q * e q-grams with it, on diagonals at most
-e apart; so diagonals are cut in overlapping bands of width 2e at steps of e, and a band with fewer hits holds no copy. What is
-left is aligned: the whole item against the region, in a band of diagonals around the hits.
+e apart; so diagonals are cut in overlapping bands of width 2e at steps of e, and a band that fewer of a text's q-grams hit holds no
+copy. What is left is aligned: the whole item in the band and e diagonals on each side of it, many bands at once.
+
+A q-gram's places in an item are kept in steps of e, so that one q-gram of a text hits an item n / e times at most, however often
+the item repeats itself; a step hits all bands that any of its places would. Hits are counted in bounded slices.
 
 The items are a stated query set: they are read in blocks of at most BLOCK bytes, each broadcast by itself, against
 all documents. Items shorter than q + floor - 1 plain bytes are looked for with no edits.
 
 Cases: null or empty text or item: no match. Items without letters or digits are skipped. Repeated rows of either table
-are matched one by one. Extra columns stay as they are. Empty tables: no match, every document is kept.
+are matched one by one. A null item id is an id like others. Of an item's matches in a text the one with the fewest edits counts, of these
+the first. Extra columns stay as they are. Empty tables: no match, every document is kept. Very long texts: their plain form is matched in
+overlapping windows, so working memory is about 60 times CHUNK_IN bytes, or the length of the longest item if that is more, and the text.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Rolling, chunks, filtered, flat
+from .common import Rolling, chunks, filtered, flat, named, tidy
 
 Q, RATE, FLOOR = 16, 0.05, 8
 BLOCK = 4 << 20
+HITS, CELLS = 2 << 20, 8 << 20  # hits counted at once, and bytes of text aligned at once
 CHUNK_IN = 1 << 20
 
 _PLAIN = np.full(256, 32, np.uint8)
@@ -76,9 +83,15 @@ class Index:
             self.need.append(max(1, n - q + 1 - q * e))
             if n >= q:
                 s = np.arange(n - q + 1)
-                grams.append(Rolling(np.frombuffer(t, np.uint8))(s, s + q))
-                posts.append((np.int64(j) << 32) | s)
+                g = Rolling(np.frombuffer(t, np.uint8))(s, s + q)
+                step = s // max(e, 1)
+                order = np.lexsort((step, g))
+                g, step = g[order], step[order]
+                new = np.append(True, (g[1:] != g[:-1]) | (step[1:] != step[:-1]))
+                grams.append(g[new])
+                posts.append((np.int64(j) << 32) | step[new])
         self.short = [j for j, t in enumerate(self.text) if len(t) < q]
+        self.longest = max(map(len, self.text), default=0) + max(self.budget, default=0)
         g = np.concatenate([np.zeros(0, np.uint64), *grams])
         order = np.argsort(g, kind="stable")
         self.posts = np.concatenate([np.zeros(0, np.int64), *posts])[order]
@@ -91,11 +104,48 @@ class Index:
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def _bands(self, s: np.ndarray, k: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, item, band) that enough q-grams hit: those at places s of the text's, of number k."""
+        times = self.count[k]
+        upto = np.cumsum(times)
+        kept, a = [], 0
+        while a < len(s):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, "right")))
+            spread = np.repeat(np.arange(a, b), times[a:b])
+            nth = np.arange(len(spread)) - np.repeat(upto[a:b] - times[a:b] - (upto[a - 1] if a else 0), times[a:b])
+            post = self.posts[self.first[k[spread]] + nth]
+            item = post >> 32
+            step = np.maximum(self.reach[item], 1)
+            # places [p*step, (p+1)*step) lie on diagonals (s - (p+1)*step, s - p*step], and band b holds [b*step, (b+2)*step]
+            high = s[spread] // step - (post & 0xFFFFFFFF)
+            band = (high[:, None] - np.arange(3)).ravel()
+            keys = np.stack([np.repeat(row[spread], 3), np.repeat(item, 3), band])
+            kept.append(_counted(keys, np.ones(len(band), np.int64)))
+            a = b
+        if not kept:
+            z = np.zeros(0, np.int64)
+            return z, z, z
+        keys, n = _counted(np.concatenate([x for x, _ in kept], axis=1), np.concatenate([x for _, x in kept])) if len(kept) > 1 else kept[0]
+        row, item, band = keys[:, n >= self.lack[keys[1]]]
+        return row, item, band
+
     def match(self, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, start) of the best match of each row and item; start is in the plain form."""
-        body, at = plain(raw, off)
+        if len(raw) <= 2 * CHUNK_IN:
+            return self._match(*plain(raw, off))
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for r in range(len(off) - 1):
+            body = long_plain(raw[off[r] : off[r + 1]])
+            window = max(CHUNK_IN, 2 * self.longest)
+            for a in range(0, max(1, len(body)), window):
+                part = body[max(0, a - 1) : a + window + self.longest + 2]
+                for _, i, d, p in self._match(part, np.array([0, len(part) - 1])):
+                    found[r, i] = min(found.get((r, i), (d, p + max(0, a - 1))), (d, p + max(0, a - 1)))
+        return [(r, i, d, p) for (r, i), (d, p) in sorted(found.items())]
+
+    def _match(self, body: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         found: dict[tuple[int, int], tuple[int, int]] = {}
-        n = len(body)
+        whole, n = body.tobytes(), len(body)
         if n >= self.q and len(self.grams):
             s = np.arange(n - self.q + 1)
             g = Rolling(body)(s, s + self.q)
@@ -106,37 +156,28 @@ class Index:
             s, k = s[hit], k[hit]
             row = np.searchsorted(at, s, "right") - 1
             inside = (row < len(at) - 1) & (s + self.q <= at[np.minimum(row + 1, len(at) - 1)] + 1)
-            s, k, row = s[inside], k[inside], row[inside]
-            times = self.count[k]
-            spread = np.repeat(np.arange(len(s)), times)
-            nth = np.arange(len(spread)) - np.repeat(np.cumsum(times) - times, times)
-            post = self.posts[self.first[k][spread] + nth]
-            item, diag = post >> 32, s[spread] - (post & 0xFFFFFFFF)
-            row = row[spread]
-            step = np.maximum(self.reach[item], 1)
-            low = np.floor_divide(diag, step)
-            # band b holds the diagonals [b*step, (b+2)*step]: a hit is in band low and low-1, and in low-2 on the border
-            parts = [(row, item, low, diag), (row, item, low - 1, diag)]
-            border = diag % step == 0
-            parts.append((row[border], item[border], low[border] - 2, diag[border]))
-            row, item, band, diag = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((band, item, row))
-            row, item, band = row[order], item[order], band[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(row)))
-            for f in first[size >= self.lack[item[first]]]:
-                r, i, b = int(row[f]), int(item[f]), int(band[f])
-                if found.get((r, i), (1,))[0] == 0:
-                    continue
-                e = self.budget[i]
-                w = max(e, 1)
-                lo, hi = max(int(at[r]), b * w - e), min(int(at[r + 1]) + 1, (b + 2) * w + len(self.text[i]) + e)
-                if (got := align(self.text[i], body[lo:hi], e)) is not None and ((r, i) not in found or got[0] < found[r, i][0]):
-                    found[r, i] = (got[0], got[1] + lo - int(at[r]))
+            row, item, band = self._bands(s[inside], k[inside], row[inside])
+            pair = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1])) if len(row) else np.zeros(0, bool)
+            for r, i in zip(row[pair].tolist(), item[pair].tolist(), strict=True):
+                if (p := whole.find(self.text[i], at[r], at[r + 1] + 1)) >= 0:
+                    found[r, i] = (0, p - int(at[r]))
+            number = np.cumsum(pair) - 1
+            whole_copy = np.array([(r, i) in found for r, i in zip(row[pair].tolist(), item[pair].tolist(), strict=True)], bool)
+            open_ = ~whole_copy[number] & (self.reach[item] > 0) if len(row) else pair
+            row, item, band = row[open_], item[open_], band[open_]
+            for e in np.unique(self.reach[item]).tolist():
+                mine = np.flatnonzero(self.reach[item] == e)
+                size = max(1, CELLS // (max(len(self.text[i]) for i in item[mine].tolist()) + 8 * e + 8))
+                for c in range(0, len(mine), size):
+                    part = mine[c : c + size]
+                    low = band[part] * e - e
+                    edits, start = align([self.text[i] for i in item[part].tolist()], body, low, at[row[part]], at[row[part] + 1] + 1, e)
+                    for r, i, d, p in zip(row[part].tolist(), item[part].tolist(), edits.tolist(), start.tolist(), strict=True):
+                        if d <= e:
+                            here = (d, p - int(at[r]))
+                            found[r, i] = min(found.get((r, i), here), here)
         for i in self.short:
-            t, whole = b" " + self.text[i] + b" ", body.tobytes()
+            t = b" " + self.text[i] + b" "
             p = whole.find(t)
             while p >= 0:
                 r = int(np.searchsorted(at, p, "right") - 1)
@@ -146,36 +187,88 @@ class Index:
         return [(r, i, d, p) for (r, i), (d, p) in sorted(found.items())]
 
 
-def align(item: bytes, region: np.ndarray, most: int) -> tuple[int, int] | None:
-    """Fewest edits between the whole item and a part of the region, with the part's start; None beyond `most`.
-
-    The region is only as long as the item and the band's width, so a row of the table is the band."""
-    if (p := region.tobytes().find(item)) >= 0:
-        return 0, p
-    if most == 0:
-        return None
-    m = len(region)
-    steps = np.arange(m + 1)
-    cost, start = np.zeros(m + 1, np.int64), steps.copy()
-    for ch in item:
-        best = np.empty(m + 1, np.int64)
-        origin = np.empty(m + 1, np.int64)
-        best[0], origin[0] = cost[0] + 1, start[0]
-        swap, drop = cost[:-1] + (region != ch), cost[1:] + 1
-        best[1:] = np.minimum(swap, drop)
-        origin[1:] = np.where(swap <= drop, start[:-1], start[1:])
-        run = np.minimum.accumulate(best - steps)  # insertions: the least of best[j] + (k - j)
-        at = np.maximum.accumulate(np.where(best - steps == run, steps, 0))
-        cost, start = run + steps, origin[at]
-        if cost.min() > most:
-            return None
-    k = int(np.argmin(cost))
-    return (int(cost[k]), int(start[k])) if cost[k] <= most else None
+def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns in order, and the sums of n."""
+    order = np.lexsort(keys[::-1])
+    keys, n = keys[:, order], n[order]
+    new = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if len(n) else np.zeros(0, np.int64)
+    return keys[:, new], np.add.reduceat(n, new) if len(n) else n
+
+
+def long_plain(raw: np.ndarray) -> np.ndarray:
+    """The plain form of one long text, made from parts that end where a run of other characters starts."""
+    out, a = [], 0
+    while a < len(raw):
+        b = a + CHUNK_IN
+        while b < len(raw):
+            other = np.flatnonzero(_PLAIN[raw[b : b + CHUNK_IN]] == 32)
+            if len(other):
+                b += int(other[0])
+                break
+            b += CHUNK_IN
+        part = raw[a:b]
+        out.append(plain(part, np.array([0, len(part)]))[0].tobytes().rstrip(b" "))
+        a = b
+    return np.frombuffer(b"".join(x for x in out if x) + b" ", np.uint8)
+
+
+def align(items: list[bytes], body: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits between each whole item and a part of body[begin:end] on the 4 * most + 1 diagonals from `low`, and the part's start;
+    more than `most` edits stand for none. A cell holds cost * scale + the diagonal it came from, so the least is the first of the best."""
+    width, c = 4 * most + 1, len(items)
+    scale = 1 << width.bit_length()
+    size = np.array([len(t) for t in items])
+    order = np.argsort(-size, kind="stable")
+    size, low, begin, end = size[order], low[order], begin[order], end[order]
+    longest = int(size[0])
+    letters = np.zeros((c, longest), np.uint8)
+    for x, j in enumerate(order.tolist()):
+        letters[x, : size[x]] = np.frombuffer(items[j], np.uint8)
+    # what stands beside the text never matches: reading it costs as much as leaving out the item's letter
+    place = low[:, None] + np.arange(longest + width)
+    region = np.where((place >= begin[:, None]) & (place < end[:, None]), body.take(place, mode="clip"), np.uint8(0))
+    kind = np.int32 if (most + 3) * scale < 1 << 31 else np.int64
+    diagonal = np.arange(width, dtype=kind)
+    cell = np.tile(diagonal, (c, 1))
+    live = np.arange(c)
+    edits, start = np.full(c, most + 1), np.zeros(c, np.int64)
+    one, beyond = kind(scale), kind((most + 2) * scale)
+    climb = diagonal * one
+    for i in range(longest):
+        n = int(np.searchsorted(-size[live], -i, "left"))  # items longer than i
+        if n < len(live):
+            _settle(cell[n:], live[n:], scale, edits, start)
+            live, cell = live[:n], cell[:n]
+        if not n:
+            break
+        if i % 8 == 0:
+            some = cell.min(axis=1) < (most + 1) * scale
+            if not some.all():
+                live, cell = live[some], cell[some]
+                if not len(live):
+                    break
+        best = cell + one * (region[live, i : i + width] != letters[live, i][:, None])
+        np.minimum(best[:, :-1], cell[:, 1:] + one, out=best[:, :-1])
+        best -= climb
+        np.minimum.accumulate(best, axis=1, out=best)
+        best += climb
+        cell = np.minimum(best, beyond)
+    else:
+        _settle(cell, live, scale, edits, start)
+    start = np.clip(low + start, begin, end)
+    back = np.empty(c, np.int64)
+    back[order] = np.arange(c)
+    return edits[back], start[back]
+
+
+def _settle(cell: np.ndarray, live: np.ndarray, scale: int, edits: np.ndarray, start: np.ndarray) -> None:
+    least = cell.min(axis=1)
+    edits[live], start[live] = least // scale, least % scale
 
 
 def blocks(items: DataFrame, key: str = "item_id", text: str = "text", size: int = BLOCK) -> Iterator[list[tuple[object, bytes]]]:
     """The query set, a bounded block at a time: blocks are dealt by hash, and split again if one comes out too large."""
-    rows = items.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).filter(F.length("text") > 0).withColumn("h", F.xxhash64("text", "key"))
+    rows = items.select(named(key).alias("key"), named(text).cast("binary").alias("text")).filter(F.length("text") > 0).withColumn("h", F.xxhash64("text", "key"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // size)) if total > size else 1
     for k in range(n):
@@ -187,17 +280,18 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     """(doc key, item key, edits, budget, start) of every document and item that match."""
     spark = docs.sparkSession
     out = None
-    src = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
+    src = docs.select(named(key).alias("key"), named(text).cast("binary").alias("text"))
+    item_type = to_arrow_type(items.schema[item_key].dataType)
     schema = src.select("key").schema.add("item", items.schema[item_key].dataType).add("edits", "long").add("budget", "long").add("start", "long")
     for block in blocks(items, item_key, item_text):
         shared = spark.sparkContext.broadcast(Index(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             of = shared.value
-            item_type = pa.array([of.ids[0]]).type if of.ids else pa.int64()
             for b in chunks(batches, "text", CHUNK_IN):
                 if got := of.match(*flat(b.column("text"))):
                     yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array([x[0] for x in got])), pa.array([of.ids[x[1]] for x in got], item_type), *[pa.array(c, pa.int64()) for c in ([x[2] for x in got], [of.budget[x[1]] for x in got], [x[3] for x in got])]], schema.names)
+            tidy()
 
         part = src.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

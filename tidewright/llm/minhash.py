@@ -7,18 +7,21 @@
    from does. A pair goes on if its sizes allow the similarity and its estimate - matching bits, corrected for chance:
    J = (p - 1/4) / (3/4) - is no more than SLACK below the limit. Up to TRIES best hubs of a class are confirmed on the full sets.
    This links nearly all of a large group with a few pairs for each member.
-3. What the hubs may have missed: buckets that still hold more than one component. Classes that such buckets join, directly
-   or through others, are a cluster, and within it every pair of different components whose estimate passes is confirmed. A
-   large cluster is cut in blocks, and each pair of blocks is a group by itself, so that no task holds more than two blocks;
-   pairs are never rows. Nothing is capped, and buckets within one component need no pair.
+3. What the hubs may have missed: buckets that still hold more than one component. In each such bucket, and only there, every pair of
+   different components is estimated; members with a partner whose estimate passes go on with their sets, and those pairs are
+   confirmed. A large bucket is cut in blocks, and each pair of blocks is a group by itself, so that no task holds more than two
+   blocks at once; pairs are never rows, only the links found are. Nothing is capped, and buckets within one component need no pair.
 4. Components: each label hooks to its least neighbour, pointers are halved, and edges between labels remain, until none do.
 
-With J = 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 as set here; SLACK is five standard
+A shingle is a 64-bit hash of its words' hashes, a set's digest 128 bits; n distinct shingles have n*n/2**65 expected clashes, which
+change an intersection by one. With J = 0.8 a pair shares no band with probability (1 - 0.8**rows)**bands, 5e-8 as set here; SLACK is five standard
 deviations of the estimate.
 
 Cases: null or empty text and text without words: an empty set, linked with nothing (component is the id itself).
 Fewer words than a shingle: the whole sequence is one shingle. Equal texts and repeated rows share a class; a repeated
-row has the same result in each copy. A null id is linked with nothing and has a null component. An empty table gives an empty result.
+row has the same result in each copy. One id with several texts: each row goes with the class of its own text; a class is named by its
+least id, and classes of one name count as linked. A null id is linked with nothing and has a null component. An empty table gives an empty result. Very long texts are
+read whole, in working memory of about 60 times a text that is longer than common.CHUNK.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ from .common import chunks, flat, lowered, mix, named, saved, tidy, word_keys
 BANDS, ROWS, BITS, MINIMA = 32, 4, 2, 256
 SLACK, TRIES = 0.15, 4
 BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+SPREAD = 512  # members of a bucket that one task joins with its hub
+PAIRS = 1 << 20  # pairs estimated at once
 LONGS = T.ArrayType(T.LongType())
 _ODD = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -85,9 +90,20 @@ def minima(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def digests(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """128 bits for each row's set, null if it is empty."""
+    full = np.flatnonzero(np.diff(at))
+    out: list[bytes | None] = [None] * (len(at) - 1)
+    if len(full):
+        two = np.stack([np.add.reduceat(x, at[:-1][full]) for x in (h, mix(h ^ np.uint64(0x5851F42D4C957F2D)))], axis=1).astype(">u8").tobytes()
+        for k, i in enumerate(full.tolist()):
+            out[i] = two[16 * k : 16 * k + 16]
+    return pa.array(out, pa.binary())
+
+
 def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """(id, n, set, bits, buckets) of every row; set is a 128-bit digest of the shingle set, null if it is empty."""
-    src = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
+    src = docs.select(named(key).alias("id"), named(text).cast("binary").alias("text"))
     schema = src.select("id").schema.add("n", "long").add("set", "binary").add("bits", LONGS).add("buckets", LONGS)
     n = MINIMA
     per = 64 // BITS
@@ -97,14 +113,9 @@ def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             h, at = shingles(*flat(b.column("text")), k)
             count = np.diff(at)
             full = np.flatnonzero(count)
-            sets: list[bytes | None] = [None] * b.num_rows
             offsets = np.zeros(b.num_rows + 1, np.int32)
             bits = buckets = np.zeros(0, np.int64)
             if len(full):
-                start = at[:-1][full]
-                two = [np.add.reduceat(h, start), np.add.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), start)]
-                for i, x, y in zip(full, *two, strict=True):
-                    sets[i] = int(x).to_bytes(8, "big") + int(y).to_bytes(8, "big")
                 m = minima(h, at, n)
                 low = (m & np.uint64((1 << BITS) - 1)).reshape(len(full), n // per, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
                 bits = np.bitwise_or.reduce(low, axis=2).view(np.int64).ravel()
@@ -113,21 +124,23 @@ def sketch(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
             has = (count > 0).astype(np.int32)
             np.cumsum(has, out=offsets[1:])
             lists = [pa.ListArray.from_arrays(pa.array(offsets * w, pa.int32()), pa.array(x)) for w, x in ((n // per, bits), (BANDS, buckets))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(count), pa.array(sets, pa.binary()), *lists], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(count), digests(h, at), *lists], schema.names)
+        tidy()
 
     return src.mapInArrow(run, schema)
 
 
 def hashed_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of (id, text)."""
+    """(id, set, shingles) of (id, text); set is the digest."""
     src = docs.select("id", F.col("text").cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             h, at = shingles(*flat(b.column("text")), k)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), digests(h, at), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "set", "shingles"])
+        tidy()
 
-    return src.mapInArrow(run, src.select("id").schema.add("shingles", LONGS))
+    return src.mapInArrow(run, src.select("id").schema.add("set", "binary").add("shingles", LONGS))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -206,6 +219,60 @@ def cluster_links(t: pa.Table, num: int, den: int, limit: float) -> pa.Table:
     return pa.table([pa.array([x[0] for x in out], kind), pa.array([x[1] for x in out], kind)], names=["a", "b"])
 
 
+def partnered(dealt: DataFrame, num: int, den: int, limit: float) -> DataFrame:
+    """The rows of groups (bucket, i, j) that have a partner there: of another label, and of another block where i and j differ, with sizes
+    and an estimate that allow the similarity."""
+    odd, chance = np.uint64(0x5555555555555555), 0.5**BITS
+    most = MINIMA * (1 - chance - limit * (1 - chance))  # bits that may differ
+
+    def able(rows: pa.Table) -> np.ndarray:
+        """Of whole groups."""
+        group, n, two = (np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")]), rows.column("n").to_numpy(), rows.column("i").to_numpy() != rows.column("j").to_numpy())
+        block = rows.column("mine").to_numpy()
+        label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = np.array(rows.column("bits").combine_chunks().flatten()).view(np.uint64).reshape(len(n), -1)
+        first = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
+        end = np.repeat(np.append(first[1:], len(n)), np.diff(np.append(first, len(n))))
+        later = end - np.arange(len(n)) - 1
+        upto = np.cumsum(later)
+        out, x = np.zeros(len(n), bool), 0
+        while x < len(n):
+            y = max(x + 1, int(np.searchsorted(upto, (upto[x - 1] if x else 0) + PAIRS, "right")))
+            k = later[x:y]
+            one = np.repeat(np.arange(x, y), k)
+            other = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(k) - k, k)
+            go = (label[one] != label[other]) & ((block[one] != block[other]) | ~two[one])
+            one, other = one[go], other[go]
+            go = np.minimum(n[one], n[other]) * den >= np.maximum(n[one], n[other]) * num
+            one, other = one[go], other[go]
+            differ = np.zeros(len(one), np.int64)
+            for c in range(bits.shape[1]):
+                z = bits[one, c] ^ bits[other, c]
+                differ += np.bitwise_count((z | (z >> np.uint64(1))) & odd)
+            go = differ <= most
+            out[one[go]] = out[other[go]] = True
+            x = y
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([b])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            last = [rows.column(c)[-1].as_py() for c in ("bucket", "i", "j")]
+            whole = ~np.logical_and.reduce([rows.column(c).to_numpy() == v for c, v in zip(("bucket", "i", "j"), last, strict=True)])
+            ready, held = rows.slice(0, int(whole.sum())), rows.slice(int(whole.sum()))
+            if ready.num_rows:
+                yield from ready.filter(pa.array(able(ready))).to_batches()
+        if held is not None:
+            yield from held.filter(pa.array(able(held))).to_batches()
+        tidy()
+
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, dealt.schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every end of an edge (a, b); the label is the smallest id reachable."""
     edges = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -242,34 +309,36 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, key: str, text: str)
     shared = saved(spread().groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
     members = saved(spread().join(shared, "bucket"), "members")
     weight = saved(members.groupBy("id").agg(F.sum("size").alias("weight")), "weights")
+    _parts = F.expr(f"1 + size div {SPREAD}")
     hub = F.max(F.struct(F.col("weight"), F.xxhash64("id").alias("h"), F.col("id").alias("hub")))
-    hubs = saved(members.join(weight, "id").groupBy("bucket").agg(hub.alias("h")).select("bucket", "h.hub"), "hubs")
+    hubs = members.join(weight, "id").groupBy("bucket").agg(hub.alias("h"), F.max("size").alias("size"))
+    hubs = saved(hubs.select("bucket", "h.hub", F.explode(F.sequence(F.lit(0).cast("long"), _parts - 1)).alias("part")), "hubs")
     mine = classes.select("id", "n", "bits")
     info = lambda c: mine.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     limit = num / den - SLACK
 
-    pairs = members.join(hubs, "bucket").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    # members of a large bucket meet copies of its hub in several tasks
+    pairs = members.withColumn("part", F.pmod(F.xxhash64("id"), _parts)).join(hubs, ["bucket", "part"]).filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = pairs.join(info("a"), "a").join(info("b"), "b").filter(_sized(F.col("n_a"), F.col("n_b"), num, den)).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("est")).filter(F.col("est") >= limit)
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("est"), "b"))
     pairs = saved(pairs.withColumn("r", best).filter(F.col("r") <= TRIES).select("a", "b"), "hub_pairs")
     need = weight.select("id")
-    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(need, "id")
-    sets = saved(hashed_sets(texts, k).dropDuplicates(["id"]), "sets")
+    texts = docs.select(named(key).alias("id"), named(text).alias("text")).join(need, "id")
+    sets = saved(hashed_sets(texts, k).dropDuplicates(["id", "set"]).join(classes.select("id", "set"), ["id", "set"], "left_semi").drop("set"), "sets")
     links = saved(confirm(pairs, sets, num, den), "links")
     labels = components(links)
 
     # buckets with more than one component
-    named = saved(members.select("id", "bucket").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")), "named")
-    open_ = saved(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"), "open")
-    rest = saved(named.join(open_, "bucket"), "rest")
-    weak = rest.groupBy("bucket").agg(F.min("id").alias("b"))
-    weak = components(rest.join(weak, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b"))
-    weak = weak.select("id", F.col("label").alias("cluster")).join(mine, "id").join(labels, "id", "left").select("id", "cluster", "n", "bits", F.coalesce("label", "id").alias("label"))
-    weak = saved(weak, "clusters")
-    sizes = weak.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = weak.join(saved(sizes, "cluster_sizes"), "cluster").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "label", "n", "bits", "mine").join(sets, "id")
-    extra = saved(dealt.groupBy("cluster", "i", "j").applyInArrow(lambda t: cluster_links(t, num, den, limit), T.StructType([T.StructField("a", mine.schema["id"].dataType), T.StructField("b", mine.schema["id"].dataType)])), "more_links")
+    told = mine.join(labels, "id", "left").select("id", "n", "bits", F.coalesce("label", "id").alias("label"))
+    placed = saved(members.select("id", "bucket").join(told.select("id", "n", "label"), "id"), "placed")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    open_ = saved(placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).filter("lo <> hi").select("bucket", "blocks"), "open")
+    rest = saved(placed.select("bucket", "id").join(open_, "bucket"), "rest")
+    dealt = rest.join(told, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "n", "bits")
+    able = saved(partnered(dealt, num, den, limit), "able")
+    extra = able.join(sets, "id").groupBy("bucket", "i", "j")
+    extra = saved(extra.applyInArrow(lambda t: cluster_links(t, num, den, limit), T.StructType([T.StructField("a", mine.schema["id"].dataType), T.StructField("b", mine.schema["id"].dataType)])), "more_links")
     if extra.limit(1).count():
         labels = components(links.unionByName(extra))
     by_set = saved(classes.select("set", "id").join(labels, "id", "left").select("set", F.coalesce("label", "id").alias("component")), "by_set")
