@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,10 @@ from .common import chunks, flat, named, new_path, saved, tidy
 from .warc import filesystem
 
 END = 0
-FILE_IDS = 2 << 20
+FILE_IDS = 3 << 20
 PART, LEAST_PART = 256 << 20, 8 << 20  # bytes of text in a task; in one of a small table
 CACHE_IDS, PIECES = 3 << 20, 500_000  # what a worker keeps of pieces met
-CHUNK_IN = 2 << 20
+CHUNK_IN = 4 << 20
 
 # classes of bytes: 0 letter, 1 digit, 2 other, 3 white space, 4 not decided here
 _CLASS = np.full(256, 4, np.uint8)
@@ -124,23 +124,34 @@ class Tokens:
         _, ends, data = coded.dictionary.buffers()
         ends, data = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes()
         pieces = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        spot = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(self.at) > PIECES or len(self.ids) > CACHE_IDS:
-            self.clear()
-        spot = [self.at.get(x, -1) for x in pieces]
-        if new := [i for i, x in enumerate(spot) if x < 0]:
+            self._keep(pieces, spot)
+        if new := np.flatnonzero(spot < 0).tolist():
             known = len(self.first)
             some = [pieces[i] for i in new]
             text = b"".join(some).decode("latin-1").translate(self.letters)  # a letter a byte
             ends = list(accumulate(map(len, some)))
             of = self.model.tokenize
             got = [[t.id for t in of(text[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
-            for k, i in enumerate(new, known):
-                self.at[pieces[i]] = spot[i] = k
+            spot[new] = np.arange(known, known + len(new))
+            self.at.update(zip(some, range(known, known + len(new))))
             lens = np.array([len(x) for x in got], np.int64)
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lens) - lens])
             self.size = np.concatenate([self.size, lens])
             self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(got)), np.uint32)])
-        return np.array(spot, np.int64)[coded.indices.to_numpy()]
+        return spot[coded.indices.to_numpy()]
+
+    def _keep(self, pieces: list[bytes], spot: np.ndarray) -> None:
+        """Forgets all pieces but these; spot gets their new numbers."""
+        met = np.flatnonzero(spot >= 0)
+        old = spot[met]
+        size = self.size[old]
+        begin = np.cumsum(size) - size
+        self.ids = self.ids[np.repeat(self.first[old] - begin, size) + np.arange(size.sum())]
+        self.first, self.size = begin, size
+        spot[met] = np.arange(len(met))
+        self.at = {pieces[i]: k for k, i in enumerate(met.tolist())}
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END, and how many each has."""
