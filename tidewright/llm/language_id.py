@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import chunks, distinct_words, filtered, flat, mix, named, saved, tidy
 
 SAMPLE, TOP = 2000, 4
+LANGS = 1 << 16  # beyond so many languages, their shares are joined by shuffles
 EVIDENCE = 10.0  # words whose evidence a score weighs at most, so that longer texts don't all end at 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,7 +82,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     """The model: langs, and for words and grams sorted keys, where each one's languages are, and log(2c + 1) of its counts there."""
     rows = labelled.select(named(lang).alias("lang"), named(text).cast("binary").alias("text"), F.xxhash64(named(key).cast("string"), F.lit("sample")).alias("h")).filter(F.col("lang").isNotNull())
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share"))
-    picked = rows.join(share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
+    share = saved(share, "shares")
+    picked = rows.join(F.broadcast(share) if share.count() <= LANGS else share, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text"):
