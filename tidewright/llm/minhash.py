@@ -38,7 +38,7 @@ from .common import chunks, flat, lowered, mix, named, saved, tidy, word_keys
 
 BANDS, ROWS, BITS, MINIMA = 32, 4, 2, 256
 SLACK, TRIES = 0.15, 4
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 SPREAD = 512  # members of a bucket that one task joins with its hub
 PAIRS = 1 << 20  # pairs estimated at once
 LONGS = T.ArrayType(T.LongType())
@@ -221,7 +221,7 @@ def cluster_links(t: pa.Table, num: int, den: int, limit: float) -> pa.Table:
 
 def partnered(dealt: DataFrame, num: int, den: int, limit: float) -> DataFrame:
     """The rows of groups (bucket, i, j) that have a partner there: of another label, and of another block where i and j differ, with sizes
-    and an estimate that allow the similarity."""
+    and an estimate that allow the similarity. Of the buckets that a pair shares only the first band's counts."""
     odd, chance = np.uint64(0x5555555555555555), 0.5**BITS
     most = MINIMA * (1 - chance - limit * (1 - chance))  # bits that may differ
 
@@ -231,6 +231,7 @@ def partnered(dealt: DataFrame, num: int, den: int, limit: float) -> DataFrame:
         block = rows.column("mine").to_numpy()
         label = rows.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
         bits = np.array(rows.column("bits").combine_chunks().flatten()).view(np.uint64).reshape(len(n), -1)
+        buckets = rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(n), -1)
         first = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
         end = np.repeat(np.append(first[1:], len(n)), np.diff(np.append(first, len(n))))
         later = end - np.arange(len(n)) - 1
@@ -250,7 +251,11 @@ def partnered(dealt: DataFrame, num: int, den: int, limit: float) -> DataFrame:
                 z = bits[one, c] ^ bits[other, c]
                 differ += np.bitwise_count((z | (z >> np.uint64(1))) & odd)
             go = differ <= most
-            out[one[go]] = out[other[go]] = True
+            one, other = one[go], other[go]
+            for c in range(0, len(one), PAIRS >> 4):
+                a, b = one[c : c + (PAIRS >> 4)], other[c : c + (PAIRS >> 4)]
+                here = buckets[a, (buckets[a] == buckets[b]).argmax(axis=1)] == group[0, a]
+                out[a[here]] = out[b[here]] = True
             x = y
         return out
 
@@ -313,7 +318,7 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, key: str, text: str)
     hub = F.max(F.struct(F.col("weight"), F.xxhash64("id").alias("h"), F.col("id").alias("hub")))
     hubs = members.join(weight, "id").groupBy("bucket").agg(hub.alias("h"), F.max("size").alias("size"))
     hubs = saved(hubs.select("bucket", "h.hub", F.explode(F.sequence(F.lit(0).cast("long"), _parts - 1)).alias("part")), "hubs")
-    mine = classes.select("id", "n", "bits")
+    mine = classes.select("id", "n", "bits", "buckets")
     info = lambda c: mine.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     limit = num / den - SLACK
 
@@ -329,14 +334,14 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, key: str, text: str)
     labels = components(links)
 
     # buckets with more than one component
-    told = mine.join(labels, "id", "left").select("id", "n", "bits", F.coalesce("label", "id").alias("label"))
+    told = mine.join(labels, "id", "left").select("id", "n", "bits", "buckets", F.coalesce("label", "id").alias("label"))
     placed = saved(members.select("id", "bucket").join(told.select("id", "n", "label"), "id"), "placed")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     open_ = saved(placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), blocks.alias("blocks")).filter("lo <> hi").select("bucket", "blocks"), "open")
     rest = saved(placed.select("bucket", "id").join(open_, "bucket"), "rest")
     dealt = rest.join(told, "id").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "n", "bits")
-    able = saved(partnered(dealt, num, den, limit), "able")
+    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "label", "n", "bits", "buckets")
+    able = saved(partnered(dealt, num, den, limit).drop("buckets"), "able")
     extra = able.join(sets, "id").groupBy("bucket", "i", "j")
     extra = saved(extra.applyInArrow(lambda t: cluster_links(t, num, den, limit), T.StructType([T.StructField("a", mine.schema["id"].dataType), T.StructField("b", mine.schema["id"].dataType)])), "more_links")
     if extra.limit(1).count():
