@@ -111,3 +111,32 @@ def test_fit_out_of_core_fails_if_not_converged(spark, monkeypatch):
     with pytest.raises(Exception, match="has not converged"):
         registry.QUERIES["fit_out_of_core"](spark, SF).collect()
     assert "most" not in given
+
+
+def test_a_stream_is_the_series(spark):
+    """A streamed fit gives the model table that a fit in memory gives at the same parameters, forecasts with it."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(400)
+    y = np.cumsum(rng.standard_normal(400)) + 2 * x
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, x, strict=True))], "t long, y double, x double").repartition(5)
+    par = [1.9, 0.3, -0.2, 1.1]
+    of = lambda **more: {(r["kind"], r["name"], r["idx"]): (r["value"], r["value_list"]) for r in model.fit(df, "y", "t", p=1, d=1, q=1, exog_cols=["x"], params=par, **more).collect()}
+    plain, streamed = of(), of(out_of_core=True)
+    assert plain.keys() == streamed.keys()
+    for k, (v, values) in plain.items():
+        assert streamed[k][0] == (v if v is None else pytest.approx(v, rel=1e-9)) and (values is None or np.allclose(values, streamed[k][1])), k
+    with pytest.raises(ValueError, match="no keys"):
+        model.fit(df, "y", "t", keys=("x",), out_of_core=True)
+
+
+def test_a_stream_is_sorted_once(spark):
+    from tidewright.streaming import chunked
+
+    df = spark.range(200_000).selectExpr("200000 - id AS t", "cast(id % 7 AS double) AS y", "uuid() AS other")
+    got = chunked.dense_index(df.withColumnRenamed("t", "k"), "k", 8)
+    assert got.agg(F.countDistinct("t"), F.max("t")).first() == (200_000, 200_000)
+    rows = chunked.Stream(df, "y", "t", []).rows
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [r["t"] for r in rows.coalesce(1).limit(3).collect()] == [1, 2, 3]

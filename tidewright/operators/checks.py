@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import pivots
@@ -11,11 +11,16 @@ from .matrices import gram, to_array
 
 def exog_report(exog: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., j, n_rows, n_null, n_repeated, first_missing, last_missing, ok) of (keys.., t, j, x) against t = 1..n."""
-    times = F.collect_set(F.when(F.col("x").isNotNull(), F.col("t")))
-    got = exog.groupBy(*keys, "j").agg(F.count("*").alias("n_rows"), F.count_if(F.col("x").isNull()).alias("n_null"), (F.count("t") - F.countDistinct("t")).alias("n_repeated"), times.alias("there"))
-    gone = F.array_except(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")), "there")
-    got = got.withColumn("gone", gone)
-    return got.select(*keys, "j", "n_rows", "n_null", "n_repeated", F.array_min("gone").alias("first_missing"), F.array_max("gone").alias("last_missing"), ((F.size("gone") == 0) & (F.col("n_null") == 0) & (F.col("n_repeated") == 0)).alias("ok"))
+    counts = exog.groupBy(*keys, "j").agg(F.count("*").alias("n_rows"), F.count_if(F.col("x").isNull()).alias("n_null"), (F.count("t") - F.countDistinct("t")).alias("n_repeated"))
+    # gaps between the times that are there, whose ends are 0 and n + 1
+    there = exog.filter(F.col("x").isNotNull() & F.col("t").between(1, n)).select(*keys, "j", "t").distinct()
+    before = F.coalesce(F.lag("t").over(Window.partitionBy(*keys, "j").orderBy("t")), F.lit(0))
+    gaps = there.withColumn("before", before).groupBy(*keys, "j").agg(F.min(F.when(F.col("t") > F.col("before") + 1, F.col("before") + 1)).alias("first"), F.max(F.when(F.col("t") > F.col("before") + 1, F.col("t") - 1)).alias("last"), F.max("t").alias("end"))
+    got = counts.join(gaps, [*keys, "j"], "left").withColumn("end", F.coalesce("end", F.lit(0).cast("long")))
+    open_end = F.col("end") < n
+    first = F.coalesce("first", F.when(open_end, F.col("end") + 1)).cast("long")
+    last = F.when(open_end, F.lit(n)).otherwise(F.col("last")).cast("long")
+    return got.select(*keys, "j", "n_rows", "n_null", "n_repeated", first.alias("first_missing"), last.alias("last_missing"), (first.isNull() & (F.col("n_null") == 0) & (F.col("n_repeated") == 0)).alias("ok"))
 
 
 def validate_exog(exog: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:

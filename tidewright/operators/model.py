@@ -91,28 +91,34 @@ def fit_rows(spec: K.Spec, y: np.ndarray, x: np.ndarray, exog: list[str], comput
         at = K.kalman(spec, w, z, par[None])
         m = K.Optimum(par, K.unconstrain(spec, par[None])[0], float(at.loglik[0]), float(at.scale[0]), 1 if np.isfinite(at.loglik[0]) else 3, 0, 0.0, False)
     got = K.kalman(spec, w, z, m.params[None])
+    bse = K.standard_errors(spec, w, z, m.params) if compute_bse else np.full(spec.size, np.nan)
+    lost = max(n - spec.lost, 0)
+    return model_rows(spec, exog, m, bse, n, len(w), y[lost:], x[lost:], got.a[0], got.p[0])
+
+
+def model_rows(spec: K.Spec, exog: list[str], m: K.Optimum, bse: np.ndarray, n: int, n_eff: int, tail: np.ndarray, tail_x: np.ndarray, a: np.ndarray, p: np.ndarray) -> list[tuple]:
+    """The model table's rows; tail, tail_x: the last rows that undoing differences needs; a, p: the state after the series."""
     k = spec.size + spec.concentrate
     ll = m.loglik
     sigma2 = m.scale if spec.concentrate else (float(m.params[-1]) if spec.size else float("nan"))
-    bse = K.standard_errors(spec, w, z, m.params) if compute_bse else np.full(spec.size, np.nan)
-    nobs = len(w) - spec.kdiff
+    nobs = n_eff - spec.kdiff
     names = parameter_names(spec, exog)
     num = lambda v: None if v is None or not np.isfinite(v) else float(v)
-    rows = [("param", a, i + 1, num(v), None) for i, (a, v) in enumerate(zip(names, m.params, strict=True))]
-    rows += [("param_unc", a, i + 1, num(v), None) for i, (a, v) in enumerate(zip(names, m.u, strict=True))]
-    rows += [("bse", a, i + 1, num(v), None) for i, (a, v) in enumerate(zip(names, bse, strict=True))]
-    spec_values = (spec.p, spec.d, spec.q, spec.sp, spec.sd, spec.sq, spec.s, spec.r, n, len(w), int(spec.simple_differencing), int(spec.concentrate), len(spec.degrees), spec.kdiff)
-    rows += [("spec", a, i + 1, float(v), None) for i, (a, v) in enumerate(zip(SPEC_NAMES, spec_values, strict=True))]
+    rows = [("param", c, i + 1, num(v), None) for i, (c, v) in enumerate(zip(names, m.params, strict=True))]
+    rows += [("param_unc", c, i + 1, num(v), None) for i, (c, v) in enumerate(zip(names, m.u, strict=True))]
+    rows += [("bse", c, i + 1, num(v), None) for i, (c, v) in enumerate(zip(names, bse, strict=True))]
+    spec_values = (spec.p, spec.d, spec.q, spec.sp, spec.sd, spec.sq, spec.s, spec.r, n, n_eff, int(spec.simple_differencing), int(spec.concentrate), len(spec.degrees), spec.kdiff)
+    rows += [("spec", c, i + 1, float(v), None) for i, (c, v) in enumerate(zip(SPEC_NAMES, spec_values, strict=True))]
     meta = (ll, 2 * k - 2 * ll, k * np.log(nobs) - 2 * ll, float(m.status == 1), float(m.iterations), m.gradient, float(m.restarted), sigma2)
-    rows += [("meta", a, i + 1, num(v), None) for i, (a, v) in enumerate(zip(META_NAMES, meta, strict=True))]
+    rows += [("meta", c, i + 1, num(v), None) for i, (c, v) in enumerate(zip(META_NAMES, meta, strict=True))]
     rows += [("trend", trend_name(g), i + 1, float(g), None) for i, g in enumerate(spec.degrees)]
     if spec.simple_differencing:
-        for i, a in enumerate(K.anchors(y, spec.d, spec.sd, spec.s)):
-            rows += [("anchor", f"endog:{i + 1}", j + 1, num(v), None) for j, v in enumerate(a)]
+        for i, held in enumerate(K.anchors(tail, spec.d, spec.sd, spec.s)):
+            rows += [("anchor", f"endog:{i + 1}", j + 1, num(v), None) for j, v in enumerate(held)]
         for j in range(spec.r):
-            rows += [("anchor", f"exog:{j + 1}", i + 1, num(v), None) for i, v in enumerate(x[n - spec.lost :, j])]
-    rows += [("exog_col", a, i + 1, None, None) for i, a in enumerate(exog)]
-    rows += [("state", "a", 1, None, got.a[0].tolist()), ("state", "P", 2, None, got.p[0].ravel().tolist()), ("state", "k", 3, float(len(got.a[0])), None)]
+            rows += [("anchor", f"exog:{j + 1}", i + 1, num(v), None) for i, v in enumerate(tail_x[:, j])]
+    rows += [("exog_col", c, i + 1, None, None) for i, c in enumerate(exog)]
+    rows += [("state", "a", 1, None, a.tolist()), ("state", "P", 2, None, p.ravel().tolist()), ("state", "k", 3, float(len(a)), None)]
     return rows
 
 
@@ -166,12 +172,20 @@ def _key(t: pa.Table, keys: tuple[str, ...]) -> tuple:
     return tuple(t.column(k)[0].as_py() for k in keys)
 
 
-def fit(df: DataFrame, y_col: str, t_col: str, p: int = 0, d: int = 0, q: int = 0, sp: int = 0, sd: int = 0, sq: int = 0, s: int = 1, exog_cols: tuple[str, ...] | list[str] = (), trend: str = "n", concentrate: bool = False, simple_differencing: bool = True, compute_bse: bool = True, keys: tuple[str, ...] = (), params: list[float] | None = None) -> DataFrame:
-    """The model table of every series, at given parameters if there are any. Orders are checked here; the data in the tasks, with errors that say what is wrong."""
+def fit(df: DataFrame, y_col: str, t_col: str, p: int = 0, d: int = 0, q: int = 0, sp: int = 0, sd: int = 0, sq: int = 0, s: int = 1, exog_cols: tuple[str, ...] | list[str] = (), trend: str = "n", concentrate: bool = False, simple_differencing: bool = True, compute_bse: bool = True, keys: tuple[str, ...] = (), params: list[float] | None = None, out_of_core: bool = False) -> DataFrame:
+    """The model table of every series, at given parameters if there are any. Orders are checked here; the data in the tasks, with errors that say what is wrong.
+
+    out_of_core: one series that no task could hold, read as a stream at every evaluation (streaming.chunked), with its start values."""
     exog = list(exog_cols)
     if len(exog) > MAX_REGRESSORS:
         raise ValueError(f"at most {MAX_REGRESSORS} regressors; got {len(exog)}")
     spec = K.Spec(p, d, q, sp, sd, sq, s, len(exog), trend, concentrate, simple_differencing)
+    if out_of_core:
+        from ..streaming.chunked import fit_stream
+
+        if keys:
+            raise ValueError("a series that is read as a stream has no keys")
+        return fit_stream(df, y_col, t_col, spec, exog, compute_bse, params=params)
     ship(df.sparkSession)
     src, by = _grouped(df.select(*keys, t_col, y_col, *exog), keys)
     schema = _schema(src, by, MODEL)

@@ -97,8 +97,7 @@ def series_hourly_gaps(spark, sf_dir):
 
 @query("WITH o AS (SELECT o_orderdate AS k, o_totalprice AS y, row_number() OVER (ORDER BY o_orderdate) AS t, count(*) OVER (PARTITION BY o_orderdate) AS c, row_number() OVER (PARTITION BY o_orderdate) AS r FROM orders) SELECT CAST(count(*) FILTER (r > 1) AS BIGINT) AS n_invalid, CAST(count(*) AS BIGINT) AS n FROM o")
 def duplicate_time_check(spark, sf_dir):
-    c = S.series_checked(S.table(spark, sf_dir, "orders"), "o_totalprice", "o_orderdate")
-    return c.agg(F.count_if("invalid_time").alias("n_invalid"), F.count("*").alias("n"))
+    return S.time_report(S.table(spark, sf_dir, "orders"), "o_orderdate")
 
 
 @query(f"WITH {MONTHS} SELECT t, y AS a0, y - lag(y) OVER (ORDER BY t) AS a1, (y - lag(y) OVER (ORDER BY t)) - lag(y - lag1) OVER (ORDER BY t) AS a2 FROM (SELECT t, y, lag(y) OVER (ORDER BY t) AS lag1 FROM s)")
@@ -454,6 +453,32 @@ def dense_index(spark, sf_dir):
     return chunked.dense_index(S.hourly_events(spark, sf_dir), "hour", 4).select(F.col("t").cast("long").alias("t"), F.col("n").alias("y"))
 
 
+@query("""WITH k AS (SELECT (l_orderkey * 8 + l_linenumber) * 20 + c AS k FROM lineitem, range(20) AS r(c)), d AS (SELECT k, row_number() OVER (ORDER BY k) AS t FROM k)
+SELECT count(*) AS n, count(DISTINCT t) AS n_t, max(t) AS max_t, CAST(sum(t * (k % 1009)) AS BIGINT) AS checksum FROM d""")
+def dense_index_lines(spark, sf_dir):
+    """Twenty rows for each line item, so that every range is sampled."""
+    k = S.table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 20).cast("long").alias("k"), "l_quantity")
+    k = k.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(19)))).select((F.col("k") + F.col("c")).alias("k"), "l_quantity")
+    t = chunked.dense_index(k, "k")
+    return t.agg(F.count("*").alias("n"), F.countDistinct("t").alias("n_t"), F.max("t").cast("long").alias("max_t"), F.sum(F.col("t") * (F.col("k") % 1009)).cast("long").alias("checksum"))
+
+
+@query(f"WITH {HOURS}, q AS (SELECT y - 10 AS y FROM h WHERE y IS NOT NULL) SELECT round(avg(y * y), 3) AS sigma2, round(-5e-1 * count(*) * (ln(2 * pi()) + ln(avg(y * y)) + 1), 3) AS loglik, round(avg(y * y) * sqrt(2e0 / count(*)), 2) AS bse FROM q")
+def fit_streamed_variance(spark, sf_dir):
+    """A streamed fit with its standard error, where both have a closed form."""
+    e = S.hourly_events(spark, sf_dir).withColumn("y", F.col("n") - 10)
+    m = _converged(model.fit(e, "y", "hour", out_of_core=True))
+    pick = lambda kind, name, digits, out: F.round(F.max(F.when((F.col("kind") == kind) & (F.col("name") == name), F.col("value"))), digits).alias(out)
+    return m.agg(pick("param", "sigma2", 3, "sigma2"), pick("meta", "loglik", 3, "loglik"), pick("bse", "sigma2", 2, "bse"))
+
+
+@query(f"WITH {MONTHS}, w AS (SELECT y, t, y - lag(y) OVER (ORDER BY t) AS w FROM s), v AS (SELECT avg(w * w) AS v FROM w), z AS (SELECT y FROM s WHERE t = (SELECT max(t) FROM s)) SELECT CAST(h AS INTEGER) AS h, z.y AS yhat, round(sqrt(h * v), 3) AS se FROM v, z, range(1, 5) AS r(h)")
+def forecast_streamed_walk(spark, sf_dir):
+    """A random walk fitted as a stream, forecast from its model table."""
+    m = model.fit(S.monthly_orders(spark, sf_dir), "n_orders", "month", d=1, out_of_core=True, compute_bse=False)
+    return model.forecast(_converged(m), 4).select("h", F.round("yhat", 6).alias("yhat"), F.round("se", 3).alias("se"))
+
+
 # ---- fits with closed forms
 
 _META = "SELECT '{n}' AS model, round({v}, 4) AS sigma2, round(-5e-1 * n * (ln(2 * pi()) + ln({v}) + 1), 4) AS loglik FROM k"

@@ -1,12 +1,13 @@
-"""Sends this package to the Python workers, which may run where it isn't installed."""
+"""What every session needs: the package on the Python workers, which may run where it isn't installed, and written tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -23,3 +24,26 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(at))
         _sent.add(sc.applicationId)
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir, which driver and executors share; it goes when the driver ends. Without the setting only a local
+    master gets a folder of its own."""
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/{sc.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table: what it holds is decided once, whatever is asked of it later."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

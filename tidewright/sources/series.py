@@ -36,6 +36,13 @@ def series_of(df: DataFrame, y_col: str, t_col: str, keys: tuple[str, ...] = ())
     return checked.select(*keys, t.alias("t"), "y")
 
 
+def time_report(df: DataFrame, t_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """([keys..,] n_invalid, n): rows with a null time or one that an earlier row has, by sums for each time instead of one ordered window."""
+    each = df.groupBy(*keys, t_col).agg(F.count("*").alias("c"))
+    bad = F.sum(F.when(F.col(t_col).isNull(), F.col("c")).otherwise(F.col("c") - 1))
+    return each.groupBy(*keys).agg(F.coalesce(bad, F.lit(0)).cast("long").alias("n_invalid"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+
+
 def exog_of(df: DataFrame, exog_cols: list[str], t_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., t, j, x) from wide columns; j is the column's place from 1."""
     if len(exog_cols) > MAX_REGRESSORS:

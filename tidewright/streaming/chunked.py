@@ -1,8 +1,8 @@
 """Series longer than a task's memory: the likelihood as a stream over Arrow batches.
 
-The rows are put in order once, in parallel, and written; each evaluation is then one job whose single task reads the sorted files in
-order, batch by batch, carrying the filter's state and the last values that differencing needs. Memory doesn't grow with the series.
-The optimizer runs on the driver; a gradient or a line search phase is one pass with all its probes.
+The rows are put in order once, in parallel, and written as one file for each range of times; each evaluation is then one job without a
+shuffle, whose single task reads the files in order, batch by batch, carrying the filter's state and the last values that differencing
+needs. Memory doesn't grow with the series. The optimizer runs on the driver; a gradient or a line search phase is one pass with all its probes.
 
 Contract: an explicit time column without nulls or repeats, no null regressor; start values are zeros and the second moment.
 """
@@ -10,6 +10,7 @@ Contract: an explicit time column without nulls or repeats, no null regressor; s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
-from ..session import ship
+from ..session import shared_path, ship, written
 
-ROWS = 1 << 16
+CELLS = 1 << 22  # numbers in a file
 
 
 def dense_index(df: DataFrame, t_col: str, parts: int | None = None) -> DataFrame:
-    """df with a long column t from 1 in the order of t_col, without a one-partition window: ranges are numbered, then rows in each."""
+    """df with a long column t from 1 in the order of t_col, without a one-partition window: ranges are numbered, then rows in each.
+
+    The ranges are written first: borders come from a sample, so planning them twice could deal the rows in two ways."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, t_col).withColumn("__part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(n, t_col).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     ahead = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(t_col))
@@ -42,19 +45,22 @@ def second_moment(df: DataFrame, y_col: str, t_col: str) -> dict:
 class Stream:
     """An ordered series that can be evaluated again and again."""
 
-    def __init__(self, df: DataFrame, y_col: str, t_col: str, exog_cols: list[str], path: str | None = None):
-        ship(df.sparkSession)
+    def __init__(self, df: DataFrame, y_col: str, t_col: str, exog_cols: list[str], path: str | None = None, n: int | None = None):
+        spark = ship(df.sparkSession)
         self.exog = list(exog_cols)
         rows = df.select(F.col(t_col).alias("t"), F.col(y_col).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.exog)])
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartitionByRange(parts, "t").sortWithinPartitions("t")
-        if path:
-            rows.write.mode("overwrite").parquet(path)
-            rows = df.sparkSession.read.parquet(path).repartitionByRange(parts, "t").sortWithinPartitions("t")
-        self.rows = rows
-
-    def evaluate(self, spec: K.Spec, par: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihoods and scales of the probes, in one pass."""
+        n = df.count() if n is None else n
+        parts = max(1, -(-n * (2 + len(self.exog)) // CELLS))  # files that are read as one split
+        path = path or shared_path(spark, "stream")
+        dealt = rows.repartitionByRange(parts, "t").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "t")
+        dealt.write.mode("overwrite").partitionBy("part").parquet(path)
+        schema = rows.schema
+        there = sorted(r["part"] for r in spark.read.parquet(path).select("part").distinct().collect()) if n else []
+        files = [spark.read.schema(schema).parquet(f"{path}/part={k}") for k in there] or [spark.createDataFrame([], schema)]
+        self.rows = reduce(DataFrame.union, files)
+
+    def _passed(self, spec: K.Spec, par: np.ndarray) -> list:
+        """One row a probe: (i, loglik, scale, a, p, tail), the state after the series and its last rows."""
         lost = spec.lost if spec.simple_differencing else 0
         names = [f"x{i}" for i in range(len(self.exog))]
 
@@ -76,33 +82,49 @@ class Stream:
                     w = K.difference(cells, spec.d, spec.sd, spec.s) if lost else cells
                     go.feed(w[:, 0], w[:, 1:])
             ll, scale = go.result()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ll))), pa.array(ll), pa.array(scale)], ["i", "loglik", "scale"])
+            lists = [pa.array([x.ravel().tolist() for x in of], pa.list_(pa.float64())) for of in (go.a, go.p, [tail] * len(ll))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ll))), pa.array(ll), pa.array(scale), *lists], ["i", "loglik", "scale", "a", "p", "tail"])
 
-        got = sorted(self.rows.coalesce(1).mapInArrow(run, "i long, loglik double, scale double").collect())
+        ddl = "i long, loglik double, scale double, a array<double>, p array<double>, tail array<double>"
+        return sorted(self.rows.coalesce(1).mapInArrow(run, ddl).collect(), key=lambda r: r["i"])
+
+    def evaluate(self, spec: K.Spec, par: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods and scales of the probes, in one pass."""
+        got = self._passed(spec, par)
         return np.array([r["loglik"] for r in got], float), np.array([r["scale"] for r in got], float)
 
+    def end(self, spec: K.Spec, par: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """State and covariance after the series at one set of parameters, and the rows (y, regressors) that undoing differences needs."""
+        r = self._passed(spec, par[None])[0]
+        a = np.array(r["a"], float)
+        return a, np.array(r["p"], float).reshape(len(a), len(a)), np.array(r["tail"], float).reshape(-1, 1 + spec.r)
+
 
-def fit_stream(df: DataFrame, y_col: str, t_col: str, spec: K.Spec, exog_cols: tuple[str, ...] | list[str] = (), compute_bse: bool = False, path: str | None = None, most: int = 500) -> DataFrame:
-    """(kind, name, idx, value): parameters, standard errors and meta rows of a fit that never holds the series."""
-    from ..operators.model import META_NAMES, parameter_names
+def fit_stream(df: DataFrame, y_col: str, t_col: str, spec: K.Spec, exog_cols: tuple[str, ...] | list[str] = (), compute_bse: bool = False, path: str | None = None, most: int = 500, params: list[float] | None = None) -> DataFrame:
+    """The model table of a fit that never holds the series; model.fit(out_of_core=True) is the same."""
+    from ..operators.model import MODEL, model_rows
 
     m2 = second_moment(df, y_col, t_col)
     if m2["bad"]:
         raise ValueError(f"time column {t_col} has a null or a repeated value")
     if not m2["n_seen"]:
         raise ValueError("the series is empty or has no value")
-    stream = Stream(df, y_col, t_col, list(exog_cols), path)
-    start = np.zeros(spec.size)
-    if not spec.concentrate:
-        start[-1] = np.sqrt(m2["sigma2"] or 1.0)
+    n_eff = m2["n"] - (spec.lost if spec.simple_differencing else 0)
+    if n_eff - spec.kdiff <= spec.size:
+        raise ValueError("the series is too short for the model")
+    stream = Stream(df, y_col, t_col, list(exog_cols), path, m2["n"])
     at = lambda par: stream.evaluate(spec, par)
     none = np.zeros(0), np.zeros((0, spec.r))
-    m = K.maximize(spec, *none, start=start, most=most, evaluate=at)
+    if params is None:
+        start = np.zeros(spec.size)
+        if not spec.concentrate:
+            start[-1] = np.sqrt(m2["sigma2"] or 1.0)
+        m = K.maximize(spec, *none, start=start, most=most, evaluate=at)
+    else:
+        par = np.array(params, float)
+        ll, scale = at(par[None])
+        m = K.Optimum(par, K.unconstrain(spec, par[None])[0], float(ll[0]), float(scale[0]), 1 if np.isfinite(ll[0]) else 3, 0, 0.0, False)
     bse = K.standard_errors(spec, *none, m.params, evaluate=at) if compute_bse else np.full(spec.size, np.nan)
-    k, nobs = spec.size + spec.concentrate, m2["n"] - spec.lost
-    sigma2 = m.scale if spec.concentrate else float(m.params[-1])
-    meta = (m.loglik, 2 * k - 2 * m.loglik, k * np.log(nobs) - 2 * m.loglik, float(m.status == 1), float(m.iterations), m.gradient, float(m.restarted), sigma2)
-    names = parameter_names(spec, list(exog_cols))
-    rows = [(kind, n, i + 1, None if np.isnan(v) else float(v)) for kind, values in (("param", m.params), ("bse", bse)) for i, (n, v) in enumerate(zip(names, values, strict=True))]
-    rows += [("meta", n, i + 1, float(v)) for i, (n, v) in enumerate(zip(META_NAMES, meta, strict=True))]
-    return df.sparkSession.createDataFrame(rows, "kind string, name string, idx int, value double")
+    a, p, tail = stream.end(spec, m.params)
+    rows = model_rows(spec, list(exog_cols), m, bse, m2["n"], n_eff, tail[:, 0], tail[:, 1:], a, p)
+    return df.sparkSession.createDataFrame(rows, MODEL)
