@@ -145,6 +145,24 @@ def test_repeats(docs, none, crowd):
     assert repeats.remove_repeats(none).collect() == []
 
 
+def test_repeats_with_too_many_grams_for_the_filter(spark, monkeypatch):
+    """The joined form of pass 2, and long texts that polynomial hashes modulo 2**64 take for equal."""
+    monkeypatch.setattr(repeats, "MOST_KEYS", 0)
+    rng, least = random.Random(17), 200
+    shared = _prose(80, rng)
+    body = [t.encode() for t in (thue_morse(2048), thue_morse(2048, True), _prose(60, rng) + shared, shared[30:] + _prose(50, rng), _prose(90, rng), _prose(20, rng) + shared + "!")]
+    seen = Counter(t[i : i + least] for t in body for i in range(len(t) - least + 1))
+    want = []
+    for k, t in enumerate(body):
+        gone = bytearray(len(t))
+        for i in range(len(t) - least + 1):
+            if seen[t[i : i + least]] > 1:
+                gone[i : i + least] = b"\1" * least
+        want.append((k, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(b for b, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+    got = repeats.remove_repeats(spark.createDataFrame([(k, t.decode()) for k, t in enumerate(body)], "doc_id long, text string")).collect()
+    assert sorted(tuple(r)[:5] for r in got) == want
+
+
 def test_minhash(spark, docs, none):
     rows = corpus()
 

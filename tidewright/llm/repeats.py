@@ -4,9 +4,10 @@ Every `least`-byte window has an anchor: the place of its smallest GRAM-byte has
 have anchors at equal places, so all copies of a window meet under their anchor's gram, and only anchors' suffixes are
 sorted. The windows of one anchor are a run of starts; their union is its span.
 
-Pass 1 counts anchors' grams and puts the repeated ones in a Bloom filter of bounded size (a fuller one lets more through, never
-less). Pass 2 lists the spans under repeated grams. A span that occurs twice is removed whole, with no comparison. Where a
-gram has different spans, pass 3 fetches one copy of each; these form a bucket of the suffix array: sorted by what
+Pass 1 counts anchors' grams and puts the repeated ones in a Bloom filter of bounded size; if they are more than it can tell apart,
+they stay a table and pass 2's spans are joined to it instead. Pass 2 lists the spans under repeated grams. A span that occurs twice
+(by a 128-bit hash) is removed whole, with no comparison. Where a
+gram has different spans, one copy of each is read from a text that has it; these form a bucket of the suffix array: sorted by what
 follows the anchor, neighbours' common prefixes, a stack scan that yields the intervals of the tree, and in each interval the test of
 what stands left: members are sorted by their reversed left sides, so each member's longest common left side within
 the interval is at a neighbour. An interval whose right and left lengths reach `least` is a repeat, with all its members as
@@ -33,7 +34,7 @@ from .common import Rolling, chunks, flat, mix, saved
 
 LEAST, GRAM, CROWD = 200, 32, 4096
 CHUNK_IN = 1 << 19
-MOST_BITS = 27
+MOST_BITS, MOST_KEYS = 27, 1 << 24  # of the filter, and of the grams in it
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -169,12 +170,15 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
             yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.minimum(n, 2))], ["g", "n"])
 
     grams = docs.mapInArrow(pass_1, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).filter("n > 1").select("g")
-    first = send(Bloom(saved(grams, "grams"), "g"))
+    grams = saved(grams, "grams")
+    few = grams.count() <= MOST_KEYS
+    first = send(Bloom(grams, "g")) if few else None
 
     def pass_2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", CHUNK_IN):
             a = Anchors(*flat(b.column("text")), least, gram)
-            a.take(first.value.has(a.gram))
+            if first is not None:
+                a.take(first.value.has(a.gram))
             if not len(a.gram):
                 continue
             h1, h2 = a.spans()
@@ -189,25 +193,22 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
             span = order[f]
             yield pa.RecordBatch.from_arrays([pa.array(a.gram[span].view(np.int64)), pa.array(h1[f].view(np.int64)), pa.array(h2[f].view(np.int64)), pa.array((a.hi - a.lo)[span].astype(np.int32) + least), pa.array((a.place - a.lo)[span].astype(np.int32)), pa.array(np.diff(ends).astype(np.int64)), *lists], ["g", "h1", "h2", "size", "at", "n", "tids", "los"])
 
-    listed = saved(docs.mapInArrow(pass_2, "g long, h1 long, h2 long, size int, at int, n long, tids array<binary>, los array<int>"), "spans")
+    listed = docs.mapInArrow(pass_2, "g long, h1 long, h2 long, size int, at int, n long, tids array<binary>, los array<int>")
+    listed = saved(listed if few else listed.join(grams, "g", "left_semi"), "spans")
     spans = saved(listed.groupBy("g", "h1", "h2", "size").agg(F.sum("n").alias("n")), "distinct_spans")
     several = spans.groupBy("g").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("g", "m")
     several = saved(several, "several")
-    second = send(Bloom(several, "g"))
+    # one text that has the span; what a text is asked for is bounded by its own length
+    sample = F.min(F.struct(F.col("tids")[0].alias("tid"), F.col("los")[0].alias("lo"), "size")).alias("o")
+    asked = saved(listed.join(several, "g"), "asked").groupBy("g", "h1", "h2", "at").agg(sample)
+    asked = asked.groupBy(F.col("o.tid").alias("tid")).agg(F.collect_list(F.struct("g", "h1", "h2", "at", "o.lo", "o.size")).alias("spans"))
 
-    def pass_3(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "text", CHUNK_IN):
-            a = Anchors(*flat(b.column("text")), least, gram)
-            a.take(second.value.has(a.gram))
-            if not len(a.gram):
-                continue
-            h1, h2 = a.spans()
-            _, f = np.unique(h1, return_index=True)
-            text = a.raw.tobytes()
-            body = [text[a.lo[i] : a.hi[i] + least] for i in f]
-            yield pa.RecordBatch.from_arrays([pa.array(a.gram[f].view(np.int64)), pa.array(h1[f].view(np.int64)), pa.array(h2[f].view(np.int64)), pa.array((a.place - a.lo)[f].astype(np.int32)), pa.array(body, pa.binary())], ["g", "h1", "h2", "at", "body"])
+            rows = [(x["g"], x["h1"], x["h2"], x["at"], text[x["lo"] : x["lo"] + x["size"]]) for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True) for x in spans]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["g", "h1", "h2", "at", "body"])
 
-    copies = docs.mapInArrow(pass_3, "g long, h1 long, h2 long, at int, body binary")
+    copies = docs.join(saved(asked, "asked_of_texts"), "tid").select("text", "spans").mapInArrow(bodies, "g long, h1 long, h2 long, at int, body binary")
     copies = saved(copies.groupBy("g", "h1", "h2", "at").agg(F.first("body").alias("body")), "copies")
     copies = saved(copies.join(several, "g"), "buckets")  # of two written tables: a gram with very many spans can be split
 
