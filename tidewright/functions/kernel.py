@@ -214,27 +214,42 @@ def system(spec: Spec, par: np.ndarray) -> System:
     ar, ma = -product(-phi, -sphi, spec.s), product(theta, stheta, spec.s)
     t, r = transition(spec, ar), selection(spec, ma)
     q = r[:, :, None] * r[:, None, :] * (var[:, :, None] if not spec.concentrate else 1.0)
-    kd, ka = spec.kdiff, spec.karma
-    p, a = np.zeros_like(t), np.zeros((len(par), kd + ka))
+    kd = spec.kdiff
+    p = np.zeros_like(t)
     with np.errstate(all="ignore"):
         p[:, kd:, kd:] = stationary(t[:, kd:, kd:], q[:, kd:, kd:])
-        if spec.degrees:
-            first = trend_values(spec, trend, 1, 1)[:, 0]
-            left = np.eye(ka) - t[:, kd:, kd:]
-            unit = np.zeros((len(par), ka, 1))
-            unit[:, 0, 0] = first
-            try:
-                a[:, kd:] = np.linalg.solve(left, unit)[:, :, 0]
-            except np.linalg.LinAlgError:
-                a[:, kd:] = np.nan
         if kd:
             p[:, np.arange(kd), np.arange(kd)] = DIFFUSE
-            a = (t @ a[:, :, None])[:, :, 0]
-            if spec.degrees:
-                a[:, kd] += first
             p = t @ p @ t.swapaxes(1, 2) + q
             p = (p + p.swapaxes(1, 2)) * 0.5
-    return System(t, q, a, p, kd)
+    return System(t, q, first_state(spec, t, trend), p, kd)
+
+
+def first_state(spec: Spec, t: np.ndarray, tau: np.ndarray) -> np.ndarray:
+    """The predicted state before the first observation; t: each probe's transition, tau: its trend."""
+    kd, ka = spec.kdiff, spec.karma
+    a = np.zeros((len(t), kd + ka))
+    if not spec.degrees:
+        return a
+    first = trend_values(spec, tau, 1, 1)[:, 0]
+    unit = np.zeros((len(t), ka, 1))
+    unit[:, 0, 0] = first
+    with np.errstate(all="ignore"):
+        try:
+            a[:, kd:] = np.linalg.solve(np.eye(ka) - t[:, kd:, kd:], unit)[:, :, 0]
+        except np.linalg.LinAlgError:
+            a[:, kd:] = np.nan
+        if kd:
+            a = (t @ a[:, :, None])[:, :, 0]
+            a[:, kd] += first
+    return a
+
+
+def shared_systems(spec: Spec, par: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One probe for each distinct ARMA block and variance, and which of these each probe has: trend and regression leave variances alone."""
+    found: dict[bytes, int] = {}
+    who = np.array([found.setdefault(row.tobytes(), len(found)) for row in np.ascontiguousarray(par[:, spec.front :])], np.int64)
+    return np.unique(who, return_index=True)[1], who
 
 
 def trend_values(spec: Spec, tau: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -254,20 +269,29 @@ class Filtered:
 
 
 class Run:
-    """A filter pass that is fed a series piece by piece, with what must be carried between pieces."""
+    """A filter pass that is fed a series piece by piece, with what must be carried between pieces.
+
+    Variances and gains are kept once for each distinct ARMA block, means for each probe."""
 
     def __init__(self, spec: Spec, par: np.ndarray):
-        self.spec, self.sys = spec, system(spec, par)
+        one, self.who = shared_systems(spec, par)
+        self.spec, self.sys = spec, system(spec, par[one])
         self.tau, self.beta = spec.split(par)[:2]
-        self.a, self.p = self.sys.a.copy(), self.sys.p.copy()
+        self.t = self.sys.t[self.who]
+        self.a, self.cov = first_state(spec, self.t, self.tau), self.sys.p.copy()
         self.tt = np.ascontiguousarray(self.sys.t.swapaxes(1, 2))
-        b = len(par)
-        self.at, self.cnt, self.logs, self.ssq, self.bad = 0, 0, np.zeros(b), np.zeros(b), np.zeros(b, bool)
+        n = len(one)
+        self.at, self.cnt, self.logs, self.ssq, self.bad = 0, 0, np.zeros(n), np.zeros(len(par)), np.zeros(n, bool)
         self.steady, self.g, self.f = False, None, None
 
+    @property
+    def p(self) -> np.ndarray:
+        """Each probe's variance of the state."""
+        return self.cov[self.who]
+
     def feed(self, y: np.ndarray, x: np.ndarray, trace: bool = False) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Takes the next observations (NaN: missing); with trace, innovations and variances (n, probes)."""
-        spec, t, rqr, burn, row = self.spec, self.sys.t, self.sys.rqr, self.spec.kdiff, self.sys.row
+        spec, t, each, who, rqr, burn, row = self.spec, self.sys.t, self.t, self.who, self.sys.rqr, self.spec.kdiff, self.sys.row
         n = len(y)
         obs = y[:, None] - (x @ self.beta.T if spec.r else 0.0)
         seen = ~np.isnan(y)
@@ -275,7 +299,8 @@ class Run:
             seen &= ~np.isnan(x).any(axis=1)
         c = trend_values(spec, self.tau, self.at + 1, n) if spec.degrees else None
         vs, fs = (np.full((n, len(self.a)), np.nan), np.full((n, len(self.a)), np.nan)) if trace else (None, None)
-        a, p, g, f, steady, tp = self.a, self.p, self.g, self.f, self.steady, None
+        a, p, g, f, steady, tp = self.a, self.cov, self.g, self.f, self.steady, None
+        f_, g_ = (f[who], g[who]) if steady else (None, None)
         with np.errstate(all="ignore"):
             for i in range(n):
                 at = self.at + i
@@ -285,6 +310,7 @@ class Run:
                     f = p[:, 0, 0].copy()
                     tp = t @ p
                     g = tp[:, :, 0]
+                    f_, g_ = f[who], g[who]
                 v = None
                 if seen[i]:
                     v = obs[i] - a[:, 0]
@@ -292,17 +318,17 @@ class Run:
                         self.cnt += 1
                         self.bad |= ~(f > 0)
                         self.logs += np.log(f)
-                        self.ssq += v * v / f
-                    a = (t @ a[:, :, None])[:, :, 0] + g * (v / f)[:, None]
+                        self.ssq += v * v / f_
+                    a = (each @ a[:, :, None])[:, :, 0] + g_ * (v / f_)[:, None]
                     if not steady:
                         nxt = tp @ self.tt - g[:, :, None] * g[:, None, :] / f[:, None, None] + rqr
                 else:
-                    a = (t @ a[:, :, None])[:, :, 0]
+                    a = (each @ a[:, :, None])[:, :, 0]
                     if steady:
                         steady, tp = False, t @ p
                     nxt = tp @ self.tt + rqr
                 if trace:
-                    fs[i] = f
+                    fs[i] = f_
                     if v is not None:
                         vs[i] = v
                 if c is not None and not burn:
@@ -311,18 +337,19 @@ class Run:
                     nxt = (nxt + nxt.swapaxes(1, 2)) * 0.5
                     steady = v is not None and at >= burn and bool((nxt == p).all())  # from here on the gains repeat bit for bit
                     p = nxt
-        self.a, self.p, self.g, self.f, self.steady, self.at = a, p, g, f, steady, self.at + n
+        self.a, self.cov, self.g, self.f, self.steady, self.at = a, p, g, f, steady, self.at + n
         return vs, fs
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood (NaN where the probe is no valid model) and scale."""
+        logs = self.logs[self.who]
         with np.errstate(all="ignore"):
             if self.spec.concentrate:
                 scale = self.ssq / max(self.cnt, 1)
-                ll = -0.5 * (self.cnt * LOG2PI + self.logs + self.cnt * np.log(scale) + self.cnt)
+                ll = -0.5 * (self.cnt * LOG2PI + logs + self.cnt * np.log(scale) + self.cnt)
             else:
-                scale, ll = np.ones(len(self.ssq)), -0.5 * (self.cnt * LOG2PI + self.logs + self.ssq)
-        return np.where(self.bad | ~np.isfinite(ll), np.nan, ll), scale
+                scale, ll = np.ones(len(self.ssq)), -0.5 * (self.cnt * LOG2PI + logs + self.ssq)
+        return np.where(self.bad[self.who] | ~np.isfinite(ll), np.nan, ll), scale
 
 
 def kalman(spec: Spec, y: np.ndarray, x: np.ndarray, par: np.ndarray, trace: bool = False) -> Filtered:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
-from .differencing import integrate, integration_weights
-from .filter import _run
+from .differencing import anchors, difference, difference_exog, integrate, integration_weights
+from .filter import _run, final_state
 
 
 def _num(v) -> float | None:
@@ -106,3 +106,25 @@ def forecast_original(forecast: DataFrame, held: DataFrame, d: int, sd: int, s:
     var = terms.groupBy("probe_id", "h").agg(F.aggregate(ordered, F.lit(0.0), lambda a, t: a + t["z"]).alias("var_orig"))
     return means.withColumn("h", F.col("h").cast("long")).join(var, ["probe_id", "h"])
 
+
+
+def forecast_run(series: DataFrame, probes: DataFrame, spec: K.Spec, horizon: int, exog: DataFrame | None = None) -> DataFrame:
+    """(probe_id, h, mean_diff, se_diff, mean_orig, se_orig) of a series (t, y), t from 1: differencing, filter, and forecasts on both scales.
+
+    exog: long regressors (t, j, x) of the series and of the horizon's steps after it."""
+    orders = (spec.d, spec.sd, spec.s)
+    if not spec.simple_differencing:
+        raise ValueError("the chain differences first; model.forecast() takes models with differences in the state")
+    w = difference(series, *orders).withColumnRenamed("w", "y") if spec.lost else series
+    x = future = None
+    if spec.r:
+        x = difference_exog(exog, *orders) if spec.lost else exog
+        n = w.agg(F.max("t").alias("n"))  # one row
+        later = x.crossJoin(F.broadcast(n)).filter((F.col("t") > F.col("n")) & (F.col("t") <= F.col("n") + horizon)).withColumn("h", F.col("t") - F.col("n"))
+        future = later.groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("xs"))
+    f = forecast_states(final_state(w, probes, spec, x), probes, spec, horizon, future)
+    if spec.lost:
+        both = f.withColumn("h", F.col("h").cast("long")).join(forecast_original(f, anchors(series, *orders), *orders, horizon), ["probe_id", "h"])
+    else:
+        both = f.withColumns({"mean_orig": F.col("mean_diff"), "var_orig": F.col("var_diff")})
+    return both.select("probe_id", F.col("h").cast("int").alias("h"), "mean_diff", F.sqrt("var_diff").alias("se_diff"), "mean_orig", F.sqrt("var_orig").alias("se_orig"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
+from ..functions import polynomials as P
 from ..functions.arrays import bound
 from ..session import ship
 
@@ -45,6 +46,25 @@ def systems(probes: DataFrame, spec: K.Spec) -> DataFrame:
     return probes.withColumn("__arma", F.to_json(arma)).groupBy("__arma").applyInArrow(run, schema)
 
 
+def system_tables(probes: DataFrame, spec: K.Spec) -> DataFrame:
+    """(probe_id, name, i, j, v), from 1: transition, selection, design, state_cov and obs_cov of each probe's state space."""
+    n, k = P.kdiff(*((0, 0, 1) if spec.simple_differencing else (spec.d, spec.sd, spec.s))), P.k_states(*spec.arma, spec.s)
+    orders = (spec.d, spec.sd, spec.s) if n else (0, 0, 1)
+    parts = P.split_params(F.slice("params", len(spec.degrees) + 1, max(spec.size - len(spec.degrees), 0)), spec.r, *spec.arma)
+    q = probes.select("probe_id", parts.alias("b"))
+    var = F.lit(1.0) if spec.concentrate else F.col("b.sigma2")
+    tables = {
+        "transition": (n + k, P.build_t(P.expand_ar(F.col("b.phi"), F.col("b.sphi"), spec.s), k, *orders)),
+        "selection": (1, P.build_r(P.expand_ma(F.col("b.theta"), F.col("b.stheta"), spec.s), k, n)),
+        "design": (n + k, P.build_z(k, *orders)),
+        "state_cov": (1, F.array(var)),
+        "obs_cov": (1, F.array(F.lit(0.0))),
+    }
+    cells = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(width).alias("width"), v.alias("v")) for name, (width, v) in tables.items()])
+    rows = q.select("probe_id", F.explode(cells).alias("m")).select("probe_id", "m.name", "m.width", F.posexplode("m.v").alias("at", "v"))
+    return rows.select("probe_id", "name", F.expr("cast(at div width + 1 as int)").alias("i"), F.expr("cast(at % width + 1 as int)").alias("j"), "v")
+
+
 def _arrow(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -437,6 +437,26 @@ def systems(spark, sf_dir):
     return got.select("probe_id", "k", r6(F.get("p1", F.lit(0))).alias("p1"), r6(F.get("rqr", F.lit(0))).alias("rqr"))
 
 
+_CELLS = {"transition": [(1, 1, 0), (0, 0.5, 1), (0, 0.06, 0)], "selection": [(0,), (1,), (0.4,)], "design": [(1, 1, 0)], "state_cov": [(2.5,)], "obs_cov": [(0,)]}
+
+
+@query("SELECT CAST(7 AS BIGINT) AS probe_id, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(v AS DOUBLE) AS v FROM (VALUES " + ", ".join(f"('{n}', {i + 1}, {j + 1}, {v})" for n, rows in _CELLS.items() for i, row in enumerate(rows) for j, v in enumerate(row)) + ") AS t(name, i, j, v)")
+def system_cells(spark, sf_dir):
+    """ARIMA(2,1,1) with the difference in the state and a trend: the state is the level and two of ARMA."""
+    at = ship(spark).createDataFrame([(7, [9.0, 0.5, 0.06, 0.4, 2.5])], "probe_id long, params array<double>")
+    got = filter.system_tables(at, Spec(p=2, d=1, q=1, trend="c", simple_differencing=False))
+    return got.withColumn("v", r6(F.col("v")))
+
+
+@query(f"SELECT * FROM (WITH RECURSIVE {SCALED}, {AR1.format(c='5e-1', s='2e0')} {_LL.format(i=1)}) UNION ALL SELECT * FROM (WITH RECURSIVE {SCALED.replace('(y - 10) / 5e0', '(y - 10) / 5e0 - 1e-3 * t')}, {AR1.format(c='5e-1', s='2e0')} {_LL.format(i=2)}) UNION ALL SELECT * FROM (WITH RECURSIVE {SCALED.replace('(y - 10) / 5e0', '(y - 10) / 5e0 + 2e-3 * t')}, {AR1.format(c='5e-1', s='2e0')} {_LL.format(i=3)}) UNION ALL SELECT * FROM (WITH RECURSIVE {SCALED}, {AR1.format(c='2e-1', s='1e0')} {_LL.format(i=4)})")
+def loglik_shared_gains(spark, sf_dir):
+    """Probes that differ in the regression only share one covariance pass."""
+    y = scaled(spark, sf_dir)
+    x = y.select("t", F.lit(1).alias("j"), (F.col("t") / 1000.0).alias("x"))
+    got = filter.loglik(y, probes(spark, [0.0, 0.5, 2.0], [1.0, 0.5, 2.0], [-2.0, 0.5, 2.0], [0.0, 0.2, 1.0]), Spec(p=1, r=1), x)
+    return got.select("probe_id", "n_eff", F.round("loglik", 4).alias("loglik"))
+
+
 @query("SELECT CAST(id AS BIGINT) AS system_id, CAST(n AS BIGINT) AS n_probes FROM (VALUES (1, 2), (3, 1)) AS t(id, n)")
 def probe_system_dedup(spark, sf_dir):
     return filter.distinct_systems(probes(spark, [7, 0.5, 1], [8, 0.5, 1], [7, 0.2, 2]), Spec(p=1, r=1)).select("system_id", "n_probes")
@@ -637,6 +657,23 @@ def forecast_integrated(spark, sf_dir):
     return got.select("probe_id", "h", F.round("mean_orig", 4).alias("mean_orig"), r6(F.col("var_orig")).alias("var_orig"))
 
 
+@query(f"WITH {LINES}, n AS (SELECT max(t) - 6 AS n FROM l), z AS (SELECT quantity / 1000 AS y, discount / 100 AS x FROM l, n WHERE t = n) SELECT CAST(b AS BIGINT) AS probe_id, CAST(l.t - n AS INTEGER) AS h, round(b * (l.discount - k.discount) / 100, 6) AS mean_diff, round(sqrt(b * 2e0), 6) AS se_diff, round(z.y + b * (l.discount / 100 - z.x), 6) AS mean_orig, round(sqrt(b * 2e0 * (l.t - n)), 6) AS se_orig FROM n, z, l JOIN l k ON k.t = l.t - 1, (SELECT unnest([1, 2]) AS b) WHERE l.t > n")
+def forecast_chain(spark, sf_dir):
+    """The whole chain for two random walks with a regressor."""
+    w = S.monthly_lines(spark, sf_dir).select("month", (F.col("quantity") / 1000).alias("y"), (F.col("discount") / 100).alias("x"))
+    y, x = S.series_of(w, "y", "month"), S.exog_of(w, ["x"], "month")
+    past = y.crossJoin(F.broadcast(y.agg((F.max("t") - 6).alias("n")))).filter("t <= n").drop("n")  # one row
+    got = estimation.forecast_run(past, probes(spark, [1.0, 2.0], [2.0, 4.0]), Spec(d=1, r=1), 6, x)
+    return got.withColumns({c: r6(F.col(c)) for c in got.columns[2:]})
+
+
+@query(f"WITH {_Y}, n AS (SELECT t AS n, y FROM q ORDER BY t DESC LIMIT 1), g AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS h) SELECT h, round(y + 3e0 * h, 4) AS yhat, round(sqrt(2e0 * h), 4) AS se FROM g, n")
+def forecast_drift_in_state(spark, sf_dir):
+    """A random walk with drift, its difference in the state."""
+    m = model.fit(_orders(spark, sf_dir), "y", "month", d=1, trend="c", simple_differencing=False, params=[3.0, 2.0])
+    return model.forecast(m, 8).select("h", F.round("yhat", 4).alias("yhat"), F.round("se", 4).alias("se"))
+
+
 @query()
 def sql_surface(spark, sf_dir):
     """fit() as a table function of SQL."""
