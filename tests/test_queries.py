@@ -140,3 +140,39 @@ def test_a_stream_is_sorted_once(spark):
     rows = chunked.Stream(df, "y", "t", []).rows
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
     assert [r["t"] for r in rows.coalesce(1).limit(3).collect()] == [1, 2, 3]
+
+
+def test_sql_functions_are_the_operators(spark):
+    """Each table function gives what the DataFrame operator gives, series by series."""
+    import math
+
+    from tidewright import sqlapi
+
+    sqlapi.register(registry.ship(spark))
+    rows = [(k, i, None if i in (5, 11) and k == "b" else float((i * 7 + i * i % 5) % 11), float((i * 3) % 7)) for k in "ab" for i in range(60)]
+    df = spark.createDataFrame(rows, "series string, t long, y double, x double").repartition(3)
+    df.createOrReplaceTempView("tw_data")
+    df.drop("x").createOrReplaceTempView("tw_plain")
+    call = lambda name, options, table="tw_plain": spark.sql(f"SELECT * FROM {name}(TABLE({table}) PARTITION BY series ORDER BY (t), '{options}')")
+
+    def same(got, wanted):
+        assert got.columns == wanted.columns
+        got, wanted = (sorted(map(tuple, d.collect()), key=lambda r: [str(v) for v in r if not isinstance(v, float)]) for d in (got, wanted))
+        assert len(got) == len(wanted) > 0
+        for a, b in zip(got, wanted, strict=True):
+            for u, v in zip(a, b, strict=True):
+                assert math.isclose(u, v, rel_tol=1e-7, abs_tol=1e-9) if isinstance(u, float) and isinstance(v, float) else u == v, (a, b)
+
+    key = ("series",)
+    m = model.fit(df, "y", "t", p=1, d=1, params=[0.3, 9.0], keys=key)
+    of = '{"p": 1, "d": 1, "params": [0.3, 9.0]%s}'
+    same(call("tw_fit", of % "").drop("value_list"), m.drop("value_list"))
+    same(call("tw_summary", of % ""), model.summary(m, key))
+    same(call("tw_residuals", of % ""), model.residuals(m, df, "y", "t", keys=key))
+    same(call("tw_evaluate", of % ""), model.evaluate(m, df, "y", "t", keys=key))
+    same(call("tw_ljungbox", of % ', "nlags": 7'), model.ljungbox(m, df, "y", "t", 7, keys=key))
+    same(call("tw_forecast", of % ', "h": 5, "level": 0.8'), model.forecast(m, 5, level=0.8, keys=key))
+    with_x = model.fit(df.filter("t < 56"), "y", "t", d=1, exog_cols=["x"], params=[0.5, 4.0], keys=key)
+    same(call("tw_forecast", '{"d": 1, "params": [0.5, 4.0], "h": 4}', "tw_data"), model.forecast(with_x, 4, df.filter("t >= 56"), "t", ["x"], keys=key))
+    orders = [(0, 0, 0, 0, 0, 0, 1), (1, 0, 0, 0, 0, 0, 1), (1, 0, 0, 2, 0, 0, 40)]
+    same(call("tw_grid", f'{{"orders": {[list(o) for o in orders]}}}'), model.grid(df, "y", "t", orders, key))

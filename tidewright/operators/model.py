@@ -216,6 +216,43 @@ def _with_model(model: DataFrame, df: DataFrame, keys: tuple[str, ...], ddl: str
     return left.groupBy(*ours).cogroup(right.groupBy(*by)).applyInArrow(run, schema).select(*keys, *T.StructType.fromDDL(ddl).names)
 
 
+def forecast_rows(m: Model, h: int, x: np.ndarray) -> list[tuple]:
+    """(h, yhat, var, yhat_diff, var_diff); x: the regressors after the series."""
+    future = np.zeros((h, 0))
+    if m.spec.r:
+        if len(x) < h:
+            raise ValueError(f"future regressors lack steps {len(x) + 1} to {h}")
+        x = x[:h]
+        for j, name in enumerate(m.exog):
+            if len(at := np.flatnonzero(np.isnan(x[:, j]))):
+                raise ValueError(f"regressor {name} lacks steps {at[0] + 1} to {at[-1] + 1}")
+        future = np.vstack([m.past, x])
+        if m.spec.simple_differencing:
+            future = K.difference(future, m.spec.d, m.spec.sd, m.spec.s)
+    f = K.forecast(m.spec, m.params, m.a, m.p, m.n_eff, h, future, m.endog)
+    return [(i + 1, float(f["mean"][i]), float(f["var"][i] * m.scale), float(f["mean_diff"][i]), float(f["var_diff"][i] * m.scale)) for i in range(h)]
+
+
+def residual_rows(m: Model, y: np.ndarray, x: np.ndarray) -> list[tuple]:
+    """(t, v, f, std_resid) of a series on the model scale."""
+    y, x = model_scale(m.spec, y, x)
+    got = K.kalman(m.spec, y, x, m.params[None], trace=True)
+    f = got.f[:, 0] * m.scale
+    num = lambda v: None if np.isnan(v) else float(v)
+    with np.errstate(all="ignore"):
+        z = got.v[:, 0] / np.sqrt(f)
+    return [(i + 1, num(got.v[i, 0]), num(f[i]), num(z[i])) for i in range(len(y))]
+
+
+def grid_row(spec: K.Spec, y: np.ndarray) -> tuple:
+    """(loglik, aic, bic, converged, error): an order that the series is too short for is a result too."""
+    try:
+        got = {r[1]: r[3] for r in fit_rows(spec, y, np.zeros((len(y), 0)), [], False) if r[0] == "meta"}
+    except ValueError as e:
+        return None, None, None, None, str(e)
+    return got["loglik"], got["aic"], got["bic"], got["converged"], None
+
+
 def forecast(model: DataFrame, h: int, newdata: DataFrame | None = None, t_col: str | None = None, exog_cols: tuple[str, ...] | list[str] = (), level: float = 0.95, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., h, yhat, se, lo, hi, yhat_diff, se_diff); newdata holds the h future rows of the regressors, if there are any."""
     if not 0 < level < 1:
@@ -225,20 +262,7 @@ def forecast(model: DataFrame, h: int, newdata: DataFrame | None = None, t_col:
 
     def rows(m: Model, t: pa.Table) -> list[tuple]:
         m.check(exog)
-        future = np.zeros((h, 0))
-        if m.spec.r:
-            t = _in_order(t, t_col) if t.num_rows else t
-            if t.num_rows < h:
-                raise ValueError(f"future regressors lack steps {t.num_rows + 1} to {h}")
-            x = _matrix(t, exog)[:h]
-            for j, name in enumerate(exog):
-                if len(at := np.flatnonzero(np.isnan(x[:, j]))):
-                    raise ValueError(f"regressor {name} lacks steps {at[0] + 1} to {at[-1] + 1}")
-            future = np.vstack([m.past, x])
-            if m.spec.simple_differencing:
-                future = K.difference(future, m.spec.d, m.spec.sd, m.spec.s)
-        f = K.forecast(m.spec, m.params, m.a, m.p, m.n_eff, h, future, m.endog)
-        return [(i + 1, float(f["mean"][i]), float(f["var"][i] * m.scale), float(f["mean_diff"][i]), float(f["var_diff"][i] * m.scale)) for i in range(h)]
+        return forecast_rows(m, h, _matrix(_in_order(t, t_col) if t.num_rows else t, exog) if m.spec.r else np.zeros((h, 0)))
 
     if newdata is None and exog:
         raise ValueError("newdata is needed: the model has regressors")
@@ -263,13 +287,7 @@ def residuals(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_co
         if not t.num_rows:
             return []
         t = _in_order(t, t_col)
-        y, x = model_scale(m.spec, _numbers(t, y_col), _matrix(t, exog))
-        got = K.kalman(m.spec, y, x, m.params[None], trace=True)
-        f = got.f[:, 0] * m.scale
-        num = lambda v: None if np.isnan(v) else float(v)
-        with np.errstate(all="ignore"):
-            z = got.v[:, 0] / np.sqrt(f)
-        return [(i + 1, num(got.v[i, 0]), num(f[i]), num(z[i])) for i in range(len(y))]
+        return residual_rows(m, _numbers(t, y_col), _matrix(t, exog))
 
     return _with_model(model, data.select(*keys, t_col, y_col, *exog), keys, "t long, v double, f double, std_resid double", rows)
 
@@ -327,10 +345,8 @@ def grid(df: DataFrame, y_col: str, t_col: str, orders: list[tuple[int, int, int
     def run(t: pa.Table) -> pa.Table:
         key = _key(t, by)
         try:
-            t = _in_order(t, "__t")
-            got = {r[1]: r[3] for r in fit_rows(K.Spec(*key[len(keys) :]), _numbers(t, "__y"), np.zeros((t.num_rows, 0)), [], False) if r[0] == "meta"}
-            row = (got["loglik"], got["aic"], got["bic"], got["converged"], None)
-        except ValueError as e:  # an order that this series is too short for is a result too
+            row = grid_row(K.Spec(*key[len(keys) :]), _numbers(_in_order(t, "__t"), "__y"))
+        except ValueError as e:  # so are bad times and orders
             row = (None, None, None, None, str(e))
         return _table(key, schema, [row])
 

@@ -682,6 +682,15 @@ def sql_surface(spark, sf_dir):
     return spark.sql("""SELECT series, kind, name, idx, value FROM tw_fit(TABLE(SELECT event_type AS series, CAST(unix_timestamp(hour) AS BIGINT) AS t, n AS y FROM tw_hourly) PARTITION BY series ORDER BY (t), '{"p": 1, "trend": "c"}')""")
 
 
+@query(f"WITH {_Y}, n AS (SELECT y FROM q ORDER BY t DESC LIMIT 1), g AS (SELECT CAST(unnest(range(1, 13)) AS INTEGER) AS h) SELECT 'all' AS series, h, round(y, 4) AS yhat, round(sqrt(2e0 * h), 4) AS se, round(y - {Z95} * sqrt(2e0 * h), 4) AS lo, round(y + {Z95} * sqrt(2e0 * h), 4) AS hi FROM g, n")
+def sql_forecast_walk(spark, sf_dir):
+    """A random walk's forecast as a table function of SQL."""
+    sqlapi.register(ship(spark))
+    S.series_of(_orders(spark, sf_dir), "y", "month").createOrReplaceTempView("tw_orders")
+    return spark.sql("""SELECT series, h, round(yhat, 4) AS yhat, round(se, 4) AS se, round(lo, 4) AS lo, round(hi, 4) AS hi
+FROM tw_forecast(TABLE(SELECT 'all' AS series, t, y FROM tw_orders) PARTITION BY series ORDER BY (t), '{"d": 1, "params": [2.0], "h": 12}')""")
+
+
 # ---- general fits: no SQL twin; the queries fail if a fit is no good
 
 

@@ -1,8 +1,17 @@
-"""fit() and forecast as table functions for SQL: rows in, partitioned by series and ordered by time.
+"""Fits, forecasts and diagnostics as table functions for SQL: Arrow batches in, partitioned by series and ordered by time.
 
     SELECT * FROM tw_fit(TABLE(x) PARTITION BY series ORDER BY (t), '{"p": 1, "d": 1, "q": 1}')
 
-The table has the columns series, t and y, and further ones are regressors, in their order.
+The table has the columns series, t and y, and further ones are regressors, in their order. The options are a JSON object: the orders and
+settings of functions.kernel.Spec, and
+
+    params         fixed parameters instead of a fit's
+    compute_bse    standard errors in tw_fit and tw_summary (true)
+    h, level       tw_forecast's steps (12) and the share that its interval holds (0.95)
+    nlags          tw_ljungbox's lags (10)
+    orders         tw_grid's list of [p, d, q, sp, sd, sq, s]
+
+tw_forecast of a model with regressors reads the future ones from the last h rows, whose y isn't used. A series without rows gives none.
 """
 
 from __future__ import annotations
@@ -10,76 +19,187 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 FIT = "series string, kind string, name string, idx int, value double, value_list array<double>"
-FORECAST = "series string, h int, yhat double, se double"
+FORECAST = "series string, h int, yhat double, se double, lo double, hi double, yhat_diff double, se_diff double"
+RESIDUALS = "series string, t long, v double, f double, std_resid double"
+SUMMARY = "series string, idx int, name string, coefficient double, std_error double, z_stat double, p_value double, ci_lo double, ci_hi double"
+EVALUATE = "series string, loglik double, aic double, bic double, sigma2 double, n_eff double, converged double, resid_finite_frac double"
+LJUNGBOX = "series string, lag long, stat double, pvalue double"
+GRID = "series string, p int, d int, q int, sp int, sd int, sq int, s int, loglik double, aic double, bic double, converged double, error string"
+
 
+class _Series:
+    """Gathers one series' batches; the subclasses' rows() are the result."""
+
+    schema = ""
 
-class _Rows:
     def __init__(self):
-        self.rows, self.names, self.options = [], None, "{}"
+        self.batches, self.options = [], {}
 
-    def eval(self, row, options="{}"):
-        if self.names is None:
-            self.names, self.options = list(row.__fields__), options
-        self.rows.append(tuple(row))
+    def eval(self, rows, options=None):
+        if options is not None and len(options):
+            self.options = json.loads(options[0].as_py())
+        self.batches.append(rows)
+        return iter(())
 
-    def parts(self):
+    def terminate(self):
+        import pyarrow as pa
+
+        of = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+        arrow = pa.schema([(n, of[t]) for n, t in (c.split() for c in self.schema.split(", "))])  # workers have no session to parse it
+        table = pa.Table.from_batches(self.batches) if self.batches else None
+        if table is None or not table.num_rows:
+            return
+        key = str(table.column("series")[0].as_py())
+        out = [(key, *r) for r in self.rows(table)]
+        lists = list(zip(*out, strict=True)) if out else [()] * len(arrow)
+        yield pa.table([pa.array(c, f.type) for c, f in zip(lists, arrow, strict=True)], schema=arrow)
+
+    def opened(self, table):
+        """Orders, y, regressors and their names, and what of the options isn't a setting of the model."""
         import numpy as np
+        import pyarrow as pa
 
         from tidewright.functions.kernel import Spec
 
-        at = {n: i for i, n in enumerate(self.names)}
-        exog = [n for n in self.names if n not in ("series", "t", "y")]
-        times = [r[at["t"]] for r in self.rows]
+        times = table.column("t").to_pylist()
         if any(t is None for t in times) or any(a >= b for a, b in zip(times, times[1:], strict=False)):
             raise ValueError("the rows need ORDER BY t, without null or repeated times")
-        num = lambda v: float("nan") if v is None else float(v)
-        y = np.array([num(r[at["y"]]) for r in self.rows])
-        x = np.array([[num(r[at[n]]) for n in exog] for r in self.rows]).reshape(len(y), len(exog))
-        o = json.loads(self.options)
-        h, bse, params = o.pop("h", 12), o.pop("compute_bse", True), o.pop("params", None)
-        return str(self.rows[0][at["series"]]), Spec(r=len(exog), **o), y, x, exog, h, bse, params
+        number = lambda c: table.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy().astype(float)
+        exog = [n for n in table.column_names if n not in ("series", "t", "y")]
+        o, own = dict(self.options), {}
+        for name, usual in (("params", None), ("compute_bse", True), ("h", 12), ("level", 0.95), ("nlags", 10), ("orders", None)):
+            own[name] = o.pop(name, usual)
+        x = np.column_stack([number(c) for c in exog]) if exog else np.zeros((table.num_rows, 0))
+        return Spec(r=len(exog), **o), number("y"), x, exog, own
 
+    def model(self, spec, y, x, exog, bse, params):
+        """The model table's rows, and the model read from them."""
+        import pyarrow as pa
 
-class Fit(_Rows):
-    """The model table of each partition."""
+        from tidewright.operators import model as M
 
-    def terminate(self):
-        if self.rows:
-            from tidewright.operators.model import fit_rows
+        rows = M.fit_rows(spec, y, x, exog, bse, params)
+        return rows, M.Model(pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "name", "idx", "value", "value_list"]))
 
-            key, spec, y, x, exog, _, bse, params = self.parts()
-            for r in fit_rows(spec, y, x, exog, bse, params):
-                yield (key, *r)
+    def residuals(self, table):
+        """The model, and (t, v, f, std_resid) on its scale."""
+        from tidewright.operators import model as M
 
+        spec, y, x, exog, own = self.opened(table)
+        m = self.model(spec, y, x, exog, False, own["params"])[1]
+        return m, M.residual_rows(m, y, x), own
 
-class Forecast(_Rows):
-    """Fit and h steps ahead (option "h") of each partition, for models without regressors."""
 
-    def terminate(self):
-        if self.rows:
-            import numpy as np
-
-            from tidewright.functions import kernel as K
-            from tidewright.operators.model import model_scale
-
-            key, spec, y, x, exog, h, _, params = self.parts()
-            if exog:
-                raise ValueError("tw_forecast takes no regressors")
-            w, z = model_scale(spec, y, x)
-            m = K.maximize(spec, w, z) if params is None else None
-            par = np.array(params, float) if m is None else m.params
-            got = K.kalman(spec, w, z, par[None])
-            held = K.anchors(y, spec.d, spec.sd, spec.s) if spec.simple_differencing else []
-            f = K.forecast(spec, par, got.a[0], got.p[0], len(w), h, np.zeros((h, 0)), held)
-            scale = got.scale[0] if spec.concentrate else 1.0
-            for i in range(h):
-                yield (key, i + 1, float(f["mean"][i]), float(np.sqrt(f["var"][i] * scale)))
+class Fit(_Series):
+    schema = FIT
+
+    def rows(self, table):
+        spec, y, x, exog, own = self.opened(table)
+        return self.model(spec, y, x, exog, own["compute_bse"], own["params"])[0]
+
+
+class Forecast(_Series):
+    schema = FORECAST
+
+    def rows(self, table):
+        from statistics import NormalDist
+
+        from tidewright.operators import model as M
+
+        spec, y, x, exog, own = self.opened(table)
+        if not 0 < own["level"] < 1:
+            raise ValueError("level must be between 0 and 1")
+        h = own["h"]
+        n = len(y) - h if exog else len(y)
+        if n < 1:
+            raise ValueError(f"a model with regressors needs the series and {h} rows of the future")
+        m = self.model(spec, y[:n], x[:n], exog, False, own["params"])[1]
+        z = NormalDist().inv_cdf(0.5 + own["level"] / 2)
+        return [(i, mean, v**0.5, mean - z * v**0.5, mean + z * v**0.5, d, dv**0.5) for i, mean, v, d, dv in M.forecast_rows(m, h, x[n:])]
+
+
+class Residuals(_Series):
+    schema = RESIDUALS
+
+    def rows(self, table):
+        return self.residuals(table)[1]
+
+
+class Summary(_Series):
+    schema = SUMMARY
+
+    def rows(self, table):
+        from math import erfc, sqrt
+
+        from tidewright.operators.model import Z95
+
+        spec, y, x, exog, own = self.opened(table)
+        rows = self.model(spec, y, x, exog, own["compute_bse"], own["params"])[0]
+        bse = {i: v for kind, _, i, v, _ in rows if kind == "bse"}
+        for kind, name, i, c, _ in rows:
+            if kind == "param":
+                e = bse.get(i)
+                z = c / e if c is not None and e else None
+                span = (c - Z95 * e, c + Z95 * e) if c is not None and e is not None else (None, None)
+                yield (i, name, c, e, z, None if z is None else erfc(abs(z) / sqrt(2)), *span)
+
+
+class Evaluate(_Series):
+    schema = EVALUATE
+
+    def rows(self, table):
+        from math import isfinite
+
+        m, found, _ = self.residuals(table)
+        z = [r[3] for r in found if r[3] is not None]
+        good = sum(map(isfinite, z)) / len(z) if z else None
+        return [(*(m.meta[n] for n in ("loglik", "aic", "bic", "sigma2")), float(m.n_eff), m.meta["converged"], good)]
+
+
+class LjungBox(_Series):
+    schema = LJUNGBOX
+
+    def rows(self, table):
+        from math import erfc, exp, lgamma, log, sqrt
+
+        import numpy as np
+
+        _, found, own = self.residuals(table)
+        z = np.array([r[3] for r in found if r[3] is not None])
+        z, n = z - z.mean(), len(z)
+        stat, tails = 0.0, {}
+        for k in range(1, own["nlags"] + 1):
+            stat += n * (n + 2) * float(z[k:] @ z[:-k] / (z @ z)) ** 2 / (n - k)
+            half, a = stat / 2, 1.0 if k % 2 == 0 else 0.5
+            tail = exp(-half) if a == 1 else erfc(sqrt(half))
+            while a < k / 2 and half > 0:  # Q(a + 1, x) = Q(a, x) + x**a exp(-x) / gamma(a + 1)
+                tail += exp(a * log(half) - half - lgamma(a + 1))
+                a += 1
+            tails[k] = (k, stat, min(tail, 1.0))
+        return list(tails.values())
+
+
+class Grid(_Series):
+    schema = GRID
+
+    def rows(self, table):
+        from tidewright.functions.kernel import Spec
+        from tidewright.operators import model as M
+
+        _, y, x, exog, own = self.opened(table)
+        if exog or own["orders"] is None:
+            raise ValueError("tw_grid needs orders and takes no regressors")
+        for o in own["orders"]:
+            yield (*o, *M.grid_row(Spec(*o), y))
+
+
+FUNCTIONS = {"tw_fit": Fit, "tw_forecast": Forecast, "tw_residuals": Residuals, "tw_summary": Summary, "tw_evaluate": Evaluate, "tw_ljungbox": LjungBox, "tw_grid": Grid}
 
 
 def register(spark: SparkSession) -> None:
-    """Makes tw_fit and tw_forecast known to spark.sql()."""
-    spark.udtf.register("tw_fit", udtf(Fit, returnType=FIT))
-    spark.udtf.register("tw_forecast", udtf(Forecast, returnType=FORECAST))
+    """Makes the table functions known to spark.sql()."""
+    for name, of in FUNCTIONS.items():
+        spark.udtf.register(name, arrow_udtf(of, returnType=of.schema))
