@@ -310,3 +310,20 @@ def test_warc_file_format():
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(f[8:])))
     assert len(list(warc.read_records(io.BytesIO(f[:-20])))) < 3  # read() compares the count with the one written
+
+
+def test_ppm_places_of_short_texts():
+    """The grams of each place against a plain reading, for empty texts and texts shorter than a context."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 7):
+        for most in (1, 3, 12):
+            texts = [bytes(rng.integers(0, 256, rng.integers(0, most)).astype(np.uint8)) for _ in range(n)]
+            raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            for order in range(7):
+                wanted = []
+                for t in texts:
+                    s = [0] * order + [b + 1 for b in t.lower()] + [0]
+                    wanted += [sum(x * ppm.SIZE ** (order - i) for i, x in enumerate(s[a : a + order + 1])) for a in range(len(t) + 1)]
+                got, start = ppm.places(raw, off, order)
+                assert got.tolist() == wanted
+                assert start.tolist() == (off[:-1] + np.arange(n)).tolist()

@@ -74,7 +74,7 @@ def _back(seq: np.ndarray, order: int) -> Iterator[np.ndarray]:
     n, over = len(seq), None
     for j in range(1, order + 1):
         s = np.zeros(n - 1, seq.dtype)
-        s[j - 1 :] = seq[: n - j]
+        s[j - 1 :] = seq[: max(n - j, 0)]
         if over is not None:
             s[over] = 0
         over = s == 0
@@ -84,10 +84,25 @@ def _back(seq: np.ndarray, order: int) -> Iterator[np.ndarray]:
 def places(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The (order+1)-gram of each place, as a number to the base 257 with the predicted symbol last, and where texts start."""
     seq, edge = symbols(raw, off)
-    key, scale = seq[1:].copy(), 1
-    for s in _back(seq, order):
-        scale *= SIZE
-        key += s * scale
+    made, m = {1: seq}, 1  # the last m symbols of each place, whatever they are
+    while m <= order:
+        more = 1 << (min(m, order + 1 - m).bit_length() - 1)
+        key = made[more][: max(len(seq) - m, 0)] * SIZE**m
+        key += made[m][m:]
+        made[m + more] = np.concatenate([made[m][:m], key])
+        m += more
+    key = made[m][1:]
+    # places that reach back over a 0: what is before it is 0
+    near = np.unique((edge[:, None] + np.arange(1, order + 1)).ravel())
+    near = near[near < len(seq)]
+    if len(near):
+        some, scale, on = seq[near], 1, np.ones(len(near), bool)
+        for j in range(1, order + 1):
+            scale *= SIZE
+            s = np.where(on, seq[np.maximum(near - j, 0)], 0)
+            on = s > 0
+            some += s * scale
+        key[near - 1] = some
     return key, edge[:-1]
 
 
@@ -281,9 +296,10 @@ def listed_blocks(docs: DataFrame, order: int, key: str, text: str, held: Column
         for b in chunks(batches, "text", CHUNK_IN):
             raw, off = flat(b.column("text"))
             h, row = _hashed(lowered(raw), off)
-            keys, inv = np.unique(h, return_inverse=True)
+            coded = pa.array(h).dictionary_encode()
+            keys, inv = coded.dictionary.to_numpy(), coded.indices.to_numpy()
             held = np.array(b.column("held").to_pylist(), bool)
-            parts.append((keys, np.bincount(inv[~held[row]], minlength=len(keys)), pc.unique(pa.array(places(raw, off, order)[0]))))
+            parts.append((keys, np.bincount(inv[~held[row]], minlength=len(keys)), grams(raw, off, order)[0]))
             yield one(base + k, b.column("id"), b.column("held"), b.column("text"), None, None, None)
             size += len(raw)
             if size >= BLOCK:
@@ -297,7 +313,7 @@ def listed_blocks(docs: DataFrame, order: int, key: str, text: str, held: Column
         keys, train, found = zip(*parts, strict=True)
         every, inv = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inv, np.concatenate(train), len(every)).astype(np.int64)
-        return one(number, None, None, None, pa.array(every), pa.array(total), pa.array(np.sort(pc.unique(pa.concat_arrays(found)).to_numpy())))
+        return one(number, None, None, None, pa.array(every), pa.array(total), pa.array(np.unique(np.concatenate(found))))
 
     def one(number: int, *columns: pa.Array | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.nulls(1, t) if x is None else pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x, t in zip(columns, arrow, strict=True)]], schema.names)
@@ -326,15 +342,16 @@ def word_scores(docs: DataFrame, model: Grams, held: Column, key: str = "doc_id"
         word = value > 0
         keys, listed = pa.array(k[word]), pa.array(k[~word])
         counts, logs = np.append(value[word], 0.0), np.append(value[~word], np.nan)
+        shares_ = np.log10(counts + 1.0) - np.log10(n + v + 1.0)
         spot = lambda x, among: pc.fill_null(pc.index_in(pa.array(x), among), -1).to_numpy()
         sums = []
         for b in chunks([pa.RecordBatch.from_arrays([body], ["text"])], "text", CHUNK_IN):
             raw, off = flat(b.column("text"))
             h, row = _hashed(lowered(raw), off)
-            c = counts[spot(h, keys)]
+            token = spot(h, keys)
             place, start = places(raw, off, order)
             by_row = lambda x: np.bincount(row, x, b.num_rows)  # noqa: E731, B023
-            sums.append((np.bincount(row, minlength=b.num_rows), by_row(c > 0).astype(np.int64), by_row(np.log10(c + 1.0) - np.log10(n + v + 1.0)), np.add.reduceat(logs[spot(place, listed)], start)))
+            sums.append((np.bincount(row, minlength=b.num_rows), by_row(counts[token] > 0).astype(np.int64), by_row(shares_[token]), np.add.reduceat(logs[spot(place, listed)], start)))
         tokens, hits, base, score_ = map(np.concatenate, zip(*sums, strict=True))
         return pa.table([ids, held, pa.array(tokens.astype(np.int64)), pa.array(hits), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(score_)], names=schema.names)
 
