@@ -87,10 +87,12 @@ def places(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np
     made, m = {1: seq}, 1  # the last m symbols of each place, whatever they are
     while m <= order:
         more = 1 << (min(m, order + 1 - m).bit_length() - 1)
-        key = made[more][: max(len(seq) - m, 0)] * SIZE**m
-        key += made[m][m:]
-        made[m + more] = np.concatenate([made[m][:m], key])
+        key = made[m].copy()
+        key[m:] += made[more][: max(len(seq) - m, 0)] * SIZE**m
+        if not (order + 1) & m:
+            del made[m]
         m += more
+        made[m] = key
     key = made[m][1:]
     # places that reach back over a 0: what is before it is 0
     near = np.unique((edge[:, None] + np.arange(1, order + 1)).ravel())
