@@ -123,13 +123,13 @@ def lowered(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of runs of bytes outside [space, tab..CR], and each run's row. Runs end with their row."""
+def words(raw: np.ndarray, off: np.ndarray, ink: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of runs of bytes outside [space, tab..CR], or of those that `ink` marks, and each run's row. Runs end with their row."""
     n = len(raw)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    ink = ~_SPACE[raw]
+    ink = ~_SPACE[raw] if ink is None else ink
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     start = ink.copy()
@@ -140,13 +140,14 @@ def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return s, e, np.searchsorted(off, s, "right") - 1
 
 
-def distinct_words(low: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The distinct words of texts, told apart by their bytes; for every word which one it is, and its row."""
-    s, e, row = words(low, off)
+def distinct_words(low: np.ndarray, off: np.ndarray, ink: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts, told apart by their bytes; for every word which one it is, and its row. ink: as in words()."""
+    ink = ~_SPACE[low] if ink is None else ink
+    s, e, row = words(low, off, ink)
     if not len(s):
         return [], row, row
     ends = pa.py_buffer(np.concatenate([[0], np.cumsum(e - s)]).astype(np.int32))
-    coded = pa.Array.from_buffers(pa.binary(), len(s), [None, ends, pa.py_buffer(low[~_SPACE[low]])]).dictionary_encode()
+    coded = pa.Array.from_buffers(pa.binary(), len(s), [None, ends, pa.py_buffer(low[ink])]).dictionary_encode()
     _, ends, data = coded.dictionary.buffers()
     ends, data = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes()
     return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], coded.indices.to_numpy().astype(np.int64), row

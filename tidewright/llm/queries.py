@@ -77,7 +77,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ppm, op2_repeats, op3_minhash, op4_jpeg, op5_token_files, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets)}
+def op11_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spellings import variants, word_counts
+
+    return variants(word_counts(table(spark, sf_dir, "documents"), damage=199))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import RULES, judged
+
+    return judged(table(spark, sf_dir, "pages"), RULES)
+
+
+_ALL = (op1_ppm, op2_repeats, op3_minhash, op4_jpeg, op5_token_files, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets, op11_spellings, op13_url_rules)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
 
@@ -127,4 +140,12 @@ y AS (SELECT *, sum(a + b) OVER (PARTITION BY id, k ORDER BY ord) AS e FROM x),
 f AS (SELECT id, k, CAST(e - b AS BIGINT) AS s, CAST(e AS BIGINT) AS e, name || ':' || CAST(e - b AS BIGINT) || ':' || CAST(e AS BIGINT) AS t FROM y JOIN r USING (k) WHERE c >= y.least),
 o AS (SELECT id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, coalesce(string_agg(t, ',' ORDER BY s, k) FILTER (k < 3), '') AS base, string_agg(t, ',' ORDER BY s, k) AS spans FROM f GROUP BY id)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (id)""",
+    "op11_spellings": r"""
+WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+') AS runs FROM documents),
+r AS MATERIALIZED (SELECT coalesce(k, '') AS k, w, count(*) AS c FROM (SELECT k, unnest(runs) AS w FROM d) GROUP BY ALL HAVING length(w) >= 6),
+x AS (SELECT w, c, hex(encode(k || ':' || w)) AS x FROM r),
+b AS (SELECT w, c, list_transform(range(1, length(x) + 1), lambda i: instr('0123456789ABCDEF', x[i]) - 1) AS half FROM x),
+h AS (SELECT w, c, xor(list_reduce(list_transform(range(0, len(half), 2), lambda i: half[i + 1] * 16 + half[i + 2]), lambda s, v:
+  xor(xor(s, v) >> 8, [0, 1996959894, 3993919788, 2567524794, 124634137, 1886057615, 3915621685, 2657392035, 249268274, 2044508324, 3772115230, 2547177864, 162941995, 2125561021, 3887607047, 2428444049][1 + (xor(s, v) & 15)]) , 4294967295), 4294967295) AS h FROM b)
+SELECT * FROM h""",
 }
