@@ -141,11 +141,26 @@ f AS (SELECT id, k, CAST(e - b AS BIGINT) AS s, CAST(e AS BIGINT) AS e, name ||
 o AS (SELECT id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, coalesce(string_agg(t, ',' ORDER BY s, k) FILTER (k < 3), '') AS base, string_agg(t, ',' ORDER BY s, k) AS spans FROM f GROUP BY id)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (id)""",
     "op11_spellings": r"""
-WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+') AS runs FROM documents),
-r AS MATERIALIZED (SELECT coalesce(k, '') AS k, w, count(*) AS c FROM (SELECT k, unnest(runs) AS w FROM d) GROUP BY ALL HAVING length(w) >= 6),
+WITH RECURSIVE d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+') AS runs FROM documents),
+r AS MATERIALIZED (SELECT k, w, count(*) AS c FROM (SELECT k, unnest(runs) AS w FROM d) WHERE length(w) >= 6 GROUP BY ALL),
 x AS (SELECT w, c, hex(encode(k || ':' || w)) AS x FROM r),
-b AS (SELECT w, c, list_transform(range(1, length(x) + 1), lambda i: instr('0123456789ABCDEF', x[i]) - 1) AS half FROM x),
-h AS (SELECT w, c, xor(list_reduce(list_transform(range(0, len(half), 2), lambda i: half[i + 1] * 16 + half[i + 2]), lambda s, v:
-  xor(xor(s, v) >> 8, [0, 1996959894, 3993919788, 2567524794, 124634137, 1886057615, 3915621685, 2657392035, 249268274, 2044508324, 3772115230, 2547177864, 162941995, 2125561021, 3887607047, 2428444049][1 + (xor(s, v) & 15)]) , 4294967295), 4294967295) AS h FROM b)
-SELECT * FROM h""",
+b AS (SELECT w, c, list_transform(range(0, length(x)), lambda i: CAST(instr('0123456789ABCDEF', x[xor(i, 1) + 1]) - 1 AS BIGINT)) AS nibbles FROM x),
+h AS (SELECT w, c, xor(list_reduce(nibbles, lambda s, v: xor(xor(s, v) >> 4, ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108])[1 + (xor(s, v) & 15)]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM b),
+g AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM g WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+l AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+e AS MATERIALIZED (SELECT DISTINCT a.word, b.word AS near FROM (SELECT word, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS t FROM l) a JOIN (SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS t FROM l) b USING (t) WHERE a.word <> b.word),
+s AS MATERIALIZED (SELECT DISTINCT l.word, w.word AS near FROM l JOIN w ON w.word = substr(l.word, 1, l.i - 1) || substr(l.word, l.i + 1)),
+p AS (SELECT word, near FROM e UNION ALL SELECT word, near FROM s UNION ALL SELECT near, word FROM s),
+o AS (SELECT p.word, count(*) AS n_near, arg_min(p.near, (-w.n, p.near)) AS best, max(w.n) AS best_n FROM p JOIN w ON w.word = p.near GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM w LEFT JOIN o USING (word)),
+t AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
+SELECT f.word, n, n_near, f.form, form_n, t.at AS root FROM f JOIN t ON t.word = f.word AND t.next IS NULL""",
+    "op13_url_rules": r"""
+WITH r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+a AS (SELECT row_number() OVER () AS id, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT id, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+f AS (SELECT id, arg_max(r.host || r.path, (length(r.host || r.path), length(r.host))) AS rule, arg_max(verdict, (length(r.host || r.path), length(r.host))) AS verdict
+  FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN f USING (id)""",
 }
