@@ -83,13 +83,19 @@ def op11_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(word_counts(table(spark, sf_dir, "documents"), damage=199))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_rules import RULES, judged
 
     return judged(table(spark, sf_dir, "pages"), RULES)
 
 
-_ALL = (op1_ppm, op2_repeats, op3_minhash, op4_jpeg, op5_token_files, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets, op11_spellings, op13_url_rules)
+_ALL = (op1_ppm, op2_repeats, op3_minhash, op4_jpeg, op5_token_files, op6_language_id, op7_warc, op8_mixing, op9_decontamination, op10_secrets, op11_spellings, op12_phrases, op13_url_rules)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> ''))"
@@ -156,6 +162,20 @@ o AS (SELECT p.word, count(*) AS n_near, arg_min(p.near, (-w.n, p.near)) AS best
 f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM w LEFT JOIN o USING (word)),
 t AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON f.word = t.next)
 SELECT f.word, n, n_near, f.form, form_n, t.at AS root FROM f JOIN t ON t.word = f.word AND t.next IS NULL""",
+    "op12_phrases": r"""
+WITH p AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents)),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM p, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, m, ws, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.*, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score FROM c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:], ' ')),
+b AS (SELECT lang, phrase, any_value(a) AS a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM s GROUP BY lang, phrase),
+i AS (SELECT lang, f, ws, m, unnest(list_filter([1, 2, 3], lambda q: q <= m - 1)) AS i FROM f WHERE m > 2),
+o AS (SELECT lang, array_to_string(ws[i:i + q - 1], ' ') AS phrase, max(f) AS f FROM i, (VALUES (2), (3)) v(q) WHERE q < m AND i + q - 1 <= m GROUP BY ALL),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE o.f IS NULL OR 100 * CAST(o.f AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM k JOIN t USING (lang) WHERE rank <= 2000""",
     "op13_url_rules": r"""
 WITH r(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 a AS (SELECT row_number() OVER () AS id, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
