@@ -143,6 +143,7 @@ def light_steps(words: DataFrame) -> DataFrame:
     sizes = steps.groupBy("node", "letter").agg(F.count("*").alias("size"))
     heavy = F.max_by("letter", F.struct(F.col("letter") != "", "size", "letter"))
     nodes = sizes.groupBy("node").agg(heavy.alias("heavy"), F.count("*").alias("children")).filter("children > 1").select("node", "heavy")
+    nodes = saved(nodes, "nodes")  # so that the root's steps, one a word, can be split in the join
     light = steps.join(nodes, "node").filter(F.col("letter") != F.col("heavy")).select("whole", "at", "heavy")
     keyed = words.select("word", "n").mapInArrow(_keys, "word string, n long, whole binary")
     return keyed.join(light, "whole").select("word", "n", "at", "heavy")
