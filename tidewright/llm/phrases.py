@@ -21,11 +21,12 @@ words. Ties in rank go by count, then by the phrase's bytes. Other columns aren'
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,14 +72,13 @@ class Bitmaps:
         return columns, np.bincount(self.of, _BITS[self.bits], n).astype(np.int64)
 
     @classmethod
-    def unpacked(cls, gaps: pa.Array, bits: pa.Array, far: pa.Array) -> Bitmaps:
-        gap, off = flat(gaps)
-        gap, (bits, _) = gap.astype(np.int64), flat(bits)
-        gap[gap == _FAR] = flat(far)[0].view("<u4")
-        size = np.diff(off)
+    def unpacked(cls, size: np.ndarray, gaps: bytes, bits: bytes, far: bytes) -> Bitmaps:
+        """size: non-empty bytes of each id; the columns of packed(), end to end."""
+        gap = np.frombuffer(gaps, np.uint8).astype(np.int64)
+        gap[gap == _FAR] = np.frombuffer(far, "<u4")
         total = np.cumsum(gap)
-        before = np.append(0, total)[off[:-1]]
-        return cls(np.repeat(np.arange(len(size)), size), total - np.repeat(before, size), bits)
+        before = np.append(0, total)[np.cumsum(size) - size]
+        return cls(np.repeat(np.arange(len(size)), size), total - np.repeat(before, size), np.frombuffer(bits, np.uint8))
 
     def only(self, keep: np.ndarray) -> Bitmaps:
         return Bitmaps(self.of[keep], self.place[keep], self.bits[keep])
@@ -138,14 +138,14 @@ def grown(words: Words, of: Bitmaps, n_words: int, allowed: np.ndarray | None =
     key, which = np.unique(of_ * n_words + word, return_inverse=True)
     order = np.lexsort((place, which))
     maps = Bitmaps(which[order], place[order], bits[order])
-    count = np.bincount(which, _BITS[bits], len(key)).astype(np.int64)
-    return key // max(n_words, 1), key % max(n_words, 1), count, maps
+    n = np.bincount(which, _BITS[bits], len(key)).astype(np.int64)
+    return key // max(n_words, 1), key % max(n_words, 1), n, maps
 
 
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, shard, word, n, gaps, bits, far), a written table: each word's bitmap in each shard."""
 
-    def build(lang: str, texts: list[bytes]) -> pa.RecordBatch:
+    def build(lang: str, texts: list[bytes], number: int) -> pa.RecordBatch:
         low, off = lowered(np.frombuffer(b"".join(texts), np.uint8)), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
         ink = ~_APART[low]
         found, word, _ = distinct_words(low, off, ink)
@@ -154,36 +154,49 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         new = np.append(False, (row[1:] != row[:-1]) | (cuts[1:] != cuts[:-1])) if len(start) else np.zeros(0, bool)
         columns, n = Bitmaps.of_positions(word, np.arange(len(word)) + np.cumsum(new)).packed(len(found))
         same = lambda x: pa.array([x] * len(found), pa.string())
-        return pa.RecordBatch.from_arrays([same(lang), same(uuid.uuid4().hex), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n), *columns], ["lang", "shard", "word", "n", "gaps", "bits", "far"])
+        shard = pa.array(np.full(len(found), (TaskContext.get().partitionId() << 32) + number))
+        return pa.RecordBatch.from_arrays([same(lang), shard, pa.array(found, pa.binary()).cast(pa.string()), pa.array(n), *columns], ["lang", "shard", "word", "n", "gaps", "bits", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
+        number = count()
         for b in chunks(batches, size=CHUNK):
             for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if t:
                     held.setdefault(name, []).append(t)
                     size[name] = size.get(name, 0) + len(t)
                     if size[name] >= SHARD:
-                        yield build(name, held.pop(name))
+                        yield build(name, held.pop(name), next(number))
                         del size[name]
             while sum(size.values()) > HELD:
                 name = max(size, key=size.get)
-                yield build(name, held.pop(name))
+                yield build(name, held.pop(name), next(number))
                 del size[name]
         for name in list(held):
-            yield build(name, held.pop(name))
+            yield build(name, held.pop(name), next(number))
         tidy()
 
     src = docs.select(F.coalesce(named(lang), F.lit("und")).alias("lang"), named(text).cast("binary").alias("text"))
-    return saved(src.mapInArrow(run, "lang string, shard string, word string, n long, gaps binary, bits binary, far binary"), "shards")
+    return saved(src.mapInArrow(run, "lang string, shard long, word string, n long, gaps binary, bits binary, far binary"), "shards")
 
 
-def _index(t: pa.Table) -> tuple[np.ndarray, Bitmaps]:
+_PACKED = "shard long, ids array<long>, sizes array<int>, gaps binary, bits binary, far binary"
+
+
+def _pack(t: pa.Table) -> pa.Table:
+    """A shard's bitmaps as one row."""
+    parts = [flat(t.column(c).combine_chunks()) for c in ("gaps", "bits", "far")]
+    ids, sizes = t.column("id").to_pylist(), np.diff(parts[0][1]).astype(np.int32)
+    cells = [[t.column("shard")[0].as_py()], [ids], [sizes], *[[raw.tobytes()] for raw, _ in parts]]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 3]
+    return pa.table([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["shard", "ids", "sizes", "gaps", "bits", "far"])
+
+
+def _index(b: pa.RecordBatch | pa.Table, i: int = 0) -> tuple[np.ndarray, Bitmaps]:
     """Ids of a shard's words, and their bitmaps by their place among them."""
-    ids = t.column("id").to_numpy()
-    columns = [t.column(c).combine_chunks() for c in ("gaps", "bits", "far")]
-    return ids, Bitmaps.unpacked(*columns)
+    cell = lambda c: b.column(c)[i]
+    return cell("ids").values.to_numpy(), Bitmaps.unpacked(cell("sizes").values.to_numpy().astype(np.int64), *[cell(c).as_py() for c in ("gaps", "bits", "far")])
 
 
 def _frequent(rows: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
@@ -195,14 +208,18 @@ def counts(of: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame,
     """Of shards(): the frequent words (id, lang, word, f) and the frequent phrases (ids, f) of 2 to `longest` words, written tables."""
     each = of.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     vocabulary = saved(each.withColumn("id", F.monotonically_increasing_id()), "vocabulary")
-    mine = saved(of.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "gaps", "bits", "far"), "bitmaps")
-
-    def pairs(t: pa.Table) -> pa.Table:
-        ids, maps = _index(t)
-        x, y, n, _ = grown(Words(maps), maps, len(ids))
-        return pa.table({"shard": pa.array(t.column("shard")[:1].to_pylist() * len(n), pa.string()), "x": ids[x], "y": ids[y], "n": n})
+    mine = of.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "gaps", "bits", "far")
+    mine = saved(mine.groupBy("shard").applyInArrow(_pack, _PACKED), "bitmaps")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, maps = _index(b, i)
+                x, y, n, _ = grown(Words(maps), maps, len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), b.column("shard")[i].as_py())), *map(pa.array, (ids[x], ids[y], n))], ["shard", "x", "y", "n"])
+        tidy()
 
-    two = saved(_frequent(mine.groupBy("shard").applyInArrow(pairs, "shard string, x long, y long, n long"), ("x", "y"), least).select("shard", "x", "y", "f"), "pairs")
+    two = saved(_frequent(mine.mapInArrow(pairs, "shard long, x long, y long, n long"), ("x", "y"), least).select("shard", "x", "y", "f"), "pairs")
 
     def deeper(t: pa.Table, p: pa.Table) -> pa.Table:
         none = pa.table({"ids": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.int64())})
