@@ -165,10 +165,8 @@ def test_bitmaps_in_small_batches(monkeypatch):
     word = rng.integers(0, 12, 4000)
     at = np.cumsum(rng.choice([1, 1, 1, 2, 900], 4000))
     maps = phrases.Bitmaps.of_positions(word, at)
-    columns, n = maps.packed(14)
-    assert n.tolist() == np.bincount(word, minlength=14).tolist()
-    size = np.array([len(x) for x in columns[1].to_pylist()])
-    again = phrases.Bitmaps.unpacked(size, *(b"".join(c.to_pylist()) for c in columns))
+    assert maps.popcounts(14).tolist() == np.bincount(word, minlength=14).tolist()
+    again = phrases.Bitmaps.unpacked(*maps.packed(14))
     assert all((a == b).all() for a, b in ((maps.of, again.of), (maps.place, again.place), (maps.bits, again.bits)))
     want = Counter((a, b) for a, b, p, q in zip(word.tolist(), word[1:].tolist(), at.tolist(), at[1:].tolist(), strict=False) if q == p + 1)
     for pairs in (1 << 22, 50):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +58,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes saved() tables that nothing reads any more. The driver is asked to collect its garbage, as shuffle files stay until their plans go."""
+    for t in tables:
+        for at in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            drop_path(spark, at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus; from then on Arrow batches hold few rows, as one of long texts is held whole on both sides."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CHUNK, chunks, distinct_words, flat, lowered, named, saved, tidy, words
+from .common import CHUNK, chunks, distinct_words, lowered, named, release, saved, tidy, words
 
 #: Bytes of text in a shard, and of all languages' texts that a task holds back for shards.
 SHARD, HELD = 6 << 20, 24 << 20
@@ -60,20 +60,19 @@ class Bitmaps:
         bits = np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first) if len(of) else np.zeros(0, np.uint8)
         return cls(of[first], place[first], bits)
 
-    def packed(self, n: int) -> tuple[list[pa.Array], np.ndarray]:
-        """Columns (gaps, bits, far) of n ids, and each one's popcount."""
+    def packed(self, n: int) -> tuple[np.ndarray, bytes, bytes, bytes]:
+        """Of n ids: non-empty bytes of each; the gaps before them, their bits, and the gaps that a byte doesn't hold, end to end."""
         new = np.append(True, self.of[1:] != self.of[:-1]) if len(self.of) else np.zeros(0, bool)
         gap = self.place - np.where(new, 0, np.append(0, self.place[:-1]))
         far = gap >= _FAR
-        size = np.bincount(self.of, minlength=n)
-        many = np.bincount(self.of[far], minlength=n)
-        cut = lambda raw, size: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(raw)])
-        columns = [cut(np.where(far, _FAR, gap).astype(np.uint8), size), cut(self.bits, size), cut(gap[far].astype("<u4"), many * 4)]
-        return columns, np.bincount(self.of, _BITS[self.bits], n).astype(np.int64)
+        return np.bincount(self.of, minlength=n), np.where(far, _FAR, gap).astype(np.uint8).tobytes(), self.bits.tobytes(), gap[far].astype("<u4").tobytes()
+
+    def popcounts(self, n: int) -> np.ndarray:
+        return np.bincount(self.of, _BITS[self.bits], n).astype(np.int64)
 
     @classmethod
     def unpacked(cls, size: np.ndarray, gaps: bytes, bits: bytes, far: bytes) -> Bitmaps:
-        """size: non-empty bytes of each id; the columns of packed(), end to end."""
+        """What packed() gives."""
         gap = np.frombuffer(gaps, np.uint8).astype(np.int64)
         gap[gap == _FAR] = np.frombuffer(far, "<u4")
         total = np.cumsum(gap)
@@ -142,8 +141,11 @@ def grown(words: Words, of: Bitmaps, n_words: int, allowed: np.ndarray | None =
     return key // max(n_words, 1), key % max(n_words, 1), n, maps
 
 
+_BITMAPS = "sizes array<int>, gaps binary, bits binary, far binary"
+
+
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, shard, word, n, gaps, bits, far), a written table: each word's bitmap in each shard."""
+    """(shard, lang, words, counts, and the words' bitmaps end to end), a written table with a row a shard."""
 
     def build(lang: str, texts: list[bytes], number: int) -> pa.RecordBatch:
         low, off = lowered(np.frombuffer(b"".join(texts), np.uint8)), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64)
@@ -152,10 +154,10 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         start, _, row = words(low, off, ink)
         cuts = np.cumsum(_BREAK[low])[start] if len(start) else start
         new = np.append(False, (row[1:] != row[:-1]) | (cuts[1:] != cuts[:-1])) if len(start) else np.zeros(0, bool)
-        columns, n = Bitmaps.of_positions(word, np.arange(len(word)) + np.cumsum(new)).packed(len(found))
-        same = lambda x: pa.array([x] * len(found), pa.string())
-        shard = pa.array(np.full(len(found), (TaskContext.get().partitionId() << 32) + number))
-        return pa.RecordBatch.from_arrays([same(lang), shard, pa.array(found, pa.binary()).cast(pa.string()), pa.array(n), *columns], ["lang", "shard", "word", "n", "gaps", "bits", "far"])
+        maps = Bitmaps.of_positions(word, np.arange(len(word)) + np.cumsum(new))
+        shard = (TaskContext.get().partitionId() << 32) + number
+        sizes, gaps, bits, far = maps.packed(len(found))
+        return _row(shard=shard, lang=lang, words=[w.decode() for w in found], counts=maps.popcounts(len(found)), sizes=sizes, gaps=gaps, bits=bits, far=far)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -178,25 +180,38 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         tidy()
 
     src = docs.select(F.coalesce(named(lang), F.lit("und")).alias("lang"), named(text).cast("binary").alias("text"))
-    return saved(src.mapInArrow(run, "lang string, shard long, word string, n long, gaps binary, bits binary, far binary"), "shards")
+    return saved(src.mapInArrow(run, f"shard long, lang string, words array<string>, counts array<long>, {_BITMAPS}"), "shards")
+
 
+_KINDS = {"lang": pa.string(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int64()), "ids": pa.list_(pa.int64()), "shard": pa.int64(), "sizes": pa.list_(pa.int32()), "gaps": pa.binary(), "bits": pa.binary(), "far": pa.binary()}
 
-_PACKED = "shard long, ids array<long>, sizes array<int>, gaps binary, bits binary, far binary"
 
+def _row(**cells) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], _KINDS[c]) for c, v in cells.items()], list(cells))
 
-def _pack(t: pa.Table) -> pa.Table:
-    """A shard's bitmaps as one row."""
-    parts = [flat(t.column(c).combine_chunks()) for c in ("gaps", "bits", "far")]
-    ids, sizes = t.column("id").to_pylist(), np.diff(parts[0][1]).astype(np.int32)
-    cells = [[t.column("shard")[0].as_py()], [ids], [sizes], *[[raw.tobytes()] for raw, _ in parts]]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 3]
-    return pa.table([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["shard", "ids", "sizes", "gaps", "bits", "far"])
+
+def _packed(b: pa.RecordBatch | pa.Table, i: int = 0) -> tuple[np.ndarray, bytes, bytes, bytes]:
+    return b.column("sizes")[i].values.to_numpy().astype(np.int64), *[b.column(c)[i].as_py() for c in ("gaps", "bits", "far")]
+
+
+def _kept(t: pa.Table, mine: pa.Table) -> pa.Table:
+    """A shard's row with only its frequent words, which are known by their ids."""
+    if not t.num_rows or not mine.num_rows:
+        return pa.Table.from_batches([_row(shard=0, ids=[], sizes=[], gaps=b"", bits=b"", far=b"").slice(0, 0)])
+    at = np.argsort(mine.column("place").to_numpy())
+    place, ids = mine.column("place").to_numpy()[at], mine.column("id").to_numpy()[at]
+    size, gaps, bits, far = _packed(t)
+    stays = np.zeros(len(size), bool)
+    stays[place] = True
+    stay = np.repeat(stays, size)
+    gaps, bits, far = np.frombuffer(gaps, np.uint8), np.frombuffer(bits, np.uint8), np.frombuffer(far, "<u4")
+    row = _row(shard=t.column("shard")[0].as_py(), ids=ids, sizes=size[place], gaps=gaps[stay].tobytes(), bits=bits[stay].tobytes(), far=far[stay[gaps == _FAR]].tobytes())
+    return pa.Table.from_batches([row])
 
 
 def _index(b: pa.RecordBatch | pa.Table, i: int = 0) -> tuple[np.ndarray, Bitmaps]:
     """Ids of a shard's words, and their bitmaps by their place among them."""
-    cell = lambda c: b.column(c)[i]
-    return cell("ids").values.to_numpy(), Bitmaps.unpacked(cell("sizes").values.to_numpy().astype(np.int64), *[cell(c).as_py() for c in ("gaps", "bits", "far")])
+    return b.column("ids")[i].values.to_numpy(), Bitmaps.unpacked(*_packed(b, i))
 
 
 def _frequent(rows: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
@@ -205,11 +220,16 @@ def _frequent(rows: DataFrame, by: tuple[str, ...], least: int) -> DataFrame:
 
 
 def counts(of: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Of shards(): the frequent words (id, lang, word, f) and the frequent phrases (ids, f) of 2 to `longest` words, written tables."""
-    each = of.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    vocabulary = saved(each.withColumn("id", F.monotonically_increasing_id()), "vocabulary")
-    mine = of.join(vocabulary.select("lang", "word", "id"), ["lang", "word"]).select("shard", "id", "gaps", "bits", "far")
-    mine = saved(mine.groupBy("shard").applyInArrow(_pack, _PACKED), "bitmaps")
+    """Of shards(), which goes with this: the frequent words (id, lang, word, f) and the frequent phrases (ids, f) of 2 to `longest` words, written."""
+    each = of.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w"))
+    each = each.select("shard", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"), F.monotonically_increasing_id().alias("row"))
+    each = each.withColumn("id", F.min("row").over(Window.partitionBy("lang", "word")))  # one of its rows names a word
+    first = F.col("row") == F.col("id")
+    each = saved(_frequent(each, ("lang", "word"), least).select("shard", "place", "id", F.when(first, F.col("lang")).alias("lang"), F.when(first, F.col("word")).alias("word"), "f"), "frequent")
+    vocabulary = saved(each.filter("word is not null").select("id", "lang", "word", "f"), "vocabulary")
+    mine = of.select("shard", "sizes", "gaps", "bits", "far").groupBy("shard").cogroup(each.select("shard", "place", "id").groupBy("shard"))
+    mine = saved(mine.applyInArrow(_kept, f"shard long, ids array<long>, {_BITMAPS}"), "bitmaps")
+    release(of.sparkSession, of, each)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,8 +241,11 @@ def counts(of: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame,
 
     two = saved(_frequent(mine.mapInArrow(pairs, "shard long, x long, y long, n long"), ("x", "y"), least).select("shard", "x", "y", "f"), "pairs")
 
+    release(of.sparkSession)
+    names = [f"w{i}" for i in range(longest)]
+
     def deeper(t: pa.Table, p: pa.Table) -> pa.Table:
-        none = pa.table({"ids": pa.array([], pa.list_(pa.int64())), "n": pa.array([], pa.int64())})
+        none = pa.table([pa.array([], pa.int64())] * (longest + 1), [*names, "n"])
         if not t.num_rows or not p.num_rows:
             return none
         ids, maps = _index(t)
@@ -245,18 +268,20 @@ def counts(of: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame,
             up, word, n, maps = grown(index, maps, len(ids), allowed, of_[:, -1])
             of_ = np.column_stack([of_[up], word])
             if of_.shape[1] > 2 and len(n):
-                flat_ = pa.array(ids[of_].ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * of_.shape[1]), flat_)
-                out.append(pa.table({"ids": lists, "n": n}))
+                none_there = [pa.nulls(len(n), pa.int64())] * (longest - of_.shape[1])
+                out.append(pa.table([*map(pa.array, ids[of_].T), *none_there, pa.array(n)], [*names, "n"]))
             if of_.shape[1] < longest and len(n):
                 stack.append((of_, maps))
         return pa.concat_tables(out) if out else none
 
     phrases = two.select(F.array("x", "y").alias("ids"), "f").distinct()
     if longest > 2:
-        more = mine.groupBy("shard").cogroup(two.select("shard", "x", "y").groupBy("shard")).applyInArrow(deeper, "ids array<long>, n long")
-        phrases = phrases.unionByName(more.groupBy("ids").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
-    return vocabulary, saved(phrases, "phrases")
+        more = mine.groupBy("shard").cogroup(two.select("shard", "x", "y").groupBy("shard")).applyInArrow(deeper, ", ".join(f"{c} long" for c in (*names, "n")))
+        more = more.groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        phrases = phrases.unionByName(more.select(F.array_compact(F.array(*names)).alias("ids"), "f"))
+    phrases = saved(phrases, "phrases")
+    release(of.sparkSession, mine, two)
+    return vocabulary, phrases
 
 
 def _exact(x: Column) -> Column:
@@ -288,7 +313,8 @@ def scored(vocabulary: DataFrame, phrases: DataFrame, longest: int = 4, scale: i
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4, top: int = 2000, share: int = 80) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases by score; n counts all words of the language."""
     of = shards(docs, text, lang)
-    all_ = saved(of.groupBy("lang").agg(F.sum("n").alias("n")), "languages")
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
+    all_ = saved(of.groupBy("lang").agg(F.sum(n).alias("n")), "languages")
     order = (F.desc("score"), F.desc("a"), F.col("phrase"))
     got = scored(*counts(of, least, longest), longest, share=share).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
     # the first of each part, then of these: no task orders a whole language
