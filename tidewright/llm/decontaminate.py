@@ -34,6 +34,7 @@ Q, RATE, FLOOR = 16, 0.05, 8
 BLOCK = 4 << 20
 HITS, CELLS = 2 << 20, 8 << 20  # hits counted at once, and bytes of text aligned at once
 CHUNK_IN = 1 << 20
+MERGED = 16  # bands side by side that are aligned at once
 
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[128:] = np.arange(128, 256)
@@ -69,7 +70,7 @@ class Index:
         off = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
         body, at = plain(raw, off)
         self.ids, self.text, self.budget, self.need = [], [], [], []
-        grams, posts = [], []
+        grams, posts, each = [], [], {}
         for i, (key, _) in enumerate(items):
             t = body[at[i] : at[i + 1] + 1].tobytes().strip()
             n = len(t)
@@ -83,7 +84,7 @@ class Index:
             self.need.append(max(1, n - q + 1 - q * e))
             if n >= q:
                 s = np.arange(n - q + 1)
-                g = Rolling(np.frombuffer(t, np.uint8))(s, s + q)
+                g = each[j] = Rolling(np.frombuffer(t, np.uint8))(s, s + q)
                 step = s // max(e, 1)
                 order = np.lexsort((step, g))
                 g, step = g[order], step[order]
@@ -100,6 +101,17 @@ class Index:
         self.flags = np.zeros(1 << self.bits, bool)
         self.flags[self._slot(self.grams)] = True
         self.reach, self.lack = np.array(self.budget, np.int64), np.array(self.need, np.int64)
+        self.own = [self._rarest(each.get(j), e) for j, e in enumerate(self.budget)]
+
+    def _rarest(self, g: np.ndarray | None, e: int) -> tuple[int, int]:
+        """The part of an item, 4e long, whose q-grams the fewest items have; the whole of a short item."""
+        long = 4 * e
+        if g is None or len(g) < 2 * long or not e:
+            return 0, 0 if g is None else len(g) + self.q - 1
+        upto = np.append(0, np.cumsum(self.count[np.searchsorted(self.grams, g)]))
+        inside = long - self.q + 1 if long > self.q else 1
+        a = int(np.argmin(upto[inside:] - upto[:-inside]))
+        return a, min(a + long, len(g) + self.q - 1)
 
     def _slot(self, g: np.ndarray) -> np.ndarray:
         return (g >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -109,6 +121,8 @@ class Index:
         times = self.count[k]
         upto = np.cumsum(times)
         kept, a = [], 0
+        least = int((self.posts & 0xFFFFFFFF).max(initial=0)) + 3
+        span = int(s.max(initial=0)) + least + 1
         while a < len(s):
             b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, "right")))
             spread = np.repeat(np.arange(a, b), times[a:b])
@@ -118,16 +132,19 @@ class Index:
             step = np.maximum(self.reach[item], 1)
             # places [p*step, (p+1)*step) lie on diagonals (s - (p+1)*step, s - p*step], and band b holds [b*step, (b+2)*step]
             high = s[spread] // step - (post & 0xFFFFFFFF)
-            band = (high[:, None] - np.arange(3)).ravel()
-            keys = np.stack([np.repeat(row[spread], 3), np.repeat(item, 3), band])
-            kept.append(_counted(keys, np.ones(len(band), np.int64)))
+            kept.append(np.unique((row[spread] * len(self.ids) + item) * span + high + least, return_counts=True))
             a = b
         if not kept:
             z = np.zeros(0, np.int64)
             return z, z, z
-        keys, n = _counted(np.concatenate([x for x, _ in kept], axis=1), np.concatenate([x for _, x in kept])) if len(kept) > 1 else kept[0]
-        row, item, band = keys[:, n >= self.lack[keys[1]]]
-        return row, item, band
+        keys, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+        # a hit counts in the band of its number and the two before it; `least` leaves room for them in a pair's span
+        keys, which = np.unique((keys[:, None] - np.arange(3)).ravel(), return_inverse=True)
+        n = np.bincount(which.ravel(), np.repeat(n, 3))
+        pair, band = np.divmod(keys, span)
+        item = pair % len(self.ids)
+        enough = n >= self.lack[item]
+        return pair[enough] // len(self.ids), item[enough], band[enough] - least
 
     def match(self, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, start) of the best match of each row and item; start is in the plain form."""
@@ -164,14 +181,21 @@ class Index:
             number = np.cumsum(pair) - 1
             whole_copy = np.array([(r, i) in found for r, i in zip(row[pair].tolist(), item[pair].tolist(), strict=True)], bool)
             open_ = ~whole_copy[number] & (self.reach[item] > 0) if len(row) else pair
-            row, item, band = row[open_], item[open_], band[open_]
-            for e in np.unique(self.reach[item]).tolist():
-                mine = np.flatnonzero(self.reach[item] == e)
-                size = max(1, CELLS // (max(len(self.text[i]) for i in item[mine].tolist()) + 8 * e + 8))
+            row, item, band, many = _merged(row[open_], item[open_], band[open_])
+            kinds = np.stack([self.reach[item], many])
+            for e, m in np.unique(kinds, axis=1).T.tolist():
+                mine = np.flatnonzero((kinds[0] == e) & (kinds[1] == m))
+                size = max(1, CELLS // (max(len(self.text[i]) for i in item[mine].tolist()) + 2 * (m + 3) * e + 8))
                 for c in range(0, len(mine), size):
                     part = mine[c : c + size]
-                    low = band[part] * e - e
-                    edits, start = align([self.text[i] for i in item[part].tolist()], body, low, at[row[part]], at[row[part] + 1] + 1, e)
+                    low, first, last, width = band[part] * e - e, at[row[part]], at[row[part] + 1] + 1, (m + 3) * e + 1
+                    # a copy's rarest part has no more edits than the copy, and what items share ends there
+                    own = [self.own[i] for i in item[part].tolist()]
+                    some, _ = align([self.text[i][a:b] for i, (a, b) in zip(item[part].tolist(), own, strict=True)], body, low + [a for a, _ in own], first, last, e, width)
+                    part, low, first, last = (x[some <= e] for x in (part, low, first, last))
+                    if not len(part):
+                        continue
+                    edits, start = align([self.text[i] for i in item[part].tolist()], body, low, first, last, e, width)
                     for r, i, d, p in zip(row[part].tolist(), item[part].tolist(), edits.tolist(), start.tolist(), strict=True):
                         if d <= e:
                             here = (d, p - int(at[r]))
@@ -187,12 +211,15 @@ class Index:
         return [(r, i, d, p) for (r, i), (d, p) in sorted(found.items())]
 
 
-def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct columns in order, and the sums of n."""
-    order = np.lexsort(keys[::-1])
-    keys, n = keys[:, order], n[order]
-    new = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if len(n) else np.zeros(0, np.int64)
-    return keys[:, new], np.add.reduceat(n, new) if len(n) else n
+def _merged(row: np.ndarray, item: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, item, first band, number of bands): runs of bands side by side as one, MERGED of them at most. A band alone is aligned on 4e diagonals, and
+    each one more adds only e."""
+    if not len(row):
+        return row, item, band, band
+    new = np.append(True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1] + 1))
+    place = np.arange(len(row)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    first = np.flatnonzero(place % MERGED == 0)
+    return row[first], item[first], band[first], np.diff(np.append(first, len(row)))
 
 
 def long_plain(raw: np.ndarray) -> np.ndarray:
@@ -212,10 +239,10 @@ def long_plain(raw: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in out if x) + b" ", np.uint8)
 
 
-def align(items: list[bytes], body: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest edits between each whole item and a part of body[begin:end] on the 4 * most + 1 diagonals from `low`, and the part's start;
+def align(items: list[bytes], body: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray, most: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fewest edits between each whole item and a part of body[begin:end] on the `width` diagonals from `low`, and the part's start;
     more than `most` edits stand for none. A cell holds cost * scale + the diagonal it came from, so the least is the first of the best."""
-    width, c = 4 * most + 1, len(items)
+    c = len(items)
     scale = 1 << width.bit_length()
     size = np.array([len(t) for t in items])
     order = np.argsort(-size, kind="stable")
