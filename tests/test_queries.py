@@ -132,14 +132,103 @@ def test_a_stream_is_the_series(spark):
 
 
 def test_a_stream_is_sorted_once(spark):
+    from tidewright.functions.kernel import Spec
     from tidewright.streaming import chunked
 
     df = spark.range(200_000).selectExpr("200000 - id AS t", "cast(id % 7 AS double) AS y", "uuid() AS other")
     got = chunked.dense_index(df.withColumnRenamed("t", "k"), "k", 8)
     assert got.agg(F.countDistinct("t"), F.max("t")).first() == (200_000, 200_000)
-    rows = chunked.Stream(df, "y", "t", []).rows
+    rows = chunked.Stream(df, "y", "t", [], Spec()).rows
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
-    assert [r["t"] for r in rows.coalesce(1).limit(3).collect()] == [1, 2, 3]
+    assert sorted((r["block"], r["start"], len(r["y"])) for r in rows.collect())[:2] == [(0, 1, 1 << 15), (1, (1 << 15) + 1, 1 << 15)]
+
+
+@pytest.mark.parametrize(
+    "orders",
+    [
+        dict(p=1, q=1, trend="ct"),
+        dict(d=1, q=1, sd=1, sq=1, s=4, r=2),
+        dict(p=1, d=1, q=1, sd=1, sp=1, s=4, simple_differencing=False, trend="ct", concentrate=True),
+        dict(p=2, d=1, r=1, trend="c", simple_differencing=False),
+        dict(),
+    ],
+)
+@pytest.mark.parametrize("size, fan", [(64, 3), (1 << 15, 256)])
+def test_ranges_of_time_are_one_filter(spark, monkeypatch, orders, size, fan):
+    """Likelihood, last state, residuals and start values of blocks against the filter and the regressions over the whole series."""
+    import numpy as np
+
+    from tidewright.functions import kernel as K
+    from tidewright.operators.model import model_scale
+    from tidewright.sources import series
+    from tidewright.streaming import chunked
+
+    monkeypatch.setattr(series, "BLOCK", size)
+    monkeypatch.setattr(chunked, "FAN", fan)
+    spec, rng, n = K.Spec(**orders), np.random.default_rng(7), 1501
+    x = rng.standard_normal((n, spec.r))
+    y = np.cumsum(rng.standard_normal(n)) * 0.2 + rng.standard_normal(n) + x.sum(axis=1)
+    y[rng.integers(0, n, 60)] = y[700:790] = np.nan
+    names = [f"x{i}" for i in range(spec.r)]
+    rows = [(i * i, None if np.isnan(y[i]) else float(y[i]), *map(float, x[i])) for i in rng.permutation(n).tolist()]
+    df = spark.createDataFrame(rows, ", ".join(["k long", "y double", *(f"{c} double" for c in names)])).repartition(3)
+    w, z = model_scale(spec, y, x)
+    u = K.start_values(spec, w, z)
+    par = K.constrain(spec, np.stack([u, u * 0.8]))
+    want = K.kalman(spec, w, z, par, trace=True)
+    stream = chunked.Stream(df, "y", "k", names, spec)
+    ll, scale = stream.evaluate(spec, par)
+    assert np.allclose(ll, want.loglik, rtol=1e-10) and np.allclose(scale, want.scale, rtol=1e-10)
+    for i, (a, b) in enumerate(zip(stream.end(par[0]), (want.a[0], want.p[0]), strict=True)):
+        assert np.allclose(a, b, rtol=1e-7, atol=1e-8), i
+    got = sorted(stream.residuals(par[0], 2.0).collect())
+    assert [r["t"] for r in got] == list(range(1, len(w) + 1))
+    v, f = (np.array([np.nan if r[c] is None else r[c] for r in got]) for c in ("v", "f"))
+    assert np.allclose(v, want.v[:, 0], rtol=1e-6, atol=1e-7, equal_nan=True) and np.allclose(f, want.f[:, 0] * 2, rtol=1e-6)
+    assert np.allclose(stream.start_values(), u, rtol=1e-6, atol=1e-8)
+
+
+def test_out_of_core_residuals_and_what_they_refuse(spark):
+    rows = [(i, None if i % 50 == 3 else float((i * 7) % 11), float(i % 3)) for i in range(400)]
+    df = series(spark, rows).repartition(4)
+    m = model.fit(df, "y", "t", p=1, d=1, exog_cols=["x"], params=[0.5, 0.3, 9.0])
+    plain, ranged = (sorted(map(tuple, model.residuals(m, df, "y", "t", ["x"], out_of_core=o).collect())) for o in (False, True))
+    assert [[v if v is None else round(v, 9) for v in r] for r in plain] == [[v if v is None else round(v, 9) for v in r] for r in ranged]
+    assert model.evaluate(m, df, "y", "t", ["x"], out_of_core=True).first()["resid_finite_frac"] == 1
+    with pytest.raises(ValueError, match="without keys"):
+        model.residuals(m, df, "y", "t", ["x"], keys=("x",), out_of_core=True)
+    with pytest.raises(ValueError, match="null or a repeated"):
+        model.residuals(m, df.union(df.limit(1)), "y", "t", ["x"], out_of_core=True)
+    with pytest.raises(ValueError, match="regressors are"):
+        model.residuals(m, df, "y", "t", out_of_core=True)
+    with pytest.raises(Exception, match="null values"):
+        model.fit(df.withColumn("x", F.when(F.col("t") != 9, F.col("x"))), "y", "t", exog_cols=["x"], out_of_core=True)
+
+
+def test_long_series_without_one_partition_windows(spark):
+    """What looks back does so within blocks, for one series and for many."""
+    from tidewright.operators import differencing, lags
+    from tidewright.sources import series as S
+
+    df = spark.range(100_000).selectExpr("id % 2 AS key", "(id * 7919) % 100003 AS k", "cast((id * id) % 17 AS double) AS y")
+    for keys in ((), ("key",)):
+        one = S.series_of(df, "y", "k", keys)
+        lagged = differencing.difference(one, 1, 1, 12, keys)
+        plan = lagged._jdf.queryExecution().executedPlan().toString().split("\n")
+        below = [b for a, b in zip(plan, plan[1:], strict=False) if "Exchange SinglePartition" in a]
+        assert all("HashAggregate(keys=[__part" in b for b in below)  # a row a range
+        own = sorted(df.collect(), key=lambda r: ((r["key"] if keys else 0), r["k"]))
+        want = {}
+        for g in {r["key"] if keys else 0 for r in own}:
+            y = [r["y"] for r in own if not keys or r["key"] == g]
+            e = [b - a for a, b in zip(y, y[1:], strict=False)]
+            want[g] = [b - a for a, b in zip(e, e[12:], strict=False)]
+        got = {}
+        for r in sorted(lagged.collect(), key=lambda r: r["t"]):
+            got.setdefault(r["key"] if keys else 0, []).append(r["w"])
+        assert got == want
+        r = {(x["key"] if keys else 0, x["lag"]): x["acf"] for x in lags.acf(one, 40, keys).collect()}
+        assert len(r) == 41 * len(want) and all(abs(r[g, 0] - 1) < 1e-12 for g in want)
 
 
 def test_sql_functions_are_the_operators(spark):

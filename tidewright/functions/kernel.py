@@ -408,8 +408,13 @@ def start_values(spec: Spec, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     arma[p : p + q], arma[p + q + sp :] = got[p + sp : p + sp + q], got[p + sp + q :]
     left = target[full] - rows[full] @ got
     var = float(np.mean(left**2)) if len(left) else float("nan")
-    if not var > 0:
-        var = float(np.nanmean(w * w)) if np.isfinite(w).any() else 1.0
+    return valid_start(spec, coef, arma, var if var > 0 else float(np.nanmean(w * w)) if np.isfinite(w).any() else 1.0)
+
+
+def valid_start(spec: Spec, coef: np.ndarray, arma: np.ndarray, var: float) -> np.ndarray:
+    """Free start values of a regression and an ARMA block, whose part is halved until it is a valid model."""
+    p, q, sp, _ = spec.arma
+    kt, coef = len(spec.degrees), np.array(coef, float)
     var = var if var > 0 else 1.0
     gain = (1 - arma[:p].sum()) * (1 - arma[p + q : p + q + sp].sum())
     if gain > 1e-6:

@@ -1,5 +1,7 @@
 """Differencing and its inverse as window functions over (keys.., t, y).
 
+What looks back does so within blocks of a series that hold copies of the d + s * D rows before them, so a long series is differenced in parallel.
+
 Ordinary differences come first, then seasonal ones; a null spreads to every difference that touches it, unless `strict`,
 which fails on it. Stages are kept on the original axis; anchors are the trailing values that undo them.
 """
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.series import over_time
+from ..sources.series import in_blocks, over_time, own_rows
 
 MAX_D, MAX_SD = 4, 3
 
@@ -27,14 +29,14 @@ def stages(series: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[str, ...]
     y = F.col(value).cast("double")
     if strict:
         y = F.when(y.isNull(), F.raise_error(F.lit("the series has a missing value")).cast("double")).otherwise(y)
-    out = series.select(*keys, "t", y.alias("a0"))
-    w = over_time(keys)
+    out, size = in_blocks(series.select(*keys, "t", y.alias("a0")), d + sd * s)
+    w = over_time((*keys, "__block"))
     for i in range(1, d + 1):
         out = out.withColumn(f"a{i}", F.col(f"a{i - 1}") - F.lag(f"a{i - 1}").over(w))
     for g in range(1, sd + 1):
         of = f"b{g - 1}" if g > 1 else f"a{d}"
         out = out.withColumn(f"b{g}", F.col(of) - F.lag(of, s).over(w))
-    return out
+    return own_rows(out, size)
 
 
 def difference(series: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[str, ...] = (), strict: bool = False, value: str = "y") -> DataFrame:
@@ -50,17 +52,19 @@ def difference_exog(exog: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[st
 
 def difference_poly(series: DataFrame, coefficients: list[float], keys: tuple[str, ...] = (), value: str = "y") -> DataFrame:
     """(keys.., t, w) by convolution with a lag polynomial, constant first."""
-    w = over_time(keys)
-    total = sum((F.lag(value, k).over(w) * c if k else F.col(value) * c for k, c in enumerate(coefficients) if c), F.lit(0.0))
     lost = len(coefficients) - 1
-    return series.select(*keys, "t", total.alias("w")).filter(F.col("t") > lost).withColumn("t", F.col("t") - lost)
+    rows, size = in_blocks(series, lost)
+    w = over_time((*keys, "__block"))
+    total = sum((F.lag(value, k).over(w) * c if k else F.col(value) * c for k, c in enumerate(coefficients) if c), F.lit(0.0))
+    return own_rows(rows.withColumn("w", total), size).select(*keys, "t", "w").filter(F.col("t") > lost).withColumn("t", F.col("t") - lost)
 
 
 def anchors(series: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
     """(keys.., stage, idx, value): for ordinary stage i the last value before it, for seasonal ones the last s, idx s newest."""
     st = stages(series, d, sd, s, keys, strict)
-    back = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("t")))
-    st = st.withColumn("back", back).filter(F.col("back") <= max(1, s if sd else 1))
+    last = series.groupBy(*keys).agg(F.max("t").alias("__n"))  # a row a series
+    st = st.join(last, list(keys)) if keys else st.crossJoin(F.broadcast(last))
+    st = st.withColumn("back", F.col("__n") - F.col("t") + 1).filter(F.col("back") <= max(1, s if sd else 1))
     before = [f"a{i}" for i in range(d)] + [f"a{d}" if g == 0 else f"b{g}" for g in range(sd)]
     if not before:
         return st.select(*keys, F.lit(0).alias("stage"), F.lit(0).alias("idx"), F.lit(0.0).alias("value")).limit(0)

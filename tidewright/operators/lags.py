@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import bound, upto
-from ..sources.series import over_time
+from ..session import ship
+from ..sources.series import in_blocks, over_time, own_rows
 
 
 def lags(series: DataFrame, m: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., t, lag, value), lags 0..m, only where the earlier row exists."""
-    w = over_time(keys)
-    cells = [F.struct(F.lit(k).alias("lag"), (F.lag("y", k).over(w) if k else F.col("y")).alias("value"), (F.row_number().over(w) > k).alias("there")) for k in range(m + 1)]
-    cells = series.select(*keys, "t", F.array(*cells).alias("cells"))
+    rows, size = in_blocks(series.select(*keys, "t", "y"), m)
+    w = over_time((*keys, "__block"))
+    cells = [F.struct(F.lit(k).alias("lag"), (F.lag("y", k).over(w) if k else F.col("y")).alias("value"), (F.col("t") > k).alias("there")) for k in range(m + 1)]
+    cells = own_rows(rows.withColumn("cells", F.array(*cells)), size)
     return cells.select(*keys, "t", F.explode("cells").alias("c")).filter("c.there").select(*keys, "t", F.col("c.lag").alias("lag"), F.col("c.value").alias("value"))
 
 
-def acf(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys.., lag, acf), lags 0..nlags: mean-corrected, all divided by the sum of squares of the whole series."""
-    of = series.groupBy(*keys).agg(F.count("y").alias("n"), F.array_sort(F.collect_list(F.struct("t", "y"))).alias("s"))
-    of = of.filter("n > 0").select(*keys, "n", F.transform("s", lambda r: r["y"]).alias("y"))
-    of = of.withColumn("mean", F.aggregate("y", F.lit(0.0), lambda s, y: s + y) / F.col("n")).withColumn("e", F.transform("y", lambda y: y - F.col("mean")))
+def lag_products(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys.., lag, product): sums of e_t * e_(t - lag), e being the deviations from the mean; t runs from 1 without gaps. A null y makes them null.
+
+    Each block finds its rows' products with the rows before them; the blocks' sums are added."""
+    ship(series.sparkSession)
+    mean = series.groupBy(*keys).agg(F.avg("y").alias("mean"))  # a row a series
+    src = series.select(*keys, "t", "y")
+    src = src.join(mean, list(keys)) if keys else src.crossJoin(F.broadcast(mean))
+    rows, size = in_blocks(src.select(*keys, "t", (F.col("y") - F.col("mean")).alias("e")), nlags)
+    schema = T.StructType([rows.schema[k] for k in keys] + T.StructType.fromDDL("lag int, product double").fields)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("t")
+        e = t.column("e").cast(pa.float64()).fill_null(float("nan")).to_numpy()
+        head = int(np.count_nonzero(t.column("t").to_numpy() <= t.column("__block")[0].as_py() * size))
+        own = e[head:]
+        some = range(min(nlags, len(e) - 1) + 1) if len(own) else ()
+        of = [float(own[max(k - head, 0) :] @ e[max(head, k) - k : len(e) - k]) for k in some]
+        key = [pa.repeat(t.column(k)[0], len(of)) for k in keys]
+        return pa.table([*key, pa.array(list(some), pa.int32()), pa.array(of, pa.float64())], [*keys, "lag", "product"])
 
-    def cross(k: Column) -> Column:
-        return F.aggregate(F.arrays_zip(F.slice("e", F.lit(1), F.col("n").cast("int") - k).alias("a"), F.slice("e", k + 1, F.col("n").cast("int") - k).alias("b")), F.lit(0.0), lambda s, r: s + r["a"] * r["b"])
+    each = rows.groupBy(*keys, "__block").applyInArrow(run, schema)
+    total = each.groupBy(*keys, "lag").agg(F.sum("product").alias("product"))
+    return total.withColumn("product", F.when(~F.isnan("product"), F.col("product")))
 
-    return of.select(*keys, F.col("e"), F.col("n"), F.explode(F.sequence(F.lit(0), F.least(F.lit(nlags), F.col("n").cast("int") - 1))).alias("lag")).select(*keys, "lag", F.try_divide(cross(F.col("lag")), cross(F.lit(0))).alias("acf"))
+
+def acf(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys.., lag, acf), lags 0..nlags: mean-corrected, all divided by the sum of squares of the whole series."""
+    each = lag_products(series.filter(F.col("t").isNotNull()), nlags, keys)
+    whole = each.filter("lag = 0").select(*keys, F.col("product").alias("whole"))  # a row a series
+    each = each.join(whole, list(keys)) if keys else each.crossJoin(F.broadcast(whole))
+    return each.select(*keys, "lag", F.try_divide("product", "whole").alias("acf"))
 
 
 def pacf(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -71,7 +71,4 @@ def solve(a: DataFrame, b: DataFrame) -> DataFrame:
 def gram(exog: DataFrame) -> DataFrame:
     """(i, j, v): X'X of long regressors (t, j, x), by a self-join on t."""
     other = exog.select("t", F.col("j").alias("j2"), F.col("x").alias("x2"))
-    terms = F.array_sort(F.collect_list(F.struct("t", (F.col("x") * F.col("x2")).alias("z"))))
-    return exog.join(other, "t").groupBy(F.col("j").alias("i"), F.col("j2").alias("j")).agg(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["z"]).alias("v"))
-
-
+    return exog.join(other, "t").groupBy(F.col("j").alias("i"), F.col("j2").alias("j")).agg(F.sum(F.col("x") * F.col("x2")).alias("v"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import kernel as K
 from ..functions.distributions import chi2_sf, norm_cdf, norm_ppf
 from ..session import ship
-from ..sources.series import MAX_REGRESSORS, trend_name
+from ..sources.series import MAX_REGRESSORS, numbered, trend_name
 from .lags import acf
 
 MODEL = "kind string, name string, idx int, value double, value_list array<double>"
@@ -278,9 +278,17 @@ def forecast(model: DataFrame, h: int, newdata: DataFrame | None = None, t_col:
     return out.select(*keys, "h", "yhat", se.alias("se"), (F.col("yhat") - z * se).alias("lo"), (F.col("yhat") + z * se).alias("hi"), "yhat_diff", F.sqrt("var_diff").alias("se_diff"))
 
 
-def residuals(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys.., t, v, f, std_resid) on the model scale; v and std_resid are null where y is missing."""
+def residuals(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = (), out_of_core: bool = False) -> DataFrame:
+    """(keys.., t, v, f, std_resid) on the model scale; v and std_resid are null where y is missing.
+
+    out_of_core: one series longer than a task's memory, filtered in parallel ranges of time."""
     exog = list(exog_cols)
+    if out_of_core:
+        from ..streaming.chunked import residual_stream
+
+        if keys:
+            raise ValueError("out of core there is one series, without keys")
+        return residual_stream(model, data, y_col, t_col, exog)
 
     def rows(m: Model, t: pa.Table) -> list[tuple]:
         m.check(exog)
@@ -306,9 +314,9 @@ def metrics(model: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return model.groupBy(*keys).agg(*[pick("meta", n).alias(n) for n in ("loglik", "aic", "bic", "sigma2")], pick("spec", "n_eff").alias("n_eff"), pick("meta", "converged").alias("converged"))
 
 
-def evaluate(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
+def evaluate(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = (), out_of_core: bool = False) -> DataFrame:
     """metrics() with resid_finite_frac, the share of finite ones among the residuals that aren't null."""
-    r = residuals(model, data, y_col, t_col, exog_cols, keys)
+    r = residuals(model, data, y_col, t_col, exog_cols, keys, out_of_core)
     good = F.count_if(F.col("std_resid").isNotNull() & ~F.isnan("std_resid") & (F.abs("std_resid") < float("inf")))
     got, m = r.groupBy(*keys).agg((good / F.count("std_resid")).alias("resid_finite_frac")), metrics(model, keys)
     return m.join(got, list(keys)) if keys else m.crossJoin(got)  # without keys one row each
@@ -316,8 +324,7 @@ def evaluate(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_col
 
 def ljungbox_of(resid: DataFrame, nlags: int, keys: tuple[str, ...] = (), value: str = "std_resid") -> DataFrame:
     """(keys.., lag, stat, pvalue) of residuals (keys.., t, value); nulls are left out and the rest closed up."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    r = resid.filter(F.col(value).isNotNull()).select(*keys, F.row_number().over(w).cast("long").alias("t"), F.col(value).alias("y"))
+    r = numbered(resid.filter(F.col(value).isNotNull()).select(*keys, F.col("t").alias("__t"), F.col(value).alias("y")), "__t", keys).select(*keys, "t", "y")
     n = r.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
     a = acf(r, nlags, keys)
     a = (a.join(n, list(keys)) if keys else a.crossJoin(n)).filter("lag >= 1")
@@ -326,8 +333,8 @@ def ljungbox_of(resid: DataFrame, nlags: int, keys: tuple[str, ...] = (), value:
     return a.select(*keys, "lag", stat.alias("stat")).withColumn("pvalue", chi2_sf(F.col("stat"), F.col("lag").cast("double")))
 
 
-def ljungbox(model: DataFrame, data: DataFrame, y_col: str, t_col: str, nlags: int, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = ()) -> DataFrame:
-    return ljungbox_of(residuals(model, data, y_col, t_col, exog_cols, keys), nlags, keys)
+def ljungbox(model: DataFrame, data: DataFrame, y_col: str, t_col: str, nlags: int, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = (), out_of_core: bool = False) -> DataFrame:
+    return ljungbox_of(residuals(model, data, y_col, t_col, exog_cols, keys, out_of_core), nlags, keys)
 
 
 def grid(df: DataFrame, y_col: str, t_col: str, orders: list[tuple[int, int, int, int, int, int, int]], keys: tuple[str, ...] = ()) -> DataFrame:

@@ -418,7 +418,7 @@ def loglik_streamed(spark, sf_dir):
     e = S.hourly_events(spark, sf_dir).withColumn("y", (F.col("n") - 10) / 5.0)
     import numpy as np
 
-    ll, _ = chunked.Stream(e, "y", "hour", []).evaluate(Spec(p=1), np.array([[0.5, 2.0]]))
+    ll, _ = chunked.Stream(e, "y", "hour", [], Spec(p=1)).evaluate(Spec(p=1), np.array([[0.5, 2.0]]))
     n = e.count()
     return one(spark, probe_id=F.lit(1).cast("long"), n_eff=F.lit(n).cast("long"), loglik=F.round(F.lit(float(ll[0])), 4))
 
@@ -499,6 +499,82 @@ def forecast_streamed_walk(spark, sf_dir):
     return model.forecast(_converged(m), 4).select("h", F.round("yhat", 6).alias("yhat"), F.round("se", 3).alias("se"))
 
 
+# ---- one series of forty rows for each line of an order, with gaps: over a million rows at 60,000 line items
+
+TICKS = """tl AS (SELECT l_orderkey * 8 + l_linenumber AS line, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY 1),
+tk AS (SELECT line * 40 + c AS k, CAST((quantity * 7 + c * c) % 13 - 6 AS DOUBLE) AS y FROM tl, range(40) AS r(c)),
+d AS (SELECT row_number() OVER (ORDER BY k) AS t, CASE WHEN k % 97 NOT IN (3, 4, 5) THEN y END AS y FROM tk)"""
+_STEPS = f"""WITH {TICKS}, o AS (SELECT t, y, t - lag(t) OVER w AS g, lag(y) OVER w AS py FROM d WHERE y IS NOT NULL WINDOW w AS (ORDER BY t)),
+v AS (SELECT t, y - coalesce(pow(5e-1, g) * py, 0) AS v, CASE WHEN g IS NULL THEN 1e0 ELSE 1e0 - pow(25e-2, g) END AS f FROM o)"""
+
+
+def ticks(spark, sf_dir) -> DataFrame:
+    li = S.table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line")).agg(F.sum("l_quantity").cast("long").alias("quantity"))
+    li = li.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    k, y = F.col("line") * 40 + F.col("c"), (F.col("quantity") * 7 + F.col("c") * F.col("c")) % 13 - 6
+    return li.select(k.cast("long").alias("k"), F.when(~(k % 97).isin(3, 4, 5), y.cast("double")).alias("y"), y.cast("double").alias("whole"))
+
+
+@query(f"{_STEPS} SELECT count(*) AS n, round(-5e-1 * sum(ln(2 * pi()) + ln(f) + v * v / f), 1) AS loglik FROM v")
+def loglik_in_ranges(spark, sf_dir):
+    """An AR(1) likelihood in parallel over time, by its innovations over gaps in SQL."""
+    import numpy as np
+
+    e, spec = ticks(spark, sf_dir), Spec(p=1)
+    ll, _ = chunked.Stream(e, "y", "k", [], spec).evaluate(spec, np.array([[0.5, 0.75]]))
+    return one(spark, n=F.lit(e.filter("y is not null").count()).cast("long"), loglik=F.round(F.lit(float(ll[0])), 1))
+
+
+@query(f"{_STEPS} SELECT d.t, round(v, 6) AS v, round(v / sqrt(f), 5) AS std_resid FROM d LEFT JOIN v USING (t)")
+def residuals_in_ranges(spark, sf_dir):
+    """A row a time, each range replayed from the state that those before it lead to."""
+    e = ticks(spark, sf_dir).select("k", "y")
+    m = model.fit(e, "y", "k", p=1, params=[0.5, 0.75], compute_bse=False, out_of_core=True)
+    return model.residuals(m, e, "y", "k", out_of_core=True).select("t", F.round("v", 6).alias("v"), F.round("std_resid", 5).alias("std_resid"))
+
+
+@query(f"""{_STEPS}, z AS (SELECT row_number() OVER (ORDER BY t) AS t, v / sqrt(f) AS e FROM v), c AS (SELECT t, e - (SELECT avg(e) FROM z) AS e FROM z), l AS (SELECT t, e, unnest(range(1, 5)) AS lag FROM c),
+a AS (SELECT lag, sum(l.e * c.e) / (SELECT sum(e * e) FROM c) AS r FROM l JOIN c ON c.t = l.t - l.lag GROUP BY lag),
+q AS (SELECT lag, n * (n + 2) * sum(r * r / (n - lag)) OVER (ORDER BY lag) AS stat FROM a, (SELECT count(*) AS n FROM z))
+SELECT CAST(lag AS INTEGER) AS lag, round(stat, 3) AS stat, CASE WHEN lag % 2 = 0 THEN round(exp(-stat / 2) * (1 + CASE WHEN lag = 4 THEN stat / 2 ELSE 0 END), 6) END AS pvalue FROM q""")
+def ljungbox_in_ranges(spark, sf_dir):
+    """Ljung-Box of a streamed model's residuals; the chi-square tail has a closed form for even lags, and only these are shown."""
+    e = ticks(spark, sf_dir).select("k", "y")
+    m = model.fit(e, "y", "k", p=1, params=[0.5, 0.75], compute_bse=False, out_of_core=True)
+    got = model.ljungbox(m, e, "y", "k", 4, out_of_core=True)
+    return got.select("lag", F.round("stat", 3).alias("stat"), F.when(F.col("lag") % 2 == 0, F.round("pvalue", 6)).alias("pvalue"))
+
+
+@query(f"{_STEPS} SELECT round(-5e-1 * sum(ln(2 * pi()) + ln(f) + v * v / f), 1) AS loglik, 1e0 AS resid_finite_frac FROM v")
+def evaluate_in_ranges(spark, sf_dir):
+    e = ticks(spark, sf_dir).select("k", "y")
+    m = model.fit(e, "y", "k", p=1, params=[0.5, 0.75], compute_bse=False, out_of_core=True)
+    return model.evaluate(m, e, "y", "k", out_of_core=True).select(F.round("loglik", 1).alias("loglik"), "resid_finite_frac")
+
+
+@query(f"""WITH {TICKS}, w AS (SELECT avg(a.y * b.y) / avg(b.y * b.y) AS phi, avg(a.y * a.y) AS aa, avg(a.y * b.y) AS ab FROM d a JOIN d b ON b.t = a.t - 1 WHERE a.y IS NOT NULL AND b.y IS NOT NULL)
+SELECT round(phi, 8) AS phi, round(aa - phi * ab, 6) AS sigma2 FROM w""")
+def start_values_in_ranges(spark, sf_dir):
+    """The start of a streamed fit, from sums of products over the blocks."""
+    from ..functions import kernel as K
+
+    spec = Spec(p=1)
+    par = K.constrain(spec, chunked.Stream(ticks(spark, sf_dir), "y", "k", [], spec).start_values()[None])[0]
+    return one(spark, phi=F.round(F.lit(float(par[0])), 8), sigma2=F.round(F.lit(float(par[1])), 6))
+
+
+@query(f"WITH {TICKS}, a AS (SELECT t, y - lag(y) OVER (ORDER BY t) AS y FROM d), b AS (SELECT t - 13 AS t, y - lag(y, 12) OVER (ORDER BY t) AS w FROM a) SELECT t, w FROM b WHERE t > 0")
+def diff_in_blocks(spark, sf_dir):
+    """First and seasonal difference of one long series, whose blocks hold copies of the 13 rows before them."""
+    return differencing.difference(S.series_of(ticks(spark, sf_dir), "y", "k"), 1, 1, 12)
+
+
+@query(f"WITH {TICKS}, w AS (SELECT row_number() OVER (ORDER BY k) AS t, y FROM tk), c AS (SELECT t, y - (SELECT avg(y) FROM w) AS e FROM w), g AS (SELECT t, e, unnest(range(0, 51)) AS lag FROM c), v AS (SELECT lag, sum(g.e * c.e) AS p FROM g JOIN c ON c.t = g.t - g.lag GROUP BY lag) SELECT CAST(lag AS INTEGER) AS lag, round(p / (SELECT p FROM v WHERE lag = 0), 6) AS acf FROM v")
+def acf_in_blocks(spark, sf_dir):
+    """Fifty lags of one long series by sums of blocks' products."""
+    return lags.acf(S.series_of(ticks(spark, sf_dir), "whole", "k"), 50).withColumn("acf", r6(F.col("acf")))
+
+
 # ---- fits with closed forms
 
 _META = "SELECT '{n}' AS model, round({v}, 4) AS sigma2, round(-5e-1 * n * (ln(2 * pi()) + ln({v}) + 1), 4) AS loglik FROM k"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 
 MAX_REGRESSORS = 32
 
@@ -22,11 +22,49 @@ def over_time(keys: tuple[str, ...] = (), order: str = "t"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
+#: Rows of a block, and more where a look back is longer.
+BLOCK = 1 << 15
+
+
+def in_blocks(series: DataFrame, halo: int) -> tuple[DataFrame, int]:
+    """series (.., t from 1) with __block, and the rows of a block: a block has its own rows and, as copies, the `halo` rows before them, so that
+    what looks back that far is done inside blocks."""
+    size = max(BLOCK, halo)
+    own = F.floor((F.col("t") - 1) / size).cast("long")
+    both = F.when((F.col("t") - 1) % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    return series.withColumn("__block", F.explode(both)), size
+
+
+def own_rows(df: DataFrame, size: int) -> DataFrame:
+    """Without the copies."""
+    return df.filter(F.col("__block") == F.floor((F.col("t") - 1) / size)).drop("__block")
+
+
+def numbered(df: DataFrame, t_col: str, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """df with a long column t from 1 in each series' order of t_col, and __again where an earlier row has the same time.
+
+    Rows are dealt in ranges of (keys, t_col), numbered within each, and what a series has in earlier ranges is added: no window holds a whole
+    series. The ranges are written first: borders come from a sample, so planning them twice could deal the rows in two ways."""
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(df.repartitionByRange(n, *keys, t_col).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__part", *keys).agg(F.count("*").alias("__n"))  # a row a range and series
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("__part", *keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    w = Window.partitionBy("__part", *keys).orderBy(t_col)
+    again = F.coalesce(F.lag(t_col).over(w).eqNullSafe(F.col(t_col)) & (F.row_number().over(w) > 1), F.lit(False))
+    inside = dealt.withColumns({"__in": F.row_number().over(w), "__again": again})
+    if keys:  # series may be many, and a null key is a key
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+        both = inside.alias("l").join(ahead.alias("r"), [F.col("l.__part") == F.col("r.__part"), *same]).select("l.*", "r.__ahead")
+    else:
+        both = inside.join(F.broadcast(ahead), "__part")  # a row a range
+    return both.withColumn("t", (F.col("__ahead") + F.col("__in")).cast("long")).drop("__part", "__in", "__ahead")
+
+
 def series_checked(df: DataFrame, y_col: str, t_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., t, y, invalid_time): invalid_time marks a null or repeated time key."""
-    w = over_time(keys, t_col)
-    bad = F.col(t_col).isNull() | F.coalesce(F.lag(t_col).over(w).eqNullSafe(F.col(t_col)) & (F.row_number().over(w) > 1), F.lit(False))
-    return df.select(*keys, F.row_number().over(w).cast("long").alias("t"), F.col(y_col).cast("double").alias("y"), bad.alias("invalid_time"))
+    src = df.select(*keys, F.col(t_col).alias("__t"), F.col(y_col).cast("double").alias("y"))
+    return numbered(src, "__t", keys).select(*keys, "t", "y", (F.col("__t").isNull() | F.col("__again")).alias("invalid_time"))
 
 
 def series_of(df: DataFrame, y_col: str, t_col: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -47,7 +85,7 @@ def exog_of(df: DataFrame, exog_cols: list[str], t_col: str, keys: tuple[str, ..
     """(keys.., t, j, x) from wide columns; j is the column's place from 1."""
     if len(exog_cols) > MAX_REGRESSORS:
         raise ValueError(f"at most {MAX_REGRESSORS} regressors; got {len(exog_cols)}")
-    wide = df.select(*keys, F.row_number().over(over_time(keys, t_col)).cast("long").alias("t"), F.array(*[F.col(c).cast("double") for c in exog_cols]).alias("xs"))
+    wide = numbered(df.select(*keys, F.col(t_col).alias("__t"), F.array(*[F.col(c).cast("double") for c in exog_cols]).alias("xs")), "__t", keys)
     return wide.select(*keys, "t", F.posexplode("xs").alias("j", "x")).withColumn("j", F.col("j") + 1)
 
 

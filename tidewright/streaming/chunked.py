@@ -1,38 +1,34 @@
-"""Series longer than a task's memory: the likelihood as a stream over Arrow batches.
+"""Series longer than a task's memory: likelihoods, residuals and start values in parallel over time.
 
-The rows are put in order once, in parallel, and written as one file for each range of times; each evaluation is then one job without a
-shuffle, whose single task reads the files in order, batch by batch, carrying the filter's state and the last values that differencing
-needs. Memory doesn't grow with the series. The optimizer runs on the driver; a gradient or a line search phase is one pass with all its probes.
+The rows are numbered in order of time and written as blocks, one row each, which hold copies of the rows before them that
+differencing and lagged regressions look back to. An evaluation is one pass over the blocks in parallel: each gives its element (`ranges`), and elements are
+joined, FAN at a time in tasks and the last ones on the driver. Residuals take a second pass in which every block starts from the state
+that the elements before it lead to. The optimizer runs on the driver; a gradient or a line search phase is one pass with all its probes.
 
-Contract: an explicit time column without nulls or repeats, no null regressor; start values are zeros and the second moment.
+Contract: an explicit time column without nulls or repeats, no null regressor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
 from ..session import shared_path, ship, written
+from ..sources.series import in_blocks, numbered
+from . import ranges as R
 
-CELLS = 1 << 22  # numbers in a file
+#: Elements that are joined at once.
+FAN = 256
 
 
 def dense_index(df: DataFrame, t_col: str, parts: int | None = None) -> DataFrame:
-    """df with a long column t from 1 in the order of t_col, without a one-partition window: ranges are numbered, then rows in each.
-
-    The ranges are written first: borders come from a sample, so planning them twice could deal the rows in two ways."""
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = written(df.repartitionByRange(n, t_col).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    ahead = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(t_col))
-    return dealt.withColumn("__in", inside).join(F.broadcast(ahead), "__part").withColumn("t", F.col("__ahead") + F.col("__in")).drop("__part", "__in", "__ahead")
+    """df with a long column t from 1 in the order of t_col, without a one-partition window."""
+    return numbered(df, t_col, parts=parts).drop("__again")
 
 
 def second_moment(df: DataFrame, y_col: str, t_col: str) -> dict:
@@ -42,62 +38,234 @@ def second_moment(df: DataFrame, y_col: str, t_col: str) -> dict:
     return r.asDict() | {"bad": r["bad"] + again}
 
 
+def _long_lag(spec: K.Spec, n: int) -> int:
+    """Lags of the long autoregression that stands for the moving average's shocks; n: rows after differencing."""
+    p, q, sp, sq = spec.arma
+    return min(max(20, 2 * max(p + spec.s * sp, q + spec.s * sq)), (n - 1) // 2) if q + sq else 0
+
+
+class Block:
+    """Rows of a series with the `head` rows before them; `start` is the time of the first own row, from 1."""
+
+    def __init__(self, number: int, head: int, start: int, y: np.ndarray, x: np.ndarray):
+        self.number, self.head, self.start, self.y, self.x = number, head, start, y, x
+
+    def on_scale(self, spec: K.Spec) -> tuple[np.ndarray, np.ndarray, int]:
+        """Own rows on the model scale, and the time there of the first."""
+        if not spec.simple_differencing:
+            return self.y[self.head :], self.x[self.head :], self.start
+        back = min(self.head, spec.lost)
+        cells = np.column_stack([self.y, self.x])[self.head - back :]
+        w = K.difference(cells, spec.d, spec.sd, spec.s) if len(cells) > spec.lost else cells[:0]
+        return w[:, 0], w[:, 1:], max(self.start - spec.lost, 1)
+
+    def regression(self, spec: K.Spec, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+        """The differenced y and regressors, trend first, of own rows and the `ahead` before them; NaN where there are none."""
+        d, sd, kt = spec.d, spec.sd, len(spec.degrees)
+        back = min(self.head, spec.lost + ahead)
+        first = self.start - back
+        y, x = self.y[self.head - back :], self.x[self.head - back :]
+        time = np.arange(first, first + len(y), dtype=float) - (spec.lost if spec.simple_differencing else 0)
+        trend = np.column_stack([time**g for g in spec.degrees]) if kt else np.zeros((len(y), 0))
+        if len(y) <= spec.lost:
+            return np.zeros(0), np.zeros((0, spec.front))
+        w, z = K.difference(y, d, sd, spec.s), K.difference(x, d, sd, spec.s)
+        trend = trend[spec.lost :] if spec.simple_differencing else K.difference(trend, d, sd, spec.s)
+        gap = ahead + len(self.y) - self.head - (spec.lost if first == 1 and self.head < spec.lost else 0) - len(w)
+        pad = lambda a: np.concatenate([np.full((gap, *a.shape[1:]), np.nan), a]) if gap > 0 else a
+        return pad(w), pad(np.column_stack([trend, z]))
+
+
 class Stream:
-    """An ordered series that can be evaluated again and again."""
+    """An ordered series in written blocks, for one model."""
 
-    def __init__(self, df: DataFrame, y_col: str, t_col: str, exog_cols: list[str], path: str | None = None, n: int | None = None):
+    def __init__(self, df: DataFrame, y_col: str, t_col: str, exog_cols: list[str], spec: K.Spec, path: str | None = None, n: int | None = None):
         spark = ship(df.sparkSession)
-        self.exog = list(exog_cols)
-        rows = df.select(F.col(t_col).alias("t"), F.col(y_col).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(self.exog)])
-        n = df.count() if n is None else n
-        parts = max(1, -(-n * (2 + len(self.exog)) // CELLS))  # files that are read as one split
+        self.spec, self.exog = spec, list(exog_cols)
+        self.n = df.count() if n is None else n
+        lost = spec.lost
+        self.long = _long_lag(spec, self.n - lost)
+        p, q, sp, sq = spec.arma
+        self.ahead = max(p + spec.s * sp, self.long + q + spec.s * sq if q + sq else 0)
+        xs = [F.col(c).cast("double") for c in self.exog]
+        rows = df.select(F.col(t_col).alias("__t"), F.col(y_col).cast("double").alias("y"), F.array(*xs).cast("array<double>").alias("x"))
+        rows, size = in_blocks(dense_index(rows, "__t").select("t", "y", "x"), lost + self.ahead)
+        self.blocks = -(-self.n // size)
+        ddl = "block long, head int, start long, y array<double>, x array<double>"
+
+        def pack(t: pa.Table) -> pa.Table:
+            t, block = t.sort_by("t"), t.column("__block")[0].as_py()
+            head = int(np.count_nonzero(t.column("t").to_numpy() <= block * size))
+            x = t.column("x").combine_chunks().flatten()
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            cells = [block, head, block * size + 1, t.column("y").cast(pa.float64()).fill_null(float("nan")).to_numpy(), x.fill_null(float("nan")).to_numpy(zero_copy_only=False)]
+            return pa.table([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["block", "head", "start", "y", "x"])
+
         path = path or shared_path(spark, "stream")
-        dealt = rows.repartitionByRange(parts, "t").withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", "t")
-        dealt.write.mode("overwrite").partitionBy("part").parquet(path)
-        schema = rows.schema
-        there = sorted(r["part"] for r in spark.read.parquet(path).select("part").distinct().collect()) if n else []
-        files = [spark.read.schema(schema).parquet(f"{path}/part={k}") for k in there] or [spark.createDataFrame([], schema)]
-        self.rows = reduce(DataFrame.union, files)
-
-    def _passed(self, spec: K.Spec, par: np.ndarray) -> list:
-        """One row a probe: (i, loglik, scale, a, p, tail), the state after the series and its last rows."""
-        lost = spec.lost if spec.simple_differencing else 0
-        names = [f"x{i}" for i in range(len(self.exog))]
+        packed = rows.filter(F.col("__block") < self.blocks).groupBy("__block").applyInArrow(pack, ddl)
+        packed.write.mode("overwrite").parquet(path)
+        self.rows = spark.read.schema(packed.schema).parquet(path)
+
+    def _each(self, f: Callable[[Block, dict], Iterator[pa.RecordBatch]], ddl: str, rows: DataFrame | None = None) -> DataFrame:
+        """f of every block; columns beside the blocks' own are passed on."""
+        r = self.spec.r
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            go, tail, last = K.Run(spec, par), np.zeros((0, 1 + spec.r)), None
             for b in batches:
-                if not b.num_rows:
-                    continue
-                times = b.column("t")
-                if last is not None and not times[0].as_py() > last:
-                    raise ValueError("the rows aren't in order of time")
-                last = times[-1].as_py()
-                cells = np.column_stack([b.column(c).fill_null(float("nan")).to_numpy(zero_copy_only=False) for c in ("y", *names)])
-                if np.isnan(cells[:, 1:]).any():
-                    raise ValueError("a regressor has null values")
-                cells = np.vstack([tail, cells])
-                tail = cells[max(len(cells) - lost, 0) :] if lost else cells[:0]
-                if len(cells) > lost:
-                    w = K.difference(cells, spec.d, spec.sd, spec.s) if lost else cells
-                    go.feed(w[:, 0], w[:, 1:])
-            ll, scale = go.result()
-            lists = [pa.array([x.ravel().tolist() for x in of], pa.list_(pa.float64())) for of in (go.a, go.p, [tail] * len(ll))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ll))), pa.array(ll), pa.array(scale), *lists], ["i", "loglik", "scale", "a", "p", "tail"])
-
-        ddl = "i long, loglik double, scale double, a array<double>, p array<double>, tail array<double>"
-        return sorted(self.rows.coalesce(1).mapInArrow(run, ddl).collect(), key=lambda r: r["i"])
+                for i in range(b.num_rows):
+                    cell = lambda c: b.column(c)[i]
+                    y, x = (cell(c).values.to_numpy() for c in ("y", "x"))
+                    more = {c: cell(c).as_py() for c in b.schema.names[5:]}
+                    yield from f(Block(cell("block").as_py(), cell("head").as_py(), cell("start").as_py(), y, x.reshape(len(y), r)), more)
+
+        return (self.rows if rows is None else rows).mapInArrow(run, ddl)
+
+    def _elements(self, par: np.ndarray) -> DataFrame:
+        """(block, probe, e): each block's element, a row a probe."""
+        spec = self.spec
+
+        def run(b: Block, _) -> Iterator[pa.RecordBatch]:
+            if np.isnan(b.x).any():
+                raise ValueError("a regressor has null values")
+            w, z, start = b.on_scale(spec)
+            if len(w):
+                e = R.Range(spec, par, w, z, start).element().flat()
+                yield pa.RecordBatch.from_arrays([pa.array([b.number] * len(e)), pa.array(np.arange(len(e))), pa.array(list(e), pa.list_(pa.float64()))], ["block", "probe", "e"])
+
+        return self._each(run, "block long, probe long, e array<double>")
+
+    def _joined(self, elements: DataFrame) -> DataFrame:
+        """The elements of FAN blocks each as one; `block` is then the number of the group."""
+        k = self.spec.kdiff + self.spec.karma
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by("block")
+            e = R.folded(R.Element.of(np.array(t.column("e").to_pylist(), float), k)).flat()
+            return pa.table([t.column("to")[:1], t.column("probe")[:1], pa.array([e], pa.list_(pa.float64()))], ["block", "probe", "e"])
+
+        src = elements.withColumn("to", F.floor(F.col("block") / FAN).cast("long"))
+        return written(src.groupBy("to", "probe").applyInArrow(run, "block long, probe long, e array<double>"), "elements")
+
+    def _whole(self, par: np.ndarray) -> R.Element:
+        elements, blocks = self._elements(par), self.blocks
+        while blocks > FAN:
+            elements, blocks = self._joined(elements), -(-blocks // FAN)
+        got = sorted(elements.collect(), key=lambda r: (r["block"], r["probe"]))
+        return R.folded(R.Element.of(np.array([r["e"] for r in got], float).reshape(-1, len(par), len(got[0]["e"])), self.spec.kdiff + self.spec.karma))
 
     def evaluate(self, spec: K.Spec, par: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods and scales of the probes, in one pass."""
-        got = self._passed(spec, par)
-        return np.array([r["loglik"] for r in got], float), np.array([r["scale"] for r in got], float)
+        return R.likelihood(spec, self._whole(par))
+
+    def end(self, par: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State and covariance after the series at one set of parameters."""
+        spec, lost = self.spec, self.spec.lost if self.spec.simple_differencing else 0
+        a, p = R.last_state(spec, par[None], self._whole(par[None]), self.n - lost)
+        return a[0], p[0]
+
+    def tail(self) -> np.ndarray:
+        """The last rows (y, regressors) that undoing differences needs."""
+        lost = self.spec.lost if self.spec.simple_differencing else 0
+        r = self.rows.filter(F.col("block") == self.blocks - 1).first()  # its copies reach back far enough
+        y = np.array(r["y"], float)
+        return np.column_stack([y, np.array(r["x"], float).reshape(len(y), self.spec.r)])[max(len(y) - lost, 0) :] if lost else np.zeros((0, 1 + self.spec.r))
+
+    def _starts(self, elements: DataFrame, blocks: int) -> DataFrame:
+        """(block, b, c): the filtered state before each block but the first, for one probe."""
+        k, spark = self.spec.kdiff + self.spec.karma, self.rows.sparkSession
+        ddl = "block long, b array<double>, c array<double>"
 
-    def end(self, spec: K.Spec, par: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """State and covariance after the series at one set of parameters, and the rows (y, regressors) that undoing differences needs."""
-        r = self._passed(spec, par[None])[0]
-        a = np.array(r["a"], float)
-        return a, np.array(r["p"], float).reshape(len(a), len(a)), np.array(r["tail"], float).reshape(-1, 1 + spec.r)
+        def scan(rows: list[dict], b: np.ndarray | None, c: np.ndarray | None) -> list[tuple]:
+            out = []
+            b, c = (np.zeros(k), np.zeros((k, k))) if b is None else (b, c)
+            for r in sorted(rows, key=lambda r: r["block"]):
+                out.append((r["block"], b.tolist(), c.ravel().tolist()))
+                b, c = R.after(b, c, R.Element.of(np.array(r["e"], float), k))
+            return out
+
+        if blocks <= FAN:
+            return spark.createDataFrame(scan([r.asDict() for r in elements.collect()], None, None), ddl)
+        ahead = self._starts(self._joined(elements), -(-blocks // FAN)).withColumnRenamed("block", "to")
+
+        def within(t: pa.Table, s: pa.Table) -> pa.Table:
+            at = s.to_pylist()[0]
+            rows = scan(t.select(["block", "e"]).to_pylist(), np.array(at["b"], float), np.array(at["c"], float).reshape(k, k))
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["block", "b", "c"])
+
+        mine = elements.withColumn("to", F.floor(F.col("block") / FAN).cast("long"))
+        return mine.groupBy("to").cogroup(ahead.groupBy("to")).applyInArrow(within, ddl)
+
+    def residuals(self, par: np.ndarray, scale: float = 1.0) -> DataFrame:
+        """(t, v, f, std_resid) on the model scale, a row a time."""
+        spec, k = self.spec, self.spec.kdiff + self.spec.karma
+        starts = self._starts(written(self._elements(par[None]), "elements"), self.blocks)
+
+        def run(b: Block, more: dict) -> Iterator[pa.RecordBatch]:
+            w, z, start = b.on_scale(spec)
+            if not len(w):
+                return
+            at = (None, None) if start == 1 else (np.array(more["b"], float)[None], np.array(more["c"], float).reshape(1, k, k))
+            v, f = (a[:, 0] for a in R.Range(spec, par[None], w, z, start).traced(*at))
+            f = f * scale
+            with np.errstate(all="ignore"):
+                cells = [np.arange(start, start + len(w)), *[pa.array(a, from_pandas=True) for a in (v, f, v / np.sqrt(f))]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["t", "v", "f", "std_resid"])
+
+        return self._each(run, "t long, v double, f double, std_resid double", self.rows.join(starts, "block", "left").select(*self.rows.columns, "b", "c"))
+
+    def _summed(self, f: Callable[[Block], np.ndarray]) -> np.ndarray:
+        """The sum of the blocks' arrays, all of one size that the orders set."""
+
+        def run(b: Block, _) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([f(b).ravel()], pa.list_(pa.float64()))], ["v"])
+
+        got = self._each(run, "v array<double>").select(F.posexplode("v").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))
+        return np.array([r["v"] for r in sorted(got.collect(), key=lambda r: r["at"])], float)
+
+    def _regressed(self, columns: Callable[[Block], tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, float]:
+        """Coefficients of a least squares fit over all blocks, from sums of products, and the mean square that is left."""
+
+        def products(b: Block) -> np.ndarray:
+            z, y = columns(b)
+            both = np.column_stack([z, y, np.ones(len(y))])
+            both = both[~np.isnan(both).any(axis=1)]
+            return both.T @ both
+
+        s = self._summed(products).reshape(width + 2, width + 2)
+        coef = np.linalg.lstsq(s[:width, :width], s[:width, width], rcond=None)[0]
+        return coef, float((s[width, width] - coef @ s[:width, width]) / s[-1, -1]) if s[-1, -1] else float("nan")
+
+    def start_values(self) -> np.ndarray:
+        """The start of a fit in memory, by regressions whose sums the blocks give: one for trend and regressors, one on many lags for the shocks, one for the ARMA block."""
+        spec, long, ahead = self.spec, self.long, self.ahead
+        p, q, sp, sq = spec.arma
+        s, n = spec.s, self.n - self.spec.lost
+        first = max(p + s * sp, long + q + s * sq if q + sq else 0)
+        if n < first + 1 + p + q + sp + sq or n < 1:
+            raise ValueError(f"the series is too short for these orders: {n} observations after differencing, {first + 1 + p + q + sp + sq} are needed")
+        coef, whole = self._regressed(lambda b: b.regression(spec, 0)[::-1], spec.front)
+
+        def errors(b: Block) -> np.ndarray:
+            w, z = b.regression(spec, ahead)
+            return w - z @ coef
+
+        back = lambda e, lags: np.column_stack([e[ahead - k : len(e) - k] for k in lags]) if lags else np.zeros((max(len(e) - ahead, 0), 0))
+        shock = np.zeros(0)
+        if q + sq:
+            shock, _ = self._regressed(lambda b: ((e := errors(b)) is not None and back(e, list(range(1, long + 1))), e[ahead:]), long)
+
+        def lagged(b: Block) -> tuple[np.ndarray, np.ndarray]:
+            e = errors(b)
+            eps = np.full(len(e), np.nan)
+            if q + sq and len(e) > long:
+                eps[long:] = e[long:] - np.column_stack([e[long - k : len(e) - k] for k in range(1, long + 1)]) @ shock
+            own = [back(e, [*range(1, p + 1), *(s * i for i in range(1, sp + 1))]), back(eps, [*range(1, q + 1), *(s * i for i in range(1, sq + 1))])]
+            return np.hstack(own), e[ahead:]
+
+        got, var = self._regressed(lagged, p + q + sp + sq)
+        arma = np.concatenate([got[:p], got[p + sp : p + sp + q], got[p : p + sp], got[p + sp + q :]])
+        return K.valid_start(spec, coef, arma, var if var > 0 else whole)
 
 
 def fit_stream(df: DataFrame, y_col: str, t_col: str, spec: K.Spec, exog_cols: tuple[str, ...] | list[str] = (), compute_bse: bool = False, path: str | None = None, most: int = 500, params: list[float] | None = None) -> DataFrame:
@@ -112,19 +280,28 @@ def fit_stream(df: DataFrame, y_col: str, t_col: str, spec: K.Spec, exog_cols: t
     n_eff = m2["n"] - (spec.lost if spec.simple_differencing else 0)
     if n_eff - spec.kdiff <= spec.size:
         raise ValueError("the series is too short for the model")
-    stream = Stream(df, y_col, t_col, list(exog_cols), path, m2["n"])
+    stream = Stream(df, y_col, t_col, list(exog_cols), spec, path, m2["n"])
     at = lambda par: stream.evaluate(spec, par)
     none = np.zeros(0), np.zeros((0, spec.r))
     if params is None:
-        start = np.zeros(spec.size)
-        if not spec.concentrate:
-            start[-1] = np.sqrt(m2["sigma2"] or 1.0)
-        m = K.maximize(spec, *none, start=start, most=most, evaluate=at)
+        m = K.maximize(spec, *none, start=stream.start_values(), most=most, evaluate=at)
     else:
         par = np.array(params, float)
         ll, scale = at(par[None])
         m = K.Optimum(par, K.unconstrain(spec, par[None])[0], float(ll[0]), float(scale[0]), 1 if np.isfinite(ll[0]) else 3, 0, 0.0, False)
     bse = K.standard_errors(spec, *none, m.params, evaluate=at) if compute_bse else np.full(spec.size, np.nan)
-    a, p, tail = stream.end(spec, m.params)
+    (a, p), tail = stream.end(m.params), stream.tail()
     rows = model_rows(spec, list(exog_cols), m, bse, m2["n"], n_eff, tail[:, 0], tail[:, 1:], a, p)
     return df.sparkSession.createDataFrame(rows, MODEL)
+
+
+def residual_stream(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_cols: list[str]) -> DataFrame:
+    """model.residuals(out_of_core=True): (t, v, f, std_resid) of one series."""
+    from ..operators.model import Model
+
+    m2 = second_moment(data, y_col, t_col)
+    if m2["bad"]:
+        raise ValueError(f"time column {t_col} has a null or a repeated value")
+    m = Model(model.toArrow())  # a row a parameter
+    m.check(exog_cols)
+    return Stream(data, y_col, t_col, exog_cols, m.spec, n=m2["n"]).residuals(m.params, m.scale)
