@@ -153,12 +153,35 @@ class Stream:
         got = sorted(elements.collect(), key=lambda r: (r["block"], r["probe"]))
         return R.folded(R.Element.of(np.array([r["e"] for r in got], float).reshape(-1, len(par), len(got[0]["e"])), self.spec.kdiff + self.spec.karma))
 
+    def _alone(self, par: np.ndarray) -> K.Filtered:
+        """The filter over a series of one block, which has no other to be joined to."""
+        spec = self.spec
+
+        def run(b: Block, _) -> Iterator[pa.RecordBatch]:
+            if np.isnan(b.x).any():
+                raise ValueError("a regressor has null values")
+            w, z, _ = b.on_scale(spec)
+            got = K.kalman(spec, w, z, par)
+            lists = [pa.array([x.ravel() for x in of], pa.list_(pa.float64())) for of in (got.a, got.p)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(par))), pa.array(got.loglik), pa.array(got.scale), *lists], ["probe", "loglik", "scale", "a", "p"])
+
+        rows = sorted(self._each(run, "probe long, loglik double, scale double, a array<double>, p array<double>").collect(), key=lambda r: r["probe"])
+        k = self.spec.kdiff + self.spec.karma
+        column = lambda c, *shape: np.array([r[c] for r in rows], float).reshape(len(rows), *shape)
+        return K.Filtered(column("loglik"), column("scale"), column("a", k), column("p", k, k))
+
     def evaluate(self, spec: K.Spec, par: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihoods and scales of the probes, in one pass."""
+        if self.blocks == 1:
+            got = self._alone(par)
+            return got.loglik, got.scale
         return R.likelihood(spec, self._whole(par))
 
     def end(self, par: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """State and covariance after the series at one set of parameters."""
+        if self.blocks == 1:
+            got = self._alone(par[None])
+            return got.a[0], got.p[0]
         spec, lost = self.spec, self.spec.lost if self.spec.simple_differencing else 0
         a, p = R.last_state(spec, par[None], self._whole(par[None]), self.n - lost)
         return a[0], p[0]
