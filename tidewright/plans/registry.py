@@ -13,9 +13,9 @@ from ..functions import polynomials as P
 from ..functions.kernel import Spec
 from ..operators import checks, differencing, estimation, filter, lags, matrices, model
 from .. import sqlapi
-from ..session import ship
+from ..session import shared_path, ship, written
 from ..sources import series as S
-from ..streaming import chunked
+from ..streaming import chunked, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -575,6 +575,30 @@ def acf_in_blocks(spark, sf_dir):
     return lags.acf(S.series_of(ticks(spark, sf_dir), "whole", "k"), 50).withColumn("acf", r6(F.col("acf")))
 
 
+@query("""WITH e AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL),
+z AS (SELECT event_type, CAST(date_diff('hour', (SELECT min(hour) FROM e), hour) AS BIGINT) + 1 AS t, (n - 2) / 2e0 AS y FROM e),
+g AS (SELECT *, t - lag(t) OVER w AS g, lag(y) OVER w AS b FROM z WINDOW w AS (PARTITION BY event_type ORDER BY t)),
+f AS (SELECT event_type, t, y, CASE WHEN g IS NULL THEN y ELSE y - pow(5e-1, g) * b END AS v, CASE WHEN g IS NULL THEN 2e0 / 75e-2 ELSE 2e0 * (1 - pow(25e-2, g)) / 75e-2 END AS f FROM g)
+SELECT event_type, max(t) AS t, count(*) AS n_seen, CAST(0 AS BIGINT) AS late, round(sum(-5e-1 * (ln(2 * pi()) + ln(f) + v * v / f)), 4) AS loglik, round(max_by(y, t) / 2, 6) AS a, 2e0 AS p FROM f GROUP BY event_type""")
+def live_filter(spark, sf_dir):
+    """Hours of each event type as a stream in three parts, with a restart after each: the state ends as the filter over all of them."""
+    keys = ("event_type",)
+    hours = S.hourly_events(spark, sf_dir, by_type=True)
+    seconds = F.unix_timestamp("hour")
+    at = hours.agg(F.min(seconds).alias("lo"), F.max(seconds).alias("hi"))  # one row
+    hours = hours.filter("n IS NOT NULL").crossJoin(F.broadcast(at)).select("event_type", "hour", ((seconds - F.col("lo")) / 3600 + 1).cast("long").alias("t"), ((F.col("n") - 2) / 2).alias("y"), F.floor((seconds - F.col("lo")) * 3 / (F.col("hi") - F.col("lo") + 1)).alias("part"))
+    hours = written(hours, "hours")
+    m = written(model.fit(hours.filter("part = 0"), "y", "hour", p=1, params=[0.5, 2.0], compute_bse=False, keys=keys), "model")
+    source, sink, checkpoint = (shared_path(spark, n) for n in ("stream", "states", "checkpoint"))
+    for part in range(3):
+        hours.filter(F.col("part") == part).select("event_type", "t", "y").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("event_type string, t long, y double").parquet(source)
+        run = live.follow(stream, m, "y", "t", keys).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+        run.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(sink).groupBy("event_type").agg(F.max_by(F.struct("t", "n_seen", "late", "loglik", "a", "p"), "t").alias("s"))
+    return last.select("event_type", "s.t", "s.n_seen", "s.late", F.round("s.loglik", 4).alias("loglik"), r6(F.col("s.a")[0]).alias("a"), r6(F.col("s.p")[0]).alias("p"))
+
+
 # ---- fits with closed forms
 
 _META = "SELECT '{n}' AS model, round({v}, 4) AS sigma2, round(-5e-1 * n * (ln(2 * pi()) + ln({v}) + 1), 4) AS loglik FROM k"
