@@ -263,5 +263,27 @@ def test_sql_functions_are_the_operators(spark):
     same(call("tw_forecast", of % ', "h": 5, "level": 0.8'), model.forecast(m, 5, level=0.8, keys=key))
     with_x = model.fit(df.filter("t < 56"), "y", "t", d=1, exog_cols=["x"], params=[0.5, 4.0], keys=key)
     same(call("tw_forecast", '{"d": 1, "params": [0.5, 4.0], "h": 4}', "tw_data"), model.forecast(with_x, 4, df.filter("t >= 56"), "t", ["x"], keys=key))
+    saved, plain = registry.written(m, "model"), df.drop("x")
+    sqlapi.with_model(saved, plain).createOrReplaceTempView("tw_both")
+    sqlapi.with_model(saved).createOrReplaceTempView("tw_alone")
+    same(call("tw_residuals", "{}", "tw_both"), model.residuals(m, df, "y", "t", keys=key))
+    same(call("tw_evaluate", "{}", "tw_both"), model.evaluate(m, df, "y", "t", keys=key))
+    same(call("tw_ljungbox", '{"nlags": 7}', "tw_both"), model.ljungbox(m, df, "y", "t", 7, keys=key))
+    same(call("tw_summary", "{}", "tw_alone"), model.summary(m, key))
+    same(call("tw_forecast", '{"h": 5, "level": 0.8}', "tw_alone"), model.forecast(m, 5, level=0.8, keys=key))
+    sqlapi.with_model(registry.written(with_x, "model"), df.filter("t >= 56").drop("y")).createOrReplaceTempView("tw_future")
+    same(call("tw_forecast", '{"h": 4}', "tw_future"), model.forecast(with_x, 4, df.filter("t >= 56"), "t", ["x"], keys=key))
+    for name, options, table, error in (
+        ("tw_fit", "{}", "tw_both", "takes no saved model"),
+        ("tw_residuals", '{"p": 1}', "tw_both", "has its own p"),
+        ("tw_forecast", '{"h": 9}', "tw_future", "lack steps 5 to 9"),
+    ):
+        with pytest.raises(Exception, match=error):
+            call(name, options, table).collect()
+    sqlapi.with_model(saved.filter("series = 'a'"), plain).createOrReplaceTempView("tw_half")
+    with pytest.raises(Exception, match="no model for b"):
+        call("tw_residuals", "{}", "tw_half").collect()
+    with pytest.raises(ValueError, match="columns value of the data"):
+        sqlapi.with_model(saved, df.withColumnRenamed("x", "value"))
     orders = [(0, 0, 0, 0, 0, 0, 1), (1, 0, 0, 0, 0, 0, 1), (1, 0, 0, 2, 0, 0, 40)]
     same(call("tw_grid", f'{{"orders": {[list(o) for o in orders]}}}'), model.grid(df, "y", "t", orders, key))

@@ -791,6 +791,28 @@ def sql_forecast_walk(spark, sf_dir):
 FROM tw_forecast(TABLE(SELECT 'all' AS series, t, y FROM tw_orders) PARTITION BY series ORDER BY (t), '{"d": 1, "params": [2.0], "h": 12}')""")
 
 
+@query(f"WITH {LINES}, n AS (SELECT max(t) AS n FROM l) SELECT 'all' AS series, CAST(t - n + 6 AS INTEGER) AS h, round(3e0 * discount, 4) AS yhat, 2e0 AS se FROM l, n WHERE t > n - 6")
+def sql_forecast_saved(spark, sf_dir):
+    """A forecast in SQL from a saved model's table and the regressors of the future: no fit."""
+    sqlapi.register(ship(spark))
+    w = S.monthly_lines(spark, sf_dir).withColumns({"t": F.row_number().over(Window.orderBy("month")).cast("long"), "series": F.lit("all")})
+    n = w.count()  # months
+    m = written(model.fit(w.filter(F.col("t") <= n - 6), "quantity", "t", exog_cols=["discount"], params=[3.0, 4.0], keys=("series",)), "model")
+    sqlapi.with_model(m, w.filter(F.col("t") > n - 6).select("series", "t", "discount")).createOrReplaceTempView("tw_tagged")
+    return spark.sql("SELECT series, h, round(yhat, 4) AS yhat, round(se, 4) AS se FROM tw_forecast(TABLE(tw_tagged) PARTITION BY series ORDER BY (t), '{\"h\": 6}')")
+
+
+@query(f"WITH {_Y} SELECT 'all' AS series, t, round(y, 6) AS v, 4e0 AS f, round(y / 2, 6) AS std_resid FROM q")
+def sql_residuals_saved(spark, sf_dir):
+    """Residuals in SQL of a saved model."""
+    sqlapi.register(ship(spark))
+    y = _orders(spark, sf_dir).select(F.lit("all").alias("series"), F.unix_date(F.col("month").cast("date")).cast("long").alias("t"), "y")
+    m = written(model.fit(y, "y", "t", params=[4.0], keys=("series",)), "model")
+    sqlapi.with_model(m, y).createOrReplaceTempView("tw_tagged_orders")
+    got = spark.sql("SELECT * FROM tw_residuals(TABLE(tw_tagged_orders) PARTITION BY series ORDER BY (t))")
+    return got.withColumns({c: r6(F.col(c)) for c in ("v", "std_resid")})
+
+
 # ---- general fits: no SQL twin; the queries fail if a fit is no good
 
 

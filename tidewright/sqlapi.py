@@ -12,13 +12,23 @@ settings of functions.kernel.Spec, and
     orders         tw_grid's list of [p, d, q, sp, sd, sq, s]
 
 tw_forecast of a model with regressors reads the future ones from the last h rows, whose y isn't used. A series without rows gives none.
+
+A fitted model that was saved is used without a fit if the table also has a model table's columns kind, name, idx, value and value_list:
+rows with a kind are the model's (their t and y are null), the others are the data.
+
+    SELECT * FROM tw_forecast(TABLE(tagged) PARTITION BY series ORDER BY (t), '{"h": 12}')
+
+with_model(model, data) makes such a table. tw_forecast then takes the future regressors as its only data, and none for a model without them;
+tw_summary takes the model alone. tw_fit and tw_grid refuse models; options must not repeat orders or parameters, and every series with data
+needs its model's rows.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udtf
 
 FIT = "series string, kind string, name string, idx int, value double, value_list array<double>"
@@ -57,8 +67,8 @@ class _Series:
         lists = list(zip(*out, strict=True)) if out else [()] * len(arrow)
         yield pa.table([pa.array(c, f.type) for c, f in zip(lists, arrow, strict=True)], schema=arrow)
 
-    def opened(self, table):
-        """Orders, y, regressors and their names, and what of the options isn't a setting of the model."""
+    def opened(self, table, saved=False):
+        """Orders (None with a saved model), y, regressors and their names, and what of the options isn't a setting of the model."""
         import numpy as np
         import pyarrow as pa
 
@@ -73,32 +83,68 @@ class _Series:
         for name, usual in (("params", None), ("compute_bse", True), ("h", 12), ("level", 0.95), ("nlags", 10), ("orders", None)):
             own[name] = o.pop(name, usual)
         x = np.column_stack([number(c) for c in exog]) if exog else np.zeros((table.num_rows, 0))
-        return Spec(r=len(exog), **o), number("y"), x, exog, own
-
-    def model(self, spec, y, x, exog, bse, params):
-        """The model table's rows, and the model read from them."""
+        return None if saved else Spec(r=len(exog), **o), number("y"), x, exog, own
+
+    def saved(self, table):
+        """The saved model's rows, or None where the table has no model columns, and the data."""
+        import pyarrow.compute as pc
+
+        columns = ["kind", "name", "idx", "value", "value_list"]
+        if "kind" not in table.column_names:
+            return None, table
+        ours = pc.is_valid(table.column("kind"))
+        data = table.filter(pc.invert(ours)).drop_columns(columns)
+        rows = list(zip(*(table.filter(ours).column(c).to_pylist() for c in columns), strict=True))
+        if not rows:
+            raise ValueError(f"no model for {table.column('series')[0].as_py()}")
+        if clash := set(self.options) - {"h", "level", "nlags", "compute_bse"}:
+            raise ValueError(f"a saved model has its own {', '.join(sorted(clash))}")
+        return rows, data
+
+    def model(self, rows):
+        """The model read from its table's rows."""
         import pyarrow as pa
 
         from tidewright.operators import model as M
 
-        rows = M.fit_rows(spec, y, x, exog, bse, params)
-        return rows, M.Model(pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "name", "idx", "value", "value_list"]))
+        kind, name, idx, value, lists = zip(*rows, strict=True)
+        return M.Model(pa.table({"kind": list(kind), "name": list(name), "idx": list(idx), "value": pa.array(value, pa.float64()), "value_list": pa.array(lists, pa.list_(pa.float64()))}))
+
+    def given(self, table, ahead=False):
+        """The model, y and x of its data, and the options: a saved model, or one of the series (with ahead, of what comes before the last h rows of regressors)."""
+        from tidewright.operators import model as M
+
+        rows, table = self.saved(table)
+        spec, y, x, exog, own = self.opened(table, rows is not None)
+        if rows is not None:
+            m = self.model(rows)
+            if m.exog or not ahead:
+                m.check(exog)
+            return m, y, x, own
+        n = len(y) - own["h"] if ahead and exog else len(y)
+        if n < 1:
+            raise ValueError(f"a model with regressors needs the series and {own['h']} rows of the future")
+        m = self.model(M.fit_rows(spec, y[:n], x[:n], exog, False, own["params"]))
+        return m, y, x[n:] if ahead else x, own
 
     def residuals(self, table):
         """The model, and (t, v, f, std_resid) on its scale."""
         from tidewright.operators import model as M
 
-        spec, y, x, exog, own = self.opened(table)
-        m = self.model(spec, y, x, exog, False, own["params"])[1]
-        return m, M.residual_rows(m, y, x), own
+        m, y, x, own = self.given(table)
+        return m, M.residual_rows(m, y, x) if len(y) else [], own
 
 
 class Fit(_Series):
     schema = FIT
 
     def rows(self, table):
+        from tidewright.operators import model as M
+
+        if self.saved(table)[0]:
+            raise ValueError("tw_fit takes no saved model")
         spec, y, x, exog, own = self.opened(table)
-        return self.model(spec, y, x, exog, own["compute_bse"], own["params"])[0]
+        return M.fit_rows(spec, y, x, exog, own["compute_bse"], own["params"])
 
 
 class Forecast(_Series):
@@ -109,16 +155,11 @@ class Forecast(_Series):
 
         from tidewright.operators import model as M
 
-        spec, y, x, exog, own = self.opened(table)
+        m, _, future, own = self.given(table, ahead=True)
         if not 0 < own["level"] < 1:
             raise ValueError("level must be between 0 and 1")
-        h = own["h"]
-        n = len(y) - h if exog else len(y)
-        if n < 1:
-            raise ValueError(f"a model with regressors needs the series and {h} rows of the future")
-        m = self.model(spec, y[:n], x[:n], exog, False, own["params"])[1]
         z = NormalDist().inv_cdf(0.5 + own["level"] / 2)
-        return [(i, mean, v**0.5, mean - z * v**0.5, mean + z * v**0.5, d, dv**0.5) for i, mean, v, d, dv in M.forecast_rows(m, h, x[n:])]
+        return [(i, mean, v**0.5, mean - z * v**0.5, mean + z * v**0.5, d, dv**0.5) for i, mean, v, d, dv in M.forecast_rows(m, own["h"], future)]
 
 
 class Residuals(_Series):
@@ -134,10 +175,12 @@ class Summary(_Series):
     def rows(self, table):
         from math import erfc, sqrt
 
-        from tidewright.operators.model import Z95
+        from tidewright.operators.model import Z95, fit_rows
 
-        spec, y, x, exog, own = self.opened(table)
-        rows = self.model(spec, y, x, exog, own["compute_bse"], own["params"])[0]
+        rows, table = self.saved(table)
+        if rows is None:
+            spec, y, x, exog, own = self.opened(table)
+            rows = fit_rows(spec, y, x, exog, own["compute_bse"], own["params"])
         bse = {i: v for kind, _, i, v, _ in rows if kind == "bse"}
         for kind, name, i, c, _ in rows:
             if kind == "param":
@@ -169,6 +212,8 @@ class LjungBox(_Series):
 
         _, found, own = self.residuals(table)
         z = np.array([r[3] for r in found if r[3] is not None])
+        if not len(z):
+            return []
         z, n = z - z.mean(), len(z)
         stat, tails = 0.0, {}
         for k in range(1, own["nlags"] + 1):
@@ -189,6 +234,8 @@ class Grid(_Series):
         from tidewright.functions.kernel import Spec
         from tidewright.operators import model as M
 
+        if self.saved(table)[0]:
+            raise ValueError("tw_grid takes no saved model")
         _, y, x, exog, own = self.opened(table)
         if exog or own["orders"] is None:
             raise ValueError("tw_grid needs orders and takes no regressors")
@@ -199,6 +246,18 @@ class Grid(_Series):
 FUNCTIONS = {"tw_fit": Fit, "tw_forecast": Forecast, "tw_residuals": Residuals, "tw_summary": Summary, "tw_evaluate": Evaluate, "tw_ljungbox": LjungBox, "tw_grid": Grid}
 
 
+def with_model(model: DataFrame, data: DataFrame | None = None) -> DataFrame:
+    """model (series, kind, name, idx, value, value_list) and data (series, t, y, regressors..) as one table for the functions; y may be left out of the
+    future's rows. Without data the model alone, for forecasts without regressors and summaries."""
+    held = model.select(F.col("series").cast("string"), "kind", "name", "idx", "value", "value_list")
+    if data is None:
+        data = model.sparkSession.createDataFrame([], "series string, t long, y double")
+    elif clash := set(data.columns) & {"kind", "name", "idx", "value", "value_list"}:
+        raise ValueError(f"columns {', '.join(sorted(clash))} of the data are the model's")
+    data = data.withColumn("series", F.col("series").cast("string"))
+    return held.unionByName(data if "y" in data.columns else data.withColumn("y", F.lit(None).cast("double")), allowMissingColumns=True)
+
+
 def register(spark: SparkSession) -> None:
     """Makes the table functions known to spark.sql()."""
     for name, of in FUNCTIONS.items():
