@@ -69,6 +69,34 @@ def test_what_forecast_refuses(spark):
         model.forecast(m, 2, future, "t", ["y"]).collect()
 
 
+def test_future_regressors_are_covered_by_time(spark):
+    """History is left out, further rows aren't read, and times that lack are named though the number of rows is right."""
+    import datetime as dt
+
+    rows = [(10 + 5 * i, float(i % 5), float(i)) for i in range(40)]
+    df = series(spark, rows)
+    m = model.fit(df.filter("t < 160"), "y", "t", exog_cols=["x"], params=[2.0, 1.0])
+    got = model.forecast(m, 3, df, "t", ["x"]).orderBy("h").collect()
+    assert [r["yhat"] for r in got] == [60.0, 62.0, 64.0]
+    with pytest.raises(Exception, match="lack times 165 to 165, 1 of the 3 from 160 to 170"):
+        model.forecast(m, 3, df.filter("t > 155 AND t <> 165"), "t", ["x"]).collect()
+    with pytest.raises(Exception, match="lack steps 1 to 3"):
+        model.forecast(m, 3, df.filter("t < 160"), "t", ["x"]).collect()
+    days = spark.createDataFrame([(dt.date(2024, 2, 1) + dt.timedelta(i), float(i % 5), float(i)) for i in range(60)], "t date, y double, x double")
+    m = model.fit(days.filter("t < '2024-02-29'"), "y", "t", exog_cols=["x"], params=[2.0, 1.0])
+    with pytest.raises(Exception, match="lack times 2024-02-29 to 2024-03-02"):
+        model.forecast(m, 4, days.filter("t > '2024-03-02'"), "t", ["x"]).collect()
+    streamed = model.fit(days.filter("t < '2024-02-29'"), "y", "t", exog_cols=["x"], params=[2.0, 1.0], out_of_core=True)
+    with pytest.raises(Exception, match="lack times 2024-02-29 to 2024-03-02"):
+        model.forecast(streamed, 4, days.filter("t > '2024-03-02'"), "t", ["x"]).collect()
+    stamps = days.withColumn("t", F.col("t").cast("timestamp"))
+    m = model.fit(stamps.filter("t < '2024-02-29'"), "y", "t", exog_cols=["x"], params=[2.0, 1.0])
+    assert [r["yhat"] for r in model.forecast(m, 2, stamps, "t", ["x"]).orderBy("h").collect()] == [56.0, 58.0]
+    words = df.withColumn("t", F.format_string("%09d", "t"))  # of other types only the order counts
+    m = model.fit(words.filter("t < '000000160'"), "y", "t", exog_cols=["x"], params=[2.0, 1.0])
+    assert [r["yhat"] for r in model.forecast(m, 2, words.filter("t > '000000170'"), "t", ["x"]).orderBy("h").collect()] == [66.0, 68.0]
+
+
 def test_large_whole_time_keys_are_not_rounded(spark):
     rows = [(2**53 + i, float(v)) for i, v in enumerate([3, 1, 2, 5])]
     m = model.fit(spark.createDataFrame(rows[::-1], "t long, y double"), "y", "t", params=[1.0])
@@ -277,6 +305,7 @@ def test_sql_functions_are_the_operators(spark):
         ("tw_fit", "{}", "tw_both", "takes no saved model"),
         ("tw_residuals", '{"p": 1}', "tw_both", "has its own p"),
         ("tw_forecast", '{"h": 9}', "tw_future", "lack steps 5 to 9"),
+        ("tw_forecast", '{"h": 3}', "(SELECT * FROM tw_future WHERE t IS NULL OR t <> 57)", "lack times 57 to 57"),
     ):
         with pytest.raises(Exception, match=error):
             call(name, options, table).collect()

@@ -51,6 +51,27 @@ def _in_order(t: pa.Table, t_col: str) -> pa.Table:
     return t
 
 
+def clock(times: pa.ChunkedArray) -> np.ndarray | None:
+    """Times as numbers that doubles hold exactly: whole numbers, days of dates, seconds of timestamps; None of other types and of numbers too large."""
+    kind = times.type
+    if pa.types.is_date(kind):
+        times = times.cast(pa.date32()).cast(pa.int32())
+    elif pa.types.is_timestamp(kind):
+        return times.cast(pa.timestamp("us")).cast(pa.int64()).to_numpy() / 1e6
+    elif not pa.types.is_integer(kind):
+        return None
+    at = times.to_numpy()
+    return at.astype(float) if not len(at) or np.abs(at.astype(float)).max() < 2**53 else None
+
+
+def span(at: np.ndarray | None) -> list[float] | None:
+    """[first, last] of sorted times, and their step where it is one whole number: what a model remembers of its times."""
+    if at is None or not len(at):
+        return None
+    step = np.unique(np.diff(at))
+    return [float(at[0]), float(at[-1]), *([float(step[0])] if len(step) == 1 and step[0] == int(step[0]) else [])]
+
+
 def model_scale(spec: K.Spec, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not spec.simple_differencing:
         return y, x
@@ -70,8 +91,8 @@ def check_rank(x: np.ndarray, names: list[str]) -> None:
             raise ValueError(f"regressor {names[i]} depends on the others")
 
 
-def fit_rows(spec: K.Spec, y: np.ndarray, x: np.ndarray, exog: list[str], compute_bse: bool = True, params: list[float] | None = None) -> list[tuple]:
-    """The model table's rows of one series; y is NaN where it is missing. With params nothing is estimated."""
+def fit_rows(spec: K.Spec, y: np.ndarray, x: np.ndarray, exog: list[str], compute_bse: bool = True, params: list[float] | None = None, times: list[float] | None = None) -> list[tuple]:
+    """The model table's rows of one series; y is NaN where it is missing. With params nothing is estimated. times: span() of the series."""
     if not len(y) or np.isnan(y).all():
         raise ValueError("the series is empty or has no value")
     if np.isnan(x).any():
@@ -93,11 +114,11 @@ def fit_rows(spec: K.Spec, y: np.ndarray, x: np.ndarray, exog: list[str], comput
     got = K.kalman(spec, w, z, m.params[None])
     bse = K.standard_errors(spec, w, z, m.params) if compute_bse else np.full(spec.size, np.nan)
     lost = max(n - spec.lost, 0)
-    return model_rows(spec, exog, m, bse, n, len(w), y[lost:], x[lost:], got.a[0], got.p[0])
+    return model_rows(spec, exog, m, bse, n, len(w), y[lost:], x[lost:], got.a[0], got.p[0], times)
 
 
-def model_rows(spec: K.Spec, exog: list[str], m: K.Optimum, bse: np.ndarray, n: int, n_eff: int, tail: np.ndarray, tail_x: np.ndarray, a: np.ndarray, p: np.ndarray) -> list[tuple]:
-    """The model table's rows; tail, tail_x: the last rows that undoing differences needs; a, p: the state after the series."""
+def model_rows(spec: K.Spec, exog: list[str], m: K.Optimum, bse: np.ndarray, n: int, n_eff: int, tail: np.ndarray, tail_x: np.ndarray, a: np.ndarray, p: np.ndarray, times: list[float] | None = None) -> list[tuple]:
+    """The model table's rows; tail, tail_x: the last rows that undoing differences needs; a, p: the state after the series. The row of n holds `times`."""
     k = spec.size + spec.concentrate
     ll = m.loglik
     sigma2 = m.scale if spec.concentrate else (float(m.params[-1]) if spec.size else float("nan"))
@@ -108,7 +129,7 @@ def model_rows(spec: K.Spec, exog: list[str], m: K.Optimum, bse: np.ndarray, n:
     rows += [("param_unc", c, i + 1, num(v), None) for i, (c, v) in enumerate(zip(names, m.u, strict=True))]
     rows += [("bse", c, i + 1, num(v), None) for i, (c, v) in enumerate(zip(names, bse, strict=True))]
     spec_values = (spec.p, spec.d, spec.q, spec.sp, spec.sd, spec.sq, spec.s, spec.r, n, n_eff, int(spec.simple_differencing), int(spec.concentrate), len(spec.degrees), spec.kdiff)
-    rows += [("spec", c, i + 1, float(v), None) for i, (c, v) in enumerate(zip(SPEC_NAMES, spec_values, strict=True))]
+    rows += [("spec", c, i + 1, float(v), times if c == "n" else None) for i, (c, v) in enumerate(zip(SPEC_NAMES, spec_values, strict=True))]
     meta = (ll, 2 * k - 2 * ll, k * np.log(nobs) - 2 * ll, float(m.status == 1), float(m.iterations), m.gradient, float(m.restarted), sigma2)
     rows += [("meta", c, i + 1, num(v), None) for i, (c, v) in enumerate(zip(META_NAMES, meta, strict=True))]
     rows += [("trend", trend_name(g), i + 1, float(g), None) for i, g in enumerate(spec.degrees)]
@@ -134,6 +155,7 @@ class Model:
         trend = next(k for k, g in K.TRENDS.items() if g == degrees)
         self.spec = K.Spec(*(int(get[n]) for n in ("p", "d", "q", "sp", "sd", "sq", "s", "r")), trend=trend, concentrate=get["conc"] == 1, simple_differencing=get["sdiff"] == 1)
         self.n, self.n_eff = int(get["n"]), int(get["n_eff"])
+        self.times = next((l for _, n, _, l in of("spec") if n == "n"), None)
         self.params = np.array([np.nan if v is None else v for _, _, v, _ in of("param")], float)
         self.exog = [n for _, n, _, _ in of("exog_col")]
         held = {}
@@ -192,7 +214,7 @@ def fit(df: DataFrame, y_col: str, t_col: str, p: int = 0, d: int = 0, q: int =
 
     def run(t: pa.Table) -> pa.Table:
         t = _in_order(t, t_col)
-        return _table(_key(t, by), schema, fit_rows(spec, _numbers(t, y_col), _matrix(t, exog), exog, compute_bse, params))
+        return _table(_key(t, by), schema, fit_rows(spec, _numbers(t, y_col), _matrix(t, exog), exog, compute_bse, params, span(clock(t.column(t_col)))))
 
     return src.groupBy(*by).applyInArrow(run, schema).select(*keys, *T.StructType.fromDDL(MODEL).names)
 
@@ -216,6 +238,23 @@ def _with_model(model: DataFrame, df: DataFrame, keys: tuple[str, ...], ddl: str
     return left.groupBy(*ours).cogroup(right.groupBy(*by)).applyInArrow(run, schema).select(*keys, *T.StructType.fromDDL(ddl).names)
 
 
+def future_rows(m: Model, h: int, times: pa.ChunkedArray, x: np.ndarray) -> np.ndarray:
+    """Rows of x after the series, in order. Rows at times up to the series' last are history and left out; where the series' times have one step, the next h
+    times must be there and are taken."""
+    at = clock(times)
+    if not m.times or at is None:
+        return x
+    first, last, *step = m.times
+    x, at = x[at > last], at[at > last]
+    if not step or len(x) < h:  # forecast_rows() names the steps
+        return x
+    want = last + step[0] * np.arange(1, h + 1)
+    if len(missing := np.flatnonzero(~np.isin(want, at))):
+        name = (lambda v: str(np.datetime64(int(v), "D"))) if pa.types.is_date(times.type) else (lambda v: str(int(v)))
+        raise ValueError(f"future regressors lack times {name(want[missing[0]])} to {name(want[missing[-1]])}, {len(missing)} of the {h} from {name(want[0])} to {name(want[-1])}")
+    return x[np.isin(at, want)]
+
+
 def forecast_rows(m: Model, h: int, x: np.ndarray) -> list[tuple]:
     """(h, yhat, var, yhat_diff, var_diff); x: the regressors after the series."""
     future = np.zeros((h, 0))
@@ -254,7 +293,9 @@ def grid_row(spec: K.Spec, y: np.ndarray) -> tuple:
 
 
 def forecast(model: DataFrame, h: int, newdata: DataFrame | None = None, t_col: str | None = None, exog_cols: tuple[str, ...] | list[str] = (), level: float = 0.95, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys.., h, yhat, se, lo, hi, yhat_diff, se_diff); newdata holds the h future rows of the regressors, if there are any."""
+    """(keys.., h, yhat, se, lo, hi, yhat_diff, se_diff); newdata holds the future rows of the regressors, if there are any.
+
+    Times that are whole numbers, dates or timestamps are compared with the series': see future_rows()."""
     if not 0 < level < 1:
         raise ValueError("level must be between 0 and 1")
     exog = list(exog_cols)
@@ -262,7 +303,10 @@ def forecast(model: DataFrame, h: int, newdata: DataFrame | None = None, t_col:
 
     def rows(m: Model, t: pa.Table) -> list[tuple]:
         m.check(exog)
-        return forecast_rows(m, h, _matrix(_in_order(t, t_col) if t.num_rows else t, exog) if m.spec.r else np.zeros((h, 0)))
+        if not m.spec.r or not t.num_rows:
+            return forecast_rows(m, h, np.zeros((0, m.spec.r)))
+        t = _in_order(t, t_col)
+        return forecast_rows(m, h, future_rows(m, h, t.column(t_col), _matrix(t, exog)))
 
     if newdata is None and exog:
         raise ValueError("newdata is needed: the model has regressors")

@@ -120,7 +120,7 @@ class _Series:
             m = self.model(rows)
             if m.exog or not ahead:
                 m.check(exog)
-            return m, y, x, own
+            return m, y, M.future_rows(m, own["h"], table.column("t"), x) if ahead and m.exog else x, own
         n = len(y) - own["h"] if ahead and exog else len(y)
         if n < 1:
             raise ValueError(f"a model with regressors needs the series and {own['h']} rows of the future")
@@ -144,7 +144,7 @@ class Fit(_Series):
         if self.saved(table)[0]:
             raise ValueError("tw_fit takes no saved model")
         spec, y, x, exog, own = self.opened(table)
-        return M.fit_rows(spec, y, x, exog, own["compute_bse"], own["params"])
+        return M.fit_rows(spec, y, x, exog, own["compute_bse"], own["params"], M.span(M.clock(table.column("t"))))
 
 
 class Forecast(_Series):

@@ -291,6 +291,14 @@ class Stream:
         return K.valid_start(spec, coef, arma, var if var > 0 else whole)
 
 
+def _span(df: DataFrame, t_col: str, n: int) -> list[float] | None:
+    """operators.model.span() of distinct times, from the first and the last: n whole numbers that span n have a step of 1."""
+    from ..operators.model import clock
+
+    ends = clock(df.agg(F.min(t_col).alias("a"), F.max(t_col).alias("b")).select(F.explode(F.array("a", "b")).alias("t")).toArrow().column("t"))
+    return None if ends is None else [*map(float, ends), *([1.0] if n > 1 and ends[1] - ends[0] == n - 1 and df.schema[t_col].dataType.typeName() != "timestamp" else [])]
+
+
 def fit_stream(df: DataFrame, y_col: str, t_col: str, spec: K.Spec, exog_cols: tuple[str, ...] | list[str] = (), compute_bse: bool = False, path: str | None = None, most: int = 500, params: list[float] | None = None) -> DataFrame:
     """The model table of a fit that never holds the series; model.fit(out_of_core=True) is the same."""
     from ..operators.model import MODEL, model_rows
@@ -314,7 +322,7 @@ def fit_stream(df: DataFrame, y_col: str, t_col: str, spec: K.Spec, exog_cols: t
         m = K.Optimum(par, K.unconstrain(spec, par[None])[0], float(ll[0]), float(scale[0]), 1 if np.isfinite(ll[0]) else 3, 0, 0.0, False)
     bse = K.standard_errors(spec, *none, m.params, evaluate=at) if compute_bse else np.full(spec.size, np.nan)
     (a, p), tail = stream.end(m.params), stream.tail()
-    rows = model_rows(spec, list(exog_cols), m, bse, m2["n"], n_eff, tail[:, 0], tail[:, 1:], a, p)
+    rows = model_rows(spec, list(exog_cols), m, bse, m2["n"], n_eff, tail[:, 0], tail[:, 1:], a, p, _span(df, t_col, m2["n"]))
     return df.sparkSession.createDataFrame(rows, MODEL)
 
 
