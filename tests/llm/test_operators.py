@@ -376,6 +376,16 @@ def test_warc(spark):
     assert warc.read(warc.archive(pages.limit(0))).collect() == []
 
 
+def test_warc_of_text_ids_and_other_columns(spark):
+    big = "<p>" + "y" * 200 + "</p>"
+    rows = [("b%0Aé\r\n", big, 1), ("a\n: 5%", big, 2), ("", "tiny", 3), (None, "t", 4), ("7", "<p>" + "z" * 70_000 + "</p>", 5)]
+    pages = spark.createDataFrame(rows, "name string, body string, page_id int").withColumn("at", F.lit(None).cast("string"))
+    back = warc.read(warc.archive(pages, key="name", url="at", html="body"))
+    assert back.schema["page_id"].dataType.simpleString() == "string"
+    got = {r["page_id"]: (r["payload_digest"], r["record_type"], r["refers_to"]) for r in back.collect()}
+    assert got == {k: (hashlib.sha256(h.encode()).hexdigest(), "revisit" if k and k[0] == "b" else "response", "a\n: 5%" if k and k[0] == "b" else None) for k, h, _ in rows}
+
+
 def test_mixing(spark, none):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randint(0, 30), None if i % 50 == 0 else f"s{min(i % 7, 2)}" if i % 3 else "big", "row", 1) for i in range(600)]

@@ -12,7 +12,8 @@ that Spark can split a digest with very many pages.
 Cases: null html is an empty payload; null url an empty target; a null id is written empty and read as null, and never
 is the one referred to unless all are null; repeated rows (same id, same payload) count as one first record: the first
 of them in the file is no revisit of itself, each is a response. An empty table gives an empty result. Line ends in a
-URL are percent-encoded.
+URL are percent-encoded, and in a text id percent signs too, so that it is read back as it was. Ids may be of any type that text casts
+to, such as whole numbers, text, dates or decimals; an empty text id is not a null one.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 import zstandard as zstd
@@ -63,16 +65,23 @@ def record_id(key) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
 
 
+def shown(key) -> str:
+    """An id as a header's value; unquote() reads it."""
+    return str(key).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
 def record(key, url: str | None, body: bytes, size: int, digest: str, refers) -> bytes:
     """One record, uncompressed. A revisit has an empty block and names what it refers to."""
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-ID: {'' if key is None else key}", f"X-Payload-Length: {size}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
+    if key is not None:
+        head.append(f"X-Page-ID: {shown(key)}")
     if refers is None:
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
         head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(body)}"]
     else:
         http = b""
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers)}", f"X-Refers-To-Page: {refers}", "Content-Length: 0"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers)}", f"X-Refers-To-Page: {shown(refers)}", "Content-Length: 0"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + http + body + b"\r\n\r\n"
 
 
@@ -137,8 +146,9 @@ def write(spark: SparkSession, rows: DataFrame, path: str, trained: bytes, level
     return saved(rows.select("page_id", "url", "payload", "n_bytes", "digest", "first").mapInArrow(run, "file string, n_records long, n_bytes long"), "warc_files")
 
 
-def read(files: DataFrame, key_type: str = "bigint") -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), from the bytes of the files."""
+def read(files: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), from the bytes of archive()'s files."""
+    key_type = files.schema["page_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,9 +164,10 @@ def read(files: DataFrame, key_type: str = "bigint") -> DataFrame:
                             if head["WARC-Payload-Digest"] != "sha256:" + digest:
                                 raise ValueError(f"{name}: a payload differs from its digest")
                         else:
-                            size, digest, refers = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), head["X-Refers-To-Page"]
+                            size, digest, refers = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:"), unquote(head["X-Refers-To-Page"])
                         seen += 1
-                        rows.append((head.get("X-Page-ID") or None, size, digest, head["WARC-Type"], refers))
+                        key = head.get("X-Page-ID")
+                        rows.append((None if key is None else unquote(key), size, digest, head["WARC-Type"], refers))
                         if len(rows) == 10_000:
                             yield packed(rows)
                             rows = []
@@ -173,8 +184,9 @@ def read(files: DataFrame, key_type: str = "bigint") -> DataFrame:
     return out.withColumn("page_id", F.col("page_id").cast(key_type)).withColumn("refers_to", F.col("refers_to").cast(key_type))
 
 
-def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the archives of (page_id, url, html) and lists their files."""
+def archive(pages: DataFrame, path: str | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Writes the archives of pages and lists their files: (file, n_records, n_bytes, page_id); page_id is null, its type is the ids'."""
     spark = pages.sparkSession
-    rows = pages.select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    return write(spark, revisits(pages), path or new_path(spark, "warc"), dictionary(rows))
+    rows = pages.select(F.col(key).alias("page_id"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
+    files = write(spark, revisits(pages, key, url, html), path or new_path(spark, "warc"), dictionary(rows))
+    return files.withColumn("page_id", F.lit(None).cast(pages.schema[key].dataType))
