@@ -97,6 +97,17 @@ def test_future_regressors_are_covered_by_time(spark):
     assert [r["yhat"] for r in model.forecast(m, 2, words.filter("t > '000000170'"), "t", ["x"]).orderBy("h").collect()] == [66.0, 68.0]
 
 
+def test_probes_of_one_system_are_side_by_side(spark):
+    from tidewright.functions.kernel import Spec
+    from tidewright.operators import filter
+
+    rows = [(i, [i / 100.0, 0.5 if i % 2 else 0.2, 2.0]) for i in range(128)]
+    probes, spec = spark.createDataFrame(rows, "probe_id long, params array<double>").repartition(3), Spec(p=1, r=1)
+    blocks = [[(r["probe_id"], r["params"][1]) for r in b["probes"]] for b in filter.dealt(probes, spec).collect()]
+    assert sorted(len(b) for b in blocks) == [64, 64] and all(len({phi for _, phi in b}) == 1 for b in blocks)
+    assert sorted(i for b in blocks for i, _ in b) == list(range(128))
+
+
 def test_large_whole_time_keys_are_not_rounded(spark):
     rows = [(2**53 + i, float(v)) for i, v in enumerate([3, 1, 2, 5])]
     m = model.fit(spark.createDataFrame(rows[::-1], "t long, y double"), "y", "t", params=[1.0])

@@ -1,14 +1,14 @@
 """The Kalman filter over probes: many parameter vectors for one or more series, as DataFrames.
 
-Probes are rows (probe_id, params). They are dealt in blocks, and a block is one vectorised pass over the series, so probes run in
-parallel across tasks and side by side within one.
+Probes are rows (probe_id, params), a caller's list. They are dealt in blocks, and a block is one vectorised pass over the series, so probes run in
+parallel across tasks and side by side within one. Probes with one ARMA block stand side by side, so that they share its pass over variances and gains.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernel as K
@@ -99,9 +99,16 @@ def _packed(series: DataFrame, exog: DataFrame | None, spec: K.Spec) -> DataFram
     return series.select("t", "y", F.array().cast("array<double>").alias("xs"))
 
 
+def dealt(probes: DataFrame, spec: K.Spec) -> DataFrame:
+    """(block, probes), BLOCK probes each, in the order of their ARMA blocks."""
+    place = F.row_number().over(Window.orderBy(F.slice("params", spec.front + 1, max(spec.size - spec.front, 0)), "probe_id"))
+    rows = probes.select("probe_id", "params", F.floor((place - 1) / BLOCK).alias("block"))
+    return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("probe_id", "params"))).alias("probes"))
+
+
 def _run(series: DataFrame, exog: DataFrame | None, probes: DataFrame, spec: K.Spec, ddl: str, rows) -> DataFrame:
     ship(series.sparkSession)
-    blocks = probes.select("probe_id", "params").withColumn("block", F.floor(F.col("probe_id") / BLOCK)).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("probe_id", "params"))).alias("probes"))
+    blocks = dealt(probes, spec)
     packed = _packed(series, exog, spec).crossJoin(F.broadcast(blocks.select("block")))  # a row a block of probes
 
     schema = _arrow(ddl)

@@ -151,6 +151,12 @@ def anchors(spark, sf_dir):
     return differencing.anchors(months(spark, sf_dir), 1, 1, 12)
 
 
+@query(f"WITH {HOURS}, s AS (SELECT t, CASE WHEN t % 3 > 0 THEN y END AS y FROM h), n AS (SELECT max(t) AS n FROM s), w AS (SELECT t, y - lag(y) OVER (ORDER BY t) AS w FROM s) SELECT 1 AS stage, 1 AS idx, y AS value FROM s, n WHERE t = n UNION ALL SELECT 2, CAST(t - n + 24 AS INTEGER), w FROM w, n WHERE t > n - 24")
+def anchors_with_gaps(spark, sf_dir):
+    """Anchors of a series with missing hours are null where a value before them is."""
+    return differencing.anchors(hours(spark, sf_dir).withColumn("y", F.when(F.col("t") % 3 > 0, F.col("y"))), 1, 1, 24)
+
+
 @query(f"WITH {MONTHS}, n AS (SELECT max(t) - 24 AS n FROM s) SELECT CAST(t - n AS BIGINT) AS h, y AS yhat FROM s, n WHERE t > n")
 def undiff_roundtrip(spark, sf_dir):
     y = months(spark, sf_dir)
@@ -671,6 +677,22 @@ def ljungbox_white_noise(spark, sf_dir):
     return model.ljungbox(model.fit(y, "y", "month"), y, "y", "month", 6).select("lag", F.round("stat", 4).alias("stat"))
 
 
+@query(f"WITH {_Y}, {_ACF.format(s='q', n=6)}, x AS (SELECT a.lag, n * (n + 2) * sum(b.acf * b.acf / (n - b.lag)) AS x FROM v a JOIN v b ON b.lag BETWEEN 1 AND a.lag, (SELECT CAST(count(*) AS DOUBLE) AS n FROM q) WHERE a.lag IN (2, 4, 6) GROUP BY a.lag, n) SELECT CAST(lag AS INTEGER) AS lag, round(x, 4) AS stat, round(exp(-x / 2) * (1 + CASE WHEN lag > 2 THEN x / 2 ELSE 0 END + CASE WHEN lag > 4 THEN x * x / 8 ELSE 0 END), 6) AS pvalue FROM x")
+def ljungbox_pvalues(spark, sf_dir):
+    """The test's tail probabilities, which have a closed form at even lags."""
+    y = _orders(spark, sf_dir)
+    got = model.ljungbox(model.fit(y, "y", "month", params=[4.0]), y, "y", "month", 6).filter("lag % 2 = 0")
+    return got.select("lag", F.round("stat", 4).alias("stat"), F.round("pvalue", 6).alias("pvalue"))
+
+
+@query("WITH x AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) / 8 AS x FROM lineitem) SELECT x, CAST(a AS INTEGER) AS a, round(1 - exp(-x) * (1 + CASE WHEN a > 1 THEN x ELSE 0 END + CASE WHEN a > 2 THEN x * x / 2 ELSE 0 END), 8) AS p FROM x, (SELECT unnest([1, 2, 3]) AS a)")
+def gamma_lower(spark, sf_dir):
+    """The lower incomplete gamma function on both of its branches."""
+    x = S.table(spark, sf_dir, "lineitem").select((F.col("l_quantity").cast("double") / 8).alias("x")).distinct()
+    rows = x.select("x", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("a"))
+    return rows.select("x", "a", F.round(D.gammp(F.col("a").cast("double"), F.col("x")), 8).alias("p"))
+
+
 @query(f"WITH {_Y} SELECT t, round(y, 6) AS v, 4e0 AS f, round(y / 2, 6) AS std_resid FROM q")
 def residuals_fixed(spark, sf_dir):
     y = _orders(spark, sf_dir)
