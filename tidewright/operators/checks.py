@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import pivots
-from .matrices import gram, to_array
+from ..session import written
+from . import elimination
+from .matrices import gram
 
 
 def exog_report(exog: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -32,12 +33,10 @@ def validate_exog(exog: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFr
 
 def rank_report(exog: DataFrame) -> DataFrame:
     """(j, piv, pivmin, trace, ok) of long regressors: elimination pivots of X'X; ok needs pivmin >= 1e-10 * trace."""
-    g = gram(exog)
-    packed = to_array(g)
-    k = g.agg(F.max("i")).first()[0]
-    trace = g.filter("i = j").agg(F.sum("v").alias("trace"))
-    one = packed.select(pivots(F.col("v"), k).alias("p")).crossJoin(trace)  # one row each
-    return one.select(F.posexplode("p").alias("j", "piv"), F.array_min("p").alias("pivmin"), "trace").select((F.col("j") + 1).alias("j"), "piv", "pivmin", "trace", (F.col("pivmin") >= 1e-10 * F.col("trace")).alias("ok"))
+    g = written(gram(exog), "gram")
+    at = elimination.pivots(g)
+    both = at.agg(F.min("piv").alias("pivmin")).crossJoin(g.filter("i = j").agg(F.sum("v").alias("trace")))  # one row each
+    return at.crossJoin(F.broadcast(both)).select("j", "piv", "pivmin", "trace", (F.col("pivmin") >= 1e-10 * F.col("trace")).alias("ok"))
 
 
 def rank_check(exog: DataFrame) -> DataFrame:

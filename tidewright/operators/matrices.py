@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from . import elimination
 
 
 def _grid(spark: SparkSession, m: int, n: int) -> DataFrame:
@@ -59,13 +59,9 @@ def from_array(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.select(at).select(F.expr(f"cast(p div {n} + 1 as int)").alias("i"), F.expr(f"cast(p % {n} + 1 as int)").alias("j"), "v")
 
 
-def solve(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, v, pivmin, ok): A X = B by elimination over the packed array; small systems by nature."""
-    n, m = a.agg(F.max("i")).first()[0], b.agg(F.max("j")).first()[0]
-    both = to_array(a).select(F.col("v").alias("a")).crossJoin(to_array(b).select(F.col("v").alias("b")))  # one row each
-    got = both.select(arrays.solve(arrays.maug(F.col("a"), F.col("b"), n, m), n, m).alias("s"))
-    at = got.select(F.posexplode("s.x").alias("p", "v"), F.col("s.pivmin").alias("pivmin"), F.col("s.ok").alias("ok"))
-    return at.select(F.expr(f"cast(p div {m} + 1 as int)").alias("i"), F.expr(f"cast(p % {m} + 1 as int)").alias("j"), "v", "pivmin", "ok")
+def solve(a: DataFrame, b: DataFrame, block: int = elimination.BLOCK) -> DataFrame:
+    """(i, j, v, pivmin, ok): A X = B by elimination in blocks; what a singular system gives is said in operators.elimination."""
+    return elimination.solve(a, b, block)
 
 
 def gram(exog: DataFrame) -> DataFrame:

@@ -67,19 +67,33 @@ def r6(c):
     return F.round(c, 6)
 
 
-def listed(spark, **arrays_) -> DataFrame:
-    """(name, idx, v) of array columns, rounded."""
-    rows = one(spark, **arrays_)
-    parts = [rows.select(F.lit(n).alias("name"), F.posexplode(n).alias("idx", "v")) for n in arrays_]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("name", (F.col("idx") + 1).alias("idx"), r6(F.col("v")).alias("v"))
+def listed(df: DataFrame, **arrays_) -> DataFrame:
+    """(id, name, idx, v) of array columns of rows with an id, rounded; one pass over the rows."""
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), a.alias("vs")) for n, a in arrays_.items()])
+    out = df.select("id", F.explode(cells).alias("c")).select("id", "c.name", F.posexplode("c.vs").alias("idx", "v"))
+    return out.select("id", "name", (F.col("idx") + 1).alias("idx"), (r6(F.col("v")) + 0.0).alias("v"))
 
 
-def values_sql(**arrays_) -> str:
-    rows = ", ".join(f"('{n}', {i + 1}, CAST({float(v)!r} AS DOUBLE))" for n, vs in arrays_.items() for i, v in enumerate(vs))
-    return f"SELECT name, CAST(idx AS INTEGER) AS idx, round(v, 6) + 0e0 AS v FROM (VALUES {rows}) AS t(name, idx, v)"
+def listed_sql(source: str, **lists: str) -> str:
+    """The same of lists in SQL over the rows of c: (id, ..)."""
+    cells = ", ".join(f"{{'name': '{n}', 'vs': CAST([{vs}] AS DOUBLE[])}}" for n, vs in lists.items())
+    return f"WITH {source}, u AS (SELECT id, unnest([{cells}]) AS u FROM c) SELECT id, u.name AS name, CAST(generate_subscripts(u.vs, 1) AS INTEGER) AS idx, round(unnest(u.vs), 6) + 0e0 AS v FROM u"
+
+
+# small numbers of each customer or supplier, whole or in binary fractions: k from 0 to 14, n from 0 to 24
+CUSTOMERS = "c AS (SELECT c_custkey AS id, CAST(c_custkey % 15 AS DOUBLE) AS k, CAST(c_nationkey AS DOUBLE) AS n FROM customer)"
+SUPPLIERS = "c AS (SELECT s_suppkey AS id, CAST(s_suppkey % 15 AS DOUBLE) AS k, CAST(s_nationkey AS DOUBLE) AS n FROM supplier)"
+
+
+def customers(spark, sf_dir) -> DataFrame:
+    c = S.table(ship(spark), sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 15).cast("double").alias("k"), F.col("c_nationkey").cast("double").alias("n"))
+
+
+def suppliers(spark, sf_dir) -> DataFrame:
+    c = S.table(ship(spark), sf_dir, "supplier")
+    return c.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 15).cast("double").alias("k"), F.col("s_nationkey").cast("double").alias("n"))
+
 
 
 # ---- preparation
@@ -166,9 +180,10 @@ def undiff_roundtrip(spark, sf_dir):
     return differencing.integrate(w, differencing.anchors(early, 1, 1, 12), 1, 1, 12)
 
 
-@query("WITH g AS (SELECT CAST(unnest(range(1, 31)) AS BIGINT) AS k) SELECT a.k AS h, b.k AS l, CAST((a.k - b.k) // 12 + 1 AS DOUBLE) AS c FROM g a, g b WHERE b.k <= a.k")
+@query(f"WITH {MONTHS} SELECT a.t AS h, b.t AS l, CAST((a.t - b.t) // 12 + 1 AS DOUBLE) AS c FROM s a, s b WHERE b.t <= a.t")
 def undiff_weights(spark, sf_dir):
-    return differencing.integration_weights(ship(spark).range(1, 31).withColumnRenamed("id", "h"), 1, 1, 12)
+    """Weights of every month's differences in the months after it."""
+    return differencing.integration_weights(months(spark, sf_dir).select(F.col("t").alias("h")), 1, 1, 12)
 
 
 @query(f"WITH {LINES}, k AS (SELECT t, j, CASE WHEN j = 2 AND t IN (5, 9) THEN NULL ELSE x END AS x FROM x WHERE NOT (j = 1 AND t = 3)), n AS (SELECT max(t) AS n FROM x) SELECT CAST(j AS INTEGER) AS j, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count(x) AS BIGINT) AS n_null, CAST(0 AS BIGINT) AS n_repeated, CAST(CASE WHEN j = 1 THEN 3 ELSE 5 END AS BIGINT) AS first_missing, CAST(CASE WHEN j = 1 THEN 3 ELSE 9 END AS BIGINT) AS last_missing, false AS ok FROM k GROUP BY j")
@@ -242,14 +257,29 @@ def rkron(spark, sf_dir):
     return matrices.kronecker(a, a)
 
 
-@query("WITH g AS (SELECT CAST(unnest(range(1, 5)) AS INTEGER) AS k) SELECT a.k AS i, b.k AS j, CASE WHEN a.k = b.k THEN 1e0 ELSE 0e0 END AS v FROM g a, g b")
+CROSS = "a AS (SELECT CAST(l_suppkey % 25 + 1 AS INTEGER) AS i, l_linenumber AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), g AS (SELECT max(i) AS m, max(j) AS n FROM a), gi AS (SELECT CAST(unnest(range(1, m + 1)) AS INTEGER) AS i FROM g)"
+
+
+def crossed(spark, sf_dir) -> DataFrame:
+    """Quantities of line items by supplier group and line number."""
+    li = S.table(ship(spark), sf_dir, "lineitem")
+    return li.groupBy((F.col("l_suppkey") % 25 + 1).cast("int").alias("i"), F.col("l_linenumber").alias("j")).agg(F.sum("l_quantity").alias("v"))
+
+
+@query(f"WITH {CROSS} SELECT i, j, 2 * v AS v FROM a")
 def reye(spark, sf_dir):
-    return matrices.identity(ship(spark), 4)
+    """2 I A: the identity has as many rows as the table's groups."""
+    a = crossed(spark, sf_dir)
+    m = a.agg(F.max("i")).first()[0]
+    return matrices.multiply(matrices.scale(matrices.identity(spark, m), 2.0), a)
 
 
-@query("SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j, 0e0 AS v FROM (SELECT unnest(range(1, 3)) AS a), (SELECT unnest(range(1, 5)) AS b)")
+@query(f"WITH {CROSS}, gj AS (SELECT CAST(unnest(range(1, n + 1)) AS INTEGER) AS j FROM g) SELECT gi.i, gj.j, coalesce(a.v, 0) AS v FROM gi CROSS JOIN gj LEFT JOIN a ON a.i = gi.i AND a.j = gj.j")
 def rzeros(spark, sf_dir):
-    return matrices.zeros(ship(spark), 2, 4)
+    """A table's matrix over zeros: cells without a line item are 0."""
+    a = crossed(spark, sf_dir)
+    m, n = a.agg(F.max("i"), F.max("j")).first()
+    return matrices.zeros(spark, m, n).unionByName(a).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 @query(f"WITH {SMALL} SELECT array_to_string(list(CAST(v AS INTEGER) ORDER BY i, j), ',') AS v, max(i) AS m, max(j) AS n FROM a")
@@ -279,10 +309,50 @@ def rank_pivots(spark, sf_dir):
     return checks.rank_check(lines_long(spark, sf_dir)).select("j", F.round("piv", 3).alias("piv"), "ok")
 
 
-@query(values_sql(mmul=[19, 22, 43, 50], mtrans=[1, 3, 2, 4], msym=[1, 2.5, 2.5, 4], madd=[6, 8, 10, 12], msub=[-4, -4, -4, -4], mscale=[3, 6, 9, 12], mkron=[5, 6, 10, 12, 7, 8, 14, 16, 15, 18, 20, 24, 21, 24, 28, 32], mvec=[1, 3, 2, 4], munvec=[1, 3, 2, 4], meye=[1, 0, 0, 1], mzeros=[0, 0], maug=[1, 2, 5, 6, 3, 4, 7, 8], mget=[3]))
+WIDE = """wl AS (SELECT l_orderkey AS o, unnest([l_quantity / 8, l_extendedprice / 4096, l_discount * 16, l_tax * 16, l_linenumber / 2, l_suppkey % 7, l_partkey % 11, 1]) AS x, generate_subscripts([1, 2, 3, 4, 5, 6, 7, 8], 1) AS j FROM lineitem),
+wx AS (SELECT o, CAST(j AS INTEGER) AS j, sum(x) AS x FROM wl GROUP BY ALL), wg AS (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) AS v FROM wx a JOIN wx b USING (o) GROUP BY ALL)"""
+
+
+def wide(spark, sf_dir) -> DataFrame:
+    """(t, j, x): eight columns of line items, summed by order."""
+    li = S.table(ship(spark), sf_dir, "lineitem")
+    x = F.array(F.col("l_quantity") / 8, F.col("l_extendedprice") / 4096, F.col("l_discount") * 16, F.col("l_tax") * 16, F.col("l_linenumber") / 2, F.col("l_suppkey") % 7, F.col("l_partkey") % 11, F.lit(1.0))
+    rows = li.select(F.col("l_orderkey").alias("t"), F.posexplode(F.transform(x, lambda v: v.cast("double"))).alias("j", "x"))
+    return rows.groupBy("t", (F.col("j") + 1).alias("j")).agg(F.sum("x").alias("x"))
+
+
+# elimination by rows in SQL: each step divides by the pivot that is next; of a gram matrix no row has to be moved
+_STEP = "e(s, i, j, v, f, r, p) AS (SELECT 0, i, j, CAST(v AS DOUBLE), 0e0, 0e0, 0e0 FROM wg UNION ALL SELECT s + 1, i, j, v - f * r / p, f, r, p FROM (SELECT s, i, j, v, max(CASE WHEN j = s + 1 THEN v END) OVER (PARTITION BY i) AS f, max(CASE WHEN i = s + 1 THEN v END) OVER (PARTITION BY j) AS r, max(CASE WHEN i = s + 1 AND j = s + 1 THEN v END) OVER () AS p FROM e) WHERE i > s + 1 AND j > s + 1)"
+
+
+@query(f"WITH RECURSIVE {WIDE}, {_STEP} SELECT round(sum(ln(v)), 6) AS logdet, count(*) AS n FROM e WHERE i = s + 1 AND j = s + 1")
+def rank_pivots_eight(spark, sf_dir):
+    """The pivots' product is the determinant of the gram matrix, whatever rows they are."""
+    got = checks.rank_check(wide(spark, sf_dir))
+    return got.agg(F.round(F.sum(F.log("piv")), 6).alias("logdet"), F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT o_custkey % 196 + 1 AS i, sum(o_totalprice) / 65536 AS y FROM orders GROUP BY 1), g AS (SELECT CAST(unnest(range(1, 197)) AS INTEGER) AS i), d AS (SELECT g.i, coalesce(y, 0) + 1e0 AS y FROM g LEFT JOIN c ON c.i = g.i)
+SELECT i, CAST(1 AS INTEGER) AS j, round(y / 2 - (SELECT sum(y) FROM d) / (2 * (2 + 196)), 6) + 0e0 AS v, true AS ok FROM d""")
+def rsolve_196(spark, sf_dir):
+    """196 unknowns in blocks of 64: (2 I + 1 1') X = totals of groups of customers, whose answer has a closed form."""
+    groups = S.table(ship(spark), sf_dir, "orders").groupBy((F.col("o_custkey") % 196 + 1).cast("int").alias("i")).agg((F.sum("o_totalprice") / 65536).alias("y"))
+    every = spark.range(1, 197).select(F.col("id").cast("int").alias("i"))
+    d = every.join(groups, "i", "left").select("i", F.lit(1).alias("j"), (F.coalesce("y", F.lit(0.0)) + 1.0).alias("v"))
+    a = matrices.scale(matrices.identity(spark, 196), 2.0).withColumn("v", F.col("v") + 1.0)
+    return matrices.solve(a, d, block=64).select("i", "j", (r6(F.col("v")) + 0.0).alias("v"), "ok")
+
+
+_AB = CUSTOMERS.replace(" AS n FROM", " AS n, k + 1 AS a1, n - 3 AS a2, k - n AS a3, 2 AS a4, n AS b1, k AS b2, 1 AS b3, k - 4 AS b4 FROM")
+
+
+@query(listed_sql(_AB, mmul="a1*b1+a2*b3, a1*b2+a2*b4, a3*b1+a4*b3, a3*b2+a4*b4", mtrans="a1, a3, a2, a4", msym="a1, (a2+a3)/2, (a2+a3)/2, a4", madd="a1+b1, a2+b2, a3+b3, a4+b4", msub="a1-b1, a2-b2, a3-b3, a4-b4", mscale="3*a1, 3*a2, 3*a3, 3*a4", mkron="a1*b1, a1*b2, a2*b1, a2*b2, a1*b3, a1*b4, a2*b3, a2*b4, a3*b1, a3*b2, a4*b1, a4*b2, a3*b3, a3*b4, a4*b3, a4*b4", mvec="a1, a3, a2, a4", munvec="a1, a3, a2, a4", meye="1, 0, 0, 1", mzeros="0, 0", maug="a1, a2, b1, b2, a3, a4, b3, b4", mget="a3"))
 def array_algebra(spark, sf_dir):
-    a, b = doubles(1, 2, 3, 4), doubles(5, 6, 7, 8)
-    return listed(spark, mmul=A.mmul(a, b, 2, 2, 2), mtrans=A.mtrans(a, 2, 2), msym=A.msym(a, 2), madd=A.madd(a, b), msub=A.msub(a, b), mscale=A.mscale(a, 3.0), mkron=A.mkron(a, b, 2, 2, 2, 2), mvec=A.mvec(a, 2, 2), munvec=A.munvec(a, 2, 2), meye=A.meye(2), mzeros=A.mzeros(1, 2), maug=A.maug(a, b, 2, 2), mget=F.array(A.mget(a, 2, 1, 2)))
+    """Two 2 x 2 matrices of each customer."""
+    k, n = F.col("k"), F.col("n")
+    rows = customers(spark, sf_dir).select("id", F.array(k + 1, n - 3, k - n, F.lit(2.0)).alias("a"), F.array(n, k, F.lit(1.0), k - 4).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return listed(rows, mmul=A.mmul(a, b, 2, 2, 2), mtrans=A.mtrans(a, 2, 2), msym=A.msym(a, 2), madd=A.madd(a, b), msub=A.msub(a, b), mscale=A.mscale(a, 3.0), mkron=A.mkron(a, b, 2, 2, 2, 2), mvec=A.mvec(a, 2, 2), munvec=A.munvec(a, 2, 2), meye=A.meye(2), mzeros=A.mzeros(1, 2), maug=A.maug(a, b, 2, 2), mget=F.array(A.mget(a, 2, 1, 2)))
 
 
 @query(f"WITH {LINES}, g AS (SELECT sum(quantity * quantity) AS a, sum(quantity * discount) AS b, sum(discount * discount) AS c, sum(quantity) AS u, sum(discount) AS v FROM l) SELECT round((c * u - b * v) / (a * c - b * b), 6) AS x1, round((a * v - b * u) / (a * c - b * b), 6) AS x2, true AS ok FROM g")
@@ -294,61 +364,76 @@ def solve_2x2(spark, sf_dir):
     return s.select(r6(F.get("s.x", F.lit(0))).alias("x1"), r6(F.get("s.x", F.lit(1))).alias("x2"), F.col("s.ok").alias("ok"))
 
 
-@query(values_sql(x=[-24, 18, 5, 20, -15, -4, -5, 4, 1], singular=[0]))
+_M3 = CUSTOMERS.replace(" AS n FROM", " AS n, k + 40 AS a, n AS c, n + 40 AS e, k AS g, 50 * (n + 40) + 3 AS ei, (k + 40) * (50 * (n + 40) + 3) - (100 - 3 * k) + n * (-2 - k * (n + 40)) AS det FROM")
+
+
+@query(listed_sql(_M3, x="ei/det, (-50-c)/det, (3-c*e)/det, (3*g-100)/det, (50*a-c*g)/det, (2*c-3*a)/det, (-2-e*g)/det, (a+g)/det, (a*e-2)/det", regular="CASE WHEN k = 0 THEN 0 ELSE 1 END"))
 def inverse_3x3(spark, sf_dir):
-    return listed(spark, x=A.inverse(doubles(1, 2, 3, 0, 1, 4, 5, 6, 0), 3)["x"], singular=F.array(A.inverse(doubles(1, 2, 2, 4), 2)["ok"].cast("double")))
+    """A matrix of each customer, by cofactors in SQL, and one that is singular for some of them."""
+    k, n, c = F.col("k"), F.col("n"), lambda x: F.lit(float(x))
+    m = F.array(k + 40, c(1), n, c(2), n + 40, c(3), k, c(-1), c(50))
+    return listed(customers(spark, sf_dir), x=A.inverse(m, 3)["x"], regular=F.array(A.inverse(F.array(k + 1, c(2), c(2), c(4)), 2)["ok"].cast("double")))
 
 
-@query(values_sql(k1=[2 / (1 - 0.36)], k2=[(1 + 0.3**2 + 2 * 0.6 * 0.3) / (1 - 0.36), 0.3, 0.3, 0.09]))
+_LYAP = SUPPLIERS.replace(" AS n FROM", " AS n, (k - 7) / 8 AS f, (n - 12) / 16 AS h, (n % 4 + 1) / 2 AS s, (k - 7) / 16 AS f1, (n - 12) / 32 AS f2, s * (1 - f2) / ((1 + f2) * ((1 - f2) * (1 - f2) - f1 * f1)) AS g FROM")
+
+
+@query(listed_sql(_LYAP, ar1="s/(1-f*f)", arma11="s*(1+h*h+2*f*h)/(1-f*f), s*h, s*h, s*h*h", ar2="g, f2*f1*g/(1-f2), f2*f1*g/(1-f2), f2*f2*g", ma2="s*(1+f*f+h*h), s*(f+f*h), s*h, s*(f+f*h), s*(f*f+h*h), s*f*h, s*h, s*f*h, s*h*h"))
 def lyapunov(spark, sf_dir):
-    return listed(spark, k1=A.lyapunov(doubles(0.6), doubles(2.0), 1), k2=A.lyapunov(doubles(0.6, 1, 0, 0), doubles(1, 0.3, 0.3, 0.09), 2))
+    """Stationary variances of four models of each supplier, up to three states."""
+    k, n, z = F.col("k"), F.col("n"), F.lit(0.0)
+    f, h, s, f1, f2 = (k - 7) / 8, (n - 12) / 16, (n % 4 + 1) / 2, (k - 7) / 16, (n - 12) / 32
+    one_ = F.lit(1.0)
+    q3 = P.build_rqr(F.array(one_, f, h), s, 3)
+    return listed(suppliers(spark, sf_dir), ar1=A.lyapunov(F.array(f), F.array(s), 1), arma11=A.lyapunov(P.build_t(F.array(f), 2), P.build_rqr(F.array(one_, h), s, 2), 2), ar2=A.lyapunov(P.build_t(F.array(f1, f2), 2), F.array(s, z, z, z), 2), ma2=A.lyapunov(P.build_t(doubles(), 3), q3, 3))
 
 
-@query("WITH a(i, v) AS (VALUES (0, 1e0), (1, -5e-1), (2, 25e-2)), b(i, v) AS (VALUES (0, 1e0), (4, 3e-1)) SELECT CAST(a.i + b.i + 1 AS INTEGER) AS idx, round(sum(a.v * b.v), 6) AS v FROM a, b GROUP BY 1 UNION ALL SELECT 4, 0e0")
+@query(listed_sql(CUSTOMERS, p="1, k/8, n/8, 0, k-7, (k-7)*k/8, (k-7)*n/8"))
 def polymul(spark, sf_dir):
-    return listed(spark, p=P.polymul(doubles(1, -0.5, 0.25), doubles(1, 0, 0, 0, 0.3))).filter("not (idx = 4 and v <> 0)").select("idx", "v")
+    k, n, z = F.col("k"), F.col("n"), F.lit(0.0)
+    return listed(customers(spark, sf_dir), p=P.polymul(F.array(F.lit(1.0), k / 8, n / 8), F.array(F.lit(1.0), z, z, z, k - 7)))
 
 
-@query(values_sql(ar=[0.5, -0.2, 0, 0.3, -0.15, 0.06], ma=[0.4, 0, 0, -0.6, -0.24], poly=P.difference_poly(1, 1, 4)))
+@query(listed_sql(CUSTOMERS, ar="k/16, -n/32, 0, (k-7)/16, -k/16*(k-7)/16, n/32*(k-7)/16", ma="n/32, 0, 0, (n-12)/16, n/32*(n-12)/16", poly="1, -1, 0, 0, -1, 1"))
 def expand_polynomials(spark, sf_dir):
-    return listed(spark, ar=P.expand_ar(doubles(0.5, -0.2), doubles(0.3), 4), ma=P.expand_ma(doubles(0.4), doubles(-0.6), 4), poly=doubles(*P.difference_poly(1, 1, 4)))
+    k, n = F.col("k"), F.col("n")
+    return listed(customers(spark, sf_dir), ar=P.expand_ar(F.array(k / 16, -n / 32), F.array((k - 7) / 16), 4), ma=P.expand_ma(F.array(n / 32), F.array((n - 12) / 16), 4), poly=doubles(*P.difference_poly(1, 1, 4)))
 
 
-@query(values_sql(t=[0.5, 1, -0.2, 0], r=[1, 0.4], z=[1, 0], rqr=[2, 0.8, 0.8, 0.32]))
+@query(listed_sql(CUSTOMERS, t="k/16, 1, -n/32, 0", r="1, (n-12)/16", z="1, 0", rqr="k+1, (k+1)*(n-12)/16, (k+1)*(n-12)/16, (k+1)*(n-12)/16*(n-12)/16"))
 def ssm_matrices(spark, sf_dir):
-    r = P.build_r(doubles(0.4), 2)
-    return listed(spark, t=P.build_t(doubles(0.5, -0.2), 2), r=r, z=P.build_z(2), rqr=P.build_rqr(r, F.lit(2.0), 2))
+    k, n = F.col("k"), F.col("n")
+    r = P.build_r(F.array((n - 12) / 16), 2)
+    return listed(customers(spark, sf_dir), t=P.build_t(F.array(k / 16, -n / 32), 2), r=r, z=P.build_z(2), rqr=P.build_rqr(r, k + 1, 2))
 
 
-@query(values_sql(z=[1, 0, 1, 1, 0], t=[1, 0, 1, 1, 0, 0, 0, 1, 1, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0.5, 1, 0, 0, 0, 0, 0], r=[0, 0, 0, 1, 0.3], k=[3]))
+@query(listed_sql(CUSTOMERS, z="1, 0, 1, 1, 0", t="1, 0, 1, 1, 0, 0, 0, 1, 1, 0, 0, 1, 0, 0, 0, 0, 0, 0, k/16, 1, 0, 0, 0, 0, 0", r="0, 0, 0, 1, (n-12)/16", k="3"))
 def ssm_matrices_nodiff(spark, sf_dir):
-    return listed(spark, z=P.build_z(2, 1, 1, 2), t=P.build_t(doubles(0.5), 2, 1, 1, 2), r=P.build_r(doubles(0.3), 2, 3), k=doubles(P.kdiff(1, 1, 2)))
+    return listed(customers(spark, sf_dir), z=P.build_z(2, 1, 1, 2), t=P.build_t(F.array(F.col("k") / 16), 2, 1, 1, 2), r=P.build_r(F.array((F.col("n") - 12) / 16), 2, 3), k=doubles(P.kdiff(1, 1, 2)))
 
 
-@query("SELECT CAST(t - 3 AS INTEGER) AS idx, 2e0 + 5e-1 * t AS v FROM (SELECT unnest(range(4, 10)) AS t)")
+@query(listed_sql(CUSTOMERS, c=", ".join(f"n + {t}*k/8" for t in range(4, 10))))
 def trend_values(spark, sf_dir):
-    return listed(spark, c=P.trend_values((0, 1), doubles(2, 0.5), 4, 6)).select("idx", "v")
-
-
-_U = (0.7, 0.8, -0.4, 0.9, 1.5)
-_PARTIAL = [x / (1 + x * x) ** 0.5 for x in _U[1:4]]
+    return listed(customers(spark, sf_dir), c=P.trend_values((0, 1), F.array(F.col("n"), F.col("k") / 8), 4, 6))
 
 
-def _valid() -> list[float]:
-    a, b, c = _PARTIAL
-    return [_U[0], -(a + b * a), -b, c, _U[4] ** 2]
+_FREE = CUSTOMERS.replace(" AS n FROM", " AS n, (k - 7) / 4 AS u1, (n - 12) / 8 AS u2, k / 8 - 1 AS u3, n / 8 + 5e-1 AS u4, u1 / sqrt(1 + u1 * u1) AS a, u2 / sqrt(1 + u2 * u2) AS b, u3 / sqrt(1 + u3 * u3) AS c FROM")
 
 
-@query(values_sql(con=_valid(), back=list(_U)))
+@query(listed_sql(_FREE, con="k, -(a+b*a), -b, c, u4*u4", back="k, u1, u2, u3, u4", concentrated="k, -(a+b*a), -b, c"))
 def transform_params(spark, sf_dir):
-    u = doubles(*_U)
-    return listed(spark, con=P.transform_params(u, 1, 2, 1, 0, 0), back=P.transform_params(P.transform_params(u, 1, 2, 1, 0, 0), 1, 2, 1, 0, 0, back=True))
+    """Free parameters of each customer made valid, and back; without the variance where it is concentrated out."""
+    k, n = F.col("k"), F.col("n")
+    u = F.array(k, (k - 7) / 4, (n - 12) / 8, k / 8 - 1, n / 8 + 0.5)
+    con = P.transform_params(u, 1, 2, 1, 0, 0)
+    return listed(customers(spark, sf_dir), con=con, back=P.transform_params(con, 1, 2, 1, 0, 0, back=True), concentrated=P.transform_params(u, 1, 2, 1, 0, 0, concentrate=True))
 
 
-@query(values_sql(beta=[9], phi=[1, 2], theta=[3], sphi=[4], stheta=[], sigma2=[5]))
+@query(listed_sql(CUSTOMERS, beta="n", phi="k, k+n", theta="3*k", sphi="n-k", stheta="", sigma2="k+5"))
 def split_params(spark, sf_dir):
-    s = P.split_params(doubles(9, 1, 2, 3, 4, 5), 1, 2, 1, 1, 0)
-    return listed(spark, beta=s["beta"], phi=s["phi"], theta=s["theta"], sphi=s["sphi"], stheta=s["stheta"], sigma2=F.array(s["sigma2"]))
+    k, n = F.col("k"), F.col("n")
+    s = P.split_params(F.array(n, k, k + n, 3 * k, n - k, k + 5), 1, 2, 1, 1, 0)
+    return listed(customers(spark, sf_dir), beta=s["beta"], phi=s["phi"], theta=s["theta"], sphi=s["sphi"], stheta=s["stheta"], sigma2=F.array(s["sigma2"]))
 
 
 @query(f"WITH {LINES} SELECT t, round(sum(x * CASE j WHEN 1 THEN 25e-2 ELSE -3e0 END), 6) AS d FROM x GROUP BY t")
@@ -358,16 +443,19 @@ def obs_intercept(spark, sf_dir):
 
 # ---- distributions
 
-_CHI = {(3.841458820694124, 1): 0.05, (5.991464547107979, 2): 0.05, (18.307038053275146, 10): 0.05, (0.5, 2): 0.7788007830714049, (20.0, 4): 0.000499399227387, (60.0, 30): 0.0009206824}
-_NORM = {-1.959963984540054: 0.025, 0.0: 0.5, 1.2815515655446004: 0.9, 3.090232306167813: 0.999}
+# the normal distribution by its series, the chi-square tail of an even number of degrees in closed form
+_PHI = "5e-1 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 90), lambda i: pow(z, 2 * i + 1) * sqrt(pi()) / (pow(2e0, i + 1) * gamma(i + 15e-1))))"
+_TAIL = "exp(-x / 2) * list_sum(list_transform(range(0, h), lambda i: pow(x / 2, i) / gamma(i + 1e0)))"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('chi2', {x!r}, {float(k)!r}, round(CAST({p!r} AS DOUBLE), 6))" for (x, k), p in _CHI.items()) + ", " + ", ".join(f"('norm', CAST({z!r} AS DOUBLE), 0e0, round(CAST({p!r} AS DOUBLE), 6)), ('ppf', CAST({p!r} AS DOUBLE), 0e0, round(CAST({z!r} AS DOUBLE), 6))" for z, p in _NORM.items()) + ") AS t(kind, x, df, v)")
+@query(f"WITH {CUSTOMERS}, q AS (SELECT id, n + k / 8 AS x, CAST(k AS INTEGER) % 5 + 1 AS h, (k - 7) / 2 + (n - 12) / 64 AS z FROM c) SELECT id, 'chi2' AS kind, x, 2e0 * h AS df, round({_TAIL}, 6) AS v FROM q UNION ALL SELECT id, 'norm', z, 0e0, round({_PHI}, 6) FROM q UNION ALL SELECT id, 'ppf', z, 0e0, round(z, 6) FROM q")
 def distributions(spark, sf_dir):
-    rows = [("chi2", float(x), float(k)) for x, k in _CHI] + [("norm", z, 0.0) for z in _NORM] + [("ppf", p, 0.0) for p in _NORM.values()]
-    df = ship(spark).createDataFrame(rows, "kind string, x double, df double")
-    v = F.when(F.col("kind") == "chi2", D.chi2_sf(F.col("x"), F.greatest("df", F.lit(1.0)))).when(F.col("kind") == "norm", D.norm_cdf(F.col("x"))).otherwise(D.norm_ppf(F.greatest(F.least("x", F.lit(0.9999)), F.lit(0.0001))))
-    return df.withColumn("v", r6(v) + 0.0)
+    """Tail and normal probabilities at points of each customer; quantiles of the latter are the points again."""
+    k, n = F.col("k"), F.col("n")
+    x, df, z = n + k / 8, 2.0 * (k % 5 + 1), (k - 7) / 2 + (n - 12) / 64
+    row = lambda kind, at, deg, v: F.struct(F.lit(kind).alias("kind"), at.alias("x"), deg.alias("df"), (r6(v) + 0.0).alias("v"))
+    rows = F.array(row("chi2", x, df, D.chi2_sf(x, df)), row("norm", z, F.lit(0.0), D.norm_cdf(z)), row("ppf", z, F.lit(0.0), D.norm_ppf(D.norm_cdf(z))))
+    return customers(spark, sf_dir).select("id", F.explode(rows).alias("r")).select("id", "r.*")
 
 
 # ---- filter at fixed parameters: hours as scaled counts
@@ -437,21 +525,30 @@ def obs_adj(spark, sf_dir):
     return got.withColumns({c: r6(F.col(c)) for c in ("yd", "ct")})
 
 
-@query("SELECT CAST(id AS BIGINT) AS probe_id, CAST(1 AS INTEGER) AS k, round(s / (1 - c * c), 6) AS p1, round(s, 6) AS rqr FROM (VALUES (1, 5e-1, 1e0), (2, 5e-1, 1e0), (3, 2e-1, 2e0)) AS t(id, c, s)")
+_AR1_OF = f"{CUSTOMERS}, q AS (SELECT id, (k - 7) / 8 AS f, (n + 1) / 4 AS s FROM c)"
+
+
+def probes_of(rows: DataFrame, *params) -> DataFrame:
+    """A probe of each row."""
+    return rows.select(F.col("id").cast("long").alias("probe_id"), F.array(*params).alias("params"))
+
+
+@query(f"WITH {_AR1_OF} SELECT id AS probe_id, CAST(1 AS INTEGER) AS k, round(s / (1 - f * f), 6) AS p1, round(s, 6) AS rqr FROM q")
 def systems(spark, sf_dir):
-    got = filter.systems(probes(spark, [7, 0.5, 1], [8, 0.5, 1], [7, 0.2, 2]), Spec(p=1, r=1))
+    """State spaces of one AR(1) with a regressor for each customer."""
+    got = filter.systems(probes_of(customers(spark, sf_dir), F.col("id").cast("double"), (F.col("k") - 7) / 8, (F.col("n") + 1) / 4), Spec(p=1, r=1))
     return got.select("probe_id", "k", r6(F.get("p1", F.lit(0))).alias("p1"), r6(F.get("rqr", F.lit(0))).alias("rqr"))
 
 
-_CELLS = {"transition": [(1, 1, 0), (0, 0.5, 1), (0, 0.06, 0)], "selection": [(0,), (1,), (0.4,)], "design": [(1, 1, 0)], "state_cov": [(2.5,)], "obs_cov": [(0,)]}
+_CELLS = {"transition": [(1, 1, 0), (0, "k/16", 1), (0, "-n/32", 0)], "selection": [(0,), (1,), ("(n-12)/16",)], "design": [(1, 1, 0)], "state_cov": [("k+1",)], "obs_cov": [(0,)]}
 
 
-@query("SELECT CAST(7 AS BIGINT) AS probe_id, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(v AS DOUBLE) AS v FROM (VALUES " + ", ".join(f"('{n}', {i + 1}, {j + 1}, {v})" for n, rows in _CELLS.items() for i, row in enumerate(rows) for j, v in enumerate(row)) + ") AS t(name, i, j, v)")
+@query(f"WITH {CUSTOMERS}, u AS (SELECT id, unnest([" + ", ".join(f"{{'name': '{n}', 'i': {i + 1}, 'j': {j + 1}, 'v': CAST({v} AS DOUBLE)}}" for n, rows in _CELLS.items() for i, row in enumerate(rows) for j, v in enumerate(row)) + "]) AS u FROM c) SELECT id AS probe_id, u.name AS name, CAST(u.i AS INTEGER) AS i, CAST(u.j AS INTEGER) AS j, round(u.v, 6) + 0e0 AS v FROM u")
 def system_cells(spark, sf_dir):
-    """ARIMA(2,1,1) with the difference in the state and a trend: the state is the level and two of ARMA."""
-    at = ship(spark).createDataFrame([(7, [9.0, 0.5, 0.06, 0.4, 2.5])], "probe_id long, params array<double>")
+    """ARIMA(2,1,1) of each customer with the difference in the state and a trend: the state is the level and two of ARMA."""
+    at = probes_of(customers(spark, sf_dir), F.lit(9.0), F.col("k") / 16, -F.col("n") / 32, (F.col("n") - 12) / 16, F.col("k") + 1)
     got = filter.system_tables(at, Spec(p=2, d=1, q=1, trend="c", simple_differencing=False))
-    return got.withColumn("v", r6(F.col("v")))
+    return got.withColumn("v", r6(F.col("v")) + 0.0)
 
 
 @query(f"SELECT * FROM (WITH RECURSIVE {SCALED}, {AR1.format(c='5e-1', s='2e0')} {_LL.format(i=1)}) UNION ALL SELECT * FROM (WITH RECURSIVE {SCALED.replace('(y - 10) / 5e0', '(y - 10) / 5e0 - 1e-3 * t')}, {AR1.format(c='5e-1', s='2e0')} {_LL.format(i=2)}) UNION ALL SELECT * FROM (WITH RECURSIVE {SCALED.replace('(y - 10) / 5e0', '(y - 10) / 5e0 + 2e-3 * t')}, {AR1.format(c='5e-1', s='2e0')} {_LL.format(i=3)}) UNION ALL SELECT * FROM (WITH RECURSIVE {SCALED}, {AR1.format(c='2e-1', s='1e0')} {_LL.format(i=4)})")
@@ -463,9 +560,10 @@ def loglik_shared_gains(spark, sf_dir):
     return got.select("probe_id", "n_eff", F.round("loglik", 4).alias("loglik"))
 
 
-@query("SELECT CAST(id AS BIGINT) AS system_id, CAST(n AS BIGINT) AS n_probes FROM (VALUES (1, 2), (3, 1)) AS t(id, n)")
+@query(f"WITH {_AR1_OF} SELECT min(id) AS system_id, count(*) AS n_probes FROM q GROUP BY f, s")
 def probe_system_dedup(spark, sf_dir):
-    return filter.distinct_systems(probes(spark, [7, 0.5, 1], [8, 0.5, 1], [7, 0.2, 2]), Spec(p=1, r=1)).select("system_id", "n_probes")
+    at = probes_of(customers(spark, sf_dir), F.col("id").cast("double"), (F.col("k") - 7) / 8, (F.col("n") + 1) / 4)
+    return filter.distinct_systems(at, Spec(p=1, r=1)).select("system_id", "n_probes")
 
 
 @query(f"WITH {HOURS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(y) AS BIGINT) AS n_seen, round(avg(y * y), 6) AS sigma2 FROM h")
@@ -664,11 +762,14 @@ def evaluate_white_noise(spark, sf_dir):
     return e.select(F.round("aic", 3).alias("aic"), F.round("bic", 3).alias("bic"), "converged", "n_eff", "resid_finite_frac")
 
 
-@query("SELECT CAST(idx AS INTEGER) AS idx, name, c AS coefficient, b AS std_error, round(c / b, 6) AS z_stat, round(CAST(p AS DOUBLE), 6) AS p_value, round(c - 1.959963984540054 * b, 6) AS ci_lo, round(c + 1.959963984540054 * b, 6) AS ci_hi FROM (VALUES (1, 'ar.L1', 5e-1, 25e-2, 0.0455002638963584), (2, 'sigma2', 2e0, 1e0, 0.0455002638963584)) AS t(idx, name, c, b, p)")
+@query(f"WITH {SUPPLIERS}, q AS (SELECT id, unnest([{{'idx': 1, 'name': 'ar.L1', 'c': (k - 7) / 8, 'b': (n + 4) / 16}}, {{'idx': 2, 'name': 'sigma2', 'c': k + 1, 'b': n + 2}}]) AS m FROM c), w AS (SELECT id, CAST(m.idx AS INTEGER) AS idx, m.name AS name, m.c AS coefficient, m.b AS std_error, abs(m.c / m.b) AS z FROM q) SELECT id, idx, name, coefficient, std_error, round(coefficient / std_error, 6) + 0e0 AS z_stat, round(2 * (1 - ({_PHI})), 6) AS p_value, round(coefficient - 1.959963984540054 * std_error, 6) AS ci_lo, round(coefficient + 1.959963984540054 * std_error, 6) AS ci_hi FROM w")
 def summary_literal(spark, sf_dir):
-    rows = [("param", "ar.L1", 1, 0.5, None), ("param", "sigma2", 2, 2.0, None), ("bse", "ar.L1", 1, 0.25, None), ("bse", "sigma2", 2, 1.0, None)]
-    m = ship(spark).createDataFrame(rows, model.MODEL)
-    return model.summary(m).withColumns({c: r6(F.col(c)) for c in ("z_stat", "p_value", "ci_lo", "ci_hi")})
+    """Summaries of saved models, one of each supplier, with given coefficients and errors."""
+    k, n = F.col("k"), F.col("n")
+    row = lambda kind, name, idx, v: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(idx).alias("idx"), v.alias("value"), F.lit(None).cast("array<double>").alias("value_list"))
+    rows = F.array(row("param", "ar.L1", 1, (k - 7) / 8), row("param", "sigma2", 2, k + 1), row("bse", "ar.L1", 1, (n + 4) / 16), row("bse", "sigma2", 2, n + 2))
+    m = suppliers(spark, sf_dir).select("id", F.explode(rows).alias("r")).select("id", "r.*")
+    return model.summary(m, ("id",)).withColumns({c: r6(F.col(c)) + 0.0 for c in ("z_stat", "p_value", "ci_lo", "ci_hi")})
 
 
 @query(f"WITH {_Y}, r AS (SELECT t, y / sqrt((SELECT avg(y * y) FROM q)) AS y FROM q), {_ACF.format(s='r', n=6)} SELECT CAST(a.lag AS INTEGER) AS lag, round(n * (n + 2) * sum(b.acf * b.acf / (n - b.lag)), 4) AS stat FROM v a JOIN v b ON b.lag BETWEEN 1 AND a.lag, (SELECT CAST(count(*) AS DOUBLE) AS n FROM q) WHERE a.lag > 0 GROUP BY a.lag, n")
