@@ -327,3 +327,27 @@ def test_sql_functions_are_the_operators(spark):
         sqlapi.with_model(saved, df.withColumnRenamed("x", "value"))
     orders = [(0, 0, 0, 0, 0, 0, 1), (1, 0, 0, 0, 0, 0, 1), (1, 0, 0, 2, 0, 0, 40)]
     same(call("tw_grid", f'{{"orders": {[list(o) for o in orders]}}}'), model.grid(df, "y", "t", orders, key))
+
+
+def test_elimination_in_blocks(spark, monkeypatch):
+    """Several block rows and rounds of picks, rows that must move, lacking cells, two right sides; and a singular matrix."""
+    import numpy as np
+
+    from tidewright.operators import elimination, matrices
+
+    monkeypatch.setattr(elimination, "FAN", 2)
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(18, 18)) * (rng.random((18, 18)) < 0.7)
+    a[0, 0], b = 0.0, rng.normal(size=(18, 2))
+    table = lambda x: spark.createDataFrame([(i + 1, j + 1, float(v)) for (i, j), v in np.ndenumerate(x) if v], "i int, j int, v double")
+    got = matrices.solve(table(a), table(b), block=5).collect()
+    x = np.zeros((18, 2))
+    for r in got:
+        x[r["i"] - 1, r["j"] - 1] = r["v"]
+    assert len(got) == 36 and all(r["ok"] for r in got)
+    assert np.allclose(x, np.linalg.solve(a, b), rtol=1e-9, atol=1e-9)
+    a[:, 3] = a[:, 7]
+    bad = matrices.solve(table(a[:8, :8]), table(b[:8]), block=8).collect()
+    assert not any(r["ok"] for r in bad) and bad[0]["pivmin"] < 1e-12
+    sizes = [r["piv"] for r in elimination.pivots(table(np.array([[1.0, 2], [4, 2]]))).orderBy("j").collect()]
+    assert sizes == [4.0, 1.5]

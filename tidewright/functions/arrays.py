@@ -35,6 +35,11 @@ def bound(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
 
 
+def both(x: Column, y: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of x and y, each evaluated once: a cell's lambda would evaluate them for every cell."""
+    return bound(x, lambda a: bound(y, lambda b: f(a, b)))
+
+
 def mget(a: Column, i: Num, j: Num, n: Num) -> Column:
     """Element (i, j), from 1."""
     return F.get(a, (_c(i) - 1) * _c(n) + _c(j) - 1)
@@ -62,12 +67,12 @@ def mscale(a: Column, c: Column | float) -> Column:
 
 def mtrans(a: Column, m: Num, n: Num) -> Column:
     """m x n to n x m."""
-    return each(_c(m) * _c(n), lambda i: F.get(a, (i % _c(m)) * _c(n) + _div(i, m)))
+    return bound(a, lambda a: each(_c(m) * _c(n), lambda i: F.get(a, (i % _c(m)) * _c(n) + _div(i, m))))
 
 
 def msym(p: Column, k: Num) -> Column:
     """(P + P') / 2."""
-    return each(_c(k) * _c(k), lambda i: (F.get(p, i) + F.get(p, (i % _c(k)) * _c(k) + _div(i, k))) * 0.5)
+    return bound(p, lambda p: each(_c(k) * _c(k), lambda i: (F.get(p, i) + F.get(p, (i % _c(k)) * _c(k) + _div(i, k))) * 0.5))
 
 
 def dot(a: Callable[[Column], Column], b: Callable[[Column], Column], n: Num) -> Column:
@@ -77,12 +82,12 @@ def dot(a: Callable[[Column], Column], b: Callable[[Column], Column], n: Num) ->
 
 def mmul(a: Column, b: Column, m: Num, k: Num, n: Num) -> Column:
     """A (m x k) times B (k x n)."""
-    return each(_c(m) * _c(n), lambda x: dot(lambda i: F.get(a, _div(x, n) * _c(k) + i), lambda i: F.get(b, i * _c(n) + x % _c(n)), k))
+    return both(a, b, lambda a, b: each(_c(m) * _c(n), lambda x: dot(lambda i: F.get(a, _div(x, n) * _c(k) + i), lambda i: F.get(b, i * _c(n) + x % _c(n)), k)))
 
 
 def mkron(a: Column, b: Column, ma: Num, na: Num, mb: Num, nb: Num) -> Column:
     w = _c(na) * _c(nb)
-    return each(_c(ma) * _c(mb) * w, lambda x: F.get(a, _div(_div(x, w), mb) * _c(na) + _div(x % w, nb)) * F.get(b, (_div(x, w) % _c(mb)) * _c(nb) + (x % w) % _c(nb)))
+    return both(a, b, lambda a, b: each(_c(ma) * _c(mb) * w, lambda x: F.get(a, _div(_div(x, w), mb) * _c(na) + _div(x % w, nb)) * F.get(b, (_div(x, w) % _c(mb)) * _c(nb) + (x % w) % _c(nb))))
 
 
 def mvec(a: Column, m: Num, n: Num) -> Column:
@@ -97,7 +102,7 @@ def munvec(v: Column, m: Num, n: Num) -> Column:
 def maug(a: Column, b: Column, n: Num, nrhs: Num) -> Column:
     """[A | B], row by row."""
     w = _c(n) + _c(nrhs)
-    return each(_c(n) * w, lambda x: F.when(x % w < _c(n), F.get(a, _div(x, w) * _c(n) + x % w)).otherwise(F.get(b, _div(x, w) * _c(nrhs) + x % w - _c(n))))
+    return both(a, b, lambda a, b: each(_c(n) * w, lambda x: F.when(x % w < _c(n), F.get(a, _div(x, w) * _c(n) + x % w)).otherwise(F.get(b, _div(x, w) * _c(nrhs) + x % w - _c(n)))))
 
 
 def solve(aug: Column, n: Num, nrhs: Num) -> Column:

@@ -67,8 +67,8 @@ def chi2_sf(x: Column, df: Column) -> Column:
 
 
 def norm_cdf(z: Column) -> Column:
-    tail = 0.5 * gammq(F.lit(0.5), z * z / 2)
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
+    tail = lambda z: bound(z * z / 2, lambda x: 0.5 * gammq(F.lit(0.5), x))
+    return bound(z, lambda z: bound(tail(z), lambda t: F.when(z >= 0, 1 - t).otherwise(t)))
 
 
 def _poly(cs: tuple[float, ...], x: Column) -> Column:
@@ -92,4 +92,4 @@ def norm_ppf_step(x: Column, p: Column) -> Column:
 
 
 def norm_ppf(p: Column) -> Column:
-    return bound(bound(norm_ppf_raw(p), lambda x: norm_ppf_step(x, p)), lambda x: norm_ppf_step(x, p))
+    return bound(p, lambda p: bound(bound(norm_ppf_raw(p), lambda x: norm_ppf_step(x, p)), lambda x: norm_ppf_step(x, p)))

@@ -364,15 +364,15 @@ def solve_2x2(spark, sf_dir):
     return s.select(r6(F.get("s.x", F.lit(0))).alias("x1"), r6(F.get("s.x", F.lit(1))).alias("x2"), F.col("s.ok").alias("ok"))
 
 
-_M3 = CUSTOMERS.replace(" AS n FROM", " AS n, k + 40 AS a, n AS c, n + 40 AS e, k AS g, 50 * (n + 40) + 3 AS ei, (k + 40) * (50 * (n + 40) + 3) - (100 - 3 * k) + n * (-2 - k * (n + 40)) AS det FROM")
+_M3 = CUSTOMERS.replace(" AS n FROM", " AS n, k + 40 AS a, n AS c, n + 40 AS e, k AS g, 50 * (n + 40) + 3 AS ei FROM")
 
 
-@query(listed_sql(_M3, x="ei/det, (-50-c)/det, (3-c*e)/det, (3*g-100)/det, (50*a-c*g)/det, (2*c-3*a)/det, (-2-e*g)/det, (a+g)/det, (a*e-2)/det", regular="CASE WHEN k = 0 THEN 0 ELSE 1 END"))
+@query(listed_sql(_M3, x="ei, -50-c, 3-c*e, 3*g-100, 50*a-c*g, 2*c-3*a, -2-e*g, a+g, a*e-2", regular="CASE WHEN k = 0 THEN 0 ELSE 1 END"))
 def inverse_3x3(spark, sf_dir):
-    """A matrix of each customer, by cofactors in SQL, and one that is singular for some of them."""
+    """Inverse times determinant of a matrix of each customer, cofactors in SQL, and a matrix that is singular for some of them."""
     k, n, c = F.col("k"), F.col("n"), lambda x: F.lit(float(x))
     m = F.array(k + 40, c(1), n, c(2), n + 40, c(3), k, c(-1), c(50))
-    return listed(customers(spark, sf_dir), x=A.inverse(m, 3)["x"], regular=F.array(A.inverse(F.array(k + 1, c(2), c(2), c(4)), 2)["ok"].cast("double")))
+    return listed(customers(spark, sf_dir), x=A.mscale(A.inverse(m, 3)["x"], (k + 40) * (50 * (n + 40) + 3) - (100 - 3 * k) + n * (-2 - k * (n + 40))), regular=F.array(A.inverse(F.array(k + 1, c(2), c(2), c(4)), 2)["ok"].cast("double")))
 
 
 _LYAP = SUPPLIERS.replace(" AS n FROM", " AS n, (k - 7) / 8 AS f, (n - 12) / 16 AS h, (n % 4 + 1) / 2 AS s, (k - 7) / 16 AS f1, (n - 12) / 32 AS f2, s * (1 - f2) / ((1 + f2) * ((1 - f2) * (1 - f2) - f1 * f1)) AS g FROM")
@@ -448,14 +448,14 @@ _PHI = "5e-1 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(
 _TAIL = "exp(-x / 2) * list_sum(list_transform(range(0, h), lambda i: pow(x / 2, i) / gamma(i + 1e0)))"
 
 
-@query(f"WITH {CUSTOMERS}, q AS (SELECT id, n + k / 8 AS x, CAST(k AS INTEGER) % 5 + 1 AS h, (k - 7) / 2 + (n - 12) / 64 AS z FROM c) SELECT id, 'chi2' AS kind, x, 2e0 * h AS df, round({_TAIL}, 6) AS v FROM q UNION ALL SELECT id, 'norm', z, 0e0, round({_PHI}, 6) FROM q UNION ALL SELECT id, 'ppf', z, 0e0, round(z, 6) FROM q")
+@query(f"WITH {SUPPLIERS}, q AS (SELECT id, n + k / 8 AS x, CAST(k AS INTEGER) % 5 + 1 AS h, (k - 7) / 2 + (n - 12) / 64 AS z FROM c) SELECT id, 'chi2' AS kind, x, 2e0 * h AS df, round({_TAIL}, 6) AS v FROM q UNION ALL SELECT id, 'norm', z, 0e0, round({_PHI}, 6) FROM q UNION ALL SELECT id, 'ppf', z, 0e0, round(z, 6) FROM q")
 def distributions(spark, sf_dir):
-    """Tail and normal probabilities at points of each customer; quantiles of the latter are the points again."""
+    """Tail and normal probabilities at points of each supplier; quantiles of the latter are the points again."""
     k, n = F.col("k"), F.col("n")
     x, df, z = n + k / 8, 2.0 * (k % 5 + 1), (k - 7) / 2 + (n - 12) / 64
     row = lambda kind, at, deg, v: F.struct(F.lit(kind).alias("kind"), at.alias("x"), deg.alias("df"), (r6(v) + 0.0).alias("v"))
     rows = F.array(row("chi2", x, df, D.chi2_sf(x, df)), row("norm", z, F.lit(0.0), D.norm_cdf(z)), row("ppf", z, F.lit(0.0), D.norm_ppf(D.norm_cdf(z))))
-    return customers(spark, sf_dir).select("id", F.explode(rows).alias("r")).select("id", "r.*")
+    return suppliers(spark, sf_dir).select("id", F.explode(rows).alias("r")).select("id", "r.*")
 
 
 # ---- filter at fixed parameters: hours as scaled counts
@@ -962,6 +962,50 @@ def fit_nodiff_ct_conc(spark, sf_dir):
     return _converged(model.fit(_orders(spark, sf_dir), "y", "month", p=1, d=1, q=1, trend="ct", concentrate=True, simple_differencing=False))
 
 
+# exact likelihood of (seasonal) AR(1): m chains of each L-th value; the derivative has one zero in (-1, 1), found by halving
+_LINE_MONTHS = """w AS (SELECT l_linenumber AS line, date_trunc('month', l_shipdate) AS month, sum(l_quantity) AS y FROM lineitem GROUP BY ALL),
+z AS (SELECT line, row_number() OVER (PARTITION BY line ORDER BY month) AS t, (y - avg(y) OVER (PARTITION BY line)) / stddev_pop(y) OVER (PARTITION BY line) AS y FROM w)"""
+_AR_ORDERS = [(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0), (0, 0, 1)]
+_EXACT = f"""{_LINE_MONTHS},
+o(p, d, sp) AS (VALUES {", ".join(map(str, _AR_ORDERS))}),
+zd AS (SELECT line, t, y, y - lag(y) OVER (PARTITION BY line ORDER BY t) AS w FROM z),
+x AS (SELECT p, d, sp, line, t, CASE d WHEN 0 THEN y ELSE w END AS y, CASE sp WHEN 1 THEN 12 ELSE 1 END AS l FROM zd, o WHERE t > d),
+g AS (SELECT x.p, x.d, x.sp, x.line, count(*) AS n, max(x.l) AS m, sum(x.y * x.y) AS s0, sum(x.y * b.y) AS s1, sum(CASE WHEN b.y IS NOT NULL AND a.y IS NOT NULL THEN x.y * x.y ELSE 0 END) AS s2
+  FROM x LEFT JOIN x b ON (b.p, b.d, b.sp, b.line, b.t) = (x.p, x.d, x.sp, x.line, x.t - x.l) LEFT JOIN x a ON (a.p, a.d, a.sp, a.line, a.t) = (x.p, x.d, x.sp, x.line, x.t + x.l) GROUP BY ALL),
+h AS (SELECT *, 0 AS i, -1e0 AS lo, 1e0 AS hi FROM g UNION ALL
+  SELECT p, d, sp, line, n, m, s0, s1, s2, i + 1, CASE WHEN up THEN c ELSE lo END, CASE WHEN up THEN hi ELSE c END
+  FROM (SELECT *, (lo + hi) / 2 AS c, n * (s1 - (lo + hi) / 2 * s2) / (s0 - (lo + hi) * s1 + (lo + hi) * (lo + hi) / 4 * s2) > m * (lo + hi) / 2 / (1 - (lo + hi) * (lo + hi) / 4) AS up FROM h WHERE i < 55)),
+r AS (SELECT p, d, sp, line, n, m, CASE WHEN p + sp > 0 THEN (lo + hi) / 2 ELSE 0 END AS f, s0, s1, s2 FROM h WHERE i = 55),
+e AS (SELECT *, (s0 - 2 * f * s1 + f * f * s2) / n AS v, -5e-1 * n * (ln(2 * pi()) + 1 + ln((s0 - 2 * f * s1 + f * f * s2) / n)) + 5e-1 * m * ln(1 - f * f) AS ll FROM r)"""
+
+
+def line_months(spark, sf_dir) -> DataFrame:
+    """(line, month, y): monthly quantities of each line number, standardised."""
+    w = S.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("line"), F.date_trunc("month", "l_shipdate").alias("month")).agg(F.sum("l_quantity").alias("y"))
+    each_ = w.groupBy("line").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("spread"))
+    return w.join(each_, "line").select("line", "month", ((F.col("y") - F.col("mean")) / F.col("spread")).alias("y"))
+
+
+@query(f"WITH RECURSIVE {_EXACT} SELECT line, sp, round(f, 3) + 0e0 AS coefficient, round(v, 4) AS sigma2, round(ll, 3) AS loglik FROM e WHERE p + sp = 1 AND d = 0")
+def fit_ar_exact(spark, sf_dir):
+    """AR(1) and seasonal AR(1) of seven series against the zero of the exact likelihood's derivative."""
+    y = written(line_months(spark, sf_dir), "lines")
+
+    def fitted(seasonal: int, **orders):
+        m = model.fit(y, "y", "month", compute_bse=False, keys=("line",), **orders)
+        first = m.filter("kind = 'param' AND idx = 1").select("line", (F.round("value", 3) + 0.0).alias("coefficient"))
+        return first.join(model.metrics(m, ("line",)), "line").select("line", F.lit(seasonal).alias("sp"), "coefficient", F.round("sigma2", 4).alias("sigma2"), F.round("loglik", 3).alias("loglik"))
+
+    return fitted(0, p=1).unionByName(fitted(1, sp=1, s=12))
+
+
+@query(f"WITH RECURSIVE {_EXACT} SELECT line, p, d, sp, round(ll, 3) AS loglik, round(2 * (p + sp + 1) - 2 * ll, 2) AS aic FROM e")
+def grid_ar_exact(spark, sf_dir):
+    """Five orders of seven series, each against its exact optimum."""
+    got = model.grid(line_months(spark, sf_dir), "y", "month", [(p, d, 0, sp, 0, 0, 12 if sp else 1) for p, d, sp in _AR_ORDERS], ("line",))
+    return got.select("line", "p", "d", "sp", F.round("loglik", 3).alias("loglik"), F.round("aic", 2).alias("aic"))
+
+
 @query()
 def fit_hourly_missing(spark, sf_dir):
     return _converged(model.fit(S.hourly_events(spark, sf_dir), "n", "hour", p=1, q=1, trend="c"))
