@@ -160,6 +160,12 @@ def diff_exog(spark, sf_dir):
     return differencing.difference_exog(lines_long(spark, sf_dir), 1, 0).withColumn("x", r6(F.col("x")))
 
 
+@query(f"WITH {LINES}, a AS (SELECT t, j, x - lag(x) OVER (PARTITION BY j ORDER BY t) AS x FROM x) SELECT t - 13 AS t, CAST(j AS INTEGER) AS j, round(w, 6) + 0e0 AS w FROM (SELECT t, j, x - lag(x, 12) OVER (PARTITION BY j ORDER BY t) AS w FROM a) WHERE t > 13")
+def diff_exog_by_convolution(spark, sf_dir):
+    got = differencing.difference_poly(lines_long(spark, sf_dir), P.difference_poly(1, 1, 12), ("j",), "x")
+    return got.select("t", "j", (r6(F.col("w")) + 0.0).alias("w"))
+
+
 @query(f"WITH {MONTHS}, n AS (SELECT max(t) AS n FROM s), w AS (SELECT t, y - lag(y) OVER (ORDER BY t) AS w FROM s) SELECT 1 AS stage, 1 AS idx, y AS value FROM s, n WHERE t = n UNION ALL SELECT 2, CAST(t - n + 12 AS INTEGER), w FROM w, n WHERE t > n - 12")
 def anchors(spark, sf_dir):
     return differencing.anchors(months(spark, sf_dir), 1, 1, 12)
@@ -420,13 +426,13 @@ def trend_values(spark, sf_dir):
 _FREE = CUSTOMERS.replace(" AS n FROM", " AS n, (k - 7) / 4 AS u1, (n - 12) / 8 AS u2, k / 8 - 1 AS u3, n / 8 + 5e-1 AS u4, u1 / sqrt(1 + u1 * u1) AS a, u2 / sqrt(1 + u2 * u2) AS b, u3 / sqrt(1 + u3 * u3) AS c FROM")
 
 
-@query(listed_sql(_FREE, con="k, -(a+b*a), -b, c, u4*u4", back="k, u1, u2, u3, u4", concentrated="k, -(a+b*a), -b, c"))
+@query(listed_sql(_FREE, con="k, -(a+b*a), -b, c, u4*u4", back="k, u1, u2, u3, u4", concentrated="k, -(a+b*a), -b, c", concentrated_back="k, u1, u2, u3"))
 def transform_params(spark, sf_dir):
     """Free parameters of each customer made valid, and back; without the variance where it is concentrated out."""
     k, n = F.col("k"), F.col("n")
     u = F.array(k, (k - 7) / 4, (n - 12) / 8, k / 8 - 1, n / 8 + 0.5)
-    con = P.transform_params(u, 1, 2, 1, 0, 0)
-    return listed(customers(spark, sf_dir), con=con, back=P.transform_params(con, 1, 2, 1, 0, 0, back=True), concentrated=P.transform_params(u, 1, 2, 1, 0, 0, concentrate=True))
+    con, short = P.transform_params(u, 1, 2, 1, 0, 0), P.transform_params(u, 1, 2, 1, 0, 0, concentrate=True)
+    return listed(customers(spark, sf_dir), con=con, back=P.transform_params(con, 1, 2, 1, 0, 0, back=True), concentrated=short, concentrated_back=P.transform_params(short, 1, 2, 1, 0, 0, concentrate=True, back=True))
 
 
 @query(listed_sql(CUSTOMERS, beta="n", phi="k, k+n", theta="3*k", sphi="n-k", stheta="", sigma2="k+5"))
@@ -864,6 +870,30 @@ def loglik_free(spark, sf_dir):
     return got.withColumn("loglik", F.round("loglik", 4))
 
 
+@query(f"WITH RECURSIVE {SCALED}, {AR1.format(c='6e-1', s='1e0')}, k AS (SELECT count(v) AS n, sum(v * v / f) AS q, sum(CASE WHEN v IS NOT NULL THEN ln(f) END) AS l FROM f) SELECT CAST(1 AS BIGINT) AS probe_id, round(-5e-1 * (n * ln(2 * pi()) + l + n * ln(q / n) + n), 4) AS loglik FROM k")
+def loglik_free_concentrated(spark, sf_dir):
+    got = estimation.loglik_free(scaled(spark, sf_dir), probes(spark, [-0.75]), Spec(p=1, concentrate=True))
+    return got.withColumn("loglik", F.round("loglik", 4))
+
+
+_HOURS_X = HOURS.replace("AS y FROM hs", "AS y, hour FROM hs") + ", z AS (SELECT t, (y - 10) / 5e0 - 5e-1 * extract('hour' FROM hour) / 1e1 AS y FROM h)"
+
+
+@query(f"WITH RECURSIVE {_HOURS_X}, {AR1.format(c='5e-1', s='2e0')} SELECT round(-5e-1 * sum(CASE WHEN v IS NOT NULL THEN ln(2 * pi()) + ln(f) + v * v / f END), 4) AS loglik FROM f")
+def loglik_streamed_regressor(spark, sf_dir):
+    """A streamed series with a regressor: the hour of the day."""
+    e = S.hourly_events(spark, sf_dir).withColumns({"y": (F.col("n") - 10) / 5.0, "x": F.hour("hour") / 10.0})
+    got = model.metrics(model.fit(e, "y", "hour", p=1, exog_cols=["x"], params=[0.5, 0.5, 2.0], compute_bse=False, out_of_core=True))
+    return got.select(F.round("loglik", 4).alias("loglik"))
+
+
+@query(f"WITH {_Y}, u AS (SELECT y, CAST(greatest(t - 1, 1) AS DOUBLE) AS g FROM q), k AS (SELECT regr_intercept(y, g) AS a, regr_slope(y, g) AS b, var_pop(y) * (1 - corr(y, g) * corr(y, g)) AS v FROM u) SELECT 1 AS idx, 'intercept' AS name, round(a, 3) AS value FROM k UNION ALL SELECT 2, 'drift', round(b, 3) FROM k UNION ALL SELECT 3, 'sigma2', round(v, 3) FROM k")
+def fit_named_trend(spark, sf_dir):
+    """Parameters by name: the terms of a linear trend are called intercept and drift. A trend in the state meets the next observation."""
+    m = model.fit(_orders(spark, sf_dir), "y", "month", trend="ct", compute_bse=False)
+    return m.filter("kind = 'param'").select("idx", "name", F.round("value", 3).alias("value"))
+
+
 @query("WITH g AS (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS h) SELECT a.h, b.h AS j, round(pow(5e-1, a.h - b.h) * 2e0 * (1 - pow(25e-2, b.h)) / 75e-2, 6) AS omega FROM g a JOIN g b ON b.h <= a.h")
 def forecast_covariances(spark, sf_dir):
     y, at = S.series_of(_orders(spark, sf_dir), "y", "month"), probes(spark, [0.5, 2.0])
