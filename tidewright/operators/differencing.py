@@ -8,9 +8,15 @@ which fails on it. Stages are kept on the original axis; anchors are the trailin
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import ship
+from ..sources import series as S
 from ..sources.series import in_blocks, over_time, own_rows
 
 MAX_D, MAX_SD = 4, 3
@@ -41,8 +47,28 @@ def stages(series: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[str, ...]
 
 def difference(series: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[str, ...] = (), strict: bool = False, value: str = "y") -> DataFrame:
     """(keys.., t, w): the differenced series, t again from 1."""
-    last, lost = (f"b{sd}" if sd else f"a{d}"), d + sd * s
-    return stages(series, d, sd, s, keys, strict, value).filter(F.col("t") > lost).select(*keys, (F.col("t") - lost).alias("t"), F.col(last).alias("w"))
+    check_orders(d, sd, s)
+    ship(series.sparkSession)
+    y = F.col(value).cast("double")
+    if strict:
+        y = F.when(y.isNull(), F.raise_error(F.lit("the series has a missing value")).cast("double")).otherwise(y)
+    lost, kind = d + sd * s, series.schema["t"].dataType
+    size = max(S.BLOCK, lost)
+    runs = S.runs_of(series.select(*keys, "t", y.alias("__y")), "__y", keys)
+    schema = T.StructType([runs.schema[k] for k in keys] + T.StructType.fromDDL("t long, w double").fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        t, w, _ = S.together(table)
+        for gap, times in ((1, d), (s, sd)):
+            for _ in range(times):
+                w = pc.subtract(w[gap:], w[: max(len(w) - gap, 0)])
+        w = pa.concat_arrays([pa.nulls(len(t) - len(w), pa.float64()), w])
+        own = pa.array(np.flatnonzero((t > table.column("__block")[0].as_py() * size) & (t > lost)))
+        key = [pa.repeat(table.column(k)[0], len(own)) for k in keys]
+        return pa.Table.from_arrays([*key, pa.array(t - lost).take(own), w.take(own)], [*keys, "t", "w"])
+
+    out = S.cut(runs, size, lost, keys).groupBy(*keys, "__block").applyInArrow(run, schema)
+    return out.select(*keys, F.col("t").cast(kind).alias("t"), "w")
 
 
 def difference_exog(exog: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import bound, upto
 from ..session import ship
+from ..sources import series as S
 from ..sources.series import in_blocks, over_time, own_rows
 
 
@@ -30,27 +31,37 @@ def lag_products(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> D
     mean = series.groupBy(*keys).agg(F.avg("y").alias("mean"))  # a row a series
     src = series.select(*keys, "t", "y")
     src = src.join(mean, list(keys)) if keys else src.crossJoin(F.broadcast(mean))
-    rows, size = in_blocks(src.select(*keys, "t", (F.col("y") - F.col("mean")).alias("e")), nlags)
-    schema = T.StructType([rows.schema[k] for k in keys] + T.StructType.fromDDL("lag int, product double").fields)
+    runs = S.runs_of(src.select(*keys, "t", (F.col("y") - F.col("mean")).alias("e")), "e", keys)
+    return run_products(runs, nlags, keys)
 
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("t")
-        e = t.column("e").cast(pa.float64()).fill_null(float("nan")).to_numpy()
-        head = int(np.count_nonzero(t.column("t").to_numpy() <= t.column("__block")[0].as_py() * size))
+
+def run_products(runs: DataFrame, nlags: int, keys: tuple[str, ...] = (), mean: float = 0.0) -> DataFrame:
+    """lag_products() of runs (keys.., t0, y, x), less the mean."""
+    size = max(S.BLOCK, nlags)
+    schema = T.StructType([runs.schema[k] for k in keys] + T.StructType.fromDDL("lag int, product double").fields)
+
+    def run(table: pa.Table) -> pa.Table:
+        t, y, _ = S.together(table)
+        e = y.fill_null(float("nan")).to_numpy() - mean
+        head = int(np.count_nonzero(t <= table.column("__block")[0].as_py() * size))
         own = e[head:]
         some = range(min(nlags, len(e) - 1) + 1) if len(own) else ()
         of = [float(own[max(k - head, 0) :] @ e[max(head, k) - k : len(e) - k]) for k in some]
-        key = [pa.repeat(t.column(k)[0], len(of)) for k in keys]
+        key = [pa.repeat(table.column(k)[0], len(of)) for k in keys]
         return pa.table([*key, pa.array(list(some), pa.int32()), pa.array(of, pa.float64())], [*keys, "lag", "product"])
 
-    each = rows.groupBy(*keys, "__block").applyInArrow(run, schema)
+    each = S.cut(runs, size, nlags, keys).groupBy(*keys, "__block").applyInArrow(run, schema)
     total = each.groupBy(*keys, "lag").agg(F.sum("product").alias("product"))
     return total.withColumn("product", F.when(~F.isnan("product"), F.col("product")))
 
 
 def acf(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., lag, acf), lags 0..nlags: mean-corrected, all divided by the sum of squares of the whole series."""
-    each = lag_products(series.filter(F.col("t").isNotNull()), nlags, keys)
+    return acf_of(lag_products(series.filter(F.col("t").isNotNull()), nlags, keys), keys)
+
+
+def acf_of(each: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """acf() from lag_products()."""
     whole = each.filter("lag = 0").select(*keys, F.col("product").alias("whole"))  # a row a series
     each = each.join(whole, list(keys)) if keys else each.crossJoin(F.broadcast(whole))
     return each.select(*keys, "lag", F.try_divide("product", "whole").alias("acf"))

@@ -19,7 +19,7 @@ from ..functions import kernel as K
 from ..functions.distributions import chi2_sf, norm_cdf, norm_ppf
 from ..session import ship
 from ..sources.series import MAX_REGRESSORS, numbered, trend_name
-from .lags import acf
+from .lags import acf, acf_of, run_products
 
 MODEL = "kind string, name string, idx int, value double, value_list array<double>"
 SPEC_NAMES = ("p", "d", "q", "sp", "sd", "sq", "s", "r", "n", "n_eff", "sdiff", "conc", "ktrend", "burn")
@@ -322,17 +322,22 @@ def forecast(model: DataFrame, h: int, newdata: DataFrame | None = None, t_col:
     return out.select(*keys, "h", "yhat", se.alias("se"), (F.col("yhat") - z * se).alias("lo"), (F.col("yhat") + z * se).alias("hi"), "yhat_diff", F.sqrt("var_diff").alias("se_diff"))
 
 
+def _stream(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog: list[str], keys: tuple[str, ...]):
+    from ..streaming.chunked import model_stream
+
+    if keys:
+        raise ValueError("out of core there is one series, without keys")
+    return model_stream(model, data, y_col, t_col, exog)
+
+
 def residuals(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = (), out_of_core: bool = False) -> DataFrame:
     """(keys.., t, v, f, std_resid) on the model scale; v and std_resid are null where y is missing.
 
     out_of_core: one series longer than a task's memory, filtered in parallel ranges of time."""
     exog = list(exog_cols)
     if out_of_core:
-        from ..streaming.chunked import residual_stream
-
-        if keys:
-            raise ValueError("out of core there is one series, without keys")
-        return residual_stream(model, data, y_col, t_col, exog)
+        stream, params, scale = _stream(model, data, y_col, t_col, exog, keys)
+        return stream.residuals(params, scale)
 
     def rows(m: Model, t: pa.Table) -> list[tuple]:
         m.check(exog)
@@ -360,7 +365,11 @@ def metrics(model: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def evaluate(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = (), out_of_core: bool = False) -> DataFrame:
     """metrics() with resid_finite_frac, the share of finite ones among the residuals that aren't null."""
-    r = residuals(model, data, y_col, t_col, exog_cols, keys, out_of_core)
+    if out_of_core:
+        stream, params, scale = _stream(model, data, y_col, t_col, list(exog_cols), keys)
+        got = stream.residual_counts(params, scale).select(F.try_divide("good", "n").alias("resid_finite_frac"))
+        return metrics(model).crossJoin(got)  # one row each
+    r = residuals(model, data, y_col, t_col, exog_cols, keys)
     good = F.count_if(F.col("std_resid").isNotNull() & ~F.isnan("std_resid") & (F.abs("std_resid") < float("inf")))
     got, m = r.groupBy(*keys).agg((good / F.count("std_resid")).alias("resid_finite_frac")), metrics(model, keys)
     return m.join(got, list(keys)) if keys else m.crossJoin(got)  # without keys one row each
@@ -368,9 +377,12 @@ def evaluate(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_col
 
 def ljungbox_of(resid: DataFrame, nlags: int, keys: tuple[str, ...] = (), value: str = "std_resid") -> DataFrame:
     """(keys.., lag, stat, pvalue) of residuals (keys.., t, value); nulls are left out and the rest closed up."""
-    r = numbered(resid.filter(F.col(value).isNotNull()).select(*keys, F.col("t").alias("__t"), F.col(value).alias("y")), "__t", keys).select(*keys, "t", "y")
+    r = numbered(resid.filter(F.col(value).isNotNull()).select(*keys, F.col("t").alias("__t"), F.col(value).alias("y")), "__t", keys, again=False).select(*keys, "t", "y")
     n = r.groupBy(*keys).agg(F.count("*").cast("double").alias("n"))
-    a = acf(r, nlags, keys)
+    return _ljungbox(acf(r, nlags, keys), n, keys)
+
+
+def _ljungbox(a: DataFrame, n: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     a = (a.join(n, list(keys)) if keys else a.crossJoin(n)).filter("lag >= 1")
     upto = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     stat = F.col("n") * (F.col("n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).over(upto)
@@ -378,7 +390,11 @@ def ljungbox_of(resid: DataFrame, nlags: int, keys: tuple[str, ...] = (), value:
 
 
 def ljungbox(model: DataFrame, data: DataFrame, y_col: str, t_col: str, nlags: int, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = (), out_of_core: bool = False) -> DataFrame:
-    return ljungbox_of(residuals(model, data, y_col, t_col, exog_cols, keys, out_of_core), nlags, keys)
+    if out_of_core:
+        stream, params, scale = _stream(model, data, y_col, t_col, list(exog_cols), keys)
+        runs, n, mean = stream.residual_runs(params, scale)
+        return _ljungbox(acf_of(run_products(runs, nlags, mean=mean)), data.sparkSession.createDataFrame([(float(n),)], "n double"))
+    return ljungbox_of(residuals(model, data, y_col, t_col, exog_cols, keys), nlags, keys)
 
 
 def grid(df: DataFrame, y_col: str, t_col: str, orders: list[tuple[int, int, int, int, int, int, int]], keys: tuple[str, ...] = ()) -> DataFrame:
