@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import bound, dot, each, lyapunov, madd, mmul, msym, mtrans, solve, maug, msub, meye, upto
+from .arrays import both, bound, dot, each, lyapunov, madd, mmul, msym, mtrans, solve, maug, msub, meye, upto
 
 
 def polymul(a: Column, b: Column) -> Column:
     """Product of dense polynomials, constant first."""
-    na, nb = F.size(a), F.size(b)
-    return each(na + nb - 1, lambda k: F.aggregate(F.filter(upto(na), lambda i: (i <= k) & (k - i < nb)), F.lit(0.0), lambda s, i: s + F.get(a, i) * F.get(b, k - i)))
+
+    def product(a: Column, b: Column) -> Column:
+        na, nb = F.size(a), F.size(b)
+        return each(na + nb - 1, lambda k: F.aggregate(F.filter(upto(na), lambda i: (i <= k) & (k - i < nb)), F.lit(0.0), lambda s, i: s + F.get(a, i) * F.get(b, k - i)))
+
+    return both(a, b, product)
 
 
 def short_poly(c: Column, sign: float) -> Column:
