@@ -65,6 +65,7 @@ def solve(a: DataFrame, b: DataFrame, block: int = elimination.BLOCK) -> DataFra
 
 
 def gram(exog: DataFrame) -> DataFrame:
-    """(i, j, v): X'X of long regressors (t, j, x), by a self-join on t."""
-    other = exog.select("t", F.col("j").alias("j2"), F.col("x").alias("x2"))
-    return exog.join(other, "t").groupBy(F.col("j").alias("i"), F.col("j2").alias("j")).agg(F.sum(F.col("x") * F.col("x2")).alias("v"))
+    """(i, j, v): X'X of long regressors (t, j, x), from the products of each time's cells: rows are moved once, by t."""
+    cells = exog.filter(F.col("t").isNotNull()).groupBy("t").agg(F.collect_list(F.struct("j", "x")).alias("c"))  # at most the regressors of one time
+    one = cells.select(F.explode("c").alias("a"), "c").select("a", F.explode("c").alias("b"))
+    return one.groupBy(F.col("a.j").alias("i"), F.col("b.j").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("v"))

@@ -322,9 +322,9 @@ wx AS (SELECT o, CAST(j AS INTEGER) AS j, sum(x) AS x FROM wl GROUP BY ALL), wg
 def wide(spark, sf_dir) -> DataFrame:
     """(t, j, x): eight columns of line items, summed by order."""
     li = S.table(ship(spark), sf_dir, "lineitem")
-    x = F.array(F.col("l_quantity") / 8, F.col("l_extendedprice") / 4096, F.col("l_discount") * 16, F.col("l_tax") * 16, F.col("l_linenumber") / 2, F.col("l_suppkey") % 7, F.col("l_partkey") % 11, F.lit(1.0))
-    rows = li.select(F.col("l_orderkey").alias("t"), F.posexplode(F.transform(x, lambda v: v.cast("double"))).alias("j", "x"))
-    return rows.groupBy("t", (F.col("j") + 1).alias("j")).agg(F.sum("x").alias("x"))
+    x = (F.col("l_quantity") / 8, F.col("l_extendedprice") / 4096, F.col("l_discount") * 16, F.col("l_tax") * 16, F.col("l_linenumber") / 2, F.col("l_suppkey") % 7, F.col("l_partkey") % 11, F.lit(1.0))
+    rows = li.groupBy(F.col("l_orderkey").alias("t")).agg(*[F.sum(v.cast("double")).alias(f"x{i}") for i, v in enumerate(x)])
+    return rows.select("t", F.posexplode(F.array(*[f"x{i}" for i in range(len(x))])).alias("j", "x")).withColumn("j", F.col("j") + 1)
 
 
 # elimination by rows in SQL: each step divides by the pivot that is next; of a gram matrix no row has to be moved
