@@ -351,3 +351,12 @@ def test_elimination_in_blocks(spark, monkeypatch):
     assert not any(r["ok"] for r in bad) and bad[0]["pivmin"] < 1e-12
     sizes = [r["piv"] for r in elimination.pivots(table(np.array([[1.0, 2], [4, 2]]))).orderBy("j").collect()]
     assert sizes == [4.0, 1.5]
+
+
+def test_rank_check_whatever_the_units(spark):
+    """Independent regressors in very different units pass; dependent ones fail in any."""
+    cells = lambda c: spark.createDataFrame([(t, j, float(v)) for t in range(40) for j, v in ((1, 1e7 * (t + 1)), (2, 1e-2 * ((t * 7) % 5 + c * t)))], "t long, j int, x double")
+    assert all(r["ok"] for r in checks.rank_check(cells(1)).collect())
+    same = cells(1).filter("j = 1").unionByName(cells(1).filter("j = 1").selectExpr("t", "2 AS j", "x / 1e9 AS x"))
+    with pytest.raises(Exception, match="regressor 2 depends on the others"):
+        checks.rank_check(same).collect()

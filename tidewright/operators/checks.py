@@ -32,15 +32,21 @@ def validate_exog(exog: DataFrame, n: int, keys: tuple[str, ...] = ()) -> DataFr
 
 
 def rank_report(exog: DataFrame) -> DataFrame:
-    """(j, piv, pivmin, trace, ok) of long regressors: elimination pivots of X'X; ok needs pivmin >= 1e-10 * trace."""
+    """(j, piv, pivmin, trace, ok, low) of long regressors: elimination pivots of X'X; ok needs pivmin >= 1e-10 * trace, and a regressor below that is low.
+
+    piv is on the columns' own scale. What ok, low, pivmin and trace say is found on columns brought to one norm, so that units don't decide: a sum of squares
+    in large units would make any trace too large for a regressor in small ones."""
     g = written(gram(exog), "gram")
-    at = elimination.pivots(g)
-    both = at.agg(F.min("piv").alias("pivmin")).crossJoin(g.filter("i = j").agg(F.sum("v").alias("trace")))  # one row each
-    return at.crossJoin(F.broadcast(both)).select("j", "piv", "pivmin", "trace", (F.col("pivmin") >= 1e-10 * F.col("trace")).alias("ok"))
+    norm = g.filter("i = j").select("j", F.when(F.col("v") > 0, F.sqrt("v")).otherwise(1.0).alias("norm"))  # a row a regressor
+    at = lambda c, name: norm.select(F.col("j").alias(c), F.col("norm").alias(name))
+    scaled = written(g.join(at("i", "a"), "i").join(at("j", "b"), "j").select("i", "j", (F.col("v") / F.col("a") / F.col("b")).alias("v")), "gram")
+    each = elimination.pivots(g).join(elimination.pivots(scaled).withColumnRenamed("piv", "size"), "j")
+    both = each.agg(F.min("size").alias("pivmin")).crossJoin(scaled.filter("i = j").agg(F.sum("v").alias("trace")))  # one row each
+    least = 1e-10 * F.col("trace")
+    return each.crossJoin(F.broadcast(both)).select("j", "piv", "pivmin", "trace", (F.col("pivmin") >= least).alias("ok"), (F.col("size") < least).alias("low"))
 
 
 def rank_check(exog: DataFrame) -> DataFrame:
     """rank_report(), or an error that names the first dependent regressor."""
     r = rank_report(exog)
-    low = F.col("piv") < 1e-10 * F.col("trace")
-    return r.withColumn("ok", F.when(low, F.raise_error(F.format_string("regressor %d depends on the others", "j")).cast("boolean")).otherwise(F.col("ok")))
+    return r.withColumn("ok", F.when(F.col("low"), F.raise_error(F.format_string("regressor %d depends on the others", "j")).cast("boolean")).otherwise(F.col("ok"))).drop("low")
