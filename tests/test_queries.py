@@ -360,3 +360,22 @@ def test_rank_check_whatever_the_units(spark):
     same = cells(1).filter("j = 1").unionByName(cells(1).filter("j = 1").selectExpr("t", "2 AS j", "x / 1e9 AS x"))
     with pytest.raises(Exception, match="regressor 2 depends on the others"):
         checks.rank_check(same).collect()
+
+
+def test_a_series_in_order_is_not_dealt_again(spark):
+    """Ranges in order become runs as they are; repeats, nulls and disorder are seen, also at borders, and copies at blocks' borders are right."""
+    from tidewright.sources import series as S
+
+    df = spark.range(0, 100_000, 1, 5).selectExpr("id * 3 AS k", "cast(id % 11 AS double) AS y")
+    of = S.Packed(df, "y", "k")
+    assert (of.n, of.seen, of.bad) == (100_000, 100_000, False) and "rangepartitioning" not in of.runs._jdf.queryExecution().toString().lower()
+    rows = of.runs.orderBy("t0").collect()
+    assert rows[0]["t0"] == 1 and all(a["t0"] + len(a["y"]) == b["t0"] for a, b in zip(rows, rows[1:], strict=False))
+    assert [v for r in rows for v in r["y"]] == [float(i % 11) for i in range(100_000)]
+    for more in ("3 AS k", "cast(null AS long) AS k"):
+        assert S.Packed(df.union(spark.range(1).selectExpr(more, "0.0 AS y")), "y", "k").bad
+    assert not S.Packed(df.repartition(3), "y", "k").bad
+    got = {}
+    for r in S.cut(of.runs, 1000, 13).collect():
+        got.setdefault(r["__block"], []).extend(range(r["t0"], r["t0"] + len(r["y"])))
+    assert all(sorted(ts) == list(range(max(1, b * 1000 - 12), min(100_000, (b + 1) * 1000) + 1)) for b, ts in got.items() if b < 100)

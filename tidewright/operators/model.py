@@ -393,7 +393,7 @@ def ljungbox(model: DataFrame, data: DataFrame, y_col: str, t_col: str, nlags: i
     if out_of_core:
         stream, params, scale = _stream(model, data, y_col, t_col, list(exog_cols), keys)
         runs, n, mean = stream.residual_runs(params, scale)
-        return _ljungbox(acf_of(run_products(runs, nlags, mean=mean)), data.sparkSession.createDataFrame([(float(n),)], "n double"))
+        return _ljungbox(acf_of(run_products(runs, nlags, mean=mean)), data.sparkSession.range(1).select(F.lit(float(n)).alias("n")))
     return ljungbox_of(residuals(model, data, y_col, t_col, exog_cols, keys), nlags, keys)
 
 
