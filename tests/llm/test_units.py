@@ -106,6 +106,17 @@ def test_id_codec_finds_damage_and_compresses():
         id_codec.unpack(data[:-300])
 
 
+def test_a_decoder_predicts_each_id_once(monkeypatch):
+    """Lessons take what the steps saw; with nearly as many distinct ids as a file may have, the groups' ranks stay exact."""
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([rng.permutation((1 << 18) - 1), rng.integers(0, 300, 100000)])
+    data = id_codec.pack(ids, [len(ids)], ["x"])
+    steps, predict = [], id_codec.Model.predict
+    monkeypatch.setattr(id_codec.Model, "predict", lambda self, one, *more: (steps.append(one.ndim), predict(self, one, *more))[1])
+    assert (id_codec.unpack(data)[0] == ids).all()
+    assert set(steps) == {1} and len(steps) <= id_codec.STEPS
+
+
 def test_ids_of_documents_take_fewer_bits_than_their_entropy():
     import public_tokenizers
     import pyarrow as pa
@@ -157,6 +168,38 @@ def test_long_texts_are_encoded_in_parts():
     assert np.concatenate([x[0] for x in got]).tolist() == np.concatenate(want).tolist()
 
 
+def test_pieces_that_come_again_stay_in_a_full_cache(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidewright.llm import token_files
+
+    monkeypatch.setattr(token_files, "PIECES", 300)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    of, lib, rng = token_files.Tokens(path), Tokenizer.from_file(path), random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfgh") for _ in range(9))
+    often, encoded = [word() for _ in range(40)], []
+
+    def chunk(words):
+        text = " " + " ".join(words)
+        assert of(*packed([text.encode()]))[0].tolist() == [*lib.encode(text, add_special_tokens=False).ids, 0]
+
+    for _ in range(2):
+        chunk(often)
+    for _ in range(4):  # the cache overflows while none of them is in the text
+        chunk([word() for _ in range(150)])
+    assert len(of.at) < 600 and list(of.at.values()) == list(range(len(of.size)))
+
+    class Counted:
+        def tokenize(self, piece, model=of.model):
+            encoded.append(piece)
+            return model.tokenize(piece)
+
+    of.model = Counted()
+    chunk(often)
+    assert not encoded
+
+
 def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer

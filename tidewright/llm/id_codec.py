@@ -86,7 +86,8 @@ class Model:
         self.by1, self.by2 = np.tile(_START1, (lanes, 1, 1)), np.tile(_START2, (lanes, 1))
         self.of, self.of_cell = base << SLOTS, base << 5
         self.start, self.lanes = start, lanes
-        self.weight = np.tile(start.prior, (lanes, 1))
+        self.row = base * start.symbols
+        self.weight = start.prior[None]  # all lanes start alike
         self.mix()
         self.frequencies()
 
@@ -98,16 +99,20 @@ class Model:
     def frequencies(self) -> None:
         """Each symbol's share of 2**TOTAL in every lane, as start * 2**15 + size; none is empty."""
         n, self.fresh = self.start.symbols, []
-        upto = np.cumsum(self.weight, axis=1)
-        edge = np.zeros((self.lanes, n + 1), np.int32)
-        edge[:, 1:] = (upto * ((1 << TOTAL) - n) / upto[:, -1:]).astype(np.int32) + np.arange(1, n + 1, dtype=np.int32)
+        upto = np.cumsum(self.weight, axis=1, dtype=np.float64)
+        whole = upto[:, -1:].copy()
+        upto *= (1 << TOTAL) - n
+        upto /= whole
+        edge = np.zeros((len(upto), n + 1), np.int32)
+        edge[:, 1:] = upto
+        edge[:, 1:] += np.arange(1, n + 1, dtype=np.int32)
         self.size = np.diff(edge, axis=1)
-        self.share = ((edge[:, :-1] << 15) | self.size).ravel()
-        self.row = np.arange(self.lanes, dtype=np.int64) * n
+        share = (edge[:, :-1] << 15) | self.size
+        self.share = (share if len(share) == self.lanes else np.tile(share, (self.lanes, 1))).ravel()
 
-    def predict(self, one: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, ...]:
+    def predict(self, one: np.ndarray, mixed: np.ndarray, chance: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """The candidate after `one` and its probability, and what led to them; `mixed` stands for the last two ids. One step, or
-        lanes x steps: then a lane's memory stays in the processor's cache."""
+        lanes x steps: then a lane's memory stays in the processor's cache. chance: the probabilities in another type."""
         of, of_cell = (self.of, self.of_cell) if one.ndim == 1 else (self.of[:, None], self.of_cell[:, None])
         i1 = one & ((1 << SLOTS) - 1)
         i1 += of
@@ -120,7 +125,7 @@ class Model:
         cell |= (e1 & 3) << 1
         cell |= c1 == best
         r = of_cell + cell
-        return best, self.chance.take(r, mode="clip"), r, i1, i2, e1, e2
+        return best, (self.chance if chance is None else chance).take(r, mode="clip"), r, i1, i2, e1, e2
 
     def run(self, ranks: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
         """Predictions for columns a to b of ranks, which begin with two zeros."""
@@ -130,12 +135,13 @@ class Model:
         mixed >>= 3
         return self.predict(one, mixed)
 
-    def learn(self, x: np.ndarray, seen: tuple[np.ndarray, ...], done: int) -> None:
-        """Takes in a run of ids (lanes x steps) with their predictions; `done` ids are then behind. Of two lessons for a slot the later counts."""
+    def learn(self, x: np.ndarray, seen: tuple[np.ndarray, ...], done: int, by_step: bool = False) -> None:
+        """Takes in a run of ids (lanes x steps, or steps x lanes) with their predictions; `done` ids are then behind. Of two lessons for a slot the
+        later counts."""
         best, p, r, i1, i2, e1, e2 = seen
-        r = r.ravel()
-        n = np.bincount(r, minlength=self.lanes << 5)
-        off = np.bincount(r, (best == x).ravel(), self.lanes << 5) * 65536 - n * self.chance
+        told = np.bincount(((r << 1) | (best == x)).ravel(), minlength=self.lanes << 6).reshape(-1, 2)  # misses and hits
+        n = told.sum(axis=1)
+        off = (told[:, 1] * 65536 - n * self.chance).astype(np.float64)
         n, off = n.reshape(self.lanes, 4, 4, 2), off.reshape(self.lanes, 4, 4, 2)
         for by, axes in ((self.by1, 1), (self.by2, (2, 3))):
             by += np.trunc(off.sum(axes) / (512 * np.maximum(1.0, n.sum(axes) / 8))).astype(np.int32)
@@ -150,10 +156,10 @@ class Model:
             same &= e > 0
             more = np.where(same, e + ((e & 3) < 3), fresh)
             slots[i] = np.where(seldom, e, more) if self.start.ids.size >> 14 else more
-        self.fresh.append(self.start.symbol.take(x))
+        self.fresh.append(self.start.symbol.take(x) + (self.row if by_step else self.row[:, None]))
         if done >= FIRST and done & (done - 1) == 0:
-            at = np.concatenate(self.fresh, axis=1) + self.row[:, None]
-            self.weight += 256 * np.bincount(at.ravel(), minlength=self.weight.size).reshape(self.weight.shape)
+            at = np.concatenate(self.fresh, axis=None)
+            self.weight = self.weight + 256 * np.bincount(at, minlength=len(self.share)).reshape(self.lanes, -1)
             self.frequencies()
 
 
@@ -227,84 +233,108 @@ def _encode(ranks: np.ndarray, start: Start) -> tuple[np.ndarray, np.ndarray]:
     return digit.astype("<u2"), count
 
 
+def _slots(model: Model, into: np.ndarray | None) -> np.ndarray:
+    """The symbol at each of a lane's 2**TOTAL places; `into`: the table of the frequencies before, which is written over."""
+    symbols = np.arange(model.start.symbols, dtype=np.int16)
+    if into is None:
+        return np.tile(np.repeat(symbols, model.size[0]), (model.lanes, 1))  # all lanes start alike
+    for row, size in zip(into, model.size, strict=True):
+        row[:] = np.repeat(symbols, size)
+    return into
+
+
 def _decode(digits: np.ndarray, counts: np.ndarray, steps: int, start: Start) -> np.ndarray:
-    """The ranks (lanes x steps) again. Quotients of doubles are exact once cut: numbers stay below 2**53, quotients below 2**31."""
+    """The ranks (lanes x steps) again. Code, width and shares are whole numbers below 2**53 in doubles, and quotients stay below 2**31, so both are
+    exact once cut."""
     lanes = len(counts)
     model = Model(lanes, start)
     digits = np.concatenate([digits, np.zeros(8, digits.dtype)]).astype(np.int64)
     next_ = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-    code, width = np.zeros(lanes, np.int64), np.full(lanes, _TOP)
+    code = np.zeros(lanes, np.int64)
     for _ in range(3):
         code = (code << 16) | digits[next_]
         next_ += 1
-    code = (code << 4) | (digits[next_] >> 12)
+    code = ((code << 4) | (digits[next_] >> 12)).astype(np.float64)
+    width = np.full(lanes, float(_TOP))
     digits[:-1] = ((digits[:-1] & 0xFFF) << 4) | (digits[1:] >> 12)  # 52 bits end within a digit: from here on in steps of 16 after them
-    out = np.zeros((lanes, steps + 2), np.int32)
+    digits = digits.astype(np.uint16)
+    out = np.zeros((lanes, steps), np.int32)
     one = np.zeros(lanes, np.int64)
-    slot_row, symbols = np.arange(lanes, dtype=np.int64) << TOTAL, np.arange(start.symbols, dtype=np.int16)
+    slot_row = np.arange(lanes, dtype=np.int64) << TOTAL
+    full, unit, group, lead = float(_FULL), 2.0**-PARTS, float(1 << start.bits), start.lead
     slots = held = None
     last = np.zeros(lanes, np.int64)
     for a, b in _runs(steps):
         if held is not model.size:
             held = model.size
-            slots = np.repeat(np.tile(symbols, lanes), held.ravel())
-        rows = []
+            slots = _slots(model, slots)
+        chance, flat = model.chance.astype(np.float64), slots.ravel()
+        rows, seen = [], []
         for _ in range(a, b):
             mixed = one * 40503
             mixed += last
             mixed >>= 3
             last = one * 60493
-            best, p = model.predict(one, mixed)[:2]
-            part = width >> PARTS
-            v = (code / part).astype(np.int64)
-            edge = p << TOTAL
+            seen.append(model.predict(one, mixed, chance))
+            best, p = seen[-1][:2]
+            part = np.floor(width * unit)
+            v = code / part
+            np.floor(v, out=v)
+            edge = p * (1 << TOTAL)
             hit = v < edge
             v -= edge
             left = 65536 - p
             slot = (v / left).astype(np.int64)
             slot += slot_row
-            x = slots.take(slot, mode="clip").astype(np.int64)  # the symbol, and a single rank's own number
-            at = model.row + x
-            size = model.share.take(at, mode="clip").astype(np.int64)
-            lo = size >> 15
-            size &= 0x7FFF
-            lo *= left
-            size *= left
-            if start.bits:
-                some = x >= start.single
-                some &= ~hit
-                some = np.flatnonzero(some)
-                if len(some):
-                    whole = size[some]
-                    value = (((v[some] - lo[some] + 1) << start.bits) - 1) // whole
-                    within = (whole * value) >> start.bits
-                    size[some] = ((whole * (value + 1)) >> start.bits) - within
-                    lo[some] += within
-                    x[some] = start.single + ((x[some] - start.single) << start.bits) + value
+            x = flat.take(slot, mode="clip").astype(np.int64)  # the symbol, and a single rank's own number
+            share = model.share.take(model.row + x, mode="clip")
+            lo = (share >> 15) * left
+            size = (share & 0x7FFF) * left
+            if start.bits:  # the rank within a group; a single rank is a group of one
+                cut = np.where(x >= start.single, group, 1.0)
+                v -= lo
+                v += 1
+                v *= cut
+                v -= 1
+                v /= size
+                value = np.floor(v)
+                x = lead.take(x)
+                x += value.astype(np.int64)
+                value *= size
+                size += value
+                value /= cut
+                np.floor(value, out=value)
+                size /= cut
+                np.floor(size, out=size)
+                size -= value
+                lo += value
             lo += edge
-            lo[hit] = 0
+            lo *= ~hit
             size = np.where(hit, edge, size)
             one = np.where(hit, best, x)
             rows.append(one)
             lo *= part
             code -= lo
             width = part * size
-            at = np.flatnonzero(width < _FULL)
+            short = width < full
+            top = np.where(short, 65536.0, 1.0)
+            width *= top
+            code *= top
+            code += digits.take(next_, mode="clip") * short
+            next_ += short
+            at = np.flatnonzero(width < full)
             while len(at):
                 where = next_[at]
-                top = code[at] << 16
-                top |= digits.take(where, mode="clip")
-                code[at] = top
-                where += 1
-                next_[at] = where
-                wide = width[at] << 16
+                code[at] = code[at] * 65536 + digits.take(where, mode="clip")
+                next_[at] = where + 1
+                wide = width[at] * 65536
                 width[at] = wide
-                at = at[wide < _FULL]
-        new = np.stack(rows, axis=1)
-        out[:, a + 2 : b + 2] = new
+                at = at[wide < full]
+        new = np.stack(rows)
+        out[:, a:b] = new.T
         if b < steps:
-            model.learn(new, model.run(out, a, b), b)
-    return out[:, 2:]
+            model.learn(new, tuple(map(np.stack, zip(*seen, strict=True))), b, by_step=True)
+    return out
 
 
 def _begin(ids: np.ndarray) -> tuple[Start, np.ndarray]:
@@ -327,8 +357,9 @@ def _begin(ids: np.ndarray) -> tuple[Start, np.ndarray]:
         ranks = by_id[np.searchsorted(found[by_id], ids)].astype(np.int32)
     side = min(GRID, max(1, len(found)))
     a, b = ranks[:-1], ranks[1:]
-    both = (a < side) & (b < side)
-    pairs = np.bincount(a[both].astype(np.int64) * side + b[both], minlength=side * side).reshape(side, side)
+    both = np.minimum(a, side).astype(np.int64) * (side + 1)
+    both += np.minimum(b, side)
+    pairs = np.bincount(both, minlength=(side + 1) ** 2).reshape(side + 1, side + 1)[:side, :side]
     follow = np.where(pairs.max(axis=1) > 0, pairs.argmax(axis=1), -1).astype(np.int32)
     return Start(found.astype(np.int64), count.astype(np.int64), follow), ranks
 

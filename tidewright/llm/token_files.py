@@ -21,7 +21,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain, repeat
+from itertools import accumulate, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,7 @@ _CLASS[33:127] = 2
 _CLASS[48:58] = 1
 _CLASS[65:91] = _CLASS[97:123] = 0
 _CLASS[[9, 10, 11, 12, 13, 32]] = 3
+_KIND = _CLASS.tobytes()
 _SHORT = np.zeros(256, bool)
 _SHORT[list(b"stmdrvl")] = True  # what may follow the apostrophe of a contraction
 
@@ -57,6 +58,11 @@ def _letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _kinds(raw: np.ndarray) -> np.ndarray:
+    """The class of every byte."""
+    return np.frombuffer(bytearray(raw).translate(_KIND), np.uint8)
+
+
 class Tokens:
     """Ids of texts; pieces met before stay in a bounded cache of one worker."""
 
@@ -69,11 +75,10 @@ class Tokens:
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
         self.marks = [t["content"].encode() for t in spec.get("added_tokens", []) if t["content"]]
-        self.mark_first, self.mark_next = np.zeros(256, bool), np.zeros(256, bool)
+        self.mark_first, self.mark_next = sorted({m[0] for m in self.marks}), np.zeros(256, bool)
         for m in self.marks:
-            self.mark_first[m[0]] = True
             self.mark_next[list(m[1:2]) or list(range(256))] = True
-        self.letters = str.maketrans({chr(b): c for b, c in _letters().items()})
+        self.letters = np.array([ord(c) for _, c in sorted(_letters().items())], "<u4")
         self.model = self.library.model
         self.clear()
 
@@ -81,10 +86,11 @@ class Tokens:
         self.at: dict[bytes, int] = {}
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)  # met in a later chunk too
 
     def _split(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Where the pieces of the texts start; each ends where the next one starts."""
-        kind = _CLASS[raw]
+        kind = _kinds(raw)
         lead = np.flatnonzero(raw == 0xC3)
         kind[lead] = kind[lead + 1] = 0
         edge = off[:-1][off[:-1] < len(raw)]
@@ -102,7 +108,7 @@ class Tokens:
 
     def _plain(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Which texts are split here."""
-        odd = _CLASS[raw] == 4
+        odd = _kinds(raw) == 4
         if odd.any():
             nxt = np.append(raw[1:], np.uint8(0))
             lead = (raw == 0xC3) & (nxt >= 0x80) & (nxt <= 0xBF) & (nxt != 0x97) & (nxt != 0xB7)
@@ -110,9 +116,9 @@ class Tokens:
             odd[at] = odd[at + 1] = False
         at = np.flatnonzero(raw[:-1] == 39)
         odd[at[_SHORT[raw[at + 1]]]] = True
-        if self.marks:
-            at = np.flatnonzero(self.mark_first[raw])
-            after = np.append(raw, np.uint8(0))[at + 1]
+        for first in self.mark_first:
+            at = np.flatnonzero(raw == first)
+            after = np.where(at + 1 < len(raw), raw[np.minimum(at + 1, len(raw) - 1)], 0)
             odd[at[self.mark_next[after]]] = True
         bad = np.flatnonzero(odd)
         return np.searchsorted(bad, off[1:]) == np.searchsorted(bad, off[:-1])
@@ -125,33 +131,42 @@ class Tokens:
         ends, data = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes()
         pieces = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         spot = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        self.again[spot[spot >= 0]] = True
         if len(self.at) > PIECES or len(self.ids) > CACHE_IDS:
-            self._keep(pieces, spot)
+            self._keep(spot)
         if new := np.flatnonzero(spot < 0).tolist():
             known = len(self.first)
             some = [pieces[i] for i in new]
-            text = b"".join(some).decode("latin-1").translate(self.letters)  # a letter a byte
+            text = self.letters.take(np.frombuffer(b"".join(some), np.uint8)).tobytes().decode("utf-32-le")  # a letter a byte
             ends = list(accumulate(map(len, some)))
             of = self.model.tokenize
-            got = [[t.id for t in of(text[a:b])] for a, b in zip([0, *ends], ends, strict=False)]
+            ids, lens = [], []
+            for a, b in zip([0, *ends], ends, strict=False):
+                got = of(text[a:b])
+                lens.append(len(got))
+                ids += [t.id for t in got]
             spot[new] = np.arange(known, known + len(new))
             self.at.update(zip(some, range(known, known + len(new))))
-            lens = np.array([len(x) for x in got], np.int64)
+            lens = np.array(lens, np.int64)
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lens) - lens])
             self.size = np.concatenate([self.size, lens])
-            self.ids = np.concatenate([self.ids, np.array(list(chain.from_iterable(got)), np.uint32)])
+            self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
         return spot[coded.indices.to_numpy()]
 
-    def _keep(self, pieces: list[bytes], spot: np.ndarray) -> None:
-        """Forgets all pieces but these; spot gets their new numbers."""
+    def _keep(self, spot: np.ndarray) -> None:
+        """Forgets pieces that weren't met again since the last time; if too many were, all but those of `spot`, which gets new numbers."""
         met = np.flatnonzero(spot >= 0)
-        old = spot[met]
-        size = self.size[old]
+        stay = self.again
+        if np.count_nonzero(stay) > PIECES // 2 or self.size[stay].sum() > CACHE_IDS // 2:
+            stay = np.zeros(len(self.at), bool)
+            stay[spot[met]] = True
+        size = self.size[stay]
         begin = np.cumsum(size) - size
-        self.ids = self.ids[np.repeat(self.first[old] - begin, size) + np.arange(size.sum())]
-        self.first, self.size = begin, size
-        spot[met] = np.arange(len(met))
-        self.at = {pieces[i]: k for k, i in enumerate(met.tolist())}
+        self.ids = self.ids[np.repeat(self.first[stay] - begin, size) + np.arange(size.sum())]
+        spot[met] = (np.cumsum(stay) - 1)[spot[met]]
+        self.first, self.size, self.again = begin, size, np.zeros(len(size), bool)
+        self.at = {piece: k for k, piece in enumerate(compress(self.at, stay.tolist()))}  # pieces stand in the order of their numbers
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END, and how many each has."""
