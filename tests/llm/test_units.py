@@ -200,6 +200,61 @@ def test_pieces_that_come_again_stay_in_a_full_cache(monkeypatch):
     assert not encoded
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.binary(min_size=1, max_size=20).map(lambda b: b.replace(b"\0", b"a")), max_size=40), max_size=6), st.integers(0, 3))
+def test_known_pieces_are_numbered_as_in_a_dict(rounds, left):
+    """Pieces of less, as many and more bytes than two integers hold."""
+    from tidewright.llm import token_files
+
+    word = lambda b: [int.from_bytes(b[i : i + 8], "little") if len(b) <= 16 else 0 for i in (0, 8)]
+    known, want = token_files.Known(), {}
+    for i, pieces in enumerate(rounds):
+        pieces = list(dict.fromkeys(pieces))
+        a, b = np.array([word(p) for p in pieces], np.uint64).reshape(-1, 2).T
+        got = [known.long.get(p, -1) if len(p) > 16 else n for p, n in zip(pieces, known.find(a, b).tolist(), strict=True)]
+        assert got == [want.get(p, -1) for p in pieces]
+        new = [k for k, n in enumerate(got) if n < 0]
+        known.add(a[new], b[new], [(j, pieces[k]) for j, k in enumerate(new) if len(pieces[k]) > 16])
+        want |= {pieces[k]: len(want) + j for j, k in enumerate(new)}
+        if i % 2:
+            stay = np.array([k % 4 != left for k in range(len(want))], bool)
+            known.keep(stay)
+            want = {p: k for k, p in enumerate(p for p, k in want.items() if stay[k])}
+        assert len(known) == len(want) and known.values() == list(range(len(want)))
+
+
+def test_a_worker_keeps_more_than_half_a_million_pieces():
+    import public_tokenizers
+
+    from tidewright.llm.token_files import Tokens
+
+    of, n = Tokens(public_tokenizers.path("byte_bpe_50k.json")), 510_000
+    letters = np.frombuffer(b"bcdfghjklmnpqrst", np.uint8)
+    raw = np.full((n, 6), 32, np.uint8)
+    for k in range(5):
+        raw[:, k + 1] = letters[(np.arange(n) >> (4 * k)) & 15]
+    first = of(raw.ravel(), np.array([0, raw.size]))[0]
+    of(raw[:10].ravel(), np.array([0, 60]))
+
+    class Never:
+        def tokenize(self, piece):
+            raise AssertionError(piece)
+
+    of.model = Never()
+    assert (of(raw.ravel(), np.array([0, raw.size]))[0] == first).all()
+
+
+def test_blocks_that_learn_some_at_a_time_give_the_same_file(monkeypatch):
+    rng = np.random.default_rng(5)
+    for ids in (rng.zipf(1.2, 30000) % 60000, np.concatenate([rng.permutation(80000), rng.integers(0, 90, 20000)])):
+        files = []
+        for some in (3, 1 << 20):
+            monkeypatch.setattr(id_codec, "SOME", some)
+            files.append(id_codec.pack(ids, [len(ids)], ["x"]))
+            assert (id_codec.unpack(files[-1])[0] == ids).all()
+        assert files[0] == files[1]
+
+
 def test_tokens_equal_the_library():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -42,6 +42,7 @@ GRID = 1024  # ranks with a follower in the header
 EVERY = 128  # ids of a block between two lessons; the first ones are shorter
 FIRST, PRIOR = 256, 2048
 SLOTS = 12  # bits of an order's memory in a block
+SOME = 256  # blocks that learn at a time, so that less of what they remember leaves the processor's cache
 TOTAL, PARTS = 14, 30  # bits of order 0's frequencies, and of all shares
 _SHIFT = 36
 _TOP, _FULL = np.int64(1) << 52, np.int64(1) << _SHIFT
@@ -71,7 +72,7 @@ class Start:
         prior = np.zeros(self.symbols, np.int64)
         np.add.at(prior, self.symbol, counts.astype(np.int64))
         # in 256ths of an id: whole numbers on every machine
-        self.prior = prior * (256 * PRIOR) // max(1, int(prior.sum())) + 1
+        self.prior = (prior * (256 * PRIOR) // max(1, int(prior.sum())) + 1).astype(np.int32)
 
 
 class Model:
@@ -87,44 +88,67 @@ class Model:
         self.of, self.of_cell = base << SLOTS, base << 5
         self.start, self.lanes = start, lanes
         self.row = base * start.symbols
+        self.fresh: list[np.ndarray] = []
         self.weight = start.prior[None]  # all lanes start alike
         self.mix()
-        self.frequencies()
+        self.size, share = self.shares(self.weight)
+        self.share = np.tile(share, (lanes, 1)).ravel()
 
     def mix(self) -> None:
         """The candidate's probability for each confidence of order 2, of order 1, and whether they agree."""
         odds = self.by2[:, :, None, None] + self.by1[:, None, :, :] + 2048
         self.chance = _SQUASH.take(odds.ravel(), mode="clip")
 
-    def frequencies(self) -> None:
-        """Each symbol's share of 2**TOTAL in every lane, as start * 2**15 + size; none is empty."""
-        n, self.fresh = self.start.symbols, []
-        upto = np.cumsum(self.weight, axis=1, dtype=np.float64)
+    def shares(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each symbol's share of 2**TOTAL in every lane: its size, and start * 2**15 + size; none is empty."""
+        n = self.start.symbols
+        upto = np.cumsum(weight, axis=1, dtype=np.float64)
         whole = upto[:, -1:].copy()
         upto *= (1 << TOTAL) - n
         upto /= whole
         edge = np.zeros((len(upto), n + 1), np.int32)
         edge[:, 1:] = upto
         edge[:, 1:] += np.arange(1, n + 1, dtype=np.int32)
-        self.size = np.diff(edge, axis=1)
-        share = (edge[:, :-1] << 15) | self.size
-        self.share = (share if len(share) == self.lanes else np.tile(share, (self.lanes, 1))).ravel()
+        size = np.diff(edge, axis=1)
+        return size, (edge[:, :-1] << 15) | size
 
-    def predict(self, one: np.ndarray, mixed: np.ndarray, chance: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    def frequencies(self) -> None:
+        """Takes in the symbols since the last time, of some lanes at a time."""
+        if len(self.weight) < self.lanes:
+            self.weight = np.tile(self.weight, (self.lanes, 1))
+        share, sizes = self.share.reshape(self.lanes, -1), np.empty_like(self.weight)
+        for a in range(0, self.lanes, SOME):
+            weight = self.weight[a : a + SOME]
+            at = np.concatenate([(f[a : a + SOME] + self.row[: len(weight), None]).ravel("K") for f in self.fresh])
+            count = np.bincount(at, minlength=weight.size).reshape(weight.shape)
+            count *= 256
+            weight += count
+            sizes[a : a + SOME], share[a : a + SOME] = self.shares(weight)
+        self.size, self.fresh = sizes, []
+
+    def predict(self, one: np.ndarray, mixed: np.ndarray, chance: np.ndarray | None = None, into: tuple[np.ndarray | None, ...] = (None,) * 6) -> tuple[np.ndarray, ...]:
         """The candidate after `one` and its probability, and what led to them; `mixed` stands for the last two ids. One step, or
-        lanes x steps: then a lane's memory stays in the processor's cache. chance: the probabilities in another type."""
+        lanes x steps: then a lane's memory stays in the processor's cache. chance: the probabilities in another type; into: arrays for what a
+        lesson needs."""
         of, of_cell = (self.of, self.of_cell) if one.ndim == 1 else (self.of[:, None], self.of_cell[:, None])
-        i1 = one & ((1 << SLOTS) - 1)
+        best, r, i1, i2, e1, e2 = into
+        i1 = np.bitwise_and(one, (1 << SLOTS) - 1, out=i1)
         i1 += of
-        i2 = mixed & ((1 << SLOTS) - 1)
+        i2 = np.bitwise_and(mixed, (1 << SLOTS) - 1, out=i2)
         i2 += of
-        e1, e2 = self.near.take(i1, mode="clip"), self.far.take(i2, mode="clip")
+        e1, e2 = self.near.take(i1, mode="clip", out=e1), self.far.take(i2, mode="clip", out=e2)
         c1 = e1 >> 2
-        best = np.where(e2 > 0, e2 >> 2, c1)
-        cell = (e2 & 3) << 3
-        cell |= (e1 & 3) << 1
+        only1 = (e2 == 0).astype(np.uint16)
+        only1 *= c1
+        best = np.right_shift(e2, 2, out=best)
+        best |= only1  # order 2's if it remembers one: an empty slot is 0
+        cell = e2 & 3
+        cell <<= 2
+        e1_ = e1 & 3
+        cell |= e1_
+        cell <<= 1
         cell |= c1 == best
-        r = of_cell + cell
+        r = np.add(of_cell, cell, out=r)
         return best, (self.chance if chance is None else chance).take(r, mode="clip"), r, i1, i2, e1, e2
 
     def run(self, ranks: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
@@ -135,32 +159,46 @@ class Model:
         mixed >>= 3
         return self.predict(one, mixed)
 
-    def learn(self, x: np.ndarray, seen: tuple[np.ndarray, ...], done: int, by_step: bool = False) -> None:
-        """Takes in a run of ids (lanes x steps, or steps x lanes) with their predictions; `done` ids are then behind. Of two lessons for a slot the
-        later counts."""
-        best, p, r, i1, i2, e1, e2 = seen
-        told = np.bincount(((r << 1) | (best == x)).ravel(), minlength=self.lanes << 6).reshape(-1, 2)  # misses and hits
+    def learn(self, x: np.ndarray, seen: tuple[np.ndarray, ...], done: int) -> None:
+        """Takes in a run of ids (lanes x steps) with their predictions, of some lanes at a time; `done` ids are then behind. Of two lessons for a
+        slot the later counts."""
+        for a in range(0, self.lanes, SOME):
+            self._learn(a, x[a : a + SOME], *(s[a : a + SOME] for s in seen))
+        self.mix()
+        self.fresh.append(self.start.symbol.take(x.T).T)
+        if done >= FIRST and done & (done - 1) == 0:
+            self.frequencies()
+
+    def _learn(self, a: int, x: np.ndarray, best: np.ndarray, r: np.ndarray, i1: np.ndarray, i2: np.ndarray, e1: np.ndarray, e2: np.ndarray) -> None:
+        """The lanes from a on learn."""
+        lanes = len(x)
+        x = np.minimum(x, 0xFFFF).astype(np.uint16)  # no candidate's rank is that high
+        at = r - (a << 5)
+        at <<= 1
+        at |= best == x
+        told = np.bincount(at.ravel("K"), minlength=lanes << 6).reshape(-1, 2)  # misses and hits
         n = told.sum(axis=1)
-        off = (told[:, 1] * 65536 - n * self.chance).astype(np.float64)
-        n, off = n.reshape(self.lanes, 4, 4, 2), off.reshape(self.lanes, 4, 4, 2)
-        for by, axes in ((self.by1, 1), (self.by2, (2, 3))):
+        off = (told[:, 1] * 65536 - n * self.chance[a << 5 : (a + lanes) << 5]).astype(np.float64)
+        n, off = n.reshape(lanes, 4, 4, 2), off.reshape(lanes, 4, 4, 2)
+        for by, axes in ((self.by1[a : a + lanes], 1), (self.by2[a : a + lanes], (2, 3))):
             by += np.trunc(off.sum(axes) / (512 * np.maximum(1.0, n.sum(axes) / 8))).astype(np.int32)
             np.clip(by, -1800, 1800, out=by)
-        self.mix()
-        x_ = x.astype(np.uint16)
-        fresh = x_ << 2
+        fresh = x << 2
         fresh |= 1
-        seldom = x >= 1 << 14
+        many = self.start.ids.size >> 14
+        seldom = x >= 1 << 14 if many else None
         for slots, i, e in ((self.near, i1, e1), (self.far, i2, e2)):
-            same = (e >> 2) == x_
+            same = (e >> 2) == x
             same &= e > 0
-            more = np.where(same, e + ((e & 3) < 3), fresh)
-            slots[i] = np.where(seldom, e, more) if self.start.ids.size >> 14 else more
-        self.fresh.append(self.start.symbol.take(x) + (self.row if by_step else self.row[:, None]))
-        if done >= FIRST and done & (done - 1) == 0:
-            at = np.concatenate(self.fresh, axis=None)
-            self.weight = self.weight + 256 * np.bincount(at, minlength=len(self.share)).reshape(self.lanes, -1)
-            self.frequencies()
+            more = e | 3
+            more -= 1
+            np.minimum(more, e, out=more)
+            more += 1  # one more, 3 at most
+            more ^= fresh
+            more *= same
+            more ^= fresh
+            more = np.where(seldom, e, more) if many else more
+            slots[np.ascontiguousarray(i.T)] = more.T
 
 
 def _runs(steps: int) -> Iterator[tuple[int, int]]:
@@ -175,35 +213,45 @@ def _runs(steps: int) -> Iterator[tuple[int, int]]:
 def _encode(ranks: np.ndarray, start: Start) -> tuple[np.ndarray, np.ndarray]:
     """Digits of all lanes of ranks (lanes x steps) one after another, and how many each has."""
     lanes, steps = ranks.shape
-    model = Model(lanes, start)
+    los, sizes = np.empty((steps, lanes), np.int32), np.empty((steps, lanes), np.int32)  # each id's share, of 2**PARTS
+    for l in range(0, lanes, SOME):
+        some = ranks[l : l + SOME]
+        model = Model(len(some), start)
+        before = np.concatenate([np.zeros((len(some), 2), np.int32), some], axis=1)
+        for a, b in _runs(steps):
+            x = some[:, a:b].astype(np.int64)
+            best, p, *seen = model.run(before, a, b)
+            miss = (best != x).astype(np.int64)
+            symbol = start.symbol.take(x)
+            share = model.share.take(symbol + model.row[:, None]).astype(np.int64)
+            lo, size = share >> 15, share & 0x7FFF
+            left = 65536 - p
+            lo *= left
+            size *= left
+            if start.bits:
+                tail, value = start.tail.take(symbol), x - start.lead.take(symbol)
+                within = (size * value) >> tail
+                size = ((size * (value + 1)) >> tail) - within
+                lo += within
+            edge = p << TOTAL
+            lo += edge
+            lo *= miss
+            size -= edge
+            size *= miss
+            size += edge
+            los[a:b, l : l + SOME], sizes[a:b, l : l + SOME] = lo.T, size.T
+            if b < steps:
+                model.learn(x, (best, *seen), b)
     low, width = np.zeros(lanes, np.int64), np.full(lanes, _TOP)
     kind = np.uint16 if lanes <= 1 << 16 else np.uint32
     of, digits = [], []
-    before = np.concatenate([np.zeros((lanes, 2), np.int32), ranks], axis=1)
-    for a, b in _runs(steps):
-        x = ranks[:, a:b].astype(np.int64)
-        seen = model.run(before, a, b)
-        best, p = seen[:2]
-        hit = best == x
-        symbol = start.symbol.take(x)
-        share = model.share.take(symbol + model.row[:, None]).astype(np.int64)
-        lo, size = share >> 15, share & 0x7FFF
-        left = 65536 - p
-        lo *= left
-        size *= left
-        if start.bits:
-            tail, value = start.tail.take(symbol), x - start.lead.take(symbol)
-            within = (size * value) >> tail
-            size = ((size * (value + 1)) >> tail) - within
-            lo += within
-        edge = p << TOTAL
-        lo += edge
-        lo, size = (np.ascontiguousarray(np.where(hit, y, z).T) for y, z in ((0, lo), (edge, size)))
-        for i in range(b - a):
-            part = width >> PARTS
-            low += part * lo[i]
-            width = part * size[i]
-            at = np.flatnonzero(width < _FULL)
+    for a in range(0, steps, EVERY):
+        for lo, size in zip(los[a : a + EVERY].astype(np.int64), sizes[a : a + EVERY].astype(np.int64), strict=True):
+            width >>= PARTS
+            lo *= width
+            low += lo
+            width *= size
+            at = (width < _FULL).nonzero()[0]
             while len(at):
                 top = low[at]
                 of.append(at.astype(kind))
@@ -214,8 +262,7 @@ def _encode(ranks: np.ndarray, start: Start) -> tuple[np.ndarray, np.ndarray]:
                 wide = width[at] << 16
                 width[at] = wide
                 at = at[wide < _FULL]
-        if b < steps:
-            model.learn(x, seen, b)
+    del los, sizes
     every = np.arange(lanes)
     for _ in range(4):
         of.append(every.astype(kind))
@@ -245,10 +292,10 @@ def _slots(model: Model, into: np.ndarray | None) -> np.ndarray:
 
 def _decode(digits: np.ndarray, counts: np.ndarray, steps: int, start: Start) -> np.ndarray:
     """The ranks (lanes x steps) again. Code, width and shares are whole numbers below 2**53 in doubles, and quotients stay below 2**31, so both are
-    exact once cut."""
+    exact once cut. A step's cost is that of its numpy calls: nothing is chosen by a mask element by element, and no call mixes types."""
     lanes = len(counts)
     model = Model(lanes, start)
-    digits = np.concatenate([digits, np.zeros(8, digits.dtype)]).astype(np.int64)
+    digits = np.concatenate([digits, np.zeros(8, digits.dtype)]).astype(np.int32)
     next_ = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
     code = np.zeros(lanes, np.int64)
     for _ in range(3):
@@ -257,72 +304,88 @@ def _decode(digits: np.ndarray, counts: np.ndarray, steps: int, start: Start) ->
     code = ((code << 4) | (digits[next_] >> 12)).astype(np.float64)
     width = np.full(lanes, float(_TOP))
     digits[:-1] = ((digits[:-1] & 0xFFF) << 4) | (digits[1:] >> 12)  # 52 bits end within a digit: from here on in steps of 16 after them
-    digits = digits.astype(np.uint16)
+    digits = digits.astype(np.float64)
     out = np.zeros((lanes, steps), np.int32)
-    one = np.zeros(lanes, np.int64)
-    slot_row = np.arange(lanes, dtype=np.int64) << TOTAL
+    slot_row, lane = np.arange(lanes, dtype=np.int64) << TOTAL, np.arange(lanes, dtype=np.int64)
     full, unit, group, lead = float(_FULL), 2.0**-PARTS, float(1 << start.bits), start.lead
     slots = held = None
-    last = np.zeros(lanes, np.int64)
+    one, last, mixed = (np.zeros(lanes, np.int64) for _ in range(3))
+    # what a miss and a hit give, one after the other
+    lows, sizes, ids = np.zeros(2 * lanes), np.zeros(2 * lanes), np.zeros(2 * lanes, np.int64)
+    lo, size, x, edge, best_ = lows[:lanes], sizes[:lanes], ids[:lanes], sizes[lanes:], ids[lanes:]
+    part, v, left, top, digit, kept = (np.zeros(lanes) for _ in range(6))
+    new = np.zeros((EVERY, lanes), np.int64)
+    seen = tuple(np.zeros((EVERY, lanes), t) for t in (np.uint16, np.int64, np.int64, np.int64, np.uint16, np.uint16))
     for a, b in _runs(steps):
         if held is not model.size:
             held = model.size
             slots = _slots(model, slots)
         chance, flat = model.chance.astype(np.float64), slots.ravel()
-        rows, seen = [], []
-        for _ in range(a, b):
-            mixed = one * 40503
+        for k in range(b - a):
+            np.multiply(one, 40503, out=mixed)
             mixed += last
             mixed >>= 3
-            last = one * 60493
-            seen.append(model.predict(one, mixed, chance))
-            best, p = seen[-1][:2]
-            part = np.floor(width * unit)
-            v = code / part
+            np.multiply(one, 60493, out=last)
+            best, p = model.predict(one, mixed, chance, tuple(s[k] for s in seen))[:2]
+            np.multiply(width, unit, out=part)
+            np.floor(part, out=part)
+            np.divide(code, part, out=v)
             np.floor(v, out=v)
-            edge = p * (1 << TOTAL)
+            np.multiply(p, float(1 << TOTAL), out=edge)
             hit = v < edge
             v -= edge
-            left = 65536 - p
+            np.subtract(65536.0, p, out=left)
             slot = (v / left).astype(np.int64)
             slot += slot_row
-            x = flat.take(slot, mode="clip").astype(np.int64)  # the symbol, and a single rank's own number
+            symbol = flat.take(slot, mode="clip")
+            x[:] = symbol  # a single rank's own number
             share = model.share.take(model.row + x, mode="clip")
-            lo = (share >> 15) * left
-            size = (share & 0x7FFF) * left
-            if start.bits:  # the rank within a group; a single rank is a group of one
-                cut = np.where(x >= start.single, group, 1.0)
-                v -= lo
-                v += 1
-                v *= cut
-                v -= 1
-                v /= size
-                value = np.floor(v)
-                x = lead.take(x)
-                x += value.astype(np.int64)
-                value *= size
-                size += value
-                value /= cut
+            lo[:] = share >> 15
+            lo *= left
+            share &= 0x7FFF
+            size[:] = share
+            size *= left
+            if start.bits and len(at := (symbol >= start.single).nonzero()[0]):  # the rank within a group
+                within, below = size.take(at), lo.take(at)
+                value = v.take(at)
+                value -= below
+                value += 1
+                value *= group
+                value -= 1
+                value /= within
+                np.floor(value, out=value)
+                x[at] = lead.take(symbol.take(at)) + value.astype(np.int64)
+                value *= within
+                within += value
+                value /= group
                 np.floor(value, out=value)
-                size /= cut
-                np.floor(size, out=size)
-                size -= value
-                lo += value
+                within /= group
+                np.floor(within, out=within)
+                within -= value
+                size[at] = within
+                below += value
+                lo[at] = below
             lo += edge
-            lo *= ~hit
-            size = np.where(hit, edge, size)
-            one = np.where(hit, best, x)
-            rows.append(one)
-            lo *= part
-            code -= lo
-            width = part * size
-            short = width < full
-            top = np.where(short, 65536.0, 1.0)
+            best_[:] = best
+            pick = hit.astype(np.int64)
+            pick *= lanes
+            pick += lane
+            one = ids.take(pick, mode="clip", out=new[k])
+            lows.take(pick, mode="clip", out=kept)
+            kept *= part
+            code -= kept
+            sizes.take(pick, mode="clip", out=width)
+            width *= part
+            short = (width < full).astype(np.float64)
+            np.multiply(short, 65535.0, out=top)
+            top += 1
             width *= top
             code *= top
-            code += digits.take(next_, mode="clip") * short
-            next_ += short
-            at = np.flatnonzero(width < full)
+            digits.take(next_, mode="clip", out=digit)
+            digit *= short
+            code += digit
+            next_ += short.astype(np.int64)
+            at = (width < full).nonzero()[0]
             while len(at):
                 where = next_[at]
                 code[at] = code[at] * 65536 + digits.take(where, mode="clip")
@@ -330,10 +393,11 @@ def _decode(digits: np.ndarray, counts: np.ndarray, steps: int, start: Start) ->
                 wide = width[at] * 65536
                 width[at] = wide
                 at = at[wide < full]
-        new = np.stack(rows)
-        out[:, a:b] = new.T
+        met = new[: b - a]
+        out[:, a:b] = met.T
         if b < steps:
-            model.learn(new, tuple(map(np.stack, zip(*seen, strict=True))), b, by_step=True)
+            model.learn(met.T, tuple(s[: b - a].T for s in seen), b)
+            one = one.copy()  # its place is written over
     return out
 
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from .warc import filesystem
 END = 0
 FILE_IDS = 2 << 20
 PART, LEAST_PART = 256 << 20, 8 << 20  # bytes of text in a task; in one of a small table
-CACHE_IDS, PIECES = 3 << 20, 500_000  # what a worker keeps of pieces met
+CACHE_IDS, PIECES = 4 << 20, 1_000_000  # what a worker keeps of pieces met
 CHUNK_IN = 4 << 20
 
 # classes of bytes: 0 letter, 1 digit, 2 other, 3 white space, 4 not decided here
@@ -63,6 +62,73 @@ def _kinds(raw: np.ndarray) -> np.ndarray:
     return np.frombuffer(bytearray(raw).translate(_KIND), np.uint8)
 
 
+class Known:
+    """Numbers of pieces from 0 on. Pieces are told apart by their bytes: one of at most 16, none of them zero, is two integers, which a table
+    of open places leads to; longer ones are in a dict."""
+
+    MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def __init__(self):
+        self.a, self.b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # zero for longer pieces
+        self.long: dict[bytes, int] = {}
+        self.place = np.full(1 << 12, -1, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.a)
+
+    def values(self) -> list[int]:
+        return sorted([*self.place[self.place >= 0].tolist(), *self.long.values()])
+
+    def _begin(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place where the search for a piece begins."""
+        h = a * self.MIX[0]
+        h ^= h >> np.uint64(29)
+        h += b
+        h *= self.MIX[1]
+        h >>= np.uint64(64 - (len(self.place).bit_length() - 1))
+        return h.astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of short pieces, -1 of those that weren't met."""
+        out = np.full(len(a), -1, np.int64)
+        todo, at = np.arange(len(a)), self._begin(a, b)
+        while len(todo):
+            number = self.place[at]
+            taken = number >= 0
+            todo, at, number = todo[taken], at[taken], number[taken]
+            same = self.a[number] == a[todo]
+            same &= self.b[number] == b[todo]
+            out[todo[same]] = number[same]
+            todo, at = todo[~same], (at[~same] + 1) & (len(self.place) - 1)
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, long: list[tuple[int, bytes]]) -> None:
+        """Takes in different pieces that weren't met; long: which of them are longer ones, and their bytes."""
+        known = len(self.a)
+        self.a, self.b = np.concatenate([self.a, a]), np.concatenate([self.b, b])
+        self.long.update((piece, known + i) for i, piece in long)
+        if 2 * len(self.a) > len(self.place):
+            self.place, known = np.full(1 << (4 * len(self.a)).bit_length(), -1, np.int32), 0
+        number = known + np.flatnonzero(self.a[known:])
+        at = self._begin(self.a[number], self.b[number])
+        while len(number):
+            free = self.place[at] < 0
+            self.place[at[free]] = number[free]
+            left = self.place[at] != number
+            number, at = number[left], (at[left] + 1) & (len(self.place) - 1)
+
+    def keep(self, stay: np.ndarray) -> None:
+        """Forgets the other pieces; those that stay are numbered anew in their order."""
+        a, b, new = self.a[stay], self.b[stay], np.cumsum(stay) - 1
+        long = [(int(new[k]), piece) for piece, k in self.long.items() if stay[k]]
+        self.__init__()
+        self.add(a, b, long)
+
+
+#: The bytes of a word of 8 that count, by how many there are.
+_HEAD = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
 class Tokens:
     """Ids of texts; pieces met before stay in a bounded cache of one worker."""
 
@@ -83,7 +149,7 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
+        self.at = Known()
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.again = np.zeros(0, bool)  # met in a later chunk too
@@ -128,25 +194,32 @@ class Tokens:
         ends = pa.py_buffer(np.append(start, len(raw)).astype(np.int32))
         coded = pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(raw)]).dictionary_encode()
         _, ends, data = coded.dictionary.buffers()
-        ends, data = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1].tolist(), data.to_pybytes()
-        pieces = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        spot = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        ends = np.frombuffer(ends, np.int32)[: len(coded.dictionary) + 1]
+        data = np.concatenate([np.frombuffer(data, np.uint8)[: ends[-1]], np.zeros(16, np.uint8)])
+        word = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        size = np.diff(ends)
+        a = word[ends[:-1]] & _HEAD[np.minimum(size, 8)]
+        b = word[ends[:-1] + 8 * (size > 8)] & _HEAD[np.clip(size - 8, 0, 8)]
+        long = {int(i): data[ends[i] : ends[i + 1]].tobytes() for i in np.flatnonzero(size > 16)}
+        at = np.array([*long], np.int64)
+        a[at] = b[at] = 0
+        spot = self.at.find(a, b)
+        spot[at] = [self.at.long.get(piece, -1) for piece in long.values()]
         self.again[spot[spot >= 0]] = True
         if len(self.at) > PIECES or len(self.ids) > CACHE_IDS:
             self._keep(spot)
-        if new := np.flatnonzero(spot < 0).tolist():
+        new = np.flatnonzero(spot < 0)
+        if len(new):
             known = len(self.first)
-            some = [pieces[i] for i in new]
-            text = self.letters.take(np.frombuffer(b"".join(some), np.uint8)).tobytes().decode("utf-32-le")  # a letter a byte
-            ends = list(accumulate(map(len, some)))
+            text = self.letters.take(data).tobytes().decode("utf-32-le")  # a letter a byte
             of = self.model.tokenize
             ids, lens = [], []
-            for a, b in zip([0, *ends], ends, strict=False):
-                got = of(text[a:b])
+            for x, y in zip(ends[new].tolist(), ends[new + 1].tolist(), strict=True):
+                got = of(text[x:y])
                 lens.append(len(got))
                 ids += [t.id for t in got]
             spot[new] = np.arange(known, known + len(new))
-            self.at.update(zip(some, range(known, known + len(new))))
+            self.at.add(a[new], b[new], [(int(spot[i]) - known, piece) for i, piece in long.items() if spot[i] >= known])
             lens = np.array(lens, np.int64)
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(lens) - lens])
             self.size = np.concatenate([self.size, lens])
@@ -166,7 +239,7 @@ class Tokens:
         self.ids = self.ids[np.repeat(self.first[stay] - begin, size) + np.arange(size.sum())]
         spot[met] = (np.cumsum(stay) - 1)[spot[met]]
         self.first, self.size, self.again = begin, size, np.zeros(len(size), bool)
-        self.at = {piece: k for k, piece in enumerate(compress(self.at, stay.tolist()))}  # pieces stand in the order of their numbers
+        self.at.keep(stay)
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END, and how many each has."""
