@@ -284,9 +284,10 @@ def _slots(model: Model, into: np.ndarray | None) -> np.ndarray:
     """The symbol at each of a lane's 2**TOTAL places; `into`: the table of the frequencies before, which is written over."""
     symbols = np.arange(model.start.symbols, dtype=np.int16)
     if into is None:
-        return np.tile(np.repeat(symbols, model.size[0]), (model.lanes, 1))  # all lanes start alike
-    for row, size in zip(into, model.size, strict=True):
-        row[:] = np.repeat(symbols, size)
+        return np.tile(symbols.repeat(model.size[0]), (model.lanes, 1))  # all lanes start alike
+    for a in range(0, model.lanes, SOME):
+        for row, size in zip(into[a : a + SOME], model.size[a : a + SOME].astype(np.int64), strict=True):
+            row[:] = symbols.repeat(size)
     return into
 
 

@@ -33,7 +33,7 @@ from .common import chunks, flat, named, new_path, saved, tidy
 from .warc import filesystem
 
 END = 0
-FILE_IDS = 2 << 20
+FILE_IDS = 4 << 20
 PART, LEAST_PART = 256 << 20, 8 << 20  # bytes of text in a task; in one of a small table
 CACHE_IDS, PIECES = 4 << 20, 1_000_000  # what a worker keeps of pieces met
 CHUNK_IN = 4 << 20
