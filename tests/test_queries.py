@@ -379,3 +379,27 @@ def test_a_series_in_order_is_not_dealt_again(spark):
     for r in S.cut(of.runs, 1000, 13).collect():
         got.setdefault(r["__block"], []).extend(range(r["t0"], r["t0"] + len(r["y"])))
     assert all(sorted(ts) == list(range(max(1, b * 1000 - 12), min(100_000, (b + 1) * 1000) + 1)) for b, ts in got.items() if b < 100)
+
+
+def test_long_rows_are_read_a_few_at_a_time(spark):
+    """Long arrays of few different values are small on disk, so groups are bounded by rows: a reader decodes a group at once. Pieces leave cut() a few blocks at a time."""
+    from pathlib import Path
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidewright.functions.kernel import Spec
+    from tidewright.sources import series as S
+    from tidewright.streaming import chunked
+
+    df = spark.range(0, 80 * S.BLOCK, 1, 2).selectExpr("id AS k", "cast(id % 11 AS double) AS y")
+    stream = chunked.Stream(df, "y", "k", [], Spec(p=1))
+    for table, n in ((stream.packed.runs, 80), (stream.rows, 80)):
+        metas = [pq.read_metadata(f.removeprefix("file://")) for f in table.inputFiles() if Path(f.removeprefix("file://")).suffix == ".parquet"]
+        groups = [m.row_group(i).num_rows for m in metas for i in range(m.num_row_groups)]
+        assert sum(groups) >= n and max(groups) <= 16
+    assert stream.rows.count() == 80
+    y = pa.array([[1.0] * S.BLOCK] * 40, pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([y, pa.array([[]] * 40, pa.list_(pa.float64()))], ["y", "x"]).slice(3)
+    sizes = [b.num_rows for b in S._portions(iter([batch]))]
+    assert sum(sizes) == 37 and max(sizes) <= 4

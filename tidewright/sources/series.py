@@ -42,13 +42,23 @@ def in_blocks(series: DataFrame, halo: int) -> tuple[DataFrame, int]:
     return series.withColumn("__block", F.explode(both)), size
 
 
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, a few blocks' values at a time and one row at least."""
+    for b in batches:
+        ends, at = b.column("y").offsets.to_numpy().astype(np.int64) + b.column("x").offsets.to_numpy(), 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + 4 * BLOCK, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
+
 def cut(runs: DataFrame, size: int, halo: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., __block, t0, y, x): runs (keys.., t0, y, x) of consecutive times cut at the borders of in_blocks(), with its copies; x holds the rows' regressors one after another."""
     names = [*keys, "__block", "t0", "y", "x"]
     schema = T.StructType([runs.schema[k] for k in keys] + T.StructType.fromDDL("__block long, t0 long, y array<double>, x array<double>").fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _portions(batches):
             at, ys, xs = b.column("t0").to_numpy(), b.column("y"), b.column("x")
             ends_y, ends_x = ys.offsets.to_numpy(), xs.offsets.to_numpy()
             n = np.diff(ends_y)
@@ -142,7 +152,7 @@ def _packed(src: DataFrame, name: str, sorted_: bool) -> tuple[DataFrame, pa.Tab
         if n:
             yield row(state)
 
-    got = written(src.mapInArrow(run, schema), name)
+    got = written(src.mapInArrow(run, schema), name, long=True)
     each = got.groupBy("__part").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.max("state").alias("state"), F.min("first").alias("first"), F.max("last").alias("last"))
     return got, each.orderBy("first", "__part").toArrow()
 
