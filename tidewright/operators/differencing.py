@@ -45,16 +45,21 @@ def stages(series: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[str, ...]
     return own_rows(out, size)
 
 
-def difference(series: DataFrame, d: int, sd: int, s: int = 1, keys: tuple[str, ...] = (), strict: bool = False, value: str = "y") -> DataFrame:
-    """(keys.., t, w): the differenced series, t again from 1."""
+def difference(series: DataFrame | S.Packed, d: int, sd: int, s: int = 1, keys: tuple[str, ...] = (), strict: bool = False, value: str = "y") -> DataFrame:
+    """(keys.., t, w): the differenced series, t again from 1. A packed series is taken as its runs, without spreading it into rows before."""
     check_orders(d, sd, s)
-    ship(series.sparkSession)
-    y = F.col(value).cast("double")
-    if strict:
-        y = F.when(y.isNull(), F.raise_error(F.lit("the series has a missing value")).cast("double")).otherwise(y)
-    lost, kind = d + sd * s, series.schema["t"].dataType
+    lost = d + sd * s
     size = max(S.BLOCK, lost)
-    runs = S.runs_of(series.select(*keys, "t", y.alias("__y")), "__y", keys)
+    if isinstance(series, S.Packed):
+        if strict and series.seen < series.n:
+            raise ValueError("the series has a missing value")
+        runs, kind = series.checked().runs, T.LongType()
+    else:
+        ship(series.sparkSession)
+        y = F.col(value).cast("double")
+        if strict:
+            y = F.when(y.isNull(), F.raise_error(F.lit("the series has a missing value")).cast("double")).otherwise(y)
+        runs, kind = S.runs_of(series.select(*keys, "t", y.alias("__y")), "__y", keys), series.schema["t"].dataType
     schema = T.StructType([runs.schema[k] for k in keys] + T.StructType.fromDDL("t long, w double").fields)
 
     def run(table: pa.Table) -> pa.Table:

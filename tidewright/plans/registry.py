@@ -681,7 +681,7 @@ def start_values_in_ranges(spark, sf_dir):
 @query(f"WITH {TICKS}, a AS (SELECT t, y - lag(y) OVER (ORDER BY t) AS y FROM d), b AS (SELECT t - 13 AS t, y - lag(y, 12) OVER (ORDER BY t) AS w FROM a) SELECT t, w FROM b WHERE t > 0")
 def diff_in_blocks(spark, sf_dir):
     """First and seasonal difference of one long series, whose blocks hold copies of the 13 rows before them."""
-    return differencing.difference(S.series_of(ticks(spark, sf_dir), "y", "k"), 1, 1, 12)
+    return differencing.difference(S.Packed(ticks(spark, sf_dir), "y", "k"), 1, 1, 12)
 
 
 @query(f"WITH {TICKS}, w AS (SELECT row_number() OVER (ORDER BY k) AS t, y FROM tk), c AS (SELECT t, y - (SELECT avg(y) FROM w) AS e FROM w), g AS (SELECT t, e, unnest(range(0, 51)) AS lag FROM c), v AS (SELECT lag, sum(g.e * c.e) AS p FROM g JOIN c ON c.t = g.t - g.lag GROUP BY lag) SELECT CAST(lag AS INTEGER) AS lag, round(p / (SELECT p FROM v WHERE lag = 0), 6) AS acf FROM v")

@@ -117,7 +117,7 @@ def _packed(src: DataFrame, name: str, sorted_: bool) -> tuple[DataFrame, pa.Tab
     unless the rows were sorted before: then what isn't later than the row before is a repeated time, state 1."""
     most = BLOCK
     kind = src.schema["__t"].dataType
-    schema = T.StructType([T.StructField("__part", T.IntegerType()), *T.StructType.fromDDL("at long, n long, seen long, state int").fields, T.StructField("first", kind), T.StructField("last", kind), *T.StructType.fromDDL("y array<double>, x array<double>").fields])
+    schema = T.StructType([T.StructField("__part", T.IntegerType()), *T.StructType.fromDDL("at long, n long, seen long, total double, state int").fields, T.StructField("first", kind), T.StructField("last", kind), *T.StructType.fromDDL("y array<double>, x array<double>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, before = TaskContext.get().partitionId(), 0, None
@@ -127,7 +127,8 @@ def _packed(src: DataFrame, name: str, sorted_: bool) -> tuple[DataFrame, pa.Tab
             t, y = (pa.concat_arrays([h.column(c) for h in held]) for c in ("__t", "y"))
             x = pa.concat_arrays([h.column("x").flatten() for h in held]) if "x" in held[0].schema.names else y[:0]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (y, x)]
-            cells = [pa.array([part], pa.int32()), *[pa.array([v], pa.int64()) for v in (at, len(y), len(y) - y.null_count)], pa.array([state], pa.int32())]
+            total = pc.sum(y, min_count=0).cast(pa.float64())
+            cells = [pa.array([part], pa.int32()), *[pa.array([v], pa.int64()) for v in (at, len(y), len(y) - y.null_count)], pa.array([total]), pa.array([state], pa.int32())]
             return pa.RecordBatch.from_arrays([*cells, t[:1], t[-1:], *lists], schema.names)
 
         state, n = 0, 0
@@ -153,7 +154,7 @@ def _packed(src: DataFrame, name: str, sorted_: bool) -> tuple[DataFrame, pa.Tab
             yield row(state)
 
     got = written(src.mapInArrow(run, schema), name, long=True)
-    each = got.groupBy("__part").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.max("state").alias("state"), F.min("first").alias("first"), F.max("last").alias("last"))
+    each = got.groupBy("__part").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("total").alias("total"), F.max("state").alias("state"), F.min("first").alias("first"), F.max("last").alias("last"))
     return got, each.orderBy("first", "__part").toArrow()
 
 
@@ -164,14 +165,14 @@ _COMPARED = ("byte", "short", "integer", "long", "date", "timestamp", "timestamp
 class Packed:
     """One series as runs of its values in order of time, for what would be too much as rows.
 
-    Partitions that are in order and whose times don't overlap are taken as they are; otherwise rows are dealt in ranges of time and sorted. `runs` is (t0, y, x); `bad`: a time is null or repeated.
-    The driver sees a row a partition."""
+    Partitions that are in order and whose times don't overlap are taken as they are; otherwise rows are dealt in ranges of time and sorted. `runs` is (t0, y, x); `bad`: a time is null or repeated;
+    `mean` is that of the values that aren't null. The driver sees a row a partition. Operators that take one long series take this in place of its rows."""
 
     def __init__(self, df: DataFrame, y_col: str, t_col: str, exog_cols: list[str] | tuple[str, ...] = ()):
         spark = ship(df.sparkSession)
         xs = [F.array(*[F.col(c).cast("double") for c in exog_cols]).alias("x")] if exog_cols else []
         src = df.select(F.col(t_col).alias("__t"), F.col(y_col).cast("double").alias("y"), *xs)
-        kind = src.schema["__t"].dataType
+        self.t_col, self.kind = t_col, (kind := src.schema["__t"].dataType)
         self.compared = kind.typeName() in _COMPARED or isinstance(kind, T.DecimalType)
         if not self.compared:
             at = F.when(F.col("__t").isNotNull() & ~F.col("__again"), F.col("t"))
@@ -183,11 +184,17 @@ class Packed:
             pieces, each = _packed(src.repartitionByRange(parts, "__t").sortWithinPartitions("__t"), "runs", True)
         size = each.column("n").to_numpy()
         self.n, self.seen = int(size.sum()), int(each.column("seen").to_numpy().sum())
+        self.mean = float(each.column("total").to_numpy().sum()) / max(self.seen, 1)
         self.bad = max(each.column("state").to_pylist(), default=0) > 0
         self.ends = pa.concat_arrays([c for t in (each.column("first").slice(0, 1), each.column("last").slice(max(len(size) - 1, 0))) for c in t.chunks]) if self.n else None
         ahead = spark.createDataFrame(pa.table({"__part": each.column("__part"), "__ahead": pa.array(np.cumsum(size) - size, pa.int64())}))
         self.runs = pieces.join(F.broadcast(ahead), "__part").select((F.col("__ahead") + F.col("at") + 1).alias("t0"), "y", "x")
 
+    def checked(self) -> Packed:
+        if self.bad:
+            raise ValueError(f"time column {self.t_col} has a null or a repeated value")
+        return self
+
 
 def own_rows(df: DataFrame, size: int) -> DataFrame:
     """Without the copies."""
