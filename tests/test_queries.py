@@ -403,3 +403,24 @@ def test_long_rows_are_read_a_few_at_a_time(spark):
     batch = pa.RecordBatch.from_arrays([y, pa.array([[]] * 40, pa.list_(pa.float64()))], ["y", "x"]).slice(3)
     sizes = [b.num_rows for b in S._portions(iter([batch]))]
     assert sum(sizes) == 37 and max(sizes) <= 4
+
+
+def test_packed_series_are_not_spread_into_rows(spark):
+    """Differences and ACF of a packed series are those of its rows, without a row a time before the blocks; bad times fail by name."""
+    from tidewright.operators import differencing, lags
+    from tidewright.sources import series as S
+
+    df = spark.range(70_000).selectExpr("id * 2 AS k", "CASE WHEN id % 97 > 2 THEN cast(id * id % 13 AS double) END AS y", "cast(id * id % 13 AS double) AS whole").repartition(3)
+    of, rows = S.Packed(df, "y", "k"), S.series_of(df, "y", "k")
+    got, want = (differencing.difference(x, 1, 1, 12) for x in (of, rows))
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    got, want = (sorted(lags.acf(x, 20).collect()) for x in (S.Packed(df, "whole", "k"), S.series_of(df, "whole", "k")))
+    assert [r["lag"] for r in got] == list(range(21)) and all(abs(a["acf"] - b["acf"]) < 1e-12 for a, b in zip(got, want, strict=True))
+    assert all(r["acf"] is None for r in lags.acf(of, 2).collect())
+    with pytest.raises(ValueError, match="missing value"):
+        differencing.difference(of, 1, 0, strict=True)
+    bad = S.Packed(df.union(df.limit(1)), "y", "k")
+    for f in (lambda: lags.acf(bad, 2), lambda: differencing.difference(bad, 1, 0)):
+        with pytest.raises(ValueError, match="time column k has a null or a repeated value"):
+            f()

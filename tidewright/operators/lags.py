@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import bound, upto
-from ..session import ship
+from ..session import ship, written
 from ..sources import series as S
 from ..sources.series import in_blocks, over_time, own_rows
 
@@ -23,10 +23,12 @@ def lags(series: DataFrame, m: int, keys: tuple[str, ...] = ()) -> DataFrame:
     return cells.select(*keys, "t", F.explode("cells").alias("c")).filter("c.there").select(*keys, "t", F.col("c.lag").alias("lag"), F.col("c.value").alias("value"))
 
 
-def lag_products(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def lag_products(series: DataFrame | S.Packed, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., lag, product): sums of e_t * e_(t - lag), e being the deviations from the mean; t runs from 1 without gaps. A null y makes them null.
 
-    Each block finds its rows' products with the rows before them; the blocks' sums are added."""
+    Each block finds its rows' products with the rows before them; the blocks' sums are added. A packed series is never spread into rows."""
+    if isinstance(series, S.Packed):
+        return run_products(series.checked().runs, nlags, mean=series.mean)
     ship(series.sparkSession)
     mean = series.groupBy(*keys).agg(F.avg("y").alias("mean"))  # a row a series
     src = series.select(*keys, "t", "y")
@@ -55,8 +57,10 @@ def run_products(runs: DataFrame, nlags: int, keys: tuple[str, ...] = (), mean:
     return total.withColumn("product", F.when(~F.isnan("product"), F.col("product")))
 
 
-def acf(series: DataFrame, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def acf(series: DataFrame | S.Packed, nlags: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys.., lag, acf), lags 0..nlags: mean-corrected, all divided by the sum of squares of the whole series."""
+    if isinstance(series, S.Packed):  # a row a lag, written so that its two readers don't both find it
+        return acf_of(written(lag_products(series, nlags), "products"))
     return acf_of(lag_products(series.filter(F.col("t").isNotNull()), nlags, keys), keys)
 
 

@@ -687,7 +687,7 @@ def diff_in_blocks(spark, sf_dir):
 @query(f"WITH {TICKS}, w AS (SELECT row_number() OVER (ORDER BY k) AS t, y FROM tk), c AS (SELECT t, y - (SELECT avg(y) FROM w) AS e FROM w), g AS (SELECT t, e, unnest(range(0, 51)) AS lag FROM c), v AS (SELECT lag, sum(g.e * c.e) AS p FROM g JOIN c ON c.t = g.t - g.lag GROUP BY lag) SELECT CAST(lag AS INTEGER) AS lag, round(p / (SELECT p FROM v WHERE lag = 0), 6) AS acf FROM v")
 def acf_in_blocks(spark, sf_dir):
     """Fifty lags of one long series by sums of blocks' products."""
-    return lags.acf(S.series_of(ticks(spark, sf_dir), "whole", "k"), 50).withColumn("acf", r6(F.col("acf")))
+    return lags.acf(S.Packed(ticks(spark, sf_dir), "whole", "k"), 50).withColumn("acf", r6(F.col("acf")))
 
 
 @query("""WITH e AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL),
