@@ -424,3 +424,26 @@ def test_packed_series_are_not_spread_into_rows(spark):
     for f in (lambda: lags.acf(bad, 2), lambda: differencing.difference(bad, 1, 0)):
         with pytest.raises(ValueError, match="time column k has a null or a repeated value"):
             f()
+
+
+def test_a_stream_is_packed_and_filtered_once(spark, monkeypatch):
+    """Fit at given parameters, residuals, evaluate and Ljung-Box of one Stream: results as from the data, blocks' elements found once; another model's stream is refused."""
+    from tidewright.functions.kernel import Spec
+    from tidewright.sources import series as S
+    from tidewright.streaming import chunked
+
+    monkeypatch.setattr(S, "BLOCK", 64)
+    calls, elements = [], chunked.Stream._elements
+    monkeypatch.setattr(chunked.Stream, "_elements", lambda self, par: calls.append(1) or elements(self, par))
+    df = spark.range(500).selectExpr("id AS k", "CASE WHEN id % 50 != 3 THEN cast((id * 7) % 11 - 5 AS double) END AS y")
+
+    def results(data):
+        m = model.fit(data, "y", "k", p=1, params=[0.5, 9.0], compute_bse=False, out_of_core=True)
+        parts = [m, *(f(m, data, "y", "k", *more, out_of_core=True) for f, more in ((model.residuals, ()), (model.evaluate, ()), (model.ljungbox, (4,))))]
+        return [sorted(map(str, p.collect())) for p in parts]
+
+    stream = chunked.Stream(df, "y", "k", [], Spec(p=1))
+    got = results(stream)
+    assert len(calls) == 1 and got == results(df)
+    with pytest.raises(ValueError, match="another model"):
+        model.fit(stream, "y", "k", p=2, out_of_core=True)

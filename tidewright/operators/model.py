@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernel as K
 from ..functions.distributions import chi2_sf, norm_cdf, norm_ppf
-from ..session import ship
+from ..session import ship, written
 from ..sources.series import MAX_REGRESSORS, numbered, trend_name
 from .lags import acf, acf_of, run_products
 
@@ -197,7 +197,7 @@ def _key(t: pa.Table, keys: tuple[str, ...]) -> tuple:
 def fit(df: DataFrame, y_col: str, t_col: str, p: int = 0, d: int = 0, q: int = 0, sp: int = 0, sd: int = 0, sq: int = 0, s: int = 1, exog_cols: tuple[str, ...] | list[str] = (), trend: str = "n", concentrate: bool = False, simple_differencing: bool = True, compute_bse: bool = True, keys: tuple[str, ...] = (), params: list[float] | None = None, out_of_core: bool = False) -> DataFrame:
     """The model table of every series, at given parameters if there are any. Orders are checked here; the data in the tasks, with errors that say what is wrong.
 
-    out_of_core: one series that no task could hold, read as a stream at every evaluation (streaming.chunked), with its start values."""
+    out_of_core: one series that no task could hold, read as a stream at every evaluation (streaming.chunked), with its start values; df may be such a Stream."""
     exog = list(exog_cols)
     if len(exog) > MAX_REGRESSORS:
         raise ValueError(f"at most {MAX_REGRESSORS} regressors; got {len(exog)}")
@@ -333,7 +333,7 @@ def _stream(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog: lis
 def residuals(model: DataFrame, data: DataFrame, y_col: str, t_col: str, exog_cols: tuple[str, ...] | list[str] = (), keys: tuple[str, ...] = (), out_of_core: bool = False) -> DataFrame:
     """(keys.., t, v, f, std_resid) on the model scale; v and std_resid are null where y is missing.
 
-    out_of_core: one series longer than a task's memory, filtered in parallel ranges of time."""
+    out_of_core: one series longer than a task's memory, filtered in parallel ranges of time; data may be its streaming.chunked.Stream."""
     exog = list(exog_cols)
     if out_of_core:
         stream, params, scale = _stream(model, data, y_col, t_col, exog, keys)
@@ -393,7 +393,7 @@ def ljungbox(model: DataFrame, data: DataFrame, y_col: str, t_col: str, nlags: i
     if out_of_core:
         stream, params, scale = _stream(model, data, y_col, t_col, list(exog_cols), keys)
         runs, n, mean = stream.residual_runs(params, scale)
-        return _ljungbox(acf_of(run_products(runs, nlags, mean=mean)), data.sparkSession.range(1).select(F.lit(float(n)).alias("n")))
+        return _ljungbox(acf_of(written(run_products(runs, nlags, mean=mean), "products")), model.sparkSession.range(1).select(F.lit(float(n)).alias("n")))
     return ljungbox_of(residuals(model, data, y_col, t_col, exog_cols, keys), nlags, keys)
 
 

@@ -643,7 +643,7 @@ def loglik_in_ranges(spark, sf_dir):
 @query(f"{_STEPS} SELECT d.t, round(v, 6) AS v, round(v / sqrt(f), 5) AS std_resid FROM d LEFT JOIN v USING (t)")
 def residuals_in_ranges(spark, sf_dir):
     """A row a time, each range replayed from the state that those before it lead to."""
-    e = ticks(spark, sf_dir).select("k", "y")
+    e = chunked.Stream(ticks(spark, sf_dir), "y", "k", [], Spec(p=1))
     m = model.fit(e, "y", "k", p=1, params=[0.5, 0.75], compute_bse=False, out_of_core=True)
     return model.residuals(m, e, "y", "k", out_of_core=True).select("t", F.round("v", 6).alias("v"), F.round("std_resid", 5).alias("std_resid"))
 
@@ -654,7 +654,7 @@ q AS (SELECT lag, n * (n + 2) * sum(r * r / (n - lag)) OVER (ORDER BY lag) AS st
 SELECT CAST(lag AS INTEGER) AS lag, round(stat, 3) AS stat, CASE WHEN lag % 2 = 0 THEN round(exp(-stat / 2) * (1 + CASE WHEN lag = 4 THEN stat / 2 ELSE 0 END), 6) END AS pvalue FROM q""")
 def ljungbox_in_ranges(spark, sf_dir):
     """Ljung-Box of a streamed model's residuals; the chi-square tail has a closed form for even lags, and only these are shown."""
-    e = ticks(spark, sf_dir).select("k", "y")
+    e = chunked.Stream(ticks(spark, sf_dir), "y", "k", [], Spec(p=1))
     m = model.fit(e, "y", "k", p=1, params=[0.5, 0.75], compute_bse=False, out_of_core=True)
     got = model.ljungbox(m, e, "y", "k", 4, out_of_core=True)
     return got.select("lag", F.round("stat", 3).alias("stat"), F.when(F.col("lag") % 2 == 0, F.round("pvalue", 6)).alias("pvalue"))
@@ -662,7 +662,7 @@ def ljungbox_in_ranges(spark, sf_dir):
 
 @query(f"{_STEPS} SELECT round(-5e-1 * sum(ln(2 * pi()) + ln(f) + v * v / f), 1) AS loglik, 1e0 AS resid_finite_frac FROM v")
 def evaluate_in_ranges(spark, sf_dir):
-    e = ticks(spark, sf_dir).select("k", "y")
+    e = chunked.Stream(ticks(spark, sf_dir), "y", "k", [], Spec(p=1))
     m = model.fit(e, "y", "k", p=1, params=[0.5, 0.75], compute_bse=False, out_of_core=True)
     return model.evaluate(m, e, "y", "k", out_of_core=True).select(F.round("loglik", 1).alias("loglik"), "resid_finite_frac")
 
